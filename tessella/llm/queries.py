@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import hilbert, mixing
+from tessella.llm import hilbert, mixing, packing, secrets
 from tessella.llm.common import documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,55 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
+
+
+@query
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    packed = packing.harmonic_pack(digest, ["doc_id", "start", "doc_tokens", "ids_crc32"])
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    found = secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets.RULES[k].kind}") for k in range(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+def _secrets_oracle() -> str:
+    """Matches and the gaps before them, laid end to end, rule by rule."""
+    ctes, parts = [], []
+    for i, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        ctes.append(
+            f"m{i} AS (SELECT rid, t, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h, regexp_extract_all(t, '{p}', {r.group}) AS k FROM d WHERE regexp_matches(t, '{p}'))"
+        )
+        parts.append(
+            f"SELECT rid, {i} AS kind, '{r.kind}' AS name, list_sum(list_transform(g[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:j-1], lambda x: length(x))), 0) AS s, length(h[j]) AS n"
+            f" FROM (SELECT *, unnest(range(1, len(h) + 1)) AS j FROM m{i}) WHERE length(k[j]) >= {r.least}"
+        )
+    return (
+        "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),\n"
+        + ",\n".join(ctes)
+        + ",\nspans AS ("
+        + "\nUNION ALL ".join(parts)
+        + """),
+texts AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(name || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+         string_agg(name || ':' || s || ':' || (s + n), ',' ORDER BY s, kind) AS spans
+  FROM (SELECT rid, kind, name, s::BIGINT AS s, n FROM spans) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN texts USING (rid)"""
+    )
+
+
+ORACLES["op8_secrets"] = _secrets_oracle()
