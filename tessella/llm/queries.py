@@ -92,7 +92,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     found = secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{secrets.RULES[k].kind}") for k in range(secrets.BASE)]
+
+    def count(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{secrets.RULES[kind].kind}")
+
+    counts = [count(kind) for kind in range(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
 
 
