@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import hilbert, mixing, packing, secrets
+from tessella.llm import hilbert, mixing, packing, secrets, simhash
 from tessella.llm.common import documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,10 @@ FROM d LEFT JOIN texts USING (rid)"""
 
 
 ORACLES["op8_secrets"] = _secrets_oracle()
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    near = simhash.near_duplicates(documents(spark, sf_dir))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
