@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, hilbert, mixing, packing, secrets, simhash, syncmers, toxicity
+from tessella.llm import chat, hilbert, mixing, packing, secrets, simhash, syncmers, toxicity, transport
 from tessella.llm.common import documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,9 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], own.schema)
     messages = own.unionByName(probe).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
     return chat.digest_chats(chat.format_chats(messages))
+
+
+@query
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a transport stream and read back."""
+    return transport.digests(transport.read_media(transport.media_column(documents(spark, sf_dir))))
