@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, hilbert, mixing, packing, secrets, simhash, syncmers, toxicity, transport
+from tessella.llm import chat, hilbert, mixing, packing, passages, secrets, simhash, syncmers, toxicity, transport
 from tessella.llm.common import documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a transport stream and read back."""
     return transport.digests(transport.read_media(transport.media_column(documents(spark, sf_dir))))
+
+
+@query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document without passages of 35 words that occur twice."""
+    left = passages.remove_repeated(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
