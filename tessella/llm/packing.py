@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,9 @@ from tessella.llm.common import running_offset, staged
 CAPACITY = 2048
 FINE = 64
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
+END_MARKS = ".,;:!?"
+LATIN_END = "\u0250"
 #: Python's split() breaks at these, the tokenizer's white space does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -38,31 +41,75 @@ def cuts(total: int, capacity: int = CAPACITY, fine: int = FINE) -> Iterator[tup
         start += length
 
 
+def byte_letters() -> dict[int, str]:
+    """Letters that byte-level vocabularies write for bytes: themselves if printable, else 256 and on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class WordTokenizer:
     """Token ids of whole texts, through a bounded cache of encoded words.
 
     The tokenizer splits at white space and drops it, so the ids of a text are
-    those of its words in order.
+    those of its words in order. It also splits letters from the marks that
+    follow them and lower-cases, so a word that is not known yet is looked up
+    by its lower-cased letters and its end marks before anything is encoded.
     """
 
+    shared: dict[str, WordTokenizer] = {}
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()
+
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        """The tokenizer of this Python worker, whose cache serves all its tasks."""
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """Letters and end marks of a word, where they are tokens of their own."""
+        if word.isascii() and "<|" not in word:
+            word = word.lower()
+        core = word.rstrip(END_MARKS)
+        return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
+
+    def fresh(self, parts: list[str]) -> None:
+        """Encode parts into the cache: Latin letters are one word of the model, the rest takes the whole way."""
+        rest = []
+        for part in parts:
+            low = part.lower()
+            if low.isalpha() and max(low) < LATIN_END:
+                word = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+                self.known[part] = np.asarray([t.id for t in self.tokenizer.model.tokenize(word)], "<u4").tobytes()
+            else:
+                rest.append(part)
+        for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[part] = np.asarray(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [None if any(c in t for c in NOT_SPACE) else (t.lower() if t.isascii() and "<|" not in t else t).split() for t in texts]
-        missing = {w for words in split if words for w in words if w not in self.known}
-        if len(self.known) + len(missing) > CACHED_WORDS:
-            self.known = {}
-            missing = {w for words in split if words for w in words}
-        fresh = list(missing)
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        look = self.known.__getitem__
+        known = self.known
+        words_here = set(chain.from_iterable(words or () for words in split))
+        missing = [w for w in words_here if w not in known]
+        if len(known) + 2 * len(missing) > CACHED_WORDS:
+            known = self.known = {}
+            missing = list(words_here)
+        apart = {w: self.parts(w) for w in missing}
+        self.fresh(list({p for pair in apart.values() for p in pair if p and p not in known}))
+        known[""] = b""
+        for w, (core, marks) in apart.items():
+            known[w] = known[core] + known[marks]
+        look = known.__getitem__
         return [
             np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(look, words))
             for t, words in zip(texts, split)
@@ -80,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = WordTokenizer(tokenizer_path)
+        words = WordTokenizer.of(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
