@@ -24,32 +24,54 @@ from tessella.llm.components import components
 BITS = 64
 DISTANCE = 3
 SHINGLE = 3
+SEED = 42
 #: Fingerprints that the plan (not the result) is fitted on.
 PLAN_SAMPLE = 2048
 #: Buckets of more members are split on before they are searched.
 SMALL_BUCKET = 512
+#: Buckets of so few members report all their links.
+TINY_BUCKET = 16
+# Similar documents: four fingerprints of the distinct words, twelve partitions, then an exact check.
+WIDE_WORDS, WIDE_PARTS, WIDE_DISTANCE = 4, 12, 40
+CHECK_SHINGLE, SIMILARITY = 5, 0.8
 
 
-def simhash(text: str, size: int = SHINGLE) -> int:
-    """Fingerprint of one text: majority of the XXH64 bits of its shingles."""
-    import xxhash
-
+def spans(text: str, size: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """Lower-cased words joined by spaces and the byte spans of its shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return b"", []
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
     ends = starts + lengths
     n = max(1, len(words) - size + 1)
-    last = ends[min(size, len(words)) - 1 :][:n]
-    digest = xxhash.xxh64_intdigest
+    return b" ".join(words), list(zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist()))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Number whose bits are those set in over half of the 64-bit ``hashes``."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        spans = zip(starts[at : min(n, at + (1 << 16))].tolist(), last[at : at + (1 << 16)].tolist())
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(((2 * counts > n).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(((2 * counts > len(hashes)).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
+
+
+def simhash(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
+    """Fingerprint of one text: majority of the XXH64 bits of its shingles, repeats included."""
+    import xxhash
+
+    joined, cut = spans(text, size)
+    digest = xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(joined[a:b], seed) for a, b in cut), "<u8", len(cut))) if cut else 0
+
+
+def wide_simhash(text: str, words: int = WIDE_WORDS) -> list[int]:
+    """Fingerprints of the distinct words of a text, one per seed."""
+    import xxhash
+
+    own = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
+    return [majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED + k) for w in own), "<u8", len(own))) if own else 0 for k in range(words)]
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -76,22 +98,37 @@ class Plan:
     thresholds: tuple[int, ...]
 
 
+def _bits(sample: np.ndarray) -> np.ndarray:
+    """Bits of the rows of ``sample`` (rows x words), one column each."""
+    return np.concatenate([((sample[:, [k]] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(float) for k in range(sample.shape[1])], axis=1)
+
+
+def _masks(part: tuple[int, ...], words: int) -> np.ndarray:
+    """Mask of a partition in each word."""
+    return np.asarray([sum(1 << (b - BITS * k) for b in part if b // BITS == k) for k in range(words)], np.uint64)
+
+
 def group_bits(sample: np.ndarray, m: int) -> list[tuple[int, ...]]:
     """Split the bits into ``m`` near-equal groups, correlated bits together."""
-    bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(float)
+    bits = _bits(sample)
+    n = bits.shape[1]
+    if len(bits) < 2:
+        return [tuple(range(k * n // m, (k + 1) * n // m)) for k in range(m)]
     centred = bits - bits.mean(axis=0)
     norm = np.sqrt((centred**2).sum(axis=0))
     like = np.abs(centred.T @ centred) / np.maximum(np.outer(norm, norm), 1e-9)
     # A constant bit separates nothing; it counts as correlated with every other.
     like[norm == 0, :] = like[:, norm == 0] = 1.0
-    free, parts = set(range(BITS)), []
+    free, parts = np.ones(n, bool), []
     for k in range(m):
-        room = len(free) // (m - k)
-        part = [max(sorted(free), key=lambda b: sum(like[b, c] for c in free))]
-        free.discard(part[0])
+        room = int(free.sum()) // (m - k)
+        part: list[int] = []
+        pull = like[:, free].sum(axis=1)
         while len(part) < room:
-            part.append(max(sorted(free), key=lambda b: sum(like[b, c] for c in part)))
-            free.discard(part[-1])
+            best = int(np.argmax(np.where(free, pull, -np.inf)))
+            pull = like[:, best].copy() if not part else pull + like[:, best]
+            part.append(best)
+            free[best] = False
         parts.append(tuple(sorted(part)))
     return parts
 
@@ -105,34 +142,36 @@ def probes(width: int, radius: int) -> int:
     return total
 
 
-def plan_join(sample: np.ndarray, rows: int, distance: int = DISTANCE) -> Plan:
+def plan_join(sample: np.ndarray, rows: int, distance: int = DISTANCE, choices: tuple[int, ...] = (2, 3, 4), least: int = -1) -> Plan:
     """Cheapest plan for ``rows`` distinct fingerprints, judged on a sample of them.
 
     The cost of a partition is what it emits (index row and probes) plus its
     expected candidates: the share of sampled pairs within the threshold there
-    (at least what random bits give) times all rows.
+    (at least what random bits give) times all rows. No threshold is under
+    ``least``.
     """
     best, best_cost = None, np.inf
-    for m in (2, 3, 4):
-        parts = group_bits(sample, m) if len(sample) > 1 else [tuple(range(k * BITS // m, (k + 1) * BITS // m)) for k in range(m)]
+    for m in choices:
+        parts = group_bits(sample, m)
         budget = distance - m + 1
-        cost = np.zeros((m, distance + 2))
+        top = max(0, min(distance, budget - least * (m - 1)))
+        cost = np.zeros((m, top + 2))
         for i, part in enumerate(parts):
-            mask = np.uint64(sum(1 << b for b in part))
-            far = np.zeros(distance + 1)
-            for row in sample:
-                d = np.bitwise_count((sample ^ row) & mask)
-                far += [(d <= r).sum() - 1 for r in range(distance + 1)]
+            own = sample & _masks(part, sample.shape[1])
+            far = np.zeros(top + 1)
+            for row in own:
+                d = np.bitwise_count(own ^ row).sum(axis=1)
+                far += [(d <= r).sum() - 1 for r in range(top + 1)]
             pairs = max(1, len(sample) * (len(sample) - 1))
-            for r in range(distance + 1):
+            for r in range(top + 1):
                 near = max(far[r] / pairs, probes(len(part), r) / 2.0 ** len(part))
                 cost[i, r + 1] = 1 + (probes(len(part), r) if r else 0) + 0.05 * near * rows
-        # table[s]: cheapest thresholds of the first partitions that sum to s - m.
-        table = {0: (0.0, ())}
+        # table[s]: cheapest thresholds of the first partitions that sum to s.
+        table: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for i in range(m):
             step: dict[int, tuple[float, tuple[int, ...]]] = {}
             for s, (c, chosen) in table.items():
-                for r in range(-1, distance + 1):
+                for r in range(least, top + 1):
                     new = (c + cost[i, r + 1], chosen + (r,))
                     if s + r not in step or new < step[s + r]:
                         step[s + r] = new
@@ -143,102 +182,118 @@ def plan_join(sample: np.ndarray, rows: int, distance: int = DISTANCE) -> Plan:
     return best
 
 
-def forest(members: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Edges that connect ``members`` (distinct, unsigned) as their links within ``distance`` do.
+def forest(prints: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Pairs of row numbers that connect ``prints`` (rows x words) as the links within ``distance`` do.
 
     Search from one member to all that are not reached yet, so a dense bucket
-    takes about as many steps as it has members. Larger sets are first split by
-    their exact 16-bit blocks, one of which any linked pair shares.
+    takes about as many steps as it has members. Larger sets of one word are
+    first split by their exact 16-bit blocks, one of which any linked pair
+    shares. Tiny sets report every link.
     """
-    edges: list[tuple[int, int]] = []
-    if len(members) > SMALL_BUCKET and distance < 4:
+    rows = np.arange(len(prints))
+    if len(prints) <= TINY_BUCKET:
+        near = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2) <= distance
+        return [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(near, 1)))]
+    if len(prints) > SMALL_BUCKET and distance < 4 and prints.shape[1] == 1:
+        edges: list[tuple[int, int]] = []
         for block in range(4):
-            values = (members >> np.uint64(16 * block)) & np.uint64(0xFFFF)
+            values = (prints[:, 0] >> np.uint64(16 * block)) & np.uint64(0xFFFF)
             order = np.argsort(values, kind="stable")
-            cuts = np.flatnonzero(np.diff(values[order])) + 1
-            for own in np.split(members[order], cuts):
+            for own in np.split(rows[order], np.flatnonzero(np.diff(values[order])) + 1):
                 if len(own) > 1:
-                    edges += _search(own, distance)
+                    edges += _search(prints, own, distance)
         return edges
-    return _search(members, distance)
+    return _search(prints, rows, distance)
 
 
-def _search(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    edges, left = [], np.sort(members)
+def _search(prints: np.ndarray, rows: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    edges: list[tuple[int, int]] = []
     queue: list[int] = []
+    left, bits = rows, prints[rows]
     while len(left):
         if not queue:
-            queue, left = [left[0]], left[1:]
+            queue, left, bits = [int(left[0])], left[1:], bits[1:]
         node = queue.pop()
-        near = np.bitwise_count(left ^ np.uint64(node)) <= distance
+        near = np.bitwise_count(bits ^ prints[node]).sum(axis=1) <= distance
         if near.any():
-            found = left[near]
-            edges += [(int(node), int(f)) for f in found]
-            queue += list(found)
-            left = left[~near]
+            found = left[near].tolist()
+            edges += [(node, f) for f in found]
+            queue += found
+            left, bits = left[~near], bits[~near]
     return edges
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints, enough for all components.
+def links(prints: DataFrame, words: list[str], distance: int = DISTANCE, choices: tuple[int, ...] = (2, 3, 4), least: int = -1, within: int | None = None) -> DataFrame:
+    """Edges (a, b) between rows of ``prints`` (id and 64-bit columns ``words``).
 
-    ``prints`` has one row per distinct ``fingerprint``. Index rows and probe
+    All pairs within ``distance`` meet in a bucket; pairs that meet and are
+    within ``within`` bits (``distance`` if unset) are linked, by edges enough
+    for the components of each bucket. Ids are distinct. Index rows and probe
     rows of a partition's value meet in one bucket; rows of a bucket are
     streamed in order through a task that searches it.
     """
-    rows = prints.count()
+    prints = prints.select("id", *words)
+    within = distance if within is None else within
     # A bounded sample (PLAN_SAMPLE rows) decides only how the join is planned.
-    few = prints.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(PLAN_SAMPLE).toPandas()["fingerprint"].to_numpy(np.int64).view(np.uint64)
-    plan = plan_join(few, rows, distance)
+    few = prints.orderBy(F.xxhash64("id"), "id").limit(PLAN_SAMPLE).toPandas()
+    sample = np.stack([few[w].to_numpy(np.int64).view(np.uint64) for w in words], axis=1) if len(few) else np.zeros((0, len(words)), np.uint64)
+    plan = plan_join(sample, prints.count(), distance, choices, least)
+    odd = np.asarray([2 * k * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1 for k in range(len(words))], np.uint64)
     jobs = []
     for i, (part, radius) in enumerate(zip(plan.parts, plan.thresholds)):
         if radius >= 0:
-            mask = np.uint64(sum(1 << b for b in part))
-            flips = [np.uint64(sum(1 << b for b in c)) for r in range(1, radius + 1) for c in combinations(part, r)]
-            jobs.append((i, mask, np.asarray([0, *flips], np.uint64)))
+            flips = [_masks(c, len(words)) for r in range(1, radius + 1) for c in combinations(part, r)]
+            jobs.append((i, _masks(part, len(words)), np.stack([np.zeros(len(words), np.uint64), *flips])))
+    names = ["part", "value", "id", *words]
 
     def spread(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                own = whole.column(0).slice(at, 2048).to_numpy(zero_copy_only=False).view(np.uint64)
+                batch = whole.slice(at, 2048)
+                own = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(len(words))], axis=1)
                 for i, mask, flips in jobs:
-                    values = (own & mask)[:, None] ^ flips[None, :]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(values.size, i, np.int32)), pa.array(values.ravel().view(np.int64)), pa.array(np.repeat(own, len(flips)).view(np.int64))],
-                        ["part", "value", "fingerprint"],
-                    )
+                    # One number per value: the masked words, flipped, times odd factors.
+                    values = (((own & mask)[:, None, :] ^ flips[None, :, :]) * odd).sum(axis=2, dtype=np.uint64)
+                    index = np.repeat(np.arange(len(own)), len(flips))
+                    again = [c.take(pa.array(index)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(values.size, i, np.int32)), pa.array(values.ravel().view(np.int64)), *again], names)
 
     def search(batches):
         key, held = None, []
-        a, b = [], []
+        found: list[np.ndarray] = []
 
         def close():
-            if len(held) > 1:
-                for x, y in forest(np.unique(np.asarray(held, np.int64).view(np.uint64)), distance):
-                    a.append(x)
-                    b.append(y)
+            if sum(map(len, held)) > 1:
+                rows = np.unique(np.concatenate(held), axis=0) if len(held) > 1 else np.unique(held[0], axis=0)
+                if len(rows) > 1:
+                    # The order of the search differs from bucket to bucket, and so do the trees.
+                    rows = rows[np.argsort((rows[:, 0].view(np.uint64) ^ np.uint64(key[1] & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93))]
+                    pairs = forest(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), within)
+                    if pairs:
+                        found.append(rows[:, 0][np.asarray(pairs)])
 
         def out():
-            done = pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.uint64).view(np.int64)), pa.array(np.asarray(b, np.uint64).view(np.int64))], ["a", "b"])
-            a.clear()
-            b.clear()
-            return done
+            pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            p, v, f = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            p, v, *rest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns))
+            if not len(p):
+                continue
+            rows = np.stack(rest, axis=1)
             new = np.flatnonzero((np.diff(p) != 0) | (np.diff(v) != 0)) + 1
-            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(p)]):
-                if lo == hi:
-                    continue
-                if (p[lo], v[lo]) != key:
+            edges = [0, *new.tolist(), len(p)]
+            for lo, hi in zip(edges, edges[1:]):
+                if (int(p[lo]), int(v[lo])) != key:
                     close()
-                    key, held = (p[lo], v[lo]), []
-                held.extend(f[lo:hi].tolist())
+                    key, held = (int(p[lo]), int(v[lo])), []
+                held.append(rows[lo:hi])
             yield out()
         close()
         yield out()
 
-    wide = prints.select("fingerprint").mapInArrow(spread, "part int, value long, fingerprint long")
+    wide = prints.mapInArrow(spread, "part int, value long, id long, " + ", ".join(f"`{w}` long" for w in words))
     buckets = wide.repartition("part", "value").sortWithinPartitions("part", "value")
     return buckets.mapInArrow(search, "a long, b long")
 
@@ -254,10 +309,60 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     """
     own = staged(fingerprints(docs, size), "simhash")
     nodes = staged(own.groupBy("fingerprint").agg(F.min("doc_id").alias("_least")), "simhash-nodes")
-    found = components(links(nodes, distance))
+    found = components(links(nodes.withColumnRenamed("fingerprint", "id").withColumn("w0", F.col("id")), ["w0"], distance))
     joined = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
         "component", F.coalesce("component", "fingerprint")
     )
     named = joined.groupBy("component").agg(F.min("_least").alias("component_id"))
     of = joined.select("fingerprint", "component").join(named, "component").select("fingerprint", "component_id")
     return own.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = CHECK_SHINGLE) -> DataFrame:
+    """Groups of documents whose shingles are similar: did, th, component.
+
+    One row per distinct text and doc_id (``did``: doc_id, a null as the least
+    long; ``th``: text hash); ``component`` is the smallest ``th`` of the group.
+    Candidates come from a generalised pigeonhole join of four fingerprints of
+    the distinct words in ``WIDE_PARTS`` partitions; every pair within fewer
+    bits than the partitions meets, most farther ones too. A candidate link
+    counts if the Jaccard similarity of the shingle sets of ``size`` words
+    reaches ``similarity``. Equal texts are one group; empty and null texts are
+    equal.
+    """
+
+    def wide(batches):
+        for batch in batches:
+            bits = np.asarray([wide_simhash(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WIDE_WORDS))], ["id", *words])
+
+    def shingles(batches):
+        import xxhash
+
+        for batch in batches:
+            sets = []
+            for t in batch.column(1).to_pylist():
+                joined, cut = spans(t, size)
+                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    words = [f"w{k}" for k in range(WIDE_WORDS)]
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "th", F.xxhash64("text")
+    )
+    prints = own.select(F.col("th").alias("id"), "text").mapInArrow(wide, "id long, " + ", ".join(f"{w} long" for w in words))
+    prints = staged(prints.distinct(), "wide-prints")
+    pairs = links(prints, words, WIDE_PARTS - 1, (WIDE_PARTS,), 0, WIDE_DISTANCE)
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = own.join(asked, F.col("th") == F.col("id"), "left_semi").select(F.col("th").alias("id"), "text")
+    sets = staged(texts.mapInArrow(shingles, "id long, shingles array<long>").dropDuplicates(["id"]), "wide-sets")
+    both = (
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    )
+    union = F.size("sa") + F.size("sb") - F.col("shared")
+    found = components(both.where(F.col("shared") >= F.lit(similarity) * union).select("a", "b"))
+    keys = own.select("did", "th").distinct()
+    return keys.join(found.withColumnRenamed("node", "th"), "th", "left").select("did", "th", F.coalesce("component", "th").alias("component"))

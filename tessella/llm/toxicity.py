@@ -263,6 +263,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(value, weight, decay, log_k, intercept, max(slope, 0.0))
 
 
+def probability(text: str, look: TokenScores, m: Model) -> tuple[float, list[tuple[int, int, float]]]:
+    """Probability that a text is toxic and its significant passages."""
+    s = look.of(text)
+    total, good = evidence(segments(s), len(s), m.decay, m.log_k)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.intercept + m.slope * min(total, 100.0))))), good
+
+
 def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``score`` (0 to 1), ``predicted`` and ``passages`` to every row.
 
@@ -280,9 +287,8 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores, passages = [], []
             for text in batch.column(1).to_pylist():
-                s = look.of(text or "")
-                total, good = evidence(segments(s), len(s), m.decay, m.log_k)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.intercept + m.slope * min(total, 100.0))))))
+                score, good = probability(text or "", look, m)
+                scores.append(score)
                 passages.append([{"start": a, "end": b, "significance": e} for a, b, e in good])
             passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("significance", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, passage)], ["doc_id", "score", "passages"])
@@ -294,3 +300,17 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
 def held_out(doc_id):
     """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` (all columns) that the model does not predict toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        look = TokenScores(m.value, m.weight)
+        for batch in batches:
+            kept = [probability(text or "", look, m)[0] < 0.5 for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
