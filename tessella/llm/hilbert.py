@@ -130,6 +130,6 @@ def hilbert_shards(df: DataFrame, key: str, cells: list[Column], size: Column, s
     else:
         shard = F.least(F.lit(shards - 1), F.expr(f"((2 * _rank + size) * {shards}) div (2 * _all)"))
         ranked = ranked.withColumn("shard", shard.cast("int"))
-        ranked = running_offset(staged(ranked, "hilbert-bytes"), ["shard"], "_cell", ["_mixed", key, "size"], F.lit(1), "slot")
+        ranked = running_offset(staged(ranked.drop("_base", "_all"), "hilbert-bytes"), ["shard"], "_cell", ["_mixed", key, "size"], F.lit(1), "slot")
     names = [c for c in narrow.columns if not c.startswith("_") and c != "curve"]
     return ranked.select(*names, "curve", "shard", "slot")
