@@ -9,9 +9,9 @@ from pyspark.sql.window import Window as W
 from tessella.operators.ranking import even_parts, hash_ranked, running_sum
 
 
-def with_total(df: DataFrame, group: list[str], value: Column = F.lit(1), out: str = "total") -> DataFrame:
-    """Add the group's sum of ``value``, aggregated before the join."""
-    total = value.cast("long")
+def with_total(df: DataFrame, group: list[str], value: Column | None = None, out: str = "total") -> DataFrame:
+    """Add the group's sum of ``value`` (its rows if unset), aggregated before the join."""
+    total = F.lit(1).cast("long") if value is None else value.cast("long")
     if group:
         return df.join(df.groupBy(*group).agg(F.sum(total).alias(out)), group)
     # The grand total is one number.
