@@ -31,8 +31,8 @@ PLAN_SAMPLE = 2048
 SMALL_BUCKET = 512
 #: Buckets of so few members report all their links.
 TINY_BUCKET = 16
-# Similar documents: four fingerprints of the distinct words, twelve partitions, then an exact check.
-WIDE_WORDS, WIDE_PARTS, WIDE_DISTANCE = 4, 12, 40
+# Similar documents: four fingerprints of the distinct words, sixteen partitions, then an exact check.
+WIDE_WORDS, WIDE_PARTS, WIDE_DISTANCE = 4, 16, 40
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
 
 
