@@ -26,7 +26,8 @@ SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 18
 PRIOR = 4.0
 CAUTION = 1.5
-DRIFT = 1.0
+#: What every token pays; the fit takes the one under which labels are likeliest.
+DRIFTS = (0.5, 1.0, 2.0, 3.0)
 GRID = 0.05
 STEPS = 400
 CACHED_WORDS = 400_000
@@ -46,10 +47,11 @@ def units(token: str) -> set[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """Unit scores and z values, Karlin-Altschul lambda and log K, logistic intercept and slope."""
+    """Unit scores and z values, drift, Karlin-Altschul lambda and log K, logistic intercept and slope."""
 
     value: np.ndarray
     weight: np.ndarray
+    drift: float
     decay: float
     log_k: float
     intercept: float
@@ -104,9 +106,9 @@ class TokenScores:
             word = w.strip(MARKS)
             if word:
                 own = bucket("w:" + word)
-                known[w] = max((self.weight[own], self.value[own]), self.stem(word[:5]))[1] - DRIFT
+                known[w] = max((self.weight[own], self.value[own]), self.stem(word[:5]))[1]
             else:
-                known[w] = -DRIFT
+                known[w] = 0.0
         return np.fromiter(map(known.__getitem__, words), float, len(words))
 
 
@@ -141,8 +143,9 @@ def karlin_decay(counts: np.ndarray) -> float:
     ``counts`` covers the grid of scores -STEPS..STEPS times GRID. Without
     positive scores, or with a mean that is not negative, lambda is 1.
     """
-    scores = np.arange(-STEPS, STEPS + 1) * GRID
-    p = counts / max(counts.sum(), 1)
+    held = counts > 0
+    scores = (np.arange(-STEPS, STEPS + 1) * GRID)[held]
+    p = counts[held] / max(counts.sum(), 1)
     if not (p[scores > 0].sum() > 0 and (p * scores).sum() < 0):
         return 1.0
     low, high = 1e-6, 1.0
@@ -165,8 +168,8 @@ def evidence(found: list[tuple[int, int, float]], n: int, decay: float, log_k: f
     return sum(s + 2 for _, _, s in good), good
 
 
-def logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope fitted to counts by label at each x, slightly ridged."""
+def logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float, float, float]:
+    """Intercept and slope fitted to counts by label at each x, slightly ridged, and the log-likelihood."""
     w = np.zeros(2)
     design = np.stack([np.ones_like(x), x], axis=1)
     for _ in range(50):
@@ -178,7 +181,9 @@ def logistic(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> tuple[float
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    w[1] = max(w[1], 0.0)
+    logit = np.clip(design @ w, -30, 30)
+    return float(w[0]), float(w[1]), float((toxic * -np.log1p(np.exp(-logit)) + clean * -np.log1p(np.exp(logit))).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
@@ -229,43 +234,50 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         for batch in batches:
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = look.of(text or "")
-                cells = np.clip(np.rint(s / GRID), -STEPS, STEPS).astype(int) + STEPS
-                at, n = np.unique(cells, return_counts=True)
-                out.append((int(label), len(s), [x for _, _, x in segments(s)], at.tolist(), n.tolist()))
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["toxic", "n", "scores", "cells", "counts"])
-
-    scanned = staged(owned.mapInArrow(scan, "toxic int, n long, scores array<double>, cells array<long>, counts array<long>"), "toxic-scan")
+                raw = look.of(text or "")
+                for d, drift in enumerate(DRIFTS):
+                    s = raw - drift
+                    cells = np.clip(np.rint(s / GRID), -STEPS, STEPS).astype(int) + STEPS
+                    at, n = np.unique(cells, return_counts=True)
+                    out.append((d, int(label), len(s), [x for _, _, x in segments(s)], at.tolist(), n.tolist()))
+            columns = list(zip(*out)) or [[]] * 6
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["drift", "toxic", "n", "scores", "cells", "counts"])
+
+    scanned = staged(owned.mapInArrow(scan, "drift int, toxic int, n long, scores array<double>, cells array<long>, counts array<long>"), "toxic-scan")
     grid = (
         scanned.where("toxic = 0")
-        .select(F.explode(F.arrays_zip("cells", "counts")).alias("c"))
-        .groupBy(F.col("c.cells").alias("cell"))
+        .select("drift", F.explode(F.arrays_zip("cells", "counts")).alias("c"))
+        .groupBy("drift", F.col("c.cells").alias("cell"))
         .agg(F.sum("c.counts").alias("n"))
         .toPandas()
     )
-    histogram = np.zeros(2 * STEPS + 1)
-    histogram[grid["cell"].to_numpy(int)] = grid["n"]
-    decay = karlin_decay(histogram)
+    decays = []
+    for d in range(len(DRIFTS)):
+        histogram, own = np.zeros(2 * STEPS + 1), grid[grid["drift"] == d]
+        histogram[own["cell"].to_numpy(int)] = own["n"]
+        decays.append(karlin_decay(histogram))
     # K n exp(-lambda M) is exponential with mean 1 over clean documents of n tokens and best segment M.
-    fact = (
-        scanned.where("toxic = 0 AND n > 0")
-        .agg(F.count(F.lit(1)).alias("docs"), F.sum(F.col("n") * F.exp(-decay * F.coalesce(F.array_max("scores"), F.lit(0.0)))).alias("mass"))
-        .first()
-    )
-    log_k = math.log(fact["docs"] / fact["mass"]) if fact["docs"] else 0.0
-    base = F.lit(log_k) + F.log(F.greatest("n", F.lit(1)))
-    summed = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), s * decay - base + 2))
-    cells = scanned.groupBy(F.least(F.rint(summed * 4), F.lit(400.0)).alias("x")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("all")).toPandas()
-    x = cells["x"].to_numpy(float) / 4
-    intercept, slope = logistic(x, cells["toxic"].to_numpy(float), (cells["all"] - cells["toxic"]).to_numpy(float))
-    return Model(value, weight, decay, log_k, intercept, max(slope, 0.0))
+    decay = F.element_at(F.array(*[F.lit(x) for x in decays]), F.col("drift") + 1)
+    mass = F.sum(F.col("n") * F.exp(-decay * F.coalesce(F.array_max("scores"), F.lit(0.0))))
+    facts = {r["drift"]: r for r in scanned.where("toxic = 0 AND n > 0").groupBy("drift").agg(F.count(F.lit(1)).alias("docs"), mass.alias("mass")).collect()}
+    logs = [math.log(facts[d]["docs"] / facts[d]["mass"]) if d in facts else 0.0 for d in range(len(DRIFTS))]
+    base = F.element_at(F.array(*[F.lit(x) for x in logs]), F.col("drift") + 1) + F.log(F.greatest("n", F.lit(1)))
+    summed = F.aggregate(F.transform("scores", lambda s: s * decay - base + 2), F.lit(0.0), lambda a, s: a + F.greatest(F.lit(0.0), s))
+    cells = scanned.groupBy("drift", F.least(F.rint(summed * 4), F.lit(400.0)).alias("x")).agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("all")).toPandas()
+    best = None
+    for d, drift in enumerate(DRIFTS):
+        own = cells[cells["drift"] == d]
+        toxic_at = own["toxic"].to_numpy(float)
+        intercept, slope, likelihood = logistic(own["x"].to_numpy(float) / 4, toxic_at, own["all"].to_numpy(float) - toxic_at)
+        if best is None or likelihood > best[0]:
+            best = (likelihood, Model(value, weight, drift, decays[d], logs[d], intercept, slope))
+    return best[1]
 
 
 def probability(text: str, look: TokenScores, m: Model) -> tuple[float, list[tuple[int, int, float]]]:
     """Probability that a text is toxic and its significant passages."""
-    s = look.of(text)
+    s = look.of(text) - m.drift
     total, good = evidence(segments(s), len(s), m.decay, m.log_k)
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.intercept + m.slope * min(total, 100.0))))), good
 
