@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
@@ -14,8 +12,8 @@ def session(name: str = "tessella", master: str | None = None, partitions: int =
     ``partitions`` should be two to three times the number of cores.
     """
     builder = SparkSession.builder.appName(name)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
+    if master:
+        builder = builder.master(master)
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
