@@ -145,6 +145,8 @@ def recurring_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     def keep(batches):
         last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch] if last is None else [last, batch])
             anchor = table.column(0).to_numpy()
             sure = table.column(5).to_numpy()

@@ -356,7 +356,9 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int
     pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = own.join(asked, F.col("th") == F.col("id"), "left_semi").select(F.col("th").alias("id"), "text")
-    sets = staged(texts.mapInArrow(shingles, "id long, shingles array<long>").dropDuplicates(["id"]), "wide-sets")
+    # Copies are merged in the task that reads them, before the shuffle.
+    once = texts.groupBy("id").agg(F.first("text").alias("text"))
+    sets = staged(once.mapInArrow(shingles, "id long, shingles array<long>"), "wide-sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
