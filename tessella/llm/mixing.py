@@ -4,7 +4,8 @@ Golden-ratio points u(t) = frac(t * phi) are mapped through the cumulative
 target shares of the sources: slot t belongs to the source whose interval holds
 u(t). The slots of a source are ranked, its documents are shuffled and cut into
 blocks of equally many words, and the slot of rank r takes block r of the
-source's stream, which runs through the shuffled documents twice.
+source's stream, which runs through the shuffled documents twice. Blocks that
+the schedule gives no slot follow after its end.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, passes: in
     row_key. ``pieces``: row_key, slot, pass, start, words: the words of a
     document that a slot of the schedule takes, in the order of the slots.
 
-    A source takes floor(target) words: its last slot is cut there. Each pass
+    A source takes floor(target) words: its last slot is cut there. Points fall
+    unevenly on a small share, so a source may have fewer slots than blocks; its
+    blocks of the ranks left over go, rank by rank, behind the schedule. Each pass
     takes a document once at most, so none exceeds ``passes`` times its size.
     Documents without words take nothing; a null source is a source; repeated
     rows are separate documents; an empty table gives empty results. The order
@@ -130,7 +133,8 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, passes: in
     plan = schedule(targets, slots)
     first = F.greatest(F.col("begin"), F.col("rank") * block)
     last = F.least(F.col("end"), (F.col("rank") + 1) * block)
-    pieces = parts.join(plan, ["source_rank", "rank"]).select(
-        "row_key", "slot", F.col("turn").alias("pass"), (first - F.col("begin")).alias("start"), (last - first).alias("words")
+    behind = F.lit(slots) + F.col("rank") * facts["sources"] + F.col("source_rank")
+    pieces = parts.join(plan, ["source_rank", "rank"], "left").select(
+        "row_key", F.coalesce("slot", behind).alias("slot"), F.col("turn").alias("pass"), (first - F.col("begin")).alias("start"), (last - first).alias("words")
     )
     return placed, pieces

@@ -65,6 +65,19 @@ def test_mixing_schedule_is_even(spark):
         assert plan[plan.source_rank == source]["rank"].tolist() == list(range(int(mine[-1])))
 
 
+def test_mixing_serves_sources_without_slots(spark):
+    sizes = [("big", 100_000)] * 1000 + [("low", 1)] * 1000 + [("mid", 50_000)] * 40 + [("tiny", 10)] * 100
+    frame = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes)], "doc_id long, source string, n long")
+    placed, pieces = mixing.mix(frame, F.col("n"))
+    got = placed.join(pieces.groupBy("row_key").agg(F.sum("words").alias("taken")), "row_key", "left").fillna(0, ["taken"]).toPandas()
+    per = got.groupby("source").agg({"taken": "sum", "target": "first"})
+    assert (per.taken == np.floor(per.target)).all() and per.taken["tiny"] == 2000
+    # A slot is one source's alone, and a source's blocks keep their order.
+    slots = pieces.join(placed, "row_key").selectExpr("slot", "source_rank", "place + pass * source_size + start AS at").toPandas().sort_values("slot")
+    assert (slots.groupby("slot").source_rank.nunique() == 1).all()
+    assert (slots.groupby(["source_rank", "slot"])["at"].min().groupby("source_rank").is_monotonic_increasing).all()
+
+
 def test_mixing_without_words(spark, empty):
     for frame in (empty, spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")):
         placed, pieces = mixing.mix(frame, word_count(F.col("text")))
