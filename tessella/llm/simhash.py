@@ -31,9 +31,9 @@ PLAN_SAMPLE = 2048
 SMALL_BUCKET = 512
 #: Buckets of so few members report all their links.
 TINY_BUCKET = 16
-# Similar documents: four fingerprints of the distinct words, sixteen partitions, then an exact check.
-WIDE_WORDS, WIDE_PARTS, WIDE_DISTANCE = 4, 16, 40
+# Similar documents: shingles of so many words, their Jaccard similarity, and what their order is fitted on.
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
+ORDER_SAMPLE, MOST_COMMON = 4096, 1 << 17
 
 
 def spans(text: str, size: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -66,14 +66,6 @@ def simhash(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
     return majority(np.fromiter((digest(joined[a:b], seed) for a, b in cut), "<u8", len(cut))) if cut else 0
 
 
-def wide_simhash(text: str, words: int = WIDE_WORDS) -> list[int]:
-    """Fingerprints of the distinct words of a text, one per seed."""
-    import xxhash
-
-    own = sorted(set(text.encode("utf-8", "surrogatepass").lower().split()))
-    return [majority(np.fromiter((xxhash.xxh64_intdigest(w, SEED + k) for w in own), "<u8", len(own))) if own else 0 for k in range(words)]
-
-
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (signed 64-bit) of every row of ``docs``.
 
@@ -318,53 +310,187 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     return own.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Leading shingles of a sorted set: two sets as similar as ``similarity`` share one of them.
+
+    The order is any that all sets share; here by ``counts`` of the sorted
+    ``common`` shingles (others have none), then by hash.
+    """
+    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+    if not len(common):
+        return shingles[:keep]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    return shingles[np.lexsort((shingles, np.where(common[at] == shingles, counts[at], 0)))][:keep]
+
+
+def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of row numbers that connect ``sets`` (distinct items) as the pairs of enough Jaccard similarity do.
+
+    Search from one set to all that are not reached yet; the exact similarity is
+    counted from postings and decides each edge, so none that fails hides another.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, items, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    several = seen[items] > 1
+    own = np.split(items[several], np.cumsum(np.bincount(owner[several], minlength=len(sets)))[:-1])
+    order = np.argsort(items[several], kind="stable")
+    holders, values = owner[several][order], items[several][order]
+    first = np.searchsorted(values, np.arange(len(seen)))
+    last = first + np.where(seen > 1, seen, 0)
+    left = np.ones(len(sets), bool)
+    edges: list[tuple[int, int]] = []
+    queue: list[int] = []
+    start = 0
+    while left.any():
+        if not queue:
+            start += int(np.argmax(left[start:]))
+            left[start] = False
+            queue = [start]
+        node = queue.pop()
+        hits = [holders[first[i] : last[i]] for i in own[node].tolist()]
+        shared = np.bincount(np.concatenate(hits), minlength=len(sets)) if hits else np.zeros(len(sets), np.int64)
+        near = np.flatnonzero(left & (shared >= similarity * (sizes[node] + sizes - shared)))
+        left[near] = False
+        edges += [(node, int(f)) for f in near]
+        queue += near.tolist()
+    return edges
+
+
+def _runs(batches):
+    """Rows of ``batches`` (sorted by the first column) as arrays that cut no run of equal first values."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)], axis=1)
+        if not len(rows):
+            continue
+        if held and held[0][0, 0] != rows[-1, 0]:
+            whole = np.concatenate([*held, rows])
+            cut = int(np.searchsorted(whole[:, 0], rows[-1, 0]))
+            yield whole[:cut]
+            held = [whole[cut:]]
+        else:
+            held.append(rows)
+            if held[0][0, 0] != held[-1][-1, 0]:
+                whole = np.concatenate(held)
+                cut = int(np.searchsorted(whole[:, 0], whole[-1, 0]))
+                yield whole[:cut]
+                held = [whole[cut:]]
+    if held:
+        yield np.concatenate(held)
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = CHECK_SHINGLE) -> DataFrame:
     """Groups of documents whose shingles are similar: did, th, component.
 
     One row per distinct text and doc_id (``did``: doc_id, a null as the least
     long; ``th``: text hash); ``component`` is the smallest ``th`` of the group.
-    Candidates come from a generalised pigeonhole join of four fingerprints of
-    the distinct words in ``WIDE_PARTS`` partitions; every pair within fewer
-    bits than the partitions meets, most farther ones too. A candidate link
-    counts if the Jaccard similarity of the shingle sets of ``size`` words
-    reaches ``similarity``. Equal texts are one group; empty and null texts are
-    equal.
+    A link is a pair whose sets of shingles of ``size`` words have a Jaccard
+    similarity of at least ``similarity``, and all links count. Texts of equal
+    sets, copies and texts without words among them, are one node. Any linked
+    pair shares a shingle of both prefixes and meets in that shingle's bucket.
+    Small buckets report their pairs, which are checked one by one. In a dense
+    bucket all sets meet and the exact similarity steers the search: first in
+    each set's largest bucket, then in all buckets that still hold two groups.
     """
+    import xxhash
 
-    def wide(batches):
-        for batch in batches:
-            bits = np.asarray([wide_simhash(t) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WIDE_WORDS))], ["id", *words])
+    spark = docs.sparkSession
 
-    def shingles(batches):
-        import xxhash
+    def cut_sets(column):
+        for t in column.to_pylist():
+            joined, cut = spans(t, size)
+            yield np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut))).view(np.int64)
 
+    def shingles(batches):
         for batch in batches:
-            sets = []
-            for t in batch.column(1).to_pylist():
-                joined, cut = spans(t, size)
-                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(s) for s in cut_sets(batch.column(1))], pa.list_(pa.int64()))], ["id", "shingles"])
 
-    words = [f"w{k}" for k in range(WIDE_WORDS)]
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "th", F.xxhash64("text")
     )
-    prints = own.select(F.col("th").alias("id"), "text").mapInArrow(wide, "id long, " + ", ".join(f"{w} long" for w in words))
-    prints = staged(prints.distinct(), "wide-prints")
-    pairs = links(prints, words, WIDE_PARTS - 1, (WIDE_PARTS,), 0, WIDE_DISTANCE)
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = own.join(asked, F.col("th") == F.col("id"), "left_semi").select(F.col("th").alias("id"), "text")
+    texts = own.select(F.col("th").alias("id"), "text")
+    # A bounded sample of texts and of its common shingles decides only the order of shingles, not the result.
+    few = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE)
+    usual = (
+        texts.join(F.broadcast(few), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")).mapInArrow(shingles, "id long, shingles array<long>")
+        .select(F.explode("shingles").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+        .orderBy(F.col("n").desc(), "item").limit(MOST_COMMON).toPandas().sort_values("item")
+    )
+    common = spark.sparkContext.broadcast((usual["item"].to_numpy(np.int64), usual["n"].to_numpy(np.int64)))
+
+    def heads(batches):
+        for batch in batches:
+            sets = [np.sort(s) for s in cut_sets(batch.column(1))]
+            nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
+            lead = pa.array([prefix(s, similarity, *common.value) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([len(s) for s in sets], pa.int64()), lead], ["th", "sh", "n", "lead"])
+
+    marked = staged(texts.mapInArrow(heads, "th long, sh long, n long, lead array<long>"), "set-heads")
+    # A node is named by its least text hash.
+    named = staged(marked.groupBy("sh").agg(F.min("th").alias("id"), F.first("n").alias("n"), F.first("lead").alias("lead")), "set-nodes")
+    rows = named.select("id", "n", F.posexplode("lead").alias("at", "item")).select("item", "id", (F.col("n") * (1 << 31) + F.col("at")).alias("spot"))
+
+    def meet(batches):
+        for run in _runs(batches):
+            item, node, n, at = run[:, 0], run[:, 1], run[:, 2] >> 31, run[:, 2] & (1 << 31) - 1
+            begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+            count = np.repeat(m := np.diff(np.append(begin, len(item))), m)
+            dense = count > TINY_BUCKET
+            out = [(item[dense], node[dense], count[dense])]
+            for step in range(1, TINY_BUCKET):
+                i = np.flatnonzero((item[step:] == item[:-step]) & ~dense[step:])
+                j = i + step
+                # What is left behind the shared shingle bounds the shared ones of a pair that meets here first.
+                bound = np.minimum(n[i] - at[i], n[j] - at[j])
+                i, j = (k[bound >= similarity * (n[i] + n[j] - bound) - 1e-6] for k in (i, j))
+                out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "members"])
+
+    met = rows.repartition("item").sortWithinPartitions("item").mapInArrow(meet, "a long, b long, members long")
+    met = staged(met, "set-buckets")
+    pairs = staged(met.where("members = 0").select("a", "b").distinct(), "set-pairs")
+    buckets = met.where("members > 0").select(F.col("a").alias("item"), F.col("b").alias("id"), "members")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(buckets.select("id")).distinct()
     # Copies are merged in the task that reads them, before the shuffle.
-    once = texts.groupBy("id").agg(F.first("text").alias("text"))
-    sets = staged(once.mapInArrow(shingles, "id long, shingles array<long>"), "wide-sets")
+    once = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    sets = staged(once.mapInArrow(shingles, "id long, shingles array<long>"), "sets")
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     )
     union = F.size("sa") + F.size("sb") - F.col("shared")
-    found = components(both.where(F.col("shared") >= F.lit(similarity) * union).select("a", "b"))
-    keys = own.select("did", "th").distinct()
-    return keys.join(found.withColumnRenamed("node", "th"), "th", "left").select("did", "th", F.coalesce("component", "th").alias("component"))
+    edges = staged(both.where(F.col("shared") >= F.lit(similarity) * union).select("a", "b"), "set-links")
+
+    def search(batches):
+        item, ids, held = None, [], []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for i, d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if i != item:
+                    found += [(ids[a], ids[b]) for a, b in exact_forest(held, similarity)] if held else []
+                    item, ids, held = i, [], []
+                ids.append(d)
+                held.append(s.values.to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        found = [(ids[a], ids[b]) for a, b in exact_forest(held, similarity)] if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def searched(chosen: DataFrame) -> DataFrame:
+        whole = buckets.join(chosen, "item", "left_semi").join(sets, "id").select("item", "id", "shingles")
+        return staged(whole.repartition("item").sortWithinPartitions("item").mapInArrow(search, "a long, b long"), "set-links")
+
+    found = components(edges)
+    if not buckets.isEmpty():
+        largest = staged(buckets.groupBy("id").agg(F.max(F.struct("members", "item")).alias("top")).select("top.item").distinct(), "set-chosen")
+        edges = edges.unionByName(searched(largest))
+        found = staged(components(edges), "set-groups")
+        group = F.coalesce("component", "id")
+        parted = buckets.join(largest, "item", "left_anti").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy("item").agg(F.min(group).alias("x"), F.max(group).alias("y"))
+        apart = staged(parted.where("x <> y").select("item"), "set-apart")
+        if not apart.isEmpty():
+            found = components(edges.unionByName(searched(apart)))
+    of = marked.select("th", "sh").distinct().join(named.select("sh", "id"), "sh").join(found.withColumnRenamed("node", "id"), "id", "left")
+    of = of.select("th", F.coalesce("component", "id").alias("component"))
+    return own.select("did", "th").distinct().join(of, "th").select("did", "th", "component")

@@ -96,3 +96,68 @@ def test_similar_documents_links_edits_and_spares_others(docs, rows):
             elif jaccard(a, b) < 0.3:
                 assert by_id[i] != by_id[j]
     assert hits and not misses
+
+
+def linked_groups(texts, similarity=0.8):
+    """Groups by brute force over all pairs."""
+
+    def cut(t):
+        w = t.encode().lower().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(t) for t in texts]
+    near = []
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            shared = len(a & sets[j])
+            if shared >= similarity * (len(a) + len(sets[j]) - shared):
+                near.append((i, j))
+    return groups(range(len(texts)), near), near
+
+
+def found_groups(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    of = {r["did"]: r["component"] for r in simhash.similar_documents(frame).collect()}
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(of[i], i)
+    return {i: least[of[i]] for i in range(len(texts))}
+
+
+def words(rng, n):
+    return [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+
+
+def test_edited_copies_of_a_dense_group_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for copies, length, edits in ((300, 200, 3), (60, 400, 6)):
+        base = words(rng, length)
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            own = list(base)
+            for at in rng.choice(np.arange(10, length - 10), edits, replace=False):
+                own[at] = words(rng, 1)[0]
+            texts.append(" ".join(own))
+    texts += [" ".join(words(rng, 120)) for _ in range(20)]
+    wanted, _ = linked_groups(texts)
+    # Copies reach one another by their base only.
+    assert sum(i == g for i, g in wanted.items()) < 30
+    assert found_groups(spark, texts) == wanted
+
+
+def test_prefix_and_exact_forest_match_brute_force():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 60, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, 55, replace=False), rng.integers(0, 1 << 60, rng.integers(0, 8))])) for _ in range(80)]
+    common = np.sort(base)[::2]
+    near = []
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            shared = len(np.intersect1d(a, sets[j]))
+            if shared >= 0.8 * (len(a) + len(sets[j]) - shared):
+                near.append((i, j))
+                heads = [simhash.prefix(s, 0.8, common, np.arange(len(common)) % 7 + 1) for s in (a, sets[j])]
+                assert len(np.intersect1d(*heads))
+    assert near
+    assert groups(range(80), simhash.exact_forest(sets, 0.8)) == groups(range(80), near)
