@@ -146,6 +146,26 @@ def test_edited_copies_of_a_dense_group_are_all_found(spark):
     assert found_groups(spark, texts) == wanted
 
 
+def test_contiguous_changes_near_the_threshold_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(25):
+        base = words(rng, 200)
+        texts += [" ".join(base), " ".join(base + words(rng, 46))]
+        base = words(rng, 246)
+        texts += [" ".join(base), " ".join(base[:200])]
+        base = words(rng, 200)
+        texts += [" ".join(base), " ".join(base[:90] + words(rng, 17) + base[107:])]
+        base = words(rng, 200)
+        texts += [" ".join(base), " ".join(base + words(rng, 60))]
+    # One line that many texts share, more than makes a dense bucket.
+    line = words(rng, 12)
+    texts += [" ".join(line + words(rng, int(n))) for n in rng.integers(1, 40, 60)]
+    wanted, near = linked_groups(texts)
+    assert len(near) >= 75
+    assert found_groups(spark, texts) == wanted
+
+
 def test_prefix_and_exact_forest_match_brute_force():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 1 << 60, 60)
