@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import staged
+from tessella.llm.common import discard, staged
 from tessella.llm.components import components
 
 BITS = 64
@@ -34,6 +34,13 @@ TINY_BUCKET = 16
 # Similar documents: shingles of so many words, their Jaccard similarity, and what their order is fitted on.
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
 ORDER_SAMPLE, MOST_COMMON = 4096, 1 << 17
+#: Bits of 128 that candidates may differ in. Every bit of a pair at similarity 0.8 differs with a chance of 0.15, so
+#: 19 bits are expected and more than 46 have a chance under 1e-8; small sets vary more and are not filtered.
+FILTER_DISTANCE, FILTER_LEAST = 46, 32
+#: Sets that one task of the exact search holds, and sets that a task remembers to have probed.
+SEARCHED, SEEN_SETS = 8192, 1_000_000
+#: Turns of the exact search; the last one takes all groups that are open.
+SEARCH_TURNS = 3
 
 
 def spans(text: str, size: int) -> tuple[bytes, list[tuple[int, int]]]:
@@ -380,18 +387,60 @@ def _runs(batches):
         yield np.concatenate(held)
 
 
+def wide_print(shingles: np.ndarray) -> tuple[int, int]:
+    """128-bit SimHash of a set of 64-bit shingle hashes, as two signed words."""
+    other = (shingles ^ (shingles >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return tuple(w - (w >> 63 << 64) for w in (majority(shingles), majority(other ^ (other >> np.uint64(32)))))
+
+
+def near_groups(sizes: np.ndarray, prints: np.ndarray, similarity: float, distance: int = FILTER_DISTANCE) -> list[np.ndarray]:
+    """Row numbers of each group of two or more sets that candidate pairs connect.
+
+    A pair is a candidate if its sizes allow the similarity and its ``prints``
+    are within ``distance`` bits; sets under ``FILTER_LEAST`` shingles are judged
+    by size alone. Rows are walked by size, so a search looks only at sizes near.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n, bits = sizes[order], prints[order]
+    low = np.searchsorted(n, np.ceil(similarity * n - 1e-9))
+    high = np.searchsorted(n, np.floor(n / similarity + 1e-9), side="right")
+    free = np.ones(len(n), bool)
+    groups = []
+    for root in range(len(n)):
+        if not free[root]:
+            continue
+        free[root] = False
+        group, queue = [root], [root]
+        while queue:
+            at = queue.pop()
+            lo, hi = int(low[at]), int(high[at])
+            near = (np.bitwise_count(bits[lo:hi] ^ bits[at]).sum(axis=1) <= distance) | (n[lo:hi] < FILTER_LEAST) | (n[at] < FILTER_LEAST)
+            found = (np.flatnonzero(near & free[lo:hi]) + lo).tolist()
+            free[found] = False
+            group += found
+            queue += found
+        if len(group) > 1:
+            groups.append(order[group])
+    return groups
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = CHECK_SHINGLE) -> DataFrame:
     """Groups of documents whose shingles are similar: did, th, component.
 
     One row per distinct text and doc_id (``did``: doc_id, a null as the least
-    long; ``th``: text hash); ``component`` is the smallest ``th`` of the group.
-    A link is a pair whose sets of shingles of ``size`` words have a Jaccard
-    similarity of at least ``similarity``, and all links count. Texts of equal
-    sets, copies and texts without words among them, are one node. Any linked
-    pair shares a shingle of both prefixes and meets in that shingle's bucket.
-    Small buckets report their pairs, which are checked one by one. In a dense
-    bucket all sets meet and the exact similarity steers the search: first in
-    each set's largest bucket, then in all buckets that still hold two groups.
+    long; ``th``: text hash); ``component`` is the smallest set hash of the
+    group. A link is a pair whose sets of shingles of ``size`` words have a
+    Jaccard similarity of at least ``similarity``, and all links count. Texts of
+    equal sets, copies and texts without words among them, are one node.
+
+    The pigeonhole runs over the shingles as one-bit partitions: a pair that
+    similar shares one of the few shingles that either probes (threshold zero),
+    which are those with the fewest estimated candidates; all others are left
+    out. In a shingle's bucket SimHash fingerprints split the sets into groups
+    of candidates. Equal groups of different buckets are one; the groups are
+    then verified by the exact similarity, first the largest group of each set,
+    then all groups that still hold two components. A group of more than
+    ``SEARCHED`` sets is searched in pairs of blocks, so no task holds more.
     """
     import xxhash
 
@@ -400,16 +449,17 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int
     def cut_sets(column):
         for t in column.to_pylist():
             joined, cut = spans(t, size)
-            yield np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut))).view(np.int64)
+            yield np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut)))
 
     def shingles(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(s) for s in cut_sets(batch.column(1))], pa.list_(pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in cut_sets(batch.column(1))], pa.list_(pa.int64()))], ["id", "shingles"])
 
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "th", F.xxhash64("text")
     )
     texts = own.select(F.col("th").alias("id"), "text")
+    kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
     # A bounded sample of texts and of its common shingles decides only the order of shingles, not the result.
     few = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE)
     usual = (
@@ -420,57 +470,72 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int
     common = spark.sparkContext.broadcast((usual["item"].to_numpy(np.int64), usual["n"].to_numpy(np.int64)))
 
     def heads(batches):
+        seen: set[int] = set()
         for batch in batches:
-            sets = [np.sort(s) for s in cut_sets(batch.column(1))]
-            nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
-            lead = pa.array([prefix(s, similarity, *common.value) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array([len(s) for s in sets], pa.int64()), lead], ["th", "sh", "n", "lead"])
-
-    marked = staged(texts.mapInArrow(heads, "th long, sh long, n long, lead array<long>"), "set-heads")
-    # A node is named by its least text hash.
-    named = staged(marked.groupBy("sh").agg(F.min("th").alias("id"), F.first("n").alias("n"), F.first("lead").alias("lead")), "set-nodes")
-    rows = named.select("id", "n", F.posexplode("lead").alias("at", "item")).select("item", "id", (F.col("n") * (1 << 31) + F.col("at")).alias("spot"))
-
-    def meet(batches):
+            rows = []
+            for s in cut_sets(batch.column(0)):
+                node = xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
+                # A set probes once in a task, however many copies it has there.
+                lead = np.empty(0, np.int64) if node in seen else prefix(np.sort(s.view(np.int64)), similarity, *common.value)
+                if len(seen) < SEEN_SETS:
+                    seen.add(node)
+                rows.append((node, len(s), *wide_print(s), lead))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], ["did", "th", "sh", "n", "w0", "w1", "lead"])
+
+    marked = staged(own.select("text", "did", "th").mapInArrow(heads, "did long, th long, sh long, n long, w0 long, w1 long, lead array<long>"), "set-heads")
+
+    def recur(batches):
         for run in _runs(batches):
-            item, node, n, at = run[:, 0], run[:, 1], run[:, 2] >> 31, run[:, 2] & (1 << 31) - 1
+            item, node = run[:, 0], run[:, 1]
+            fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (node[1:] != node[:-1])])
+            item, node = item[fresh], node[fresh]
+            same = item[1:] == item[:-1]
+            kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            yield pa.RecordBatch.from_arrays([pa.array(item[kept]), pa.array(node[kept])], ["item", "sh"])
+
+    probed = marked.select(F.explode("lead").alias("item"), "sh").repartition("item").sortWithinPartitions("item", "sh")
+    met = staged(probed.mapInArrow(recur, "item long, sh long"), "set-buckets")
+    known = staged(marked.drop("lead"), "set-nodes")
+    discard(marked)
+    nodes = known.groupBy("sh").agg(F.min(F.struct("did", "th")).alias("row"), *[F.first(c).alias(c) for c in ("n", "w0", "w1")])
+
+    def gather(batches):
+        for run in _runs(batches):
+            item, node, n, bits = run[:, 0], run[:, 1], run[:, 2], np.ascontiguousarray(run[:, 3:5]).view(np.uint64)
             begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-            count = np.repeat(m := np.diff(np.append(begin, len(item))), m)
-            dense = count > TINY_BUCKET
-            out = [(item[dense], node[dense], count[dense])]
-            for step in range(1, TINY_BUCKET):
-                i = np.flatnonzero((item[step:] == item[:-step]) & ~dense[step:])
-                j = i + step
-                # What is left behind the shared shingle bounds the shared ones of a pair that meets here first.
-                bound = np.minimum(n[i] - at[i], n[j] - at[j])
-                i, j = (k[bound >= similarity * (n[i] + n[j] - bound) - 1e-6] for k in (i, j))
-                out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), np.zeros(len(i), np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "members"])
-
-    met = rows.repartition("item").sortWithinPartitions("item").mapInArrow(meet, "a long, b long, members long")
-    met = staged(met, "set-buckets")
-    pairs = staged(met.where("members = 0").select("a", "b").distinct(), "set-pairs")
-    buckets = met.where("members > 0").select(F.col("a").alias("item"), F.col("b").alias("id"), "members")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(buckets.select("id")).distinct()
-    # Copies are merged in the task that reads them, before the shuffle.
-    once = texts.join(asked, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-    sets = staged(once.mapInArrow(shingles, "id long, shingles array<long>"), "sets")
-    both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        .withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    )
-    union = F.size("sa") + F.size("sb") - F.col("shared")
-    edges = staged(both.where(F.col("shared") >= F.lit(similarity) * union).select("a", "b"), "set-links")
+            m = np.diff(np.append(begin, len(item)))
+            # Most buckets hold two sets: these are judged at once.
+            i = begin[m == 2]
+            ok = np.minimum(n[i], n[i + 1]) >= similarity * np.maximum(n[i], n[i + 1]) - 1e-9
+            ok &= (np.bitwise_count(bits[i] ^ bits[i + 1]).sum(axis=1) <= FILTER_DISTANCE) | (np.minimum(n[i], n[i + 1]) < FILTER_LEAST)
+            i = i[ok]
+            a, b = np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])
+            keys = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            out = [(np.repeat(keys.view(np.int64), 2), np.stack([a, b], axis=1).ravel(), np.full(2 * len(a), 2))]
+            for lo, k in zip(begin[m > 2].tolist(), m[m > 2].tolist()):
+                for group in near_groups(n[lo : lo + k], bits[lo : lo + k], similarity):
+                    members = np.sort(node[lo + group])
+                    key = xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63)
+                    out.append((np.full(len(members), key), members, np.full(len(members), len(members))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "sh", "members"])
+
+    told = met.join(nodes, "sh").select("item", "sh", "n", "w0", "w1").repartition("item").sortWithinPartitions("item")
+    groups = staged(told.mapInArrow(gather, "key long, sh long, members long").distinct(), "set-groups")
+    discard(met)
+    asked = nodes.join(groups.select("sh").distinct(), "sh").select("row.did", "row.th", "sh")
+    # One row stands for all copies; its key spreads them.
+    whole = own.join(asked, ["did", "th"]).select("sh", "text")
+    sets = staged(whole.mapInArrow(shingles, "id long, shingles array<long>"), "sets")
 
     def search(batches):
-        item, ids, held = None, [], []
+        key, ids, held = None, [], []
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for i, d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if i != item:
+            for k, d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if k != key:
                     found += [(ids[a], ids[b]) for a, b in exact_forest(held, similarity)] if held else []
-                    item, ids, held = i, [], []
+                    key, ids, held = k, [], []
                 ids.append(d)
                 held.append(s.values.to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -478,19 +543,31 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def searched(chosen: DataFrame) -> DataFrame:
-        whole = buckets.join(chosen, "item", "left_semi").join(sets, "id").select("item", "id", "shingles")
-        return staged(whole.repartition("item").sortWithinPartitions("item").mapInArrow(search, "a long, b long"), "set-links")
-
-    found = components(edges)
-    if not buckets.isEmpty():
-        largest = staged(buckets.groupBy("id").agg(F.max(F.struct("members", "item")).alias("top")).select("top.item").distinct(), "set-chosen")
-        edges = edges.unionByName(searched(largest))
-        found = staged(components(edges), "set-groups")
-        group = F.coalesce("component", "id")
-        parted = buckets.join(largest, "item", "left_anti").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy("item").agg(F.min(group).alias("x"), F.max(group).alias("y"))
-        apart = staged(parted.where("x <> y").select("item"), "set-apart")
-        if not apart.isEmpty():
-            found = components(edges.unionByName(searched(apart)))
-    of = marked.select("th", "sh").distinct().join(named.select("sh", "id"), "sh").join(found.withColumnRenamed("node", "id"), "id", "left")
-    of = of.select("th", F.coalesce("component", "id").alias("component"))
-    return own.select("did", "th").distinct().join(of, "th").select("did", "th", "component")
+        """Links of the chosen groups; a group of several blocks meets once for each pair of them."""
+        blocks = F.ceil(F.col("members") / SEARCHED).cast("long")
+        block = F.pmod(F.xxhash64("sh"), blocks)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("key", F.least(block, other), F.greatest(block, other)))
+        spread = chosen.select(F.col("sh").alias("id"), F.explode(pairs).alias("part"))
+        met_sets = spread.join(sets, "id").select("part", "id", "shingles")
+        return staged(met_sets.repartition("part").sortWithinPartitions("part").mapInArrow(search, "a long, b long"), "set-links")
+
+    open_groups, done, edges, found = groups, None, None, None
+    for turn in range(SEARCH_TURNS):
+        if turn < SEARCH_TURNS - 1:
+            chosen = open_groups.groupBy("sh").agg(F.max(F.struct("members", "key")).alias("top")).select("top.key").distinct()
+        else:
+            chosen = open_groups.select("key").distinct()
+        chosen = staged(groups.join(chosen, "key", "left_semi"), "set-chosen")
+        done = chosen if done is None else done.unionByName(chosen)
+        edges = searched(chosen) if edges is None else edges.unionByName(searched(chosen))
+        found = staged(components(edges), "set-components")
+        # Still open: groups of two components or more that no searched group holds whole.
+        of = F.coalesce("component", "sh")
+        parted = groups.join(found.withColumnRenamed("node", "sh"), "sh", "left").groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x <> y")
+        apart = groups.join(parted.select("key"), "key", "left_semi")
+        inside = apart.join(done.select("sh", F.col("key").alias("_in")), "sh").groupBy("key", "_in").agg(F.count(F.lit(1)).alias("_n"), F.first("members").alias("_all"))
+        open_groups = staged(apart.join(inside.where("_n = _all").select("key").distinct(), "key", "left_anti"), "set-open")
+        if open_groups.isEmpty():
+            break
+    of = known.select("did", "th", "sh").join(found.withColumnRenamed("node", "sh"), "sh", "left").select("did", "th", F.coalesce("component", "sh").alias("component"))
+    return of.distinct()
