@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from tessella.llm.common import running_offset, staged
 CAPACITY = 2048
 FINE = 64
 END_ID = 1
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 END_MARKS = ".,;:!?"
 LATIN_END = "\u0250"
 #: Python's split() breaks at these, the tokenizer's white space does not.
@@ -80,7 +80,8 @@ class WordTokenizer:
         if word.isascii() and "<|" not in word:
             word = word.lower()
         core = word.rstrip(END_MARKS)
-        return (core, word[len(core) :]) if core and core[-1].isalpha() else (word, "")
+        # A letter may lower-case to a letter and a combining mark, which the tokenizer takes together with the marks.
+        return (core, word[len(core) :]) if core.lower()[-1:].isalpha() else (word, "")
 
     def fresh(self, parts: list[str]) -> None:
         """Encode parts into the cache: Latin letters are one word of the model, the rest takes the whole way."""
@@ -102,8 +103,9 @@ class WordTokenizer:
         words_here = set(chain.from_iterable(words or () for words in split))
         missing = [w for w in words_here if w not in known]
         if len(known) + 2 * len(missing) > CACHED_WORDS:
-            known = self.known = {}
-            missing = list(words_here)
+            # The first half stays: words that came early are frequent ones.
+            known = self.known = dict(islice(known.items(), CACHED_WORDS // 2)) if len(missing) < CACHED_WORDS // 8 else {}
+            missing = [w for w in words_here if w not in known]
         apart = {w: self.parts(w) for w in missing}
         self.fresh(list({p for pair in apart.values() for p in pair if p and p not in known}))
         known[""] = b""

@@ -30,7 +30,7 @@ CAUTION = 1.5
 DRIFTS = (0.5, 1.0, 2.0, 3.0)
 GRID = 0.05
 STEPS = 400
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 MARKS = ".,;:!?\"'()[]{}<>*&%$#@~^_=+-/\\|`«»“”‘’…"
 
 
