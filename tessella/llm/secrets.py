@@ -1,9 +1,10 @@
 """Secret scans through a trigram inverted index (DataFrame functions only).
 
 Each rule's regular expression yields a Boolean query over trigrams that every
-match must contain. Documents are indexed by those trigrams, the postings are
-intersected into candidate documents per rule, and only candidates are verified
-with the expression itself. A rule without mandatory trigrams scans everything.
+match must contain. An inverted index lists the rows of every such trigram, the
+posting lists are intersected into candidate rows per rule, and only candidates
+are verified with the expression itself. A rule without mandatory trigrams scans
+everything.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import staged
+
 try:
     from re import _constants as sre
     from re import _parser as sre_parser
@@ -45,6 +48,9 @@ RULES = (
 )
 BASE = 3
 MOST = 64
+#: Rows of a block of the index, and candidates (about 24 bytes each) that may be broadcast.
+BLOCK_ROWS = 4096
+BROADCAST_ROWS = 1_000_000
 
 
 def _spellings(item) -> set[str] | None:
@@ -96,35 +102,54 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def row_key(text: Column) -> list[Column]:
-    """Key of a row: doc_id (a null has its own value) and the hash of its text."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_did"), F.xxhash64(text).alias("_th")]
+def row_key() -> Column:
+    """64-bit key of a row's doc_id and text. Rows that share it share their candidate rules, which are verified."""
+    return F.xxhash64("doc_id", "text")
+
+
+def inverted_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """Posting lists of ``docs`` (doc_id, text): block, trigram, rows (array of row keys).
+
+    A block holds about ``BLOCK_ROWS`` rows by their key, so no list grows with
+    the table. Trigrams are of lower-cased text; null texts are in no list.
+    """
+    blocks = -(-docs.count() // BLOCK_ROWS) or 1
+    low = docs.select(row_key().alias("key"), F.lower("text").alias("low"))
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]))
+    postings = low.select("key", F.explode(found).alias("trigram")).withColumn("block", F.pmod("key", F.lit(blocks)))
+    return postings.repartition("block").groupBy("block", "trigram").agg(F.collect_set("key").alias("rows"))
 
 
-def trigram_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, _did, _th) of the trigrams that the rules ask for."""
-    low = docs.select(*row_key(F.col("text")), F.lower("text").alias("_low"))
-    found = F.array_compact(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.select("_did", "_th", F.explode(found).alias("trigram"))
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """Rows that satisfy a rule's Boolean query: key, rules (indices).
 
+    The lists of an option's trigrams are intersected, the options of a clause
+    united, the clauses of a rule intersected, block by block.
+    """
+    queries = [(i, q) for i, rule in enumerate(rules) if (q := trigram_query(rule.pattern))]
+    none = F.expr("cast(array() as array<bigint>)")
 
-def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
-    """Documents per rule that hold its mandatory trigrams: _did, _th, rules (indices)."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    trigrams = sorted({t for q in queries.values() for clause in q for option in clause for t in option})
-    spark_docs = trigram_postings(docs, trigrams).groupBy("_did", "_th").agg(F.collect_set("trigram").alias("_has"))
+    def array(items) -> Column:
+        return F.lit(items) if isinstance(items, str) else F.array(*[array(i) for i in items])
 
-    def holds(query) -> Column:
-        out = F.lit(True)
-        for clause in query:
-            any_of = F.lit(False)
-            for option in clause:
-                any_of = any_of | (F.size(F.array_except(F.array(*[F.lit(t) for t in sorted(option)]), F.col("_has"))) == 0)
-            out = out & any_of
-        return out
+    asked = F.array(*[F.struct(F.lit(i).alias("rule"), array([[sorted(o) for o in clause] for clause in q]).alias("clauses")) for i, q in queries])
+    lists = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("lists"))
 
-    hit = F.array_compact(F.array(*[F.when(holds(q), F.lit(i)) for i, q in queries.items()]))
-    return spark_docs.select("_did", "_th", hit.alias("_rules")).where(F.size("_rules") > 0)
+    def posting(trigram: Column) -> Column:
+        return F.coalesce(F.element_at("lists", trigram), none)
+
+    def of_option(option: Column) -> Column:
+        return F.aggregate(option, posting(F.element_at(option, 1)), lambda held, trigram: F.array_intersect(held, posting(trigram)))
+
+    def of_clause(clause: Column) -> Column:
+        return F.aggregate(clause, none, lambda held, option: F.array_union(held, of_option(option)))
+
+    def of_rule(clauses: Column) -> Column:
+        return F.aggregate(clauses, of_clause(F.element_at(clauses, 1)), lambda held, clause: F.array_intersect(held, of_clause(clause)))
+
+    hits = F.transform(asked, lambda query: F.struct(query["rule"].alias("rule"), of_rule(query["clauses"]).alias("keys")))
+    each = lists.select(F.explode(hits).alias("hit")).select("hit.rule", F.explode("hit.keys").alias("key"))
+    return each.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
 def rule_spans(text: Column, rule: Rule, place: int) -> Column:
@@ -165,19 +190,31 @@ def scan_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """Add ``spans``: array of (start, kind, end) by start, then rule order.
 
     ``kind`` is the index of the rule; ends are exclusive; positions are code
-    points. A null text has no span, nor has an empty one. All columns and rows
-    stay, repeated rows too; texts are read whole.
+    points. A null text has no span, nor has an empty one. All rows stay,
+    repeated rows too, with all their columns but an older ``spans``, which the
+    new one replaces; an empty table gives no row; texts are read whole.
+
+    Only row keys are shuffled for the index. Its candidates meet the rows by a
+    broadcast if they are at most ``BROADCAST_ROWS``, else by a join on the key.
     """
-    keyed = docs.select("*", *row_key(F.col("text")))
     indexed = {i for i, r in enumerate(rules) if trigram_query(r.pattern)}
-    joined = keyed.join(candidates(docs, rules), ["_did", "_th"], "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    trigrams = sorted({t for r in rules for clause in trigram_query(r.pattern) for option in clause for t in option})
+    found = candidates(inverted_index(docs.select("doc_id", "text"), trigrams), rules) if trigrams else None
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "spans"]).alias("row")
+    flagged = docs.select(row, row_key().alias("key"))
+    if found is None:
+        flagged = flagged.withColumn("rules", F.array(F.lit(-1)))
+    else:
+        found = staged(found, "secret-candidates")
+        few = found.count() <= BROADCAST_ROWS
+        flagged = flagged.join(F.broadcast(found) if few else found, "key", "left")
+    text = F.coalesce(F.col("row.text"), F.lit(""))
     nothing = F.expr("cast(array() as array<struct<start: int, kind: int, end: int>>)")
     each = [
-        F.when(F.array_contains("_rules", i), rule_spans(text, r, i)).otherwise(nothing) if i in indexed else rule_spans(text, r, i)
+        F.when(F.array_contains("rules", i), rule_spans(text, r, i)).otherwise(nothing) if i in indexed else rule_spans(text, r, i)
         for i, r in enumerate(rules)
     ]
-    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("_did", "_th", "_rules")
+    return flagged.select("row", F.array_sort(F.concat(*each)).alias("spans")).select("row.*", "spans")
 
 
 def span_text(spans: Column, rules=RULES) -> Column:

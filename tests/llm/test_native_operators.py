@@ -163,8 +163,34 @@ def test_trigram_queries():
     assert all(any(o <= {s[i : i + 3] for i in range(len(s) - 2)} for o in options) for s in ("password=", "passwd:", "secret ", "token=", "api_key=", "apikey:"))
 
 
+def test_posting_lists_intersect_to_candidates(spark):
+    frame = spark.createDataFrame(list(enumerate(SECRETS)) + [(0, SECRETS[0])], "doc_id long, text string")
+    keyed = {r["key"]: r["text"] or "" for r in frame.select(secrets.row_key().alias("key"), "text").collect()}
+    trigrams = sorted({t for r in secrets.RULES for c in secrets.trigram_query(r.pattern) for o in c for t in o})
+    index = secrets.inverted_index(frame, trigrams)
+    for r in index.collect():
+        assert sorted(r["rows"]) == sorted(k for k, t in keyed.items() if r["trigram"] in t.lower())
+    got = {(r["key"], i) for r in secrets.candidates(index).collect() for i in r["rules"]}
+
+    def holds(text, query):
+        return all(any(all(t in text.lower() for t in option) for option in clause) for clause in query)
+
+    queries = {i: q for i, r in enumerate(secrets.RULES) if (q := secrets.trigram_query(r.pattern))}
+    assert got == {(k, i) for k, t in keyed.items() for i, q in queries.items() if holds(t, q)}
+
+
+def test_secrets_keep_clashing_columns_on_both_joins(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, t, "old", 7, 8, "r") for i, t in enumerate(SECRETS)], "doc_id long, text string, spans string, key int, rules int, row string")
+    for most in (1_000_000, -1):
+        monkeypatch.setattr(secrets, "BROADCAST_ROWS", most)
+        got = secrets.scan_secrets(frame)
+        assert got.columns == ["doc_id", "text", "key", "rules", "row", "spans"]
+        for r in got.collect():
+            assert [tuple(s) for s in r["spans"]] == brute_spans(r["text"]) and (r["key"], r["rules"], r["row"]) == (7, 8, "r")
+
+
 def test_empty_secrets(empty):
-    assert secrets.scan_secrets(empty.drop("spans")).count() == 0
+    assert secrets.scan_secrets(empty).count() == 0
 
 
 def test_crc_of_empty_text(spark):
