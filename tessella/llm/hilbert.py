@@ -1,9 +1,10 @@
 """Sharding by a Hilbert curve over quantised metadata (DataFrame functions only).
 
-Every metadata dimension is quantised to ``BITS`` bits, the cells are visited in
-the order of a Hilbert curve, and the ordered rows are cut into runs. Cells that
-are near on the curve are near in every dimension, so each shard covers a
-compact box and the minima and maxima of its file prune on any dimension.
+Every metadata dimension is quantised to ``BITS`` bits in the order of its
+values, the cells are visited in the order of a Hilbert curve, and the ordered
+rows are cut into runs. Cells that are near on the curve are near in every
+dimension, so a shard covers a compact box and the minima and maxima of its file
+prune on any dimension.
 """
 
 from __future__ import annotations
@@ -14,17 +15,41 @@ from pyspark.sql.window import Window as W
 
 from tessella.llm.common import running_offset, staged
 
-BITS = 4
+BITS = 5
+#: Rows of a cell of the curve that one task ranks, about; fuller cells are salted.
+CELL_ROWS = 1024
+#: Bits of a row's hash that salts are cut from.
+SALT_BITS = 24
+#: Distinct values of a dimension up to which their cells are broadcast.
+BROADCAST_VALUES = 100_000
 
 
-def log_cell(size: Column) -> Column:
-    """Quantise a positive number by its binary logarithm (0 to 15)."""
-    return F.least(F.lit((1 << BITS) - 1), F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")))).cast("int")
+def fine_length(size: Column) -> Column:
+    """A positive number by sixteenths of its binary logarithm, of which there are at most 1,024."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 16).cast("int")
 
 
-def hash_cell(value: Column) -> Column:
-    """Quantise a string by its hash; a null has a cell of its own hash."""
-    return F.pmod(F.xxhash64(value), F.lit(1 << BITS)).cast("int")
+def add_cell(df: DataFrame, value: Column, name: str, bits: int = BITS) -> DataFrame:
+    """Add ``name``: the cell of ``value``, ascending in it, null last.
+
+    As many values as cells or fewer have a cell each, spread over the whole
+    range, so that the curve's coarse steps part them too. More are cut at the
+    quantiles of the rows, so that cells hold about equally many. The table of
+    values grows with the distinct values, not with the rows.
+    """
+    order = W.orderBy(F.col("_value").asc_nulls_last())
+    counts = df.groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy()
+    cells = counts.select(
+        "_value",
+        F.when(F.count(F.lit(1)).over(whole) <= 1 << bits, F.floor((F.row_number().over(order) - 1) * (1 << bits) / F.count(F.lit(1)).over(whole)))
+        .otherwise(F.floor((F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")) * (1 << bits) / F.sum("_n").over(whole)))
+        .cast("int")
+        .alias(name),
+    )
+    cells = staged(cells, "hilbert-cells")
+    few = cells.count() <= BROADCAST_VALUES
+    return df.withColumn("_own", value).join(F.broadcast(cells) if few else cells, F.col("_own").eqNullSafe(F.col("_value"))).drop("_own", "_value")
 
 
 def curve_index(cells: list[Column], bits: int = BITS) -> Column:
@@ -88,8 +113,10 @@ def hilbert_shards(df: DataFrame, key: str, cells: list[Column], size: Column, s
     ``bytes``: a row falls to the shard that holds the middle of its bytes, so
     shards differ by about one row's bytes.
 
-    Rows of a cell follow in the order of a hash of ``key``; 64 salts of that
-    hash keep a cell with a third of all rows spread. Nulls, empty and very long
+    Rows of a cell follow in the order of a hash of ``key``; a cell has as many
+    salts of that hash as its rows ask for, so one with a third of all rows stays
+    spread. The counts of the curve's cells are broadcast only if there are at
+    most ``2 ** 16`` cells. Nulls, empty and very long
     texts are ordinary rows; repeated rows stay repeated and take neighbouring
     slots; an empty table gives no row; other columns are ignored.
     """
@@ -100,11 +127,16 @@ def hilbert_shards(df: DataFrame, key: str, cells: list[Column], size: Column, s
             *(carry or []),
             size.cast("long").alias("size"),
             curve_index(cells).alias("curve"),
-            F.shiftrightunsigned(mixed, 58).cast("long").alias("_top"),
             mixed.alias("_mixed"),
-        ).withColumn("_cell", F.col("curve") * 64 + F.col("_top")),
-        "hilbert",
+        ),
+        "hilbert-rows",
     )
+    salts = narrow.groupBy("curve").agg(F.expr(f"count(*) div {CELL_ROWS} + 1").alias("_salts"))
+    # The sign bit is flipped, so that salts ascend with the hash.
+    top = F.shiftrightunsigned(F.col("_mixed").bitwiseXOR(F.lit(-(1 << 63))), 64 - SALT_BITS)
+    bounded = BITS * len(cells) <= 16
+    salted = narrow.join(F.broadcast(salts) if bounded else salts, "curve").withColumn("_cell", F.shiftleft("curve", SALT_BITS) + F.shiftright(top * F.col("_salts"), SALT_BITS))
+    narrow = staged(salted.drop("_salts"), "hilbert")
     one = F.lit(1) if law == "rows" else F.col("size")
     # The order of all cells: coarse blocks of 64 curve indices first, then the cells of a block.
     cells_of = narrow.groupBy((F.shiftright("curve", 6)).alias("_block"), "_cell").agg(F.sum(one).cast("long").alias("_n"), F.count(F.lit(1)).alias("_rows"))

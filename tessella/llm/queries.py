@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import chat, hilbert, mixing, packing, passages, secrets, simhash, syncmers, toxicity, transport
-from tessella.llm.common import documents, word_count
+from tessella.llm.common import documents, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,13 +66,16 @@ FROM placed
 @query
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of equally many rows along a Hilbert curve over length, language and source."""
-    docs = documents(spark, sf_dir)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    cells = [hilbert.log_cell(size), hilbert.hash_cell(F.col("lang")), hilbert.hash_cell(F.col("source"))]
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    sharded = hilbert.hilbert_shards(docs, "doc_id", cells, size, 16, "rows", [crc])
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", size.alias("size"), crc)
+    docs = staged(docs, "hilbert-metadata")
+    for name, value in (("length_cell", hilbert.fine_length(F.col("size"))), ("lang_cell", F.col("lang")), ("source_cell", F.col("source"))):
+        docs = hilbert.add_cell(docs, value, name)
+    cells = [F.col("length_cell"), F.col("lang_cell"), F.col("source_cell")]
+    sharded = hilbert.hilbert_shards(docs, "doc_id", cells, F.col("size"), 16, "rows", [F.col("text_crc32"), *cells])
     return sharded.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "length_cell", "lang_cell", "source_cell"
     )
 
 

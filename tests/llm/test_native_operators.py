@@ -1,3 +1,5 @@
+import collections
+import math
 import re
 import zlib
 
@@ -5,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import hilbert, mixing, packing, secrets
-from tessella.llm.common import word_count
+from tessella.llm import hilbert, mixing, packing, queries, secrets
+from tessella.llm.common import documents, word_count
 
 
 def test_hilbert_curve_visits_every_cell_by_unit_steps(spark):
@@ -22,8 +24,9 @@ def test_hilbert_curve_visits_every_cell_by_unit_steps(spark):
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards(docs, rows, law):
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    cells = [hilbert.log_cell(size), hilbert.hash_cell(F.col("lang")), hilbert.hash_cell(F.col("source"))]
-    got = hilbert.hilbert_shards(docs, "doc_id", cells, size, 4, law).toPandas()
+    for name, value in (("a", hilbert.fine_length(size)), ("b", F.col("lang")), ("c", F.col("source"))):
+        docs = hilbert.add_cell(docs, value, name)
+    got = hilbert.hilbert_shards(docs, "doc_id", [F.col(c) for c in "abc"], size, 4, law).toPandas()
     assert len(got) == len(rows)
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
@@ -34,6 +37,54 @@ def test_shards(docs, rows, law):
     assert ordered.curve.is_monotonic_increasing
 
 
+def cells_by_hand(values, n):
+    """Cells of values by rank, or by the rows before if there are more than ``n`` of them."""
+    counts = collections.Counter(values)
+    ordered = sorted(counts, key=lambda v: (v is None, v if v is not None else 0))
+    if len(ordered) <= n:
+        return {v: i * n // len(ordered) for i, v in enumerate(ordered)}
+    out, before = {}, 0
+    for v in ordered:
+        out[v] = before * n // len(values)
+        before += counts[v]
+    return out
+
+
+@pytest.mark.parametrize("rows_of_a_salt", [1024, 3])
+def test_shard_query_matches_brute_force(spark, monkeypatch, rows_of_a_salt):
+    monkeypatch.setattr(hilbert, "CELL_ROWS", rows_of_a_salt)
+    data = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op9_hilbert_shards"](spark, data).toPandas()
+    table = documents(spark, data).select("doc_id", "text", "lang", "source", F.xxhash64("doc_id").alias("mixed")).collect()
+    size = {r.doc_id: len((r.text or "").encode()) + 1 for r in table}
+    fine = {i: math.floor(math.log2(s) * 16) for i, s in size.items()}
+    cells = [cells_by_hand([fine[r.doc_id] for r in table], 32), cells_by_hand([r.lang for r in table], 32), cells_by_hand([r.source for r in table], 32)]
+    of = {r.doc_id: (cells[0][fine[r.doc_id]], cells[1][r.lang], cells[2][r.source]) for r in table}
+    assert {r.doc_id: (r.length_cell, r.lang_cell, r.source_cell) for r in got.itertuples()} == of
+    # The curve itself is tested above; here its index orders the rows, then the hash, cut into equal runs.
+    mixed = {r.doc_id: r.mixed for r in table}
+    curve = dict(zip(got.doc_id, got.curve))
+    assert len({of[i]: c for i, c in curve.items()}) == len({(of[i], c) for i, c in curve.items()})
+    ordered = sorted(curve, key=lambda i: (curve[i], mixed[i], i))
+    low, more = divmod(len(ordered), 16)
+    wanted, at = {}, 0
+    for shard in range(16):
+        for slot in range(low + (shard < more)):
+            wanted[ordered[at]] = (shard, slot)
+            at += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in got.itertuples()} == wanted
+    assert {r.doc_id: r.size for r in got.itertuples()} == size
+
+
+def test_shards_prune_on_every_dimension(spark):
+    got = queries.QUERIES["op9_hilbert_shards"](spark, "/root/testdata/sf0.01").toPandas()
+    for name in ("length_cell", "lang_cell", "source_cell"):
+        least, most = got.groupby("shard")[name].min(), got.groupby("shard")[name].max()
+        read = [((least <= v) & (v <= most)).sum() for v in got[name].unique()]
+        # A predicate on one value skips a third of the shards at least, on average.
+        assert np.mean(read) <= 16 * 2 / 3, name
+
+
 def test_shards_of_few_rows_and_none(spark, empty):
     few = spark.createDataFrame([(i, "t") for i in range(3)], "doc_id long, text string")
     got = hilbert.hilbert_shards(few, "doc_id", [F.lit(1), F.lit(2)], F.lit(1), 16).toPandas()
