@@ -137,16 +137,47 @@ class Stream:
         )
 
 
-def _section(packet: bytes, at: int) -> bytes | None:
-    """The section that starts in a packet, if its CRC holds."""
-    at += 1 + packet[at]
-    end = at + 3 + ((packet[at + 1] & 0x0F) << 8 | packet[at + 2])
-    section = packet[at:end]
-    return section if section and section_crc(section) == 0 else None
+def _sections(packets: list[tuple[bool, bytes]]) -> tuple[list[bytes], int]:
+    """Sound sections of a table's packets (unit start, payload) in order, and the number of broken ones.
+
+    A section runs on over as many packets as its length asks for. In a packet
+    that starts one, the pointer tells where; what lies before belongs to the
+    section before.
+    """
+    kept, broken = [], 0
+    data: bytes | None = None
+
+    def close() -> None:
+        nonlocal broken
+        at = 0
+        while data and at < len(data) and data[at] != 0xFF:
+            end = at + 3 + ((data[at + 1] & 0x0F) << 8 | data[at + 2]) if at + 3 <= len(data) else len(data) + 1
+            if end > len(data) or end - at < 12 or section_crc(data[at:end]):
+                broken += 1
+                break
+            kept.append(data[at:end])
+            at = end
+
+    for begins, payload in packets:
+        if begins:
+            pointer = payload[0] if payload else 0
+            data = data + payload[1 : 1 + pointer] if data is not None else None
+            close()
+            if 1 + pointer > len(payload):
+                broken += 1
+            data = payload[1 + pointer :]
+        elif data is not None:
+            data += payload
+    close()
+    return kept, broken
 
 
 def demux(media: bytes) -> Stream:
-    """Read a transport stream; faults are counted, not raised."""
+    """Read a transport stream; faults are counted, not raised.
+
+    A packet may be sent twice in a row, which is lawful and read once; a packet
+    that announces a discontinuity may carry any counter.
+    """
     found = Stream(packets=len(media) // PACKET, errors=int(len(media) % PACKET > 0))
     if not found.packets:
         return found
@@ -159,10 +190,23 @@ def demux(media: bytes) -> Stream:
     access = ((control & 2) > 0) & (grid[:, 4] > 0) & ((grid[:, 5] & 0x40) > 0)
     sound = (grid[:, 0] == SYNC) & ((control & 1) > 0) & (begin < PACKET)
 
+    announced = ((control & 2) > 0) & (grid[:, 4] > 0) & ((grid[:, 5] & 0x80) > 0)
+
+    def once(rows: np.ndarray) -> np.ndarray:
+        """Rows of a stream without packets that repeat the one before."""
+        if len(rows) < 2:
+            return rows
+        counters = grid[rows, 3] & 15
+        again = np.concatenate([[False], counters[1:] == counters[:-1]])
+        for i in np.flatnonzero(again):
+            again[i] = not again[i - 1] and bool((grid[rows[i]] == grid[rows[i - 1]]).all())
+        return rows[~again]
+
     def sections(of: int) -> list[bytes]:
-        kept = [_section(grid[i].tobytes(), int(begin[i])) for i in np.flatnonzero(sound & starts & (pid == of))]
-        found.errors += sum(s is None for s in kept)
-        return [s for s in kept if s is not None]
+        packets = [(bool(starts[i]), grid[i, int(begin[i]) :].tobytes()) for i in once(np.flatnonzero(sound & (pid == of))).tolist()]
+        kept, broken = _sections(packets)
+        found.errors += broken
+        return kept
 
     for s in sections(PAT_PID):
         for at in range(8, len(s) - 4, 4):
@@ -170,6 +214,9 @@ def demux(media: bytes) -> Stream:
                 found.programs[number] = (s[at + 2] & 0x1F) << 8 | s[at + 3]
     for table in sorted(set(found.programs.values())):
         for s in sections(table):
+            if len(s) < 16:
+                found.errors += 1
+                continue
             at = 12 + ((s[10] & 0x0F) << 8 | s[11])
             while at + 5 <= len(s) - 4:
                 found.streams[(s[at + 1] & 0x1F) << 8 | s[at + 2]] = s[at]
@@ -177,9 +224,9 @@ def demux(media: bytes) -> Stream:
     parts: list[bytes] = []
     size = 0
     for own in sorted(found.streams):
-        rows = np.flatnonzero(sound & (pid == own))
+        rows = once(np.flatnonzero(sound & (pid == own)))
         counters = grid[rows, 3] & 15
-        found.discontinuities += int(((np.diff(counters.astype(np.int8)) - 1) % 16 != 0).sum())
+        found.discontinuities += int((((np.diff(counters.astype(np.int8)) - 1) % 16 != 0) & ~announced[rows[1:]]).sum())
         edges = np.flatnonzero(starts[rows])
         for a, b in zip(edges, [*edges[1:], len(rows)]):
             data = b"".join([media[PACKET * r + o : PACKET * (r + 1)] for r, o in zip(rows[a:b].tolist(), begin[rows[a:b]].tolist())])
@@ -188,7 +235,9 @@ def demux(media: bytes) -> Stream:
                 continue
             length, head = data[4] << 8 | data[5], 9 + data[8]
             time = 0
-            if data[7] & 0x80:
+            if data[7] & 0x80 and (len(data) < 14 or data[8] < 5):
+                found.errors += 1
+            elif data[7] & 0x80:
                 d = data[9:14]
                 time = (d[0] & 0x0E) << 29 | d[1] << 22 | (d[2] & 0xFE) << 14 | d[3] << 7 | d[4] >> 1
             unit = data[head : 6 + length] if length else data[head:]

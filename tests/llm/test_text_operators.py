@@ -58,14 +58,100 @@ def test_syncmers_choice_is_context_free():
     moved, again = syncmers.anchors("prefix of thirty characters.. " + text)
     assert set(zip((at + 30).tolist(), hashes.tolist())) <= set(zip(moved.tolist(), again.tolist()))
     k, s = syncmers.K, syncmers.S
-    inner = {}
-    for p in at.tolist():
-        inner.setdefault(text[p : p + k], p)
     assert 0.5 < len(at) / (2 * (len(text) - k + 1) / (k - s + 1)) < 1.5
     a, b = syncmers.written(syncmers.fingerprint(text)), syncmers.written(syncmers.fingerprint("0123456789" + text))
     assert all(y - x == 10 for x, y in syncmers.matches(a, b)) and syncmers.matches(a, b)
 
 
+LOW = (1 << 64) - 1
+
+
+def mixed(x):
+    for shift in (31, 29):
+        x = ((x ^ (x >> shift)) * 0xD6E8FEB86659FD93) & LOW
+    return x ^ (x >> 32)
+
+
+def brute_anchors(text, k=16, s=6):
+    """Closed syncmers by their definition, one k-mer at a time."""
+    base = 0x9E3779B97F4A7C15
+
+    def inner(part):
+        value = 0
+        for c in part:
+            value = (value * base + ord(c)) & LOW
+        return mixed(value)
+
+    out = []
+    for p in range(len(text) - k + 1):
+        own = [inner(text[p + i : p + i + s]) for i in range(k - s + 1)]
+        if min(own) in (own[0], own[-1]):
+            value = own[0]
+            for j in (6, 10):
+                value = mixed((value * base + own[j]) & LOW)
+            out.append((p, value >> 32))
+    return out
+
+
+def true_dice(a, b):
+    x, y = {h for _, h in brute_anchors(a)}, {h for _, h in brute_anchors(b)}
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def test_syncmers_and_sketches_match_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (16, 17, 40, 700):
+        text = "".join(chr(c) for c in rng.choice([97, 98, 99, 32, 233, 0x1F600], n))
+        wanted = brute_anchors(text)
+        at, hashes = syncmers.anchors(text)
+        assert list(zip(at.tolist(), hashes.tolist())) == wanted
+        first = {}
+        for p, h in wanted:
+            first.setdefault(h, p)
+        sketch = syncmers.fingerprint(text)
+        assert list(zip(sketch[0].tolist(), sketch[1].tolist())) == sorted(first.items())[: syncmers.SKETCH]
+        assert syncmers.likeness(sketch, syncmers.read(syncmers.written(sketch))) == 1.0
+
+
+def test_syncmer_likeness_estimates_the_share_of_anchors():
+    rng = np.random.default_rng(5)
+    errors = []
+    for cut in (0, 200, 600, 1200, 2400):
+        for _ in range(12):
+            a, b = ("".join(chr(97 + x) for x in rng.integers(0, 26, 2400)) for _ in range(2))
+            b = a[: 2400 - cut] + b[:cut]
+            errors.append(syncmers.likeness(syncmers.fingerprint(a), syncmers.fingerprint(b)) - true_dice(a, b))
+    assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08
+
+
+def test_syncmer_likeness_asks_for_one_order():
+    rng = np.random.default_rng(6)
+    parts = ["".join(chr(97 + x) for x in rng.integers(0, 26, 300)) for _ in range(8)]
+    straight, turned = syncmers.fingerprint("".join(parts)), syncmers.fingerprint("".join(reversed(parts)))
+    assert syncmers.likeness(straight, straight) == 1.0 and syncmers.likeness(straight, turned) < 0.5
+    assert syncmers.in_order([1, 2, 3, 4], [5, 1, 2, 9]) == 3 and syncmers.in_order([], []) == 0
+
+
+def test_anchor_table_keeps_all_anchors(spark, docs, rows, empty):
+    got = collections.Counter((r["doc_id"], r["hash"], r["position"]) for r in syncmers.anchor_table(docs).collect())
+    wanted = collections.Counter((r[0], int(h), int(p)) for r in rows for p, h in zip(*syncmers.anchors(r[1] or "")))
+    assert got == wanted
+    assert syncmers.anchor_table(empty).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7, 60])
+def test_following_document_over_many_ranges(spark, partitions):
+    table = spark.createDataFrame([(i * 7 % 50, f"text {i * 7 % 50}") for i in range(50)], "doc_id long, text string")
+    rows = syncmers.with_following(table, partitions).withColumn("part", F.spark_partition_id()).collect()
+    follows = {}
+    for x, y in zip(rows, rows[1:]):
+        if x["part"] == y["part"] and x["_bucket"] == y["_bucket"] and not x["_guest"]:
+            follows.setdefault(x["doc_id"], y["doc_id"])
+    if partitions == 1:
+        follows[49] = 0
+    assert follows == {i: (i + 1) % 50 for i in range(50)}
+
+
 def test_syncmers_single_and_empty(spark, empty):
     assert syncmers.fingerprints(empty).count() == 0
     one = syncmers.fingerprints(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).first()
@@ -121,6 +207,42 @@ def test_transport_faults_are_counted():
     assert transport.section_crc(b"123456789") == 0x0376E6E7
 
 
+def test_transport_survives_broken_streams():
+    rng = np.random.default_rng(9)
+    media = transport.mux(b"payload " * 1500)
+    for _ in range(400):
+        broken = bytearray(media)
+        for at in rng.integers(0, len(media), rng.integers(1, 30)):
+            broken[at] = int(rng.integers(0, 256))
+        transport.demux(bytes(broken[: rng.integers(1, len(media))]))
+    for at in range(188 * 3):
+        broken = bytearray(media)
+        broken[at] = 0xFF
+        transport.demux(bytes(broken))
+    noise = rng.integers(0, 256, (300, 188)).astype(np.uint8)
+    noise[:, 0], noise[:, 1], noise[:, 2] = 0x47, 0x40, 0
+    transport.demux(noise.tobytes())
+
+
+def test_transport_repeated_packets_and_long_sections():
+    media = transport.mux(b"x" * 20000)
+    whole = transport.demux(media)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = transport.demux(b"".join(p + p for p in packets))
+    assert (twice.payload, twice.discontinuities, twice.errors) == (whole.payload, 0, 0)
+    # A program table over several packets: 80 programs behind the one that counts.
+    body = b"".join(bytes([n >> 8, n & 0xFF, 0xE0 | pid >> 8, pid & 0xFF]) for n, pid in [(1, transport.PMT_PID), *[(k, 0x500 + k) for k in range(2, 82)]])
+    section = b"\x00" + transport.table_section(0x00, 1, body)
+    cut = [section[i : i + 184] for i in range(0, len(section), 184)]
+    table = b"".join(transport._packet(transport.PAT_PID, i == 0, i, b"", c + b"\xff" * (184 - len(c))) for i, c in enumerate(cut))
+    read = transport.demux(table + b"".join(p for p in packets if (p[1] & 0x1F, p[2]) != (0, 0)))
+    assert len(read.programs) == 81 and read.payload == whole.payload and read.errors == 0
+
+
+def test_transport_empty_table(empty):
+    assert transport.digests(transport.read_media(transport.media_column(empty))).count() == 0
+
+
 def brute_segments(scores):
     """Maximal-scoring segments by their definition: the best, then left and right of it."""
     best, span = 0, None
