@@ -4,9 +4,9 @@ Two equal windows of ``WINDOW`` words share the smallest hash among their
 ``GRAM``-word phrases. Runs of windows with one smallest hash (its anchor) are
 the unit of the search: runs whose anchor recurs are sent, with their text, to
 the shard of that anchor. A shard confirms there, word by word, which windows
-recur, joins them to passages, compiles an Aho-Corasick automaton of the
-passages and streams the runs of all documents through it to locate every
-occurrence.
+recur, joins each once to the passages of its first run, compiles an
+Aho-Corasick automaton of the passages and streams the runs of all documents
+through it. The automaton alone tells where passages occur.
 
 Equal rows within a block of a task are merged before every shuffle, so what a
 frequent phrase sends grows with the blocks, not with its occurrences. Anchors
@@ -32,10 +32,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 400_000
 #: Rows that a task merges at a time, and runs that a shard compiles at a time.
 BLOCK_ROWS = 300_000
-BATCH_RUNS = 20_000
-#: An anchor is split by windows beyond this many runs, and beyond this share of all.
-HOT_RUNS = 100_000
-HOT_SHARE = 1e-4
+BATCH_RUNS = 10_000
+#: An anchor is split by windows beyond this many runs, so a shard's memory has a bound.
+HOT_RUNS = 16_384
 SLICE = 256
 
 
@@ -170,15 +169,42 @@ def recurring_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return found.repartition(asked).sortWithinPartitions("anchor", "sure").mapInArrow(keep, schema).drop("sure")
 
 
-def passages_of(words: list[bytes], counts: dict[bytes, int], window: int) -> list[tuple[int, int]]:
-    """Maximal stretches (start, end in words) of windows that count two or more."""
-    out: list[tuple[int, int]] = []
-    for i in range(len(words) - window + 1):
-        if counts[b" ".join(words[i : i + window])] > 1:
-            if out and out[-1][1] == i + window - 1:
-                out[-1] = (out[-1][0], i + window)
+def confirmed(distinct: dict[bytes, tuple[list[bytes], int]], window: int) -> set[tuple[bytes, ...]]:
+    """Passages to search for, confirmed on distinct runs (words and how often each run occurs).
+
+    A window that counts two or more is owned by the first run that holds it,
+    and by that run alone. Neighbours in an owner are one passage if neither
+    occurs without the other, so that whoever holds a part of a passage holds
+    it whole; where runs part, passages end.
+    """
+    counts: dict[bytes, int] = {}
+    longer: dict[bytes, int] = {}
+    for words, n in distinct.values():
+        for i in range(len(words) - window + 1):
+            w = b" ".join(words[i : i + window])
+            counts[w] = counts.get(w, 0) + n
+            if i + window < len(words):
+                w = b" ".join((w, words[i + window]))
+                longer[w] = longer.get(w, 0) + n
+    owned: set[bytes] = set()
+    out: set[tuple[bytes, ...]] = set()
+    for words, _ in distinct.values():
+        start = end = before = None
+        for i in range(len(words) - window + 1):
+            w = b" ".join(words[i : i + window])
+            n = counts[w]
+            if n < 2 or w in owned:
+                continue
+            owned.add(w)
+            if end == i + window - 1 and before == n and longer[b" ".join(words[i - 1 : i + window])] == n:
+                end += 1
             else:
-                out.append((i, i + window))
+                if end:
+                    out.add(tuple(words[start:end]))
+                start, end = i, i + window
+            before = n
+        if end:
+            out.add(tuple(words[start:end]))
     return out
 
 
@@ -217,11 +243,9 @@ class Automaton:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Spans (did, th, start, end in words) that windows occurring twice or more cover."""
     found = staged(recurring_runs(docs, window, gram), "passage-runs")
-    total = found.count()
-    # At most 1 / HOT_SHARE anchors can exceed this, so the list has a bound.
-    limit = max(hot_runs, int(total * HOT_SHARE))
-    hot = {r["anchor"] for r in found.groupBy("anchor").count().where(F.col("count") > limit).select("anchor").collect()}
-    per_doc = found.groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs"))
+    hot = staged(found.groupBy("anchor").count().where(F.col("count") > hot_runs).select("anchor", F.lit(True).alias("hot")), "passage-hot")
+    flagged = found.join(hot, "anchor", "left")
+    per_doc = flagged.groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     joined = docs.join(per_doc, ["did", "th"]).select("text", "did", "th", "runs")
     names = ["anchor", "run", "did", "th", "first", "n"]
 
@@ -245,7 +269,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
                 words = _words(text)
                 for r in own:
                     a, f, z = r["anchor"], r["first"], r["last"]
-                    parts = [(a, f, z)] if a not in hot else [(None, i, i) for i in range(f, z + 1)]
+                    parts = [(a, f, z)] if not r["hot"] else [(None, i, i) for i in range(f, z + 1)]
                     for key, f, z in parts:
                         run = b" ".join(words[f : z + window])
                         key = (xxhash.xxh64_intdigest(run) - (1 << 63) if key is None else key, run)
@@ -271,18 +295,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
         group_runs = 0
 
         def locate():
-            counts: dict[bytes, int] = {}
-            distinct: dict[bytes, list[bytes]] = {}
+            distinct: dict[bytes, tuple[list[bytes], int]] = {}
             for run, _, _, _, n in group:
-                words = distinct.get(run)
-                if words is None:
-                    words = distinct[run] = run.split(b" ")
-                for i in range(len(words) - window + 1):
-                    w = b" ".join(words[i : i + window])
-                    counts[w] = counts.get(w, 0) + n
-            machine = Automaton({tuple(words[a:b]) for words in distinct.values() for a, b in passages_of(words, counts, window)})
-            del counts
-            where = {run: machine.locate(words) for run, words in distinct.items()}
+                words, seen = distinct.get(run) or (run.split(b" "), 0)
+                distinct[run] = (words, seen + n)
+            machine = Automaton(confirmed(distinct, window))
+            where = {run: machine.locate(words) for run, (words, _) in distinct.items()}
             return [(did, th, first + a, first + b) for run, did, th, first, _ in group for a, b in where[run]]
 
         def flush(rows):

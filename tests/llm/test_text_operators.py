@@ -35,6 +35,28 @@ def test_automaton_locates_every_occurrence():
     assert machine.locate(words) == [(0, 4), (4, 7), (8, 11)] or machine.locate(words) == [(0, 7), (8, 11)]
 
 
+def test_passages_are_confirmed_once_and_located_by_the_automaton():
+    rng = np.random.default_rng(2)
+    shared = [f"s{i}".encode() for i in range(30)]
+    runs = []
+    for _ in range(60):
+        a, b = sorted(rng.integers(0, 31, 2).tolist())
+        runs.append([f"x{k}".encode() for k in rng.integers(0, 9, 4)] + shared[a:b] + [f"y{k}".encode() for k in rng.integers(0, 2, 6)])
+    window = 5
+    distinct = {b" ".join(r): (r, sum(q == r for q in runs)) for r in runs}
+    counts = collections.Counter(tuple(r[i : i + window]) for r in runs for i in range(len(r) - window + 1))
+    found = passages.confirmed(distinct, window)
+    # Each recurring window lies in one passage, and in one only.
+    held = collections.Counter(p[i : i + window] for p in found for i in range(len(p) - window + 1))
+    assert held == {w: 1 for w, n in counts.items() if n > 1}
+    machine = passages.Automaton(found)
+    for r in runs:
+        gone = {i + k for i in range(len(r) - window + 1) if counts[tuple(r[i : i + window])] > 1 for k in range(window)}
+        assert {i for a, b in machine.locate(r) for i in range(a, b)} == gone
+    # Without its passages the automaton finds nothing, so nothing else gives spans.
+    assert passages.Automaton(set()).locate(runs[0]) == []
+
+
 def test_syncmers_edit_and_order(docs, rows):
     got = {}
     for r in syncmers.fingerprints(docs).collect():
