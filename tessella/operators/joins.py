@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -62,19 +64,73 @@ def similar_pairs(sets: DataFrame, key: str, items: str, similarity: float) -> D
 
     Prefix filter: two such sets share one of their first n - ceil(s n) + 1
     items in any fixed order, here rarest first, so frequent items join nothing.
+    The sizes of exploded and array columns cannot be estimated from the files,
+    so the joins are merged, never broadcast on such an estimate.
     """
     counts = sets.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     ranked = (
         sets.select(key, F.size(items).alias("size"), F.explode(items).alias("item"))
-        .join(counts, "item")
-        .where("n > 1")
+        .join(counts.where("n > 1").hint("merge"), "item")
         .withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("n", "item")))
     )
-    alone = sets.select(key, F.size(items).alias("size")).join(ranked.groupBy(key).agg(F.count(F.lit(1)).alias("shared")), key)
-    head = ranked.join(alone.select(key, "shared"), key).where(F.col("r") + (F.col("size") - F.col("shared")) <= F.col("size") - F.ceil(F.col("size") * similarity) + 1)
+    alone = sets.select(key, F.size(items).alias("size")).join(ranked.groupBy(key).agg(F.count(F.lit(1)).alias("shared")).hint("merge"), key)
+    head = ranked.join(alone.select(key, "shared").hint("merge"), key).where(F.col("r") + (F.col("size") - F.col("shared")) <= F.col("size") - F.ceil(F.col("size") * similarity) + 1)
     a = head.select(F.col(key).alias("a"), F.col("size").alias("na"), "item")
     b = head.select(F.col(key).alias("b"), F.col("size").alias("nb"), "item")
-    pairs = a.join(b, "item").where((F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col(key).alias("a"), F.col(items).alias("_x")), "a").join(sets.select(F.col(key).alias("b"), F.col(items).alias("_y")), "b")
+    pairs = a.join(b.hint("merge"), "item").where((F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))).select("a", "b").distinct()
+    full = pairs.join(sets.select(F.col(key).alias("a"), F.col(items).alias("_x")).hint("merge"), "a").join(sets.select(F.col(key).alias("b"), F.col(items).alias("_y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("_x", "_y"))
     return full.select("a", "b", shared.alias("shared"), (shared / (F.size("_x") + F.size("_y") - shared)).alias("jaccard")).where(F.col("jaccard") >= similarity)
+
+
+#: Words of the right side that one pass over the left side may hold in each task.
+TILE_WORDS = 2_000_000
+
+
+def best_overlap(left: DataFrame, key: str, right: DataFrame, right_id: str, words: str, tile: int = TILE_WORDS) -> DataFrame:
+    """For each left row the right row whose set of words has the highest Jaccard similarity: key, right_id, jaccard.
+
+    ``words`` is an array column of distinct words on both sides. Only pairs
+    that share a word count; ties go to the smaller ``right_id``. The right side
+    is cut into tiles of about ``tile`` words; a pass over the left side scores
+    a tile by its postings inside the tasks, so no pair leaves a task but the
+    best one of each left row. Passes grow with the right side, memory does not.
+    """
+    spark = left.sparkSession
+    keyed = right.select(F.col(right_id).alias("id"), F.col(words).alias("w"))
+    total = keyed.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()["n"]
+    tiles = max(1, -(-int(total) // tile))
+    kind, id_kind = left.schema[key].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
+
+    def scored(part: int) -> DataFrame:
+        own = keyed.where(F.pmod(F.xxhash64("id"), F.lit(tiles)) == part).orderBy("id").toPandas()
+        ids, sizes = own["id"].tolist(), np.asarray([len(w) for w in own["w"]], float)
+        postings: dict[str, list[int]] = {}
+        for i, held in enumerate(own["w"]):
+            for w in held:
+                postings.setdefault(w, []).append(i)
+        index = spark.sparkContext.broadcast({w: np.asarray(i) for w, i in postings.items()})
+
+        def run(batches):
+            for batch in batches:
+                keys, best, scores = [], [], []
+                for at, held in enumerate(batch.column(1).to_pylist()):
+                    hits = [index.value[w] for w in held or [] if w in index.value]
+                    if hits:
+                        shared = np.bincount(np.concatenate(hits), minlength=len(ids))
+                        jaccard = shared / (len(held) + sizes - shared)
+                        top = int(jaccard.argmax())
+                        keys.append(at)
+                        best.append(ids[top])
+                        scores.append(float(jaccard[top]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(best), pa.array(scores, pa.float64())] if keys else [batch.column(0).slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], [key, right_id, "jaccard"])
+
+        return left.select(key, words).mapInArrow(run, f"`{key}` {kind}, `{right_id}` {id_kind}, jaccard double")
+
+    found = scored(0)
+    for part in range(1, tiles):
+        found = found.unionByName(scored(part))
+    if tiles == 1:
+        return found
+    best = found.groupBy(key).agg(F.min(F.struct((-F.col("jaccard")).alias("_less"), F.col(right_id).alias("_id"))).alias("_b"))
+    return best.select(key, F.col("_b._id").alias(right_id), (-F.col("_b._less")).alias("jaccard"))

@@ -171,8 +171,12 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b
 SELECT a, b, shared::INTEGER AS shared, shared / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared / (x.n + y.n - shared) >= 0.8""",
 )
 def near_dup_pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
-    sets = docs.select("doc_id", text.shingles(F.col("text"), 5).alias("items")).where("size(items) > 0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    hashed = F.array_distinct(F.transform(text.shingles(F.col("text"), 5), lambda s: F.xxhash64(s)))
+    sets = docs.join(first.hint("merge"), "doc_id", "left_semi").select("doc_id", hashed.alias("items")).where("size(items) > 0")
+    # Read four times; a lost executor's part is computed again.
+    sets = sets.persist()
     return joins.similar_pairs(sets, "doc_id", "items", 0.8)
 
 
@@ -337,17 +341,11 @@ p AS (SELECT doc_id, item_id, len(list_intersect(d.w, b.w)) AS shared, len(d.w)
 SELECT doc_id, arg_min(item_id, row(-shared / (nd + nb - shared), item_id)) AS item_id, round(max(shared / (nd + nb - shared)), 9) AS jaccard FROM p WHERE shared > 0 GROUP BY doc_id""",
 )
 def jaccard_words(spark, sf_dir):
-    def sets(df, key, size):
-        own = F.array_distinct(text.words(F.lower("text")))
-        return df.select(key, F.size(own).alias(size), F.explode(own).alias("word"))
-
-    docs, bench = sets(table(spark, sf_dir, "documents"), "doc_id", "nd"), sets(table(spark, sf_dir, "benchmark"), "item_id", "nb")
-    # Items of each word in one row: a document's word meets them once, and sums follow per document and item.
-    postings = bench.groupBy("word").agg(F.collect_list(F.struct("item_id", "nb")).alias("items"))
-    pairs = docs.join(postings, "word").select("doc_id", "nd", F.explode("items").alias("i")).groupBy("doc_id", "nd", "i.item_id", "i.nb").agg(F.count(F.lit(1)).alias("shared"))
-    scored = pairs.withColumn("j", F.col("shared") / (F.col("nd") + F.col("nb") - F.col("shared")))
-    best = scored.groupBy("doc_id").agg(F.min(F.struct((-F.col("j")).alias("m"), "item_id")).alias("b"))
-    return best.select("doc_id", F.col("b.item_id").alias("item_id"), F.round(-F.col("b.m"), 9).alias("jaccard"))
+    def sets(name, key):
+        return table(spark, sf_dir, name).select(key, F.array_distinct(text.words(F.lower("text"))).alias("own"))
+
+    best = joins.best_overlap(sets("documents", "doc_id"), "doc_id", sets("benchmark", "item_id"), "item_id", "own")
+    return best.select("doc_id", "item_id", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query(
