@@ -1,0 +1,644 @@
+"""Queries over selection, matching, projection and text rules on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from tessella.operators.ranking import hash_key, hash_ranked, running_sum
+from tessella.plans.catalogue import query
+from tessella.plans.corpus import N_WORDS, SIZED, sized, table
+from tessella.plans.relational import LINE_WIN, line_rank
+
+
+def lines(spark, sf_dir):
+    """Line items with their place in the order."""
+    return table(spark, sf_dir, "lineitem").withColumn("rn", line_rank().cast("long"))
+
+
+LINES = f"lines AS (SELECT *, row_number() OVER ({LINE_WIN}) AS rn FROM lineitem)"
+EVENTS = "PARTITION BY user_id ORDER BY ts, event_id"
+
+
+def by_user():
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+@query(
+    "span_choice_by_budget",
+    f"""WITH {LINES}, c AS (SELECT l_orderkey, rn, sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY rn) AS upto, l_quantity::BIGINT AS cost FROM lines)
+SELECT s.l_orderkey, s.rn AS first_item, max(e.rn) AS last_item, max(e.upto - s.upto + s.cost)::BIGINT AS span_cost
+FROM c s JOIN c e ON e.l_orderkey = s.l_orderkey AND e.rn >= s.rn AND (e.rn = s.rn OR e.upto - s.upto + s.cost <= 100) GROUP BY ALL""",
+)
+def span_choice_by_budget(spark, sf_dir):
+    own = W.partitionBy("l_orderkey").orderBy("rn")
+    cost = F.col("l_quantity").cast("long")
+    costs = lines(spark, sf_dir).select("l_orderkey", "rn", cost.alias("cost"), F.sum(cost).over(own).alias("upto"))
+    # The sums of one order, ascending: the longest prefix that fits is a count. A first item over budget stands alone.
+    sums = F.sort_array(F.collect_list("upto").over(W.partitionBy("l_orderkey")))
+    chosen = costs.withColumn("sums", sums).withColumn(
+        "last_item", F.greatest(F.col("rn"), F.size(F.filter("sums", lambda s: s <= F.col("upto") - F.col("cost") + 100)).cast("long"))
+    )
+    span = F.element_at("sums", F.col("last_item").cast("int")) - F.col("upto") + F.col("cost")
+    return chosen.select("l_orderkey", F.col("rn").alias("first_item"), "last_item", span.alias("span_cost"))
+
+
+@query(
+    "short_segment_merge",
+    """WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, lag(o_orderstatus) OVER w IS DISTINCT FROM o_orderstatus AS starts FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+r AS (SELECT *, sum(starts::INT) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS run FROM o),
+g AS (SELECT o_custkey, run, count(*) AS n, min(o_orderkey) AS least_order FROM r GROUP BY ALL),
+m AS (SELECT *, greatest(1, sum((n >= 2)::INT) OVER (PARTITION BY o_custkey ORDER BY run)) AS segment FROM g)
+SELECT o_custkey, segment::BIGINT AS segment, sum(n)::BIGINT AS n_items, count(*) AS n_runs, min(least_order) AS least_order FROM m GROUP BY ALL""",
+)
+def short_segment_merge(spark, sf_dir):
+    own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    starts = (~F.lag("o_orderstatus").over(own).eqNullSafe(F.col("o_orderstatus"))).cast("int")
+    runs = table(spark, sf_dir, "orders").withColumn("starts", starts).withColumn("run", F.sum("starts").over(own))
+    counted = runs.groupBy("o_custkey", "run").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least_order"))
+    # Runs under two items join the segment before them, leading ones the first.
+    segment = F.greatest(F.lit(1), F.sum((F.col("n") >= 2).cast("int")).over(W.partitionBy("o_custkey").orderBy("run")))
+    merged = counted.withColumn("segment", segment.cast("long"))
+    return merged.groupBy("o_custkey", "segment").agg(F.sum("n").alias("n_items"), F.count(F.lit(1)).alias("n_runs"), F.min("least_order").alias("least_order"))
+
+
+@query(
+    "header_row_on_change",
+    f"""WITH {LINES}, c AS (SELECT l_orderkey, rn, l_returnflag, lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY rn) IS DISTINCT FROM l_returnflag AS changes FROM lines)
+SELECT l_orderkey, rn, 0::BIGINT AS part, 'H ' || l_returnflag AS line FROM c WHERE changes UNION ALL SELECT l_orderkey, rn, 1::BIGINT, 'item ' || rn FROM c""",
+)
+def header_row_on_change(spark, sf_dir):
+    before = F.lag("l_returnflag").over(W.partitionBy("l_orderkey").orderBy("rn"))
+    rows = lines(spark, sf_dir).withColumn("changes", ~before.eqNullSafe(F.col("l_returnflag")))
+    header = F.struct(F.lit(0).cast("long").alias("part"), F.concat(F.lit("H "), "l_returnflag").alias("line"))
+    item = F.struct(F.lit(1).cast("long").alias("part"), F.concat(F.lit("item "), F.col("rn").cast("string")).alias("line"))
+    return rows.select("l_orderkey", "rn", F.explode(F.when(F.col("changes"), F.array(header, item)).otherwise(F.array(item))).alias("row")).select("l_orderkey", "rn", "row.*")
+
+
+@query(
+    "first_row_per_key_stop",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders) SELECT o_custkey, o_orderkey, o_totalprice FROM r WHERE i = 1 ORDER BY o_custkey LIMIT 100",
+)
+def first_row_per_key_stop(spark, sf_dir):
+    """The first order of each customer, for the first hundred customers: a top-k report."""
+    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("o"))
+    return first.orderBy("o_custkey").limit(100).select("o_custkey", "o.o_orderkey", "o.o_totalprice")
+
+
+@query(
+    "ordered_insertion",
+    f"""WITH {LINES}, u AS (SELECT l_orderkey, rn * 10 AS spot, 5 AS priority, 'item' AS kind FROM lines
+  UNION ALL SELECT l_orderkey, rn * 10 - 1, 1, 'discount' FROM lines WHERE l_discount >= 0.05 UNION ALL SELECT l_orderkey, rn * 10 - 1, 2, 'large' FROM lines WHERE l_quantity >= 40
+  UNION ALL SELECT l_orderkey, rn * 10 + 1, 9, 'returned' FROM lines WHERE l_returnflag = 'R')
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY spot, priority) AS place, kind FROM u""",
+)
+def ordered_insertion(spark, sf_dir):
+    def row(offset, priority, kind, when):
+        return F.when(when, F.struct((F.col("rn") * 10 + offset).alias("spot"), F.lit(priority).alias("priority"), F.lit(kind).alias("kind")))
+
+    spots = F.array_compact(
+        F.array(
+            row(0, 5, "item", F.lit(True)), row(-1, 1, "discount", F.col("l_discount") >= 0.05), row(-1, 2, "large", F.col("l_quantity") >= 40), row(1, 9, "returned", F.col("l_returnflag") == "R")
+        )
+    )
+    spread = lines(spark, sf_dir).select("l_orderkey", F.explode(spots).alias("s")).select("l_orderkey", "s.*")
+    return spread.select("l_orderkey", F.row_number().over(W.partitionBy("l_orderkey").orderBy("spot", "priority")).cast("long").alias("place"), "kind")
+
+
+@query(
+    "common_ids_in_first_order",
+    f"""WITH c AS (SELECT user_id, min(event_id) AS first_click FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT user_id, first_click, row_number() OVER (ORDER BY first_click) AS place FROM c WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'view') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')""",
+)
+def common_ids_in_first_order(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    common = events.groupBy("user_id").agg(
+        F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).alias("first_click"), *[F.bool_or(F.col("event_type") == t).alias(t) for t in ("view", "purchase")]
+    )
+    kept = common.where("first_click IS NOT NULL AND view AND purchase").select("user_id", "first_click")
+    return running_sum(kept, F.lit(1), ["first_click"], F.floor(F.col("first_click") / 100000), None, "before").select("user_id", "first_click", (F.col("before") + 1).alias("place"))
+
+
+@query(
+    "cogroup_orders_lines",
+    """SELECT o_orderkey, o_orderstatus, count(*) AS n_lines, sum(l_quantity::BIGINT)::BIGINT AS quantity, max(l_quantity::BIGINT) AS largest, sum((l_shipdate > o_orderdate)::INT)::BIGINT AS shipped_after
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""",
+)
+def cogroup_orders_lines(spark, sf_dir):
+    joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    quantity = F.col("l_quantity").cast("long")
+    return joined.groupBy("o_orderkey", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(quantity).alias("quantity"), F.max(quantity).alias("largest"), F.count_if(F.col("l_shipdate") > F.col("o_orderdate")).alias("shipped_after")
+    )
+
+
+@query(
+    "alignment_index_join",
+    f"""WITH {LINES}, a AS (SELECT l_orderkey, rn AS score_idx, (rn * 3) % 8 - 1 AS perf_idx FROM lines)
+SELECT a.l_orderkey, score_idx, perf_idx, s.l_partkey AS score_part, p.l_partkey AS perf_part FROM a JOIN lines s ON s.l_orderkey = a.l_orderkey AND s.rn = score_idx JOIN lines p ON p.l_orderkey = a.l_orderkey AND p.rn = perf_idx""",
+)
+def alignment_index_join(spark, sf_dir):
+    rows = lines(spark, sf_dir).select("l_orderkey", "rn", "l_partkey")
+    # The alignment holds -1 and indices out of range: both are unmatched.
+    aligned = rows.select("l_orderkey", F.col("rn").alias("score_idx"), ((F.col("rn") * 3) % 8 - 1).alias("perf_idx"))
+    score = rows.select("l_orderkey", F.col("rn").alias("score_idx"), F.col("l_partkey").alias("score_part"))
+    performed = rows.select("l_orderkey", F.col("rn").alias("perf_idx"), F.col("l_partkey").alias("perf_part"))
+    return aligned.join(score, ["l_orderkey", "score_idx"]).join(performed, ["l_orderkey", "perf_idx"]).select("l_orderkey", "score_idx", "perf_idx", "score_part", "perf_part")
+
+
+@query("fan_out_join", "SELECT c_custkey, n_name, n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey")
+def fan_out_join(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    return nations.join(table(spark, sf_dir, "customer"), "c_nationkey").select("c_custkey", "n_name", "n_regionkey")
+
+
+@query(
+    "projection_with_preference",
+    "SELECT l_partkey, max((l_returnflag = 'R')::INT)::BIGINT AS is_lower, arg_min(l_suppkey, row(l_orderkey, l_linenumber, l_suppkey)) AS first_supplier, count(*) AS n FROM lineitem GROUP BY 1",
+)
+def projection_with_preference(spark, sf_dir):
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_partkey")
+    return grouped.agg(
+        F.max((F.col("l_returnflag") == "R").cast("long")).alias("is_lower"), F.min_by("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_suppkey")).alias("first_supplier"), F.count(F.lit(1)).alias("n")
+    )
+
+
+#: Terms and their tokens.
+TERMS = {"click": "CL", "purchase": "PU", "signup": "SU", "view": "VW"}
+
+
+@query("dictionary_map", "SELECT event_id, CASE event_type WHEN 'click' THEN 'CL' WHEN 'purchase' THEN 'PU' WHEN 'signup' THEN 'SU' ELSE 'VW' END AS token FROM events WHERE event_type IN ('click', 'purchase', 'signup', 'view')")
+def dictionary_map(spark, sf_dir):
+    tokens = F.create_map(*[F.lit(x) for pair in TERMS.items() for x in pair])
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(tokens, F.col("event_type")).alias("token")).where("token IS NOT NULL")
+
+
+@query(
+    "zip_by_position",
+    """WITH c AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'click'),
+v AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'view')
+SELECT user_id, i AS place, c.event_id AS click_id, v.event_id AS view_id, c.n = v.n AS same_length FROM c JOIN v USING (user_id, i)""",
+)
+def zip_by_position(spark, sf_dir):
+    def side(kind):
+        own = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+        n = F.count(F.lit(1)).over(W.partitionBy("user_id"))
+        return own.select("user_id", F.row_number().over(by_user()).cast("long").alias("place"), F.col("event_id").alias(f"{kind}_id"), n.alias(f"{kind}_n"))
+
+    both = side("click").join(side("view"), ["user_id", "place"])
+    return both.select("user_id", "place", "click_id", "view_id", (F.col("click_n") == F.col("view_n")).alias("same_length"))
+
+
+@query("enrich_from_small_table", "SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def enrich_from_small_table(spark, sf_dir):
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name", "r_name")
+
+
+@query("subset_count_by_id", "SELECT source, count(DISTINCT doc_id) AS n_docs FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1")
+def subset_count_by_id(spark, sf_dir):
+    kept = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return kept.groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(
+    "natural_sort_of_ids",
+    f"WITH {LINES}, m AS (SELECT l_orderkey, 'M' || (rn * 7) AS measure FROM lines) SELECT l_orderkey, measure, row_number() OVER (PARTITION BY l_orderkey ORDER BY substr(measure, 2)::INT) AS place FROM m",
+)
+def natural_sort_of_ids(spark, sf_dir):
+    named = lines(spark, sf_dir).select("l_orderkey", F.concat(F.lit("M"), (F.col("rn") * 7).cast("string")).alias("measure"))
+    number = F.substring("measure", 2, 20).cast("int")
+    return named.select("l_orderkey", "measure", F.row_number().over(W.partitionBy("l_orderkey").orderBy(number)).cast("long").alias("place"))
+
+
+@query(
+    "file_order_rank",
+    """WITH r AS (SELECT conv_id, turn, role, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END AS k FROM conversations)
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY k, turn) AS place FROM r""",
+)
+def file_order_rank(spark, sf_dir):
+    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.row_number().over(W.partitionBy("conv_id").orderBy(rank, "turn")).cast("long").alias("place"))
+
+
+@query(
+    "balanced_allocation_one_each",
+    "WITH g AS (SELECT source, count(*) AS n, count(*) OVER () AS k FROM documents GROUP BY source) SELECT source, n, least(n, greatest(1, 60 // k))::BIGINT AS granted FROM g",
+)
+def balanced_allocation_one_each(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.count()
+    return counts.select("source", "n", F.least(F.col("n"), F.greatest(F.lit(1), F.lit(60 // max(1, groups)))).cast("long").alias("granted"))
+
+
+@query(
+    "smallest_first_soft_edge",
+    f"""WITH {SIZED}, c AS (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY tokens, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized)
+SELECT doc_id, tokens, before FROM c WHERE before < 0.995 * 20000 AND before + tokens <= 20000""",
+)
+def smallest_first_soft_edge(spark, sf_dir):
+    """Documents from the smallest on until the target is met to 99.5 percent; none may exceed it."""
+    ordered = running_sum(sized(spark, sf_dir).select("doc_id", "tokens"), F.col("tokens"), ["tokens", "doc_id"], F.col("tokens"), None, "before")
+    return ordered.where((F.col("before") < 0.995 * 20000) & (F.col("before") + F.col("tokens") <= 20000))
+
+
+ROUND = "sha256('robin:' || doc_id)"
+
+
+@query(
+    "keep_sources_then_round_robin",
+    f"""WITH {SIZED}, kept AS (SELECT doc_id, source, tokens, 'kept' AS why FROM sized WHERE lang = 'fr'),
+d AS (SELECT *, {ROUND} AS h, row_number() OVER (PARTITION BY source ORDER BY {ROUND}) - 1 AS depth FROM sized WHERE lang = 'en'),
+s AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY depth, tokens, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM d)
+SELECT * FROM kept UNION ALL SELECT doc_id, source, tokens, 'drawn' FROM s WHERE spent + tokens <= 8000""",
+)
+def keep_sources_then_round_robin(spark, sf_dir):
+    docs = sized(spark, sf_dir)
+    kept = docs.where("lang = 'fr'").select("doc_id", "source", "tokens", F.lit("kept").alias("why"))
+    ranked = hash_ranked(docs.where("lang = 'en'"), "robin", "doc_id", group=["source"]).withColumnRenamed("hash_rank", "depth")
+    spent = running_sum(ranked, F.col("tokens"), ["depth", "tokens", "hash_key"], F.col("depth"), None, "spent")
+    return kept.unionByName(spent.where(F.col("spent") + F.col("tokens") <= 8000).select("doc_id", "source", "tokens", F.lit("drawn").alias("why")))
+
+
+@query(
+    "match_counts_per_group",
+    f"""WITH d AS (SELECT d.doc_id, d.lang, l.doc_id IS NOT NULL AS labeled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
+n AS (SELECT lang, count(*) FILTER (labeled) AS wanted FROM d GROUP BY 1),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('match:' || doc_id)) AS i FROM d WHERE NOT labeled)
+SELECT doc_id, lang FROM r JOIN n USING (lang) WHERE i <= wanted""",
+)
+def match_counts_per_group(spark, sf_dir):
+    """As many unlabelled documents of a language as it has labelled ones."""
+    labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labeled", F.lit(True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    wanted = docs.where("labeled").groupBy("lang").agg(F.count(F.lit(1)).alias("wanted"))
+    ranked = hash_ranked(docs.where("labeled IS NULL"), "match", "doc_id", group=["lang"])
+    return ranked.join(wanted, "lang").where("hash_rank < wanted").select("doc_id", "lang")
+
+
+@query(
+    "protected_first_then_round_robin",
+    f"""WITH {SIZED}, m AS (SELECT s.*, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND quality = 1) AS p FROM sized s),
+a AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY tokens, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM m WHERE p),
+k AS (SELECT doc_id, tokens FROM a WHERE spent + tokens <= 6000),
+d AS (SELECT *, {ROUND} AS h, row_number() OVER (PARTITION BY source ORDER BY {ROUND}) - 1 AS depth FROM m WHERE NOT p),
+s AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY depth, tokens, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM d)
+SELECT doc_id, tokens, true AS is_protected FROM k UNION ALL SELECT doc_id, tokens, false FROM s WHERE spent + tokens <= 10000 - (SELECT coalesce(sum(tokens), 0) FROM k)""",
+)
+def protected_first_then_round_robin(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    docs = sized(spark, sf_dir).join(good, "doc_id", "left")
+    first = running_sum(docs.where("good"), F.col("tokens"), ["tokens", "doc_id"], F.col("tokens"), None, "spent").where(F.col("spent") + F.col("tokens") <= 6000).select("doc_id", "tokens")
+    # One number decides what the others may spend.
+    left = 10000 - first.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    ranked = hash_ranked(docs.where("good IS NULL"), "robin", "doc_id", group=["source"]).withColumnRenamed("hash_rank", "depth")
+    rest = running_sum(ranked, F.col("tokens"), ["depth", "tokens", "hash_key"], F.col("depth"), None, "spent").where(F.col("spent") + F.col("tokens") <= left)
+    return first.withColumn("is_protected", F.lit(True)).unionByName(rest.select("doc_id", "tokens", F.lit(False).alias("is_protected")))
+
+
+@query("slice_by_ordinal", "WITH r AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages) SELECT page_id, url, i AS ordinal FROM r WHERE i >= 10 AND i < 40")
+def slice_by_ordinal(spark, sf_dir):
+    ranked = running_sum(table(spark, sf_dir, "pages").select("page_id", "url"), F.lit(1), ["page_id"], F.floor(F.col("page_id") / 10000), None, "ordinal")
+    return ranked.where("ordinal >= 10 AND ordinal < 40")
+
+
+@query("first_n_per_group", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT doc_id, source, i AS place FROM r WHERE i <= 5")
+def first_n_per_group(spark, sf_dir):
+    # Spark keeps the group limit before the shuffle.
+    ranked = table(spark, sf_dir, "documents").select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("place"))
+    return ranked.where("place <= 5")
+
+
+@query(
+    "percentiles_per_component",
+    f"""WITH m AS (SELECT doc_id, {N_WORDS} AS words, n_chars AS chars, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents),
+u AS (SELECT 'words' AS component, words AS v FROM m UNION ALL SELECT 'chars', chars FROM m UNION ALL SELECT 'lines', lines FROM m),
+r AS (SELECT component, v, row_number() OVER (PARTITION BY component ORDER BY v) AS i, count(*) OVER (PARTITION BY component) AS n FROM u)
+SELECT component, max(n) AS n, min(CASE WHEN i >= 0.5 * n THEN v END) AS p50, min(CASE WHEN i >= 0.9 * n THEN v END) AS p90, min(CASE WHEN i >= 0.99 * n THEN v END) AS p99, max(v) AS most FROM r GROUP BY 1""",
+)
+def percentiles_per_component(spark, sf_dir):
+    """Nearest-rank percentiles of several measures, from the counts of their distinct values."""
+    text = table(spark, sf_dir, "documents")
+    measured = text.select(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"), F.col("n_chars").alias("chars"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))
+    counts = measured.unpivot([], ["words", "chars", "lines"], "component", "v").groupBy("component", "v").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("component").agg(F.sum("n").alias("n_all"))
+    # Values by ranges: their counts are scanned by range first, then inside each.
+    before = running_sum(counts, F.col("n"), ["v"], F.floor(F.col("v") / 1000), ["component"], "before").join(totals, "component")
+    upto = F.col("before") + F.col("n")
+
+    def share(q):
+        return F.min(F.when(upto >= q * F.col("n_all"), F.col("v")))
+
+    return before.groupBy("component").agg(F.max("n_all").alias("n"), share(0.5).alias("p50"), share(0.9).alias("p90"), share(0.99).alias("p99"), F.max("v").alias("most"))
+
+
+@query(
+    "filtered_statistics",
+    "SELECT lang, count(*) AS n, count(*) FILTER (n_chars >= 1000) AS n_long, count(*) FILTER (text LIKE '%@%') AS n_at, count(*) FILTER (n_chars < 1000 AND text NOT LIKE '%@%') AS n_neither FROM documents GROUP BY 1",
+)
+def filtered_statistics(spark, sf_dir):
+    is_long, has_at = F.col("n_chars") >= 1000, F.contains("text", F.lit("@"))
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_long).alias("n_long"), F.count_if(has_at).alias("n_at"), F.count_if(~is_long & ~has_at).alias("n_neither")
+    )
+
+
+@query(
+    "tag_difference",
+    f"WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_type), '[a-z0-9]+') AS a, regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+') AS b FROM part) SELECT p_partkey, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS only_type, list_has_any(a, b) AS overlaps FROM t",
+)
+def tag_difference(spark, sf_dir):
+    """Tags of one list that the other lacks, in their order and without regard to case; whether they overlap."""
+
+    def tags(column):
+        return F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0))
+
+    both = table(spark, sf_dir, "part").select("p_partkey", tags(F.col("p_type")).alias("a"), tags(F.concat_ws(" ", "p_name", "p_brand")).alias("b"))
+    only = F.array_join(F.filter("a", lambda x: ~F.array_contains("b", x)), " ")
+    return both.select("p_partkey", only.alias("only_type"), F.arrays_overlap("a", "b").alias("overlaps"))
+
+
+@query(
+    "union_count_check",
+    """SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS n_first, (SELECT count(*) FROM documents WHERE lang <> 'en') AS n_second, (SELECT count(*) FROM documents WHERE lang IS NOT NULL) AS n_union, true AS holds""",
+)
+def union_count_check(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    union = docs.where("lang = 'en'").withColumn("side", F.lit(1)).unionByName(docs.where("lang <> 'en'").withColumn("side", F.lit(2)))
+    counted = union.agg(F.count_if(F.col("side") == 1).alias("n_first"), F.count_if(F.col("side") == 2).alias("n_second"), F.count(F.lit(1)).alias("n_union"))
+    return counted.withColumn("holds", F.col("n_first") + F.col("n_second") == F.col("n_union"))
+
+
+@query(
+    "either_path_present",
+    """WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN '/refined/' || o_orderkey || CASE WHEN o_orderkey % 5 = 0 THEN '_mini' ELSE '' END END AS refined, CASE WHEN o_orderkey % 2 = 0 THEN '/raw/' || o_orderkey END AS raw FROM orders WHERE o_orderstatus IS NOT NULL)
+SELECT o_orderkey, coalesce(refined, raw) AS path, coalesce(refined, raw) LIKE '%\\_mini' ESCAPE '\\' AS is_mini FROM p WHERE refined IS NOT NULL OR raw IS NOT NULL""",
+)
+def either_path_present(spark, sf_dir):
+    key = F.col("o_orderkey")
+    refined = F.when(key % 3 != 0, F.concat(F.lit("/refined/"), key.cast("string"), F.when(key % 5 == 0, "_mini").otherwise("")))
+    raw = F.when(key % 2 == 0, F.concat(F.lit("/raw/"), key.cast("string")))
+    orders = table(spark, sf_dir, "orders").dropna(subset=["o_orderstatus"])
+    paths = orders.select("o_orderkey", F.coalesce(refined, raw).alias("path")).where("path IS NOT NULL")
+    return paths.withColumn("is_mini", F.endswith("path", F.lit("_mini")))
+
+
+#: Segments that a caller may ask for.
+TIERS = {"auto": ("AUTOMOBILE",), "home": ("HOUSEHOLD", "FURNITURE"), "all": None}
+
+
+@query("tier_filter", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('HOUSEHOLD', 'FURNITURE')")
+def tier_filter(spark, sf_dir, tier: str = "home"):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return customers if TIERS[tier] is None else customers.where(F.col("c_mktsegment").isin(*TIERS[tier]))
+
+
+@query(
+    "array_membership_filter",
+    "WITH e AS (SELECT vec_id, label, embedding[1:4] AS head FROM embeddings) SELECT vec_id, label, len(list_filter(head, lambda x: x > 0)) > 0 AS any_positive, head[1] > 0 AS first_positive FROM e WHERE len(list_filter(head, lambda x: x > 0.5)) > 0 OR head[1] > 0",
+)
+def array_membership_filter(spark, sf_dir):
+    head = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).alias("head"))
+    kept = head.where(F.exists("head", lambda x: x > 0.5) | (F.element_at("head", 1) > 0))
+    return kept.select("vec_id", "label", F.exists("head", lambda x: x > 0).alias("any_positive"), (F.element_at("head", 1) > 0).alias("first_positive"))
+
+
+@query(
+    "piece_key_from_path",
+    r"SELECT page_id, regexp_replace(regexp_replace(url, '^(https?://)?(www\.)?', ''), '(\.html?|/)$', '') AS piece, url LIKE 'https://%' AS is_secure FROM pages",
+)
+def piece_key_from_path(spark, sf_dir):
+    stripped = F.regexp_replace(F.regexp_replace("url", r"^(https?://)?(www\.)?", ""), r"(\.html?|/)$", "")
+    return table(spark, sf_dir, "pages").select("page_id", stripped.alias("piece"), F.startswith("url", F.lit("https://")).alias("is_secure"))
+
+
+@query(
+    "domain_whitelist",
+    r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages WHERE regexp_matches(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '(\.edu|\.org|example\.com|[a-m][0-9]*\.[a-z]+)$')",
+)
+def domain_whitelist(spark, sf_dir):
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    allowed = F.array(*[F.lit(d) for d in (r"\.edu$", r"\.org$", r"example\.com$", r"[a-m][0-9]*\.[a-z]+$")])
+    return table(spark, sf_dir, "pages").select("page_id", host.alias("host")).where(F.exists(allowed, lambda d: F.rlike("host", d)))
+
+
+@query(
+    "structural_line_normalise",
+    f"WITH {LINES}, t AS (SELECT l_orderkey, rn, CASE WHEN rn % 2 = 1 THEN 'H' || rn ELSE 'C' || rn END || chr(9) || l_linenumber || chr(9) || '0' || chr(9) || '0' AS line FROM lines) SELECT l_orderkey, rn, regexp_replace(line, '^([HM])[0-9]+(\t[^\t]*\t[^\t]*\t[^\t]*)$', '\\1\\2') AS line FROM t",
+)
+def structural_line_normalise(spark, sf_dir):
+    head = F.when(F.col("rn") % 2 == 1, "H").otherwise("C")
+    line = F.concat_ws("\t", F.concat(head, F.col("rn").cast("string")), F.col("l_linenumber").cast("string"), F.lit("0"), F.lit("0"))
+    return lines(spark, sf_dir).select("l_orderkey", "rn", F.regexp_replace(line, "^([HM])[0-9]+(\t[^\t]*\t[^\t]*\t[^\t]*)$", "$1$2").alias("line"))
+
+
+@query(
+    "tag_validity",
+    "WITH t AS (SELECT p_partkey, list_filter(list_transform(string_split(p_name || ',' || p_type || ',,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> '') AS tags FROM part) SELECT p_partkey, len(tags)::BIGINT AS n_tags, len(tags) >= 3 AS valid FROM t",
+)
+def tag_validity(spark, sf_dir):
+    listed = F.split(F.concat(F.col("p_name"), F.lit(","), F.col("p_type"), F.lit(",,"), F.col("p_brand")), ",", -1)
+    tags = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != "")
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(tags).cast("long").alias("n_tags"), (F.size(tags) >= 3).alias("valid"))
+
+
+@query("record_text", "SELECT doc_id, concat(coalesce(lang, ''), ' ', coalesce(source, ''), ' ', coalesce(substr(text, 1, 40), '')) AS record FROM documents")
+def record_text(spark, sf_dir):
+    fields = [F.coalesce(c, F.lit("")) for c in (F.col("lang"), F.col("source"), F.substring("text", 1, 40))]
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", *fields).alias("record"))
+
+
+@query(
+    "hard_split_to_limit",
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, i AS piece, substr(t, (i * 500 + 1)::BIGINT, 500) AS text FROM (SELECT doc_id, t, unnest(range(0, (length(t) + 499) // 500)) AS i FROM d)",
+)
+def hard_split_to_limit(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.ceil(F.length(text) / 500)
+    cut = table(spark, sf_dir, "documents").where(F.length(text) > 0).select("doc_id", text.alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+    return cut.select("doc_id", "piece", F.substr(F.col("t"), (F.col("piece") * 500 + 1).cast("int"), F.lit(500)).alias("text"))
+
+
+@query(
+    "chunk_by_source_kind",
+    """WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'lines' WHEN 'fr' THEN 'whole' ELSE 'fixed' END AS kind, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, kind, len(string_split(t, chr(10)))::BIGINT AS n_chunks FROM d WHERE kind = 'lines' UNION ALL SELECT doc_id, kind, 1 FROM d WHERE kind = 'whole' UNION ALL SELECT doc_id, kind, (length(t) + 299) // 300 FROM d WHERE kind = 'fixed'""",
+)
+def chunk_by_source_kind(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    kind = F.when(F.col("lang") == "en", "lines").when(F.col("lang") == "fr", "whole").otherwise("fixed")
+    chunks = F.when(kind == "lines", F.size(F.split(text, "\n", -1))).when(kind == "whole", 1).otherwise(F.ceil(F.length(text) / 300))
+    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), chunks.cast("long").alias("n_chunks"))
+
+
+#: Keywords and the phrases they stand for.
+GISTS = (("password", "holds a credential"), ("license", "carries a license line"), ("http", "links to the web"), ("@", "names an address"), ("the ", "reads as english prose"), ("der ", "reads as german prose"))
+
+
+@query(
+    "gist_phrases",
+    "WITH k AS (SELECT doc_id, "
+    + ", ".join(f"instr(lower(coalesce(text, '')), '{w}') AS k{i}" for i, (w, _) in enumerate(GISTS))
+    + " FROM documents), u AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, k{i} AS spot, {i} AS place, '{p}' AS phrase, {len(p.split())} AS n FROM k WHERE k{i} > 0" for i, (_, p) in enumerate(GISTS))
+    + """), c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY spot, place) AS upto FROM u)
+SELECT doc_id, string_agg(phrase, ', ' ORDER BY spot, place) AS gist, max(upto)::BIGINT AS n_words FROM c WHERE upto <= 9 GROUP BY doc_id""",
+)
+def gist_phrases(spark, sf_dir):
+    """Phrases of the keywords that a text holds, by first place, while they stay within nine words."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    found = F.array(*[F.struct(F.instr(low, w).alias("at"), F.lit(i).alias("place"), F.lit(p).alias("phrase"), F.lit(len(p.split())).alias("n")) for i, (w, p) in enumerate(GISTS)])
+    ordered = F.array_sort(F.filter(found, lambda k: k["at"] > 0))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.expr("cast(array() as array<string>)").alias("said"))
+
+    def step(a, k):
+        fits = a["open"] & (a["n"] + k["n"] <= 9)
+        return F.struct(F.when(fits, a["n"] + k["n"]).otherwise(a["n"]).alias("n"), fits.alias("open"), F.when(fits, F.array_append(a["said"], k["phrase"])).otherwise(a["said"]).alias("said"))
+
+    folded = table(spark, sf_dir, "documents").select("doc_id", F.aggregate(ordered, start, step).alias("g")).where("g.n > 0")
+    return folded.select("doc_id", F.array_join("g.said", ", ").alias("gist"), F.col("g.n").cast("long").alias("n_words"))
+
+
+@query(
+    "comma_phrases",
+    "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda x: trim(x)), lambda x: length(x) >= 12)[1:3], ' | ') AS phrases FROM documents",
+)
+def comma_phrases(spark, sf_dir):
+    phrases = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), ",", -1), lambda x: F.trim(x)), lambda x: F.length(x) >= 12)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(phrases, 1, 3), " | ").alias("phrases"))
+
+
+@query(
+    "prompt_sections",
+    "SELECT o_orderkey, concat_ws(chr(10), 'Order: ' || o_orderkey, 'Customer: ' || o_custkey, CASE WHEN o_orderstatus <> 'F' THEN 'Status: ' || o_orderstatus END, 'Priority: ' || o_orderpriority) AS prompt FROM orders",
+)
+def prompt_sections(spark, sf_dir):
+    """Sections joined by line breaks; one without a value is left out."""
+
+    def section(name, column):
+        return F.concat(F.lit(f"{name}: "), F.col(column).cast("string"))
+
+    status = F.when(F.col("o_orderstatus") != "F", section("Status", "o_orderstatus"))
+    prompt = F.concat_ws("\n", section("Order", "o_orderkey"), section("Customer", "o_custkey"), status, section("Priority", "o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", prompt.alias("prompt"))
+
+
+@query(
+    "mask_rewrite",
+    r"SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[0-9]+', '<MASK>', 'g') AS masked, CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'Fill the masks.' ELSE 'Continue the text.' END AS instruction FROM conversations",
+)
+def mask_rewrite(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    instruction = F.when(F.rlike(text, F.lit("[0-9]")), "Fill the masks.").otherwise("Continue the text.")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(text, "[0-9]+", "<MASK>").alias("masked"), instruction.alias("instruction"))
+
+
+@query(
+    "compact_serialisation",
+    f"WITH {LINES} SELECT l_orderkey, string_agg(l_partkey || ':' || l_quantity::BIGINT || CASE WHEN l_returnflag = 'R' THEN 'L' ELSE '' END, ' ' ORDER BY rn) AS line FROM lines GROUP BY 1",
+)
+def compact_serialisation(spark, sf_dir):
+    item = F.concat(F.col("l_partkey").cast("string"), F.lit(":"), F.col("l_quantity").cast("long").cast("string"), F.when(F.col("l_returnflag") == "R", "L").otherwise(""))
+    grouped = lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("rn", item.alias("item")))).alias("items"))
+    return grouped.select("l_orderkey", F.array_join(F.col("items.item"), " ").alias("line"))
+
+
+@query(
+    "compact_context",
+    """WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM conversations)
+SELECT conv_id, turn, lag(w[-1]) OVER p AS previous_last, array_to_string(w[1:5], ' ') AS target, lead(w[1]) OVER p AS next_first FROM t WINDOW p AS (PARTITION BY conv_id ORDER BY turn)""",
+)
+def compact_context(spark, sf_dir):
+    """Last word of the turn before, the head of the turn, first word of the next."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(words, 0).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"), F.array_join(F.slice(words, 1, 5), " ").alias("target"))
+    turns = W.partitionBy("conv_id").orderBy("turn")
+    return cut.select("conv_id", "turn", F.lag("last").over(turns).alias("previous_last"), "target", F.lead("first").over(turns).alias("next_first"))
+
+
+@query(
+    "human_size",
+    "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE (n_chars // 1024) || '.' || ((n_chars % 1024) * 10 // 1024) || ' KB' END AS size FROM documents",
+)
+def human_size(spark, sf_dir):
+    n = F.col("n_chars")
+    whole, tenth = F.expr("n_chars div 1024").cast("string"), F.expr("(n_chars % 1024) * 10 div 1024").cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(whole, F.lit("."), tenth, F.lit(" KB"))).alias("size"))
+
+
+@query(
+    "name_parts",
+    "SELECT s_suppkey, string_split(s_name, '#')[1] AS maker, try_cast(string_split(s_name, '#')[2] AS BIGINT) AS number FROM supplier",
+)
+def name_parts(spark, sf_dir):
+    parts = F.split("s_name", "#", -1)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.get(parts, 0).alias("maker"), F.get(parts, 1).try_cast("long").alias("number"))
+
+
+@query(
+    "sampled_sequence_match",
+    f"""WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER ({EVENTS}) AS i FROM events WHERE user_id IS NOT NULL),
+a AS (SELECT user_id AS u, event_type AS x, i FROM e WHERE i <= 40 AND (i - 1) % 4 = 0), b AS (SELECT user_id - 1 AS u, event_type AS y, i FROM e WHERE i <= 40 AND (i - 1) % 4 = 0)
+SELECT u AS user_id, count(*) AS n_sampled, sum((x = y)::INT)::BIGINT AS n_equal FROM a JOIN b USING (u, i) GROUP BY 1""",
+)
+def sampled_sequence_match(spark, sf_dir):
+    """Share of equal types of a user and the next one, at every fourth of the first forty places: a sampling operator."""
+    ranked = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_type", F.row_number().over(by_user()).alias("i")).where("i <= 40 AND (i - 1) % 4 = 0")
+    other = ranked.select((F.col("user_id") - 1).alias("user_id"), "i", F.col("event_type").alias("other"))
+    return ranked.join(other, ["user_id", "i"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("event_type") == F.col("other")).alias("n_equal"))
+
+
+@query(
+    "reply_parse_pivot",
+    """WITH r AS (SELECT event_id, 'FILE_' || user_id || '_' || CASE WHEN event_id % 2 = 0 THEN 'alpha' ELSE 'beta' END || ': ' || event_type AS line FROM events),
+p AS (SELECT event_id, regexp_extract(line, '^FILE_(\\d+)_(alpha|beta): (.*)$', 1)::BIGINT AS file, regexp_extract(line, '^FILE_(\\d+)_(alpha|beta): (.*)$', 2) AS kind, regexp_extract(line, '^FILE_(\\d+)_(alpha|beta): (.*)$', 3) AS said FROM r)
+SELECT file, arg_min(said, event_id) FILTER (kind = 'alpha') AS alpha, arg_min(said, event_id) FILTER (kind = 'beta') AS beta FROM p GROUP BY 1""",
+)
+def reply_parse_pivot(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 2 == 0, "alpha").otherwise("beta")
+    line = F.concat(F.lit("FILE_"), F.col("user_id").cast("string"), F.lit("_"), kind, F.lit(": "), F.col("event_type"))
+    pattern = r"^FILE_(\d+)_(alpha|beta): (.*)$"
+    parsed = table(spark, sf_dir, "events").select("event_id", *[F.regexp_extract(line, pattern, i).alias(n) for i, n in ((1, "file"), (2, "kind"), (3, "said"))])
+
+    def first(name):
+        return F.min(F.when(F.col("kind") == name, F.struct("event_id", "said")))["said"].alias(name)
+
+    return parsed.groupBy(F.col("file").cast("long").alias("file")).agg(first("alpha"), first("beta"))
+
+
+@query("text_card", "SELECT n_nationkey, format('Nation {} ({}) has {} customers.', n_name, n_nationkey, count(c_custkey)) AS card FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name")
+def text_card(spark, sf_dir):
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    joined = table(spark, sf_dir, "nation").join(counts, "n_nationkey", "left")
+    return joined.select("n_nationkey", F.format_string("Nation %s (%d) has %d customers.", "n_name", "n_nationkey", F.coalesce("n", F.lit(0))).alias("card"))
+
+
+@query(
+    "split_at_marker",
+    "SELECT doc_id, i AS part, s[i + 1] AS text FROM (SELECT doc_id, s, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), '. '), lambda x: trim(x) <> '') AS s FROM documents))",
+)
+def split_at_marker(spark, sf_dir):
+    """Parts between markers, numbered from zero; blank ones are left out."""
+    parts = F.filter(F.split(F.coalesce("text", F.lit("")), r"\. ", -1), lambda x: F.trim(x) != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "text")).select("doc_id", F.col("part").cast("long").alias("part"), "text")
+
+
+@query(
+    "candidate_pair_blocking",
+    """SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND floor(ln(a.s_acctbal + 2000) / 0.05) = floor(ln(b.s_acctbal + 2000) / 0.05)
+WHERE (a.s_acctbal + 2000) / (b.s_acctbal + 2000) BETWEEN 0.75 AND 1.33""",
+)
+def candidate_pair_blocking(spark, sf_dir):
+    """Pairs of one nation and one narrow band of balances: blocks stay small as the table grows."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") + 2000).alias("v")).withColumn("band", F.floor(F.ln("v") / 0.05))
+    a, b = own.select(F.col("s_suppkey").alias("a"), "s_nationkey", "band", F.col("v").alias("va")), own.select(F.col("s_suppkey").alias("b"), "s_nationkey", "band", F.col("v").alias("vb"))
+    return a.join(b, ["s_nationkey", "band"]).where((F.col("a") < F.col("b")) & (F.col("va") / F.col("vb")).between(0.75, 1.33)).select("a", "b", "s_nationkey")
+
+
+@query(
+    "sample_at_most_n",
+    "SELECT doc_id FROM documents ORDER BY sha256('sample:' || doc_id), doc_id LIMIT 50",
+)
+def sample_at_most_n(spark, sf_dir):
+    """Fifty documents in hash order: a sampling operator."""
+    return table(spark, sf_dir, "documents").select("doc_id").orderBy(hash_key("sample", "doc_id"), "doc_id").limit(50)
