@@ -128,3 +128,20 @@ def test_run_repeats_itself(spark, stages):
     again = corpus_pipeline.run(spark, DATA).toPandas()
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     assert sorted(map(tuple, again[key].to_numpy().tolist())) == sorted(map(tuple, stages["packing"][key].to_numpy().tolist()))
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, docs, rows):
+    now, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = staged(stage(spark, now, DATA), f"edge-{name}")
+        kept[name] = now.count()
+        if name != "packing":
+            assert now.columns == list(corpus_pipeline.COLUMNS)
+            now = now.withColumn("spans", F.lit("clash")).withColumn("th", F.lit(1)).withColumn("size", F.lit(2)).withColumn("component", F.lit("c"))
+    assert 0 < kept["near_dedup"] < kept["toxicity"] <= len(rows)
+    assert kept["secrets"] == kept["near_dedup"] and kept["mixing"] > 0 and kept["packing"] > 0
+
+
+def test_stages_take_an_empty_table(spark, empty):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0, name
