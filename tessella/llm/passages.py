@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import staged
+from tessella.llm.common import discard, staged
 
 WINDOW = 35
 GRAM = 8
@@ -240,8 +240,8 @@ class Automaton:
         return out
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """Spans (did, th, start, end in words) that windows occurring twice or more cover."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
+    """The staged runs, and the spans (did, th, start, end in words) that windows occurring twice or more cover."""
     found = staged(recurring_runs(docs, window, gram), "passage-runs")
     hot = staged(found.groupBy("anchor").count().where(F.col("count") > hot_runs).select("anchor", F.lit(True).alias("hot")), "passage-hot")
     flagged = found.join(hot, "anchor", "left")
@@ -327,7 +327,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
 
     sent = joined.mapInArrow(cut, "anchor long, run binary, did long, th long, first int, n int")
     to = F.when(F.col("run").isNull(), F.xxhash64("did", "first")).otherwise(F.col("anchor"))
-    return sent.repartition(to).sortWithinPartitions("anchor").mapInArrow(shard, "did long, th long, start int, end int")
+    return found, sent.repartition(to).sortWithinPartitions("anchor").mapInArrow(shard, "did long, th long, start int, end int")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
@@ -340,7 +340,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     read whole.
     """
     own = keyed(docs)
-    spans = staged(repeated_spans(own, window, gram, hot_runs), "passage-spans")
+    found, sent = repeated_spans(own, window, gram, hot_runs)
+    spans = staged(sent, "passage-spans")
+    discard(found)
     per_doc = spans.groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -202,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    owned = staged(docs.select("doc_id", "text").join(F.broadcast(staged(sample, "toxic-sample")), "doc_id").select("text", "toxic"), "toxic-texts")
+    marked = docs.select("doc_id", "text").join(F.broadcast(staged(sample, "toxic-sample")), "doc_id")
+    # One text of each id, so repeated ids do not pass the bound of the sample.
+    owned = staged(marked.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "toxic-texts")
 
     def count(batches):
         both = np.zeros((2, BUCKETS), np.int64)
