@@ -24,6 +24,7 @@ from tessella.llm.common import running_offset, staged
 CAPACITY = 2048
 FINE = 64
 END_ID = 1
+#: Words that a Python worker remembers; about 200 bytes each. A job of nothing but tokens can afford more.
 CACHED_WORDS = 500_000
 END_MARKS = ".,;:!?"
 LATIN_END = "\u0250"
@@ -59,7 +60,8 @@ class WordTokenizer:
 
     shared: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_WORDS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,10 +70,11 @@ class WordTokenizer:
         self.letters = byte_letters()
 
     @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        """The tokenizer of this Python worker, whose cache serves all its tasks."""
+    def of(cls, path: str, most: int = CACHED_WORDS) -> WordTokenizer:
+        """The tokenizer of this Python worker, whose cache of ``most`` words serves all its tasks."""
         if path not in cls.shared:
             cls.shared[path] = cls(path)
+        cls.shared[path].most = most
         return cls.shared[path]
 
     @staticmethod
@@ -102,9 +105,9 @@ class WordTokenizer:
         known = self.known
         words_here = set(chain.from_iterable(words or () for words in split))
         missing = [w for w in words_here if w not in known]
-        if len(known) + 2 * len(missing) > CACHED_WORDS:
+        if len(known) + 2 * len(missing) > self.most:
             # The first half stays: words that came early are frequent ones.
-            known = self.known = dict(islice(known.items(), CACHED_WORDS // 2)) if len(missing) < CACHED_WORDS // 8 else {}
+            known = self.known = dict(islice(known.items(), self.most // 2)) if len(missing) < self.most // 8 else {}
             missing = [w for w in words_here if w not in known]
         apart = {w: self.parts(w) for w in missing}
         self.fresh(list({p for pair in apart.values() for p in pair if p and p not in known}))
@@ -118,7 +121,7 @@ class WordTokenizer:
         ]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Tokenize ``docs`` (doc_id, text) and cut them: doc_id, start, length, ids, doc_tokens.
 
     ``ids`` holds the piece's ids as little-endian unsigned 32-bit numbers. A
@@ -129,7 +132,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = WordTokenizer.of(tokenizer_path)
+        words = WordTokenizer.of(tokenizer_path, cached_words)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

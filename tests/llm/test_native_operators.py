@@ -246,3 +246,21 @@ def test_empty_secrets(empty):
 
 def test_crc_of_empty_text(spark):
     assert spark.range(1).select(F.crc32(F.lit("").cast("binary")).alias("c")).first()["c"] == zlib.crc32(b"")
+
+
+def test_word_tokens_equal_those_of_whole_texts():
+    import unicodedata
+
+    import public_tokenizers
+
+    words = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), 3000)
+    rng = np.random.default_rng(3)
+    cased = [chr(c) for c in range(0x3000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt")]
+    texts = []
+    for _ in range(6000):
+        own = ["".join(rng.choice([rng.choice(cased), "İ", "ß", "e"]) for _ in range(rng.integers(1, 5))) + "".join(rng.choice(list(".,;:!?'"), rng.integers(0, 3))) for _ in range(3)]
+        texts.append(" ".join(own))
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        wanted = [np.asarray(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert words.encode(part) == wanted
