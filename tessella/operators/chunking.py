@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.folds import ordered_fold, segment_rows
 from tessella.operators.packing import fold_pack
 from tessella.operators.ranking import running_sum
-from tessella.operators.text import with_value, words
+from tessella.operators.text import WORD, with_value, words
 
 #: Boundary bonus by length of a segment.
 PREFERRED = {4: 40, 8: 35}
+SEGMENT = "segment int, start bigint, n bigint"
 
 
-def line_units(text: Column, budget: int) -> Column:
+def line_units(text: Column, budget: int | Column) -> Column:
     """Non-blank lines as units; a line of more than ``budget`` words is split into runs of that many."""
 
     def units(own: Column) -> Column:
@@ -23,17 +25,38 @@ def line_units(text: Column, budget: int) -> Column:
     return F.flatten(F.transform(F.split(text, "\n", -1), lambda line: with_value(words(line), units)))
 
 
-def chunk_text(docs: DataFrame, key: str, text: str, budget: int) -> DataFrame:
+def chunk_text(docs: DataFrame, key: str, text: str, budget: int, opening: Column | None = None, closing: Column | None = None) -> DataFrame:
     """Chunks of at most ``budget`` words: key, chunk_id, n_units, num_tokens, chunk.
 
     Lines are packed greedily and never cut unless a line alone exceeds the
-    budget. A text is one row, so nothing is shuffled.
+    budget. With ``opening`` and ``closing`` the text is the body of a fenced
+    block: each chunk is a block of its own, whose fences count. A text is one
+    row, so nothing is shuffled.
     """
-    units = docs.select(key, line_units(F.col(text), budget).alias("_units"))
+    edges = [e if e is not None else F.lit("") for e in (opening, closing)]
+    fences = F.size(words(edges[0])) + F.size(words(edges[1]))
+    units = docs.select(key, edges[0].alias("_open"), edges[1].alias("_close"), fences.alias("_fences"), F.col(text).alias("_text"))
+    units = units.withColumn("_units", line_units(F.col("_text"), F.greatest(F.lit(1), F.lit(budget) - F.col("_fences"))))
     costs = F.transform("_units", lambda u, i: F.struct(i.cast("long").alias("pos"), F.size(F.split(u, " ")).cast("long").alias("cost")))
-    packed = units.select(key, "_units", F.posexplode(fold_pack(costs, budget)).alias("chunk_id", "_c"))
-    joined = F.array_join(F.slice("_units", (F.col("_c.first") + 1).cast("int"), F.col("_c.items").cast("int")), "\n")
-    return packed.select(key, "chunk_id", F.col("_c.items").alias("n_units"), F.col("_c.tokens").alias("num_tokens"), joined.alias("chunk"))
+    packed = units.select(key, "_open", "_close", "_units", F.posexplode(fold_pack(costs, budget, F.col("_fences"))).alias("chunk_id", "_c"))
+    own = F.slice("_units", (F.col("_c.first") + 1).cast("int"), F.col("_c.items").cast("int"))
+    fence = [F.filter(F.array(e), lambda x: x != "") for e in ("_open", "_close")]
+    body = F.array_join(F.concat(fence[0], own, fence[1]), "\n")
+    return packed.select(key, "chunk_id", F.col("_c.items").alias("n_units"), F.col("_c.tokens").alias("num_tokens"), body.alias("chunk"))
+
+
+def chunk_chars(docs: DataFrame, key: str, text: str, heading: Column, budget: int) -> DataFrame:
+    """Chunks of non-blank lines under a repeated heading, at most ``budget`` characters as rendered: key, chunk_id, n_lines, num_chars, chunk.
+
+    What counts is the whole chunk with its heading and line ends. A line that
+    is too long alone is a chunk of its own.
+    """
+    lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
+    own = docs.select(key, heading.alias("_heading"), lines.alias("_lines"))
+    costs = F.transform("_lines", lambda line, i: F.struct(i.cast("long").alias("pos"), (F.length(line) + 1).cast("long").alias("cost")))
+    packed = own.select(key, "_heading", "_lines", F.posexplode(fold_pack(costs, budget, F.length("_heading"))).alias("chunk_id", "_c"))
+    body = F.slice("_lines", (F.col("_c.first") + 1).cast("int"), F.col("_c.items").cast("int"))
+    return packed.select(key, "chunk_id", F.col("_c.items").alias("n_lines"), F.col("_c.tokens").alias("num_chars"), F.array_join(F.concat(F.array("_heading"), body), "\n").alias("chunk"))
 
 
 def adaptive_segments(scores: Column, least: int, most: int) -> Column:
@@ -70,6 +93,33 @@ def adaptive_segments(scores: Column, least: int, most: int) -> Column:
     return F.aggregate(places, first, step, lambda a: a["out"])
 
 
+def segment_ordered(df: DataFrame, key: list[str], order: list[str], score: str, least: int, most: int) -> DataFrame:
+    """``adaptive_segments`` over rows in order, streamed: key, segment, start, n."""
+
+    def bonus(n: int, room: int) -> float:
+        return float("-inf") if least < n == room else PREFERRED.get(n, 0) if n < room else 0
+
+    return ordered_fold(df, key, order, [score], SEGMENT, segment_rows(least, most, bonus, lambda room: room < least))
+
+
+def select_segments(df: DataFrame, key: list[str], order: list[str], bonus: str, unit: int, least: int, most: int, target: int, shortest: int, longest: int) -> DataFrame:
+    """Segments of ``least`` to ``most`` rows near ``target``, each row lasting ``unit``: key, segment, start, n.
+
+    A segment may be longer than ``most`` rows while it lasts no more than
+    ``longest``. Scores are -20 |time - target| - 5 |rows - middle| + 7 bonus of
+    the last row; ties go to the longer one. ``least`` rows or fewer at the end
+    are one segment.
+    """
+    first, last = max(least, -(-shortest // unit)), max(most, longest // unit)
+    middle = (least + most) / 2
+
+    def closeness(n: int, room: int) -> float:
+        return -20 * abs(n * unit - target) - 5 * abs(n - middle)
+
+    weighted = df.withColumn("_score", (F.col(bonus) * 7).cast("double"))
+    return ordered_fold(weighted, key, order, ["_score"], SEGMENT, segment_rows(first, last, closeness, lambda room: room <= least or room < first, True))
+
+
 def cycle_to_target(df: DataFrame, order: list[str], block: Column, cost: str, target: int) -> DataFrame:
     """Repeat the rows in order, cycle after cycle, until their costs reach ``target``: adds ``cycle``."""
     total = df.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("t")).first()["t"]  # one number

@@ -19,25 +19,40 @@ def range_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, sta
     return points.withColumn("_bin", F.floor(F.col(at) / width)).join(binned, [*key, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], value: str, right_id: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: list[str], value: str, right_id: str, width: float = 4096) -> DataFrame:
     """For each left row the right row of its key with the nearest value.
 
-    One sort per key: the nearest rows below and above are the only candidates.
-    Ties go to the smaller distance, then the smaller id. ``left`` keeps its
-    columns and gains ``match_id`` and ``distance``; without a right row they
-    are null.
+    The nearest rows below and above are the only candidates. Values are sorted
+    by key and range of ``width``; a range without a right row below or above
+    takes that of the nearest range that has one, carried over the ranges of the
+    key. Ties go to the smaller distance, then the smaller id. ``left`` keeps
+    its columns and gains ``match_id`` and ``distance``; without a right row
+    they are null. Null keys are equal, a null value has no match.
     """
     own = left.withColumn("_side", F.lit(1)).withColumn("_hit", F.lit(None).cast(f"struct<v: double, id: {right.schema[right_id].dataType.simpleString()}>"))
-    other = right.select(*key, value, F.lit(0).alias("_side"), F.struct(F.col(value).cast("double").alias("v"), F.col(right_id).alias("id")).alias("_hit"))
-    both = own.unionByName(other, allowMissingColumns=True)
+    other = right.where(F.col(value).isNotNull()).select(*key, value, F.lit(0).alias("_side"), F.struct(F.col(value).cast("double").alias("v"), F.col(right_id).alias("id")).alias("_hit"))
+    both = own.unionByName(other, allowMissingColumns=True).withColumn("_bin", F.floor(F.col(value) / width))
+    # Lowest and highest right row of each range; equal values keep the smaller id.
+    low = F.min("_hit")
+    high = F.min(F.when(F.col("_hit").isNotNull(), F.struct((-F.col("_hit.v")).alias("m"), F.col("_hit.id").alias("id"))))
+    edges = both.groupBy(*key, "_bin").agg(low.alias("_low"), high.alias("_top")).withColumn("_high", F.when(F.col("_top").isNotNull(), F.struct((-F.col("_top.m")).alias("v"), F.col("_top.id").alias("id"))))
+    ranges = W.partitionBy(*key).orderBy("_bin")
+    carried = edges.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)],
+        F.col("_bin").alias("_at"),
+        F.last("_high", ignorenulls=True).over(ranges.rowsBetween(W.unboundedPreceding, -1)).alias("_under"),
+        F.first("_low", ignorenulls=True).over(ranges.rowsBetween(1, W.unboundedFollowing)).alias("_over"),
+    )
     order = [value, "_side", F.col("_hit.id").desc()]
-    below = F.last("_hit", ignorenulls=True).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    below = F.last("_hit", ignorenulls=True).over(W.partitionBy(*key, "_bin").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     rev = [F.col(value).desc(), "_side", F.col("_hit.id").desc()]
-    above = F.last("_hit", ignorenulls=True).over(W.partitionBy(*key).orderBy(*rev).rowsBetween(W.unboundedPreceding, 0))
-    found = both.withColumn("_b", below).withColumn("_a", above).where("_side = 1")
+    above = F.last("_hit", ignorenulls=True).over(W.partitionBy(*key, "_bin").orderBy(*rev).rowsBetween(W.unboundedPreceding, 0))
+    same = [F.col("_bin") == F.col("_at")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
+    inside = both.withColumn("_b", below).withColumn("_a", above).where("_side = 1")
+    found = inside.join(carried, same, "left").withColumn("_b", F.coalesce("_b", "_under")).withColumn("_a", F.coalesce("_a", "_over"))
 
     def option(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col(value)).alias("d"), F.col(f"{c}.id").alias("id")))
+        return F.when(F.col(c).isNotNull() & F.col(value).isNotNull(), F.struct(F.abs(F.col(f"{c}.v") - F.col(value)).alias("d"), F.col(f"{c}.id").alias("id")))
 
     best = F.array_min(F.array_compact(F.array(option("_b"), option("_a"))))
     return found.withColumn("_best", best).select(*left.columns, F.col("_best.id").alias("match_id"), F.col("_best.d").alias("distance"))

@@ -1,7 +1,7 @@
 """Greedy packing of ordered items under a token budget.
 
-The fold runs inside one row per group, over the array of its items; what it
-gathers grows with the chunks of the group, not with its items.
+Items inside one row are folded as an array (``fold_pack``); items that are
+rows of a group are streamed (``greedy_pack``, ``accept_in_order``).
 """
 
 from __future__ import annotations
@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.folds import accept_rows, ordered_fold, pack_rows
+
 CHUNK = "struct<first: bigint, last: bigint, items: bigint, tokens: bigint>"
 
 
-def fold_pack(items: Column, budget: int, prefix: int = 0, skip_oversize: bool = False) -> Column:
+def fold_pack(items: Column, budget: int, prefix: int | Column = 0, skip_oversize: bool = False) -> Column:
     """Chunks of an ordered array of (pos, cost): array of (first, last, items, tokens).
 
     A chunk closes before an item that would exceed the budget. An item larger
@@ -42,9 +44,9 @@ def fold_pack(items: Column, budget: int, prefix: int = 0, skip_oversize: bool =
 
 def greedy_pack(df: DataFrame, group: list[str], pos: Column, cost: Column, budget: int, prefix: int = 0, skip_oversize: bool = False) -> DataFrame:
     """Pack the rows of each group in order: group, chunk_id, first, last, items, tokens, is_over_budget."""
-    items = F.array_sort(F.collect_list(F.struct(pos.cast("long").alias("pos"), cost.cast("long").alias("cost"))))
-    chunks = df.groupBy(*group).agg(items.alias("_items")).select(*group, F.posexplode(fold_pack(F.col("_items"), budget, prefix, skip_oversize)).alias("chunk_id", "_c"))
-    return chunks.select(*group, "chunk_id", "_c.*", (F.col("_c.tokens") > budget).alias("is_over_budget"))
+    items = df.select(*group, pos.cast("long").alias("_pos"), cost.cast("long").alias("_cost"))
+    chunks = ordered_fold(items, group, ["_pos", "_cost"], ["_pos", "_cost"], "chunk_id int, first bigint, last bigint, items bigint, tokens bigint", pack_rows(budget, prefix, skip_oversize))
+    return chunks.withColumn("is_over_budget", F.col("tokens") > budget)
 
 
 def pack_lines(docs: DataFrame, key: str, text: Column, budget: int, tokens) -> DataFrame:
@@ -66,3 +68,9 @@ def accept_while_fits(items: Column, budget: Column) -> Column:
         return F.struct(F.when(fits, F.array_append(a["ids"], x["id"])).otherwise(a["ids"]).alias("ids"), F.when(fits, a["left"] - x["cost"]).otherwise(a["left"]).alias("left"))
 
     return F.aggregate(items, start, step, lambda a: a["ids"])
+
+
+def accept_in_order(df: DataFrame, group: list[str], order: list[str], own: str, cost: str, budget: int) -> DataFrame:
+    """Ids (``own``) accepted in order within the group's budget when rows that do not fit are passed over."""
+    kind = df.schema[own].dataType.simpleString()
+    return ordered_fold(df, group, order, [own, cost], f"`{own}` {kind}", accept_rows(budget))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessella.operators.ranking import even_parts, hash_ranked, running_sum
+from tessella.operators.folds import ordered_fold
+from tessella.operators.ranking import even_parts, hash_block, hash_ranked, running_sum
 
 
 def with_total(df: DataFrame, group: list[str], value: Column | None = None, out: str = "total") -> DataFrame:
@@ -60,7 +61,7 @@ def proportional(df: DataFrame, group: list[str], key: str, seed: str, cost: str
     sized = with_total(with_total(df, group, F.col(cost), "group_cost"), [], F.col(cost), "all_cost")
     share = F.floor(F.lit(budget) * F.col("group_cost") / F.col("all_cost"))
     ranked = hash_ranked(sized.withColumn("share", share), seed, key, group=group)
-    spent = running_sum(ranked, F.col(cost), ["hash_key"], F.substring("hash_key", 1, 2), group, "spent")
+    spent = running_sum(ranked, F.col(cost), ["hash_key"], hash_block(), group, "spent")
     return spent.where(F.col("spent") + F.col(cost) <= F.col("share")).drop("group_cost", "all_cost")
 
 
@@ -88,7 +89,55 @@ def hold_out_groups(df: DataFrame, group: str, seed: str, wanted: int) -> DataFr
     """Groups in hash order whose rows start before ``wanted`` rows are held out: group, n."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     ranked = hash_ranked(counts, seed, group)
-    return running_sum(ranked, F.col("n"), ["hash_key"], F.substring("hash_key", 1, 2), None, "held").where(F.col("held") < wanted).select(group, "n")
+    return running_sum(ranked, F.col("n"), ["hash_key"], hash_block(), None, "held").where(F.col("held") < wanted).select(group, "n")
+
+
+def hold_out_fitting(df: DataFrame, group: str, seed: str, wanted: int, most: float = 1.5) -> DataFrame:
+    """Groups in hash order, those that would exceed ``most * wanted`` rows passed over, until ``wanted`` rows are held: group, n.
+
+    Groups up to (most - 1) * wanted rows always fit until ``wanted`` is
+    reached, so only those of them that start before it, and the larger ones
+    that fit at all, are candidates: at most ``wanted`` small groups and
+    rows / ((most - 1) * wanted) large ones, which one task folds.
+    """
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most * wanted)
+    small = F.when(F.col("n") <= (most - 1) * wanted, F.col("n")).otherwise(0)
+    ranked = running_sum(hash_ranked(counts, seed, group), small, ["hash_key"], hash_block(), None, "_small").where(F.col("_small") < wanted)
+
+    def fold(rows):
+        held = 0
+        for own, n in rows:
+            if held >= wanted:
+                return
+            if held + n <= most * wanted:
+                held += n
+                yield own, n
+
+    kind = counts.schema[group].dataType.simpleString()
+    chosen = ordered_fold(ranked.withColumn("_all", F.lit(0)), ["_all"], ["hash_key"], [group, "n"], f"`{group}` {kind}, n bigint", fold)
+    return chosen.drop("_all")
+
+
+def fill_to_floor(df: DataFrame, order: list[str], block: Column, cost: str, floor: int, extra: list[int]) -> DataFrame:
+    """All rows once (``cycle`` 0), then again, cycle after cycle, row by row until their costs reach ``floor``.
+
+    A row of cycle c > 0 costs ``extra[(c - 1) % len(extra)]`` more. Adds
+    ``cycle`` and ``spent``, what was reached before the row.
+    """
+    sums = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(cost), F.lit(0)).alias("t")).first()  # two numbers
+    period = [sums["t"] + e * sums["n"] for e in extra]
+    if not sum(period):
+        return df.withColumn("cycle", F.lit(0)).withColumn("spent", F.lit(0).cast("long"))
+    # Whole periods by division; the cycles of the last one are few.
+    periods = max(0, floor - sums["t"]) // sum(period) + 1
+    placed = running_sum(running_sum(df, F.col(cost), order, block, None, "_cost"), F.lit(1), order, block, None, "_place")
+    again = placed.withColumn("cycle", F.explode(F.sequence(F.lit(1), F.lit(periods * len(extra)))))
+    at = (F.col("cycle") - 1) % len(extra)
+    steps, starts = F.array(*[F.lit(e) for e in extra]), F.array(*[F.lit(sum(period[:i])) for i in range(len(extra))])
+    begun = F.lit(sums["t"]) + F.floor((F.col("cycle") - 1) / len(extra)) * sum(period) + F.element_at(starts, at + 1)
+    again = again.withColumn("spent", (begun + F.col("_cost") + F.col("_place") * F.element_at(steps, at + 1)).cast("long")).where(F.col("spent") < floor)
+    first = placed.withColumn("cycle", F.lit(0)).withColumn("spent", F.col("_cost"))
+    return first.unionByName(again).drop("_cost", "_place")
 
 
 def train_rows(df: DataFrame, held: DataFrame, group: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators.folds import consume_rows, ordered_fold
+
 
 def _upto(key: list[str], order: list[str]):
     return W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -50,6 +52,30 @@ def gap_sessions(df: DataFrame, key: list[str], order: list[str], tick: Column,
     return df.withColumn("_far", F.coalesce(far.cast("int"), F.lit(0))).withColumn(out, F.sum("_far").over(_upto(key, order))).drop("_far")
 
 
+def onset_groups(df: DataFrame, key: list[str], order: list[str], tick: str, width: int) -> DataFrame:
+    """Groups of rows within ``width`` of their group's first row: key, tick, group (0-based), anchor.
+
+    Unlike ``gap_sessions`` a chain of small gaps ends where it leaves the first
+    row's reach, which only a fold can say.
+    """
+
+    def fold(rows):
+        group, anchor = -1, None
+        for (at,) in rows:
+            if at is not None and (anchor is None or at - anchor > width):
+                group, anchor = group + 1, at
+            yield at, max(group, 0), anchor
+
+    kind = df.schema[tick].dataType.simpleString()
+    return ordered_fold(df, key, order, [tick], f"`{tick}` {kind}, group int, anchor {kind}", fold)
+
+
+def consume_counts(df: DataFrame, key: list[str], order: list[str], item: str, expected: str, total: str) -> DataFrame:
+    """The groups each row consumes when rows take their expected count in turn: key, item, first_group, last_group (see ``folds.consume_rows``)."""
+    kind = df.schema[item].dataType.simpleString()
+    return ordered_fold(df, key, order, [item, expected, total], f"`{item}` {kind}, first_group bigint, last_group bigint", consume_rows)
+
+
 def interpolate(df: DataFrame, key: list[str], position: str, value: str, out: str = "filled") -> DataFrame:
     """Fill nulls linearly by position between known values; flat beyond the ends."""
     back = _upto(key, [position])

@@ -41,10 +41,7 @@ def adaptive_segments(spark, sf_dir):
     far = F.coalesce((F.lead("us").over(w) - F.col("us") > 4 * HOUR).cast("int"), F.lit(1))
     change = F.coalesce((F.lead("event_type").over(w) != F.col("event_type")).cast("int"), F.lit(1))
     scored = events(spark, sf_dir).withColumn("score", 30 * far + 10 * change + 20 * (F.col("event_type") == "purchase").cast("int"))
-    grouped = scored.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "score"))), lambda x: x["score"]).alias("s"))
-    lengths = grouped.select("user_id", F.posexplode(chunking.adaptive_segments(F.col("s"), 3, 9)).alias("segment", "n"))
-    before = W.partitionBy("user_id").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
-    return lengths.select("user_id", "segment", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("start"), F.col("n").cast("long").alias("n"))
+    return chunking.segment_ordered(scored, KEY, ORDER, "score", 3, 9)
 
 
 @query(

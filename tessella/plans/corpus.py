@@ -210,7 +210,8 @@ SELECT lang, max(CASE WHEN i = floor(n * 0.9) THEN n_chars END) AS p90_floor, ma
 def percentile_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "n_chars")
     ranks = stats.rank_percentiles(docs, ["lang"], "n_chars", {f"p90_{r}": (r, 0.9) for r in stats.RULES})
-    return ranks.join(docs.groupBy("lang").agg(F.round(F.percentile("n_chars", 0.9), 6).alias("p90_linear")), "lang")
+    linear = stats.linear_percentile(docs, ["lang"], "n_chars", 0.9, "p90_linear")
+    return ranks.join(linear.select("lang", F.round("p90_linear", 6).alias("p90_linear")), "lang")
 
 
 @query(
@@ -219,7 +220,9 @@ def percentile_rules(spark, sf_dir):
 SELECT lang, p95, p99, CASE WHEN p99 <= 1024 THEN 'over 99%' WHEN p95 <= 1024 THEN '95-99%' ELSE 'under 95%' END AS coverage, round(1 - least(mean, 1024) / 1024, 9) AS padding FROM q""",
 )
 def coverage_estimate(spark, sf_dir):
-    q = sized(spark, sf_dir).groupBy("lang").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY tokens)").cast("long").alias("p95"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY tokens)").cast("long").alias("p99"), F.avg("tokens").alias("mean"))
+    docs = sized(spark, sf_dir).select("lang", "tokens")
+    ranks = stats.rank_percentiles(docs, ["lang"], "tokens", {"p95": ("ceil", 0.95), "p99": ("ceil", 0.99)})
+    q = docs.groupBy("lang").agg(F.avg("tokens").alias("mean")).join(ranks, "lang")
     coverage = F.when(F.col("p99") <= 1024, "over 99%").when(F.col("p95") <= 1024, "95-99%").otherwise("under 95%")
     return q.select("lang", "p95", "p99", coverage.alias("coverage"), F.round(1 - F.least(F.col("mean"), F.lit(1024)) / 1024, 9).alias("padding"))
 
@@ -291,9 +294,8 @@ w AS (SELECT conv_id, turn, rn, cost <= 1500 AS ok, 1500 - CASE WHEN cost <= 150
 SELECT conv_id, turn FROM w WHERE ok""",
 )
 def round_robin_skip_budget(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", hash_key("9", "conv_id", "turn").alias("h"), F.struct(F.col("turn").alias("id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("cost")).alias("x"))
-    grouped = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "x"))), lambda s: s["x"]).alias("xs"))
-    return grouped.select("conv_id", F.explode(packing.accept_while_fits(F.col("xs"), F.lit(1500))).alias("turn"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", hash_key("9", "conv_id", "turn").alias("h"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("cost"))
+    return packing.accept_in_order(turns, ["conv_id"], ["h", "turn"], "turn", "cost", 1500)
 
 
 @query(

@@ -90,8 +90,19 @@ FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus), (o_orderpriority))""",
 )
 def grouping_sets_stats(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", cents("o_totalprice").alias("c"))
-    sets = orders.groupingSets([[], ["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority")
-    return sets.agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("cents"), F.percentile("c", 0.5).alias("p50"))
+    # Rows of each set are told apart by the set's number, as its keys are null where they are not grouped.
+    sets = F.array(
+        *[
+            F.struct(F.lit(i).alias("which"), (F.col("o_orderstatus") if i == 1 else F.lit(None).cast("string")).alias("o_orderstatus"), (F.col("o_orderpriority") if i == 2 else F.lit(None).cast("string")).alias("o_orderpriority"))
+            for i in range(3)
+        ]
+    )
+    keys = ["which", "o_orderstatus", "o_orderpriority"]
+    values = orders.groupBy("o_orderstatus", "o_orderpriority", "c").agg(F.count(F.lit(1)).alias("k")).select(F.explode(sets).alias("s"), "c", "k").select("s.*", "c", "k")
+    sums = values.groupBy(*keys).agg(F.sum("k").alias("n"), F.sum(F.col("c") * F.col("k")).alias("cents"))
+    medians = stats.linear_percentile(values, keys, "c", 0.5, "p50", "k", 100_000)
+    same = [sums[k].eqNullSafe(medians[k]) for k in keys]
+    return sums.join(medians, same).select(sums["o_orderstatus"], sums["o_orderpriority"], "n", "cents", "p50")
 
 
 @query(
@@ -153,7 +164,7 @@ SELECT s_suppkey, b[2] AS match_id, round(b[1], 6) AS distance FROM m""",
 def best_match_nearest(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
-    found = joins.nearest(suppliers, customers, ["nation"], "balance", "c_custkey").where("match_id IS NOT NULL")
+    found = joins.nearest(suppliers, customers, ["nation"], "balance", "c_custkey", 100).where("match_id IS NOT NULL")
     return found.select("s_suppkey", "match_id", F.round("distance", 6).alias("distance"))
 
 

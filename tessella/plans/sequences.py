@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.functions import events as ev
-from tessella.operators import joins, windows
+from tessella.operators import joins, stats, windows
 from tessella.plans.catalogue import query
 from tessella.plans.corpus import table
 
@@ -102,7 +102,7 @@ SELECT c.event_id, CASE WHEN m.b[1] <= 3600000000 THEN m.b[2] END AS match_id FR
 )
 def nearest_within_tolerance(spark, sf_dir):
     e = events(spark, sf_dir)
-    found = joins.nearest(e.where("event_type = 'error'").select("event_id", "user_id", "us"), e.where("event_type = 'view'").select("event_id", "user_id", "us"), KEY, "us", "event_id")
+    found = joins.nearest(e.where("event_type = 'error'").select("event_id", "user_id", "us"), e.where("event_type = 'view'").select("event_id", "user_id", "us"), KEY, "us", "event_id", 24 * HOUR)
     return found.select("event_id", F.when(F.col("distance") <= HOUR, F.col("match_id")).alias("match_id"))
 
 
@@ -160,7 +160,7 @@ SELECT user_id, g[len(g) // 2 + 1] AS median_gap FROM l""",
 )
 def nearest_rank_median_gap(spark, sf_dir):
     gaps = events(spark, sf_dir).select("user_id", (F.col("us") - F.lag("us").over(W.partitionBy(*KEY).orderBy(*ORDER))).alias("gap")).where("gap > 0")
-    return gaps.groupBy("user_id").agg(F.array_sort(F.collect_list("gap")).alias("g")).select("user_id", F.element_at("g", F.expr("size(g) div 2 + 1").cast("int")).alias("median_gap"))
+    return stats.rank_percentiles(gaps, ["user_id"], "gap", {"median_gap": ("floor", 0.5)}, width=HOUR)
 
 
 @query(
