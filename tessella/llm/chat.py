@@ -23,9 +23,10 @@ PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|docum
 # Control strings of common chat templates, escaped inside texts beside the own ones.
 FOREIGN = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
 CONTROLS = (TURN, TEXT, END, *PLACEHOLDERS.values(), *FOREIGN)
-_BODIES = "|".join(re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=True))
-_CONTROL = re.compile(rf"([<\[])(\\*)({_BODIES})")
-_ESCAPED = re.compile(rf"([<\[])\\(\\*)({_BODIES})")
+#: Pattern of what follows the first character of a control string.
+CONTROL_BODIES = "|".join(re.escape(c[1:]) for c in sorted(CONTROLS, key=len, reverse=True))
+_CONTROL = re.compile(rf"([<\[])(\\*)({CONTROL_BODIES})")
+_ESCAPED = re.compile(rf"([<\[])\\(\\*)({CONTROL_BODIES})")
 #: A conversation's output is cut into segments of whole turns of about this size.
 SEGMENT_CHARS = 1 << 20
 

@@ -168,6 +168,29 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(messages))
 
 
+def _chat_oracle() -> str:
+    """Turns in their order and the length of their formatted form; the escape adds a character to each control string."""
+    bodies = chat.CONTROL_BODIES.replace("'", "''")
+
+    def formatted(column: str) -> str:
+        return f"length(regexp_replace({column}, '([<\\[])(\\\\*)({bodies})', '\\1\\\\\\2\\3', 'g'))"
+
+    marks = len(chat.TURN + chat.TEXT + chat.END)
+    return f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, role IS NULL AS unnamed, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', false, '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', false, '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, unnamed DESC, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum({marks} + {formatted('role')} + {formatted('text')})::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id"""
+
+
+ORACLES["op3_chat"] = _chat_oracle()
+
+
 @query
 def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a transport stream and read back."""
@@ -179,3 +202,22 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document without passages of 35 words that occur twice."""
     left = passages.remove_repeated(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op7_repeated_passages"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS p, len(ws) AS n FROM texts),
+windows AS (
+  SELECT rid, p, n, word,
+         CASE WHEN p + 35 <= n THEN sha256(string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS w
+  FROM words),
+counted AS (SELECT rid, p, word, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS recurs FROM windows),
+covered AS (
+  SELECT rid, p, word, coalesce(max(CASE WHEN recurs THEN p END) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL, false) AS gone
+  FROM counted),
+kept AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM covered GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
