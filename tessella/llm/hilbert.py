@@ -20,6 +20,8 @@ BITS = 5
 CELL_ROWS = 1024
 #: Bits of a row's hash that salts are cut from.
 SALT_BITS = 24
+#: Bits of a row's hash, a positive long.
+HASH_BITS = 60
 #: Distinct values of a dimension up to which their cells are broadcast.
 BROADCAST_VALUES = 100_000
 
@@ -29,6 +31,11 @@ def fine_length(size: Column) -> Column:
     return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 16).cast("int")
 
 
+def row_hash(key: Column) -> Column:
+    """Leading bits of the SHA-256 of ``key`` as text; SQL can repeat it."""
+    return F.conv(F.substring(F.sha2(F.coalesce(key.cast("string"), F.lit("null")), 256), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def add_cell(df: DataFrame, value: Column, name: str, bits: int = BITS) -> DataFrame:
     """Add ``name``: the cell of ``value``, ascending in it, null last.
 
@@ -120,7 +127,7 @@ def hilbert_shards(df: DataFrame, key: str, cells: list[Column], size: Column, s
     texts are ordinary rows; repeated rows stay repeated and take neighbouring
     slots; an empty table gives no row; other columns are ignored.
     """
-    mixed = F.xxhash64(F.col(key))
+    mixed = row_hash(F.col(key))
     narrow = staged(
         df.select(
             F.col(key),
@@ -132,8 +139,8 @@ def hilbert_shards(df: DataFrame, key: str, cells: list[Column], size: Column, s
         "hilbert-rows",
     )
     salts = narrow.groupBy("curve").agg(F.expr(f"count(*) div {CELL_ROWS} + 1").alias("_salts"))
-    # The sign bit is flipped, so that salts ascend with the hash.
-    top = F.shiftrightunsigned(F.col("_mixed").bitwiseXOR(F.lit(-(1 << 63))), 64 - SALT_BITS)
+    # Salts are cut from the leading bits, so that they ascend with the hash.
+    top = F.shiftright("_mixed", HASH_BITS - SALT_BITS)
     bounded = BITS * len(cells) <= 16
     salted = narrow.join(F.broadcast(salts) if bounded else salts, "curve").withColumn("_cell", F.shiftleft("curve", SALT_BITS) + F.shiftright(top * F.col("_salts"), SALT_BITS))
     narrow = staged(salted.drop("_salts"), "hilbert")

@@ -79,6 +79,65 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _shards_oracle() -> str:
+    """CRC-32 by its table, cells of the three dimensions, the curve turned step by step, runs of the order."""
+
+    def cells(name: str, value: str) -> str:
+        return f"""{name}_counts AS (SELECT {value} AS v, count(*) AS n FROM d GROUP BY ALL),
+{name}_cells AS (
+  SELECT v, CASE WHEN count(*) OVER () <= 32 THEN (row_number() OVER (ORDER BY v ASC NULLS LAST) - 1) * 32 // count(*) OVER ()
+                 ELSE (sum(n) OVER (ORDER BY v ASC NULLS LAST) - n)::BIGINT * 32 // (sum(n) OVER ())::BIGINT END::INTEGER AS {name}_cell
+  FROM {name}_counts)"""
+
+    index = " + ".join(f"((({axis} >> {bit}) & 1)::BIGINT << {3 * bit + 2 - i})" for bit in range(5) for i, axis in enumerate("abc"))
+    # Steps 16, 8, 4 and 2 of the last axis turn the bits below them; 15, 7, 3 and 1 are folded by exclusive or.
+    turns = [f"(CASE WHEN c & {q} <> 0 THEN {q - 1} ELSE 0 END)" for q in (16, 8, 4, 2)]
+    unwind = f"xor(xor({turns[0]}, {turns[1]}), xor({turns[2]}, {turns[3]}))"
+    return rf"""
+WITH RECURSIVE steps AS (
+  SELECT i AS byte, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY byte) AS tab FROM steps WHERE k = 8),
+d AS (
+  SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
+         substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS mixed
+  FROM documents, crc_table),
+{cells("length", "floor(ln(size) / ln(2) * 16)::INTEGER")},
+{cells("lang", "lang")},
+{cells("source", "source")},
+rows_ AS (
+  SELECT d.*, length_cell, lang_cell, source_cell
+  FROM d JOIN length_cells l ON floor(ln(d.size) / ln(2) * 16)::INTEGER = l.v
+         JOIN lang_cells g ON d.lang IS NOT DISTINCT FROM g.v JOIN source_cells s ON d.source IS NOT DISTINCT FROM s.v),
+turned AS (
+  SELECT DISTINCT length_cell AS l, lang_cell AS g, source_cell AS s, length_cell AS a, lang_cell AS b, source_cell AS c, 0 AS step FROM rows_
+  UNION ALL
+  SELECT l, g, s,
+         CASE WHEN hit THEN xor(a, low) WHEN axis = 1 THEN xor(a, xor(a, b) & low) WHEN axis = 2 THEN xor(a, xor(a, c) & low) ELSE a END,
+         CASE WHEN NOT hit AND axis = 1 THEN xor(b, xor(a, b) & low) ELSE b END,
+         CASE WHEN NOT hit AND axis = 2 THEN xor(c, xor(a, c) & low) ELSE c END,
+         step + 1
+  FROM (SELECT *, step % 3 AS axis, (16 >> (step // 3)) - 1 AS low,
+               ((CASE step % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END) & (16 >> (step // 3))) <> 0 AS hit FROM turned WHERE step < 12)),
+gray AS (SELECT l, g, s, a, xor(a, b) AS b, xor(xor(a, b), c) AS c FROM turned WHERE step = 12),
+unwound AS (SELECT l, g, s, xor(a, t) AS a, xor(b, t) AS b, xor(c, t) AS c FROM (SELECT *, {unwind} AS t FROM gray)),
+curves AS (SELECT l, g, s, {index} AS curve FROM unwound),
+ranked AS (
+  SELECT r.*, curve, row_number() OVER (ORDER BY curve, mixed, doc_id NULLS FIRST, size) - 1 AS rank, count(*) OVER () // 16 AS low, count(*) OVER () % 16 AS more
+  FROM rows_ r JOIN curves ON (l, g, s) = (length_cell, lang_cell, source_cell)),
+sharded AS (
+  SELECT *, (CASE WHEN rank < more * (low + 1) THEN rank // (low + 1) ELSE more + (rank - more * (low + 1)) // greatest(low, 1) END)::INTEGER AS shard FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, shard,
+       (CASE WHEN shard <= more THEN rank - shard * (low + 1) ELSE rank - more * (low + 1) - (shard - more) * low END)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard, curve, length_cell, lang_cell, source_cell
+FROM sharded"""
+
+
+ORACLES["op9_hilbert_shards"] = _shards_oracle()
+
+
 @query
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""

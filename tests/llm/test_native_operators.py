@@ -55,7 +55,7 @@ def test_shard_query_matches_brute_force(spark, monkeypatch, rows_of_a_salt):
     monkeypatch.setattr(hilbert, "CELL_ROWS", rows_of_a_salt)
     data = "/root/testdata/sf0.001"
     got = queries.QUERIES["op9_hilbert_shards"](spark, data).toPandas()
-    table = documents(spark, data).select("doc_id", "text", "lang", "source", F.xxhash64("doc_id").alias("mixed")).collect()
+    table = documents(spark, data).select("doc_id", "text", "lang", "source", hilbert.row_hash(F.col("doc_id")).alias("mixed")).collect()
     size = {r.doc_id: len((r.text or "").encode()) + 1 for r in table}
     fine = {i: math.floor(math.log2(s) * 16) for i, s in size.items()}
     cells = [cells_by_hand([fine[r.doc_id] for r in table], 32), cells_by_hand([r.lang for r in table], 32), cells_by_hand([r.source for r in table], 32)]
