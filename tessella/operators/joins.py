@@ -83,13 +83,15 @@ def similar_pairs(sets: DataFrame, key: str, items: str, similarity: float) -> D
     so the joins are merged, never broadcast on such an estimate.
     """
     counts = sets.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (
+    # A set's items that others have too, rarest first; those it has alone precede them and meet nothing.
+    ordered = (
         sets.select(key, F.size(items).alias("size"), F.explode(items).alias("item"))
         .join(counts.where("n > 1").hint("merge"), "item")
-        .withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("n", "item")))
+        .groupBy(key, "size")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("shared"))
     )
-    alone = sets.select(key, F.size(items).alias("size")).join(ranked.groupBy(key).agg(F.count(F.lit(1)).alias("shared")).hint("merge"), key)
-    head = ranked.join(alone.select(key, "shared").hint("merge"), key).where(F.col("r") + (F.col("size") - F.col("shared")) <= F.col("size") - F.ceil(F.col("size") * similarity) + 1)
+    probed = F.size("shared") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    head = ordered.select(key, "size", F.explode(F.slice("shared", F.lit(1), F.greatest(probed, F.lit(0)).cast("int")).getField("item")).alias("item"))
     a = head.select(F.col(key).alias("a"), F.col("size").alias("na"), "item")
     b = head.select(F.col(key).alias("b"), F.col("size").alias("nb"), "item")
     pairs = a.join(b.hint("merge"), "item").where((F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))).select("a", "b").distinct()
