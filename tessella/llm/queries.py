@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, hilbert, mixing, packing, passages, secrets, simhash, syncmers, toxicity, transport
+from tessella.llm import chat, hilbert, mixing, packing, passages, repair, secrets, simhash, syncmers, toxicity, transport
 from tessella.llm.common import documents, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,18 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: CTEs of the CRC-32 table; ``_crc32`` is the checksum of a text by it.
+_CRC_TABLE = """steps AS (
+  SELECT i AS byte, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY byte) AS tab FROM steps WHERE k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({text}), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+
+
 def _shards_oracle() -> str:
     """CRC-32 by its table, cells of the three dimensions, the curve turned step by step, runs of the order."""
 
@@ -94,14 +106,10 @@ def _shards_oracle() -> str:
     turns = [f"(CASE WHEN c & {q} <> 0 THEN {q - 1} ELSE 0 END)" for q in (16, 8, 4, 2)]
     unwind = f"xor(xor({turns[0]}, {turns[1]}), xor({turns[2]}, {turns[3]}))"
     return rf"""
-WITH RECURSIVE steps AS (
-  SELECT i AS byte, i AS v, 0 AS k FROM range(256) t(i)
-  UNION ALL SELECT byte, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM steps WHERE k < 8),
-crc_table AS (SELECT list(v ORDER BY byte) AS tab FROM steps WHERE k = 8),
+WITH RECURSIVE {_CRC_TABLE},
 d AS (
   SELECT doc_id, lang, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: ('0x' || h)::BIGINT)),
-                         lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
+         {_crc32("coalesce(text, '')")} AS text_crc32,
          substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 15) AS mixed
   FROM documents, crc_table),
 {cells("length", "floor(ln(size) / ln(2) * 16)::INTEGER")},
@@ -280,3 +288,81 @@ kept AS (
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM texts LEFT JOIN kept USING (rid)
 """
+
+
+@query
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after a reproducible damage."""
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = repair.digest_repairs(repair.repair_conversations(repair.damage(messages))).withColumnRenamed("conv_id", "_of")
+    own = messages.select("conv_id").distinct()
+    joined = own.join(found, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _repair_oracle() -> str:
+    """Dynamic programming over the messages: for each last role put out the least "cost, audit" as one text."""
+
+    def more(entry: str, cost: int, edit: str) -> str:
+        return f"lpad((substr({entry}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({entry}, 7) || '{edit}'"
+
+    def least(*entries: str) -> str:
+        return f"list_min([{', '.join(entries)}])"
+
+    # An insertion leads from any role to user or assistant; two lead everywhere.
+    user = least("a[3]", more("a[1]", 3, "I"), more("a[2]", 3, "I"), more("a[4]", 3, "I"))
+    closed = f"list_transform([list_transform([a], lambda a: [a[1], a[2], {user}, a[4]])[1]], lambda b: [b[1], b[2], b[3], {least('b[4]', more('b[3]', 3, 'I'))}])[1]"
+
+    def step(cut: int) -> str:
+        gone = [more(f"a[{q}]", 4, "D") for q in (1, 2, 3, 4)]
+        to_user = [more(f"a[{q}]", 3 + cut, "R") for q in (1, 2, 4)]
+        stay_user = [f"CASE WHEN m[1] = 'u' THEN {more(f'a[{q}]', cut, 'K')} END" for q in (1, 2, 4)]
+        system = least(gone[1], f"CASE WHEN m[1] = 's' THEN {more('a[1]', cut, 'K')} END")
+        to_assistant = [more("a[3]", 3 + cut, "R"), f"CASE WHEN m[1] = 'a' THEN {more('a[3]', cut, 'K')} END"]
+        return f"[{gone[0]}, {system}, {least(gone[2], *to_user, *stay_user)}, {least(gone[3], *to_assistant)}]"
+
+    moved = f"CASE WHEN m[2] = 'x' THEN [{', '.join(more(f'a[{q}]', 4, 'D') for q in (1, 2, 3, 4))}] WHEN m[2] = 't' THEN {step(3)} ELSE {step(0)} END"
+    return rf"""
+WITH RECURSIVE {_CRC_TABLE},
+hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS n
+  FROM hit),
+told AS (
+  SELECT *, row_number() OVER w AS i,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE 'k' END AS fault,
+         lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n)),
+talks AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal,
+         list([substr(role, 1, 1), CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE fault END] ORDER BY i) AS codes
+  FROM told GROUP BY conv_id),
+folded AS (
+  SELECT *, list_reduce(list_prepend(['000000', NULL, NULL, NULL], codes), lambda a0, m: list_transform([list_transform([a0], lambda a: {closed})[1]], lambda a: {moved})[1]) AS a1 FROM talks),
+best AS (SELECT *, list_min([e[1], e[4]]) AS best FROM (SELECT *, list_transform([a1], lambda a: {closed})[1] AS e FROM folded)),
+-- The repaired messages: edits in order, each with the message it takes; an edit's role follows from the one before it.
+edits AS (SELECT conv_id, unnest(string_split(substr(best, 7), '')) AS edit, unnest(range(length(best) - 6)) AS step FROM best WHERE length(best) > 6),
+taken AS (SELECT *, CASE WHEN edit <> 'I' THEN count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY step) END AS i FROM edits),
+put AS (
+  SELECT e.conv_id, e.step, e.edit, t.role, t.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.step) AS place,
+         bool_or(e.edit = 'K' AND substr(t.role, 1, 1) = 's') OVER (PARTITION BY e.conv_id) AS has_system
+  FROM taken e LEFT JOIN told t ON e.conv_id IS NOT DISTINCT FROM t.conv_id AND e.i = t.i WHERE e.edit <> 'D'),
+hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - has_system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY step)) AS h
+  FROM put GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(substr(best, 1, 6)::BIGINT, 0) AS cost, coalesce(substr(best, 7), '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN hashed x ON o.conv_id IS NOT DISTINCT FROM x.conv_id"""
+
+
+ORACLES["op11_repair"] = _repair_oracle()
