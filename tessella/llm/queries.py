@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, hilbert, mixing, packing, passages, repair, secrets, simhash, syncmers, toxicity, transport
+from tessella.llm import centroids, chat, hilbert, mixing, packing, passages, repair, secrets, simhash, syncmers, toxicity, transport
 from tessella.llm.common import documents, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,9 +336,11 @@ damaged AS (
   FROM hit),
 told AS (
   SELECT *, row_number() OVER w AS i,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b'
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b'
               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) > 1 THEN 'd'
-              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 't' ELSE 'k' END AS fault,
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 't' ELSE 'k' END AS fault,
          lag(substr(role, 1, 1)) OVER w || substr(role, 1, 1) NOT IN ('su', 'ua', 'au') AS illegal
   FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n)),
 talks AS (
@@ -366,3 +368,37 @@ LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN hashed x
 
 
 ORACLES["op11_repair"] = _repair_oracle()
+
+
+@query
+def op13_laesa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all usable embeddings around forty centroids after five rounds."""
+    found, final = centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return centroids.digest_clusters(found, final, "vec_id")
+
+
+def _clusters_oracle() -> str:
+    """Every round with all distances."""
+    apart = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    rounds = []
+    for r in range(centroids.ROUNDS + 1):
+        rounds.append(f"a{r} AS MATERIALIZED (SELECT rid, min(row({apart}, c)) AS b FROM kept e, c{r} c GROUP BY rid)")
+        if r < centroids.ROUNDS:
+            rounds.append(
+                f"""s{r} AS (SELECT b[2] AS c, i, sum(v[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT rid, v, unnest(range(1, {centroids.DIMENSIONS + 1})) AS i FROM kept) JOIN a{r} USING (rid) GROUP BY ALL),
+m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} m USING (c))"""
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {centroids.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {centroids.DIMENSIONS}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < {centroids.CENTROIDS}),
+{(','+chr(10)).join(rounds)}
+SELECT vec_id, b[2]::INTEGER AS cluster, b[1]::BIGINT AS distance, (sum(b[1]) OVER (PARTITION BY b[2]))::BIGINT AS cluster_inertia, (sum(b[1]) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(f.v, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN kept USING (rid) JOIN c{centroids.ROUNDS} f ON f.c = b[2]"""
+
+
+ORACLES["op13_laesa"] = _clusters_oracle()
