@@ -50,7 +50,7 @@ def discard(*tables: DataFrame) -> None:
     otherwise reread them.
     """
     for table in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()[:1]}:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 

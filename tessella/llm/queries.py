@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import centroids, chat, hilbert, mixing, packing, passages, repair, secrets, simhash, syncmers, toxicity, transport
+from tessella.llm import centroids, chat, hilbert, mixing, ngrams, packing, passages, repair, secrets, simhash, syncmers, toxicity, transport
 from tessella.llm.common import documents, staged, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -402,3 +402,30 @@ FROM a{centroids.ROUNDS} JOIN kept USING (rid) JOIN c{centroids.ROUNDS} f ON f.c
 
 
 ORACLES["op13_laesa"] = _clusters_oracle()
+
+
+@query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under links of 3-word shingles at a Jaccard similarity of 0.9."""
+    return ngrams.jaccard_components(documents(spark, sf_dir))
+
+
+ORACLES["op12_ngram_join"] = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+-- Equal sets are one node; nodes meet by their shingles that others have too.
+nodes AS MATERIALIZED (SELECT min(doc_id) AS node, list_sort(s) AS s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY ALL),
+items AS MATERIALIZED (SELECT node, n, unnest(s) AS g FROM nodes),
+common AS MATERIALIZED (SELECT * FROM items QUALIFY count(*) OVER (PARTITION BY g) > 1),
+links AS MATERIALIZED (
+  SELECT a.node AS x, b.node AS y FROM common a JOIN common b ON a.g = b.g AND a.node < b.node AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+pairs AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x AS node, x AS hit FROM pairs UNION SELECT node, y FROM reach JOIN pairs ON hit = x),
+least AS (SELECT node, min(hit) AS component FROM reach GROUP BY node)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(l.component, k.node, t.doc_id) AS component_id
+FROM sets t LEFT JOIN nodes k ON len(t.s) > 0 AND list_sort(t.s) = k.s LEFT JOIN least l USING (node)"""

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import discard, staged
 from tessella.llm.components import components
+from tessella.llm.setjoin import SetFilter, exact_forest, linked_sets, prefix, spans  # noqa: F401
 
 BITS = 64
 DISTANCE = 3
@@ -31,28 +32,11 @@ PLAN_SAMPLE = 2048
 SMALL_BUCKET = 512
 #: Buckets of so few members report all their links.
 TINY_BUCKET = 16
-# Similar documents: shingles of so many words, their Jaccard similarity, and what their order is fitted on.
+# Similar documents: shingles of so many words and their Jaccard similarity.
 CHECK_SHINGLE, SIMILARITY = 5, 0.8
-ORDER_SAMPLE, MOST_COMMON = 4096, 1 << 17
 #: Bits of 128 that candidates may differ in. Every bit of a pair at similarity 0.8 differs with a chance of 0.15, so
 #: 19 bits are expected and more than 46 have a chance under 1e-8; small sets vary more and are not filtered.
 FILTER_DISTANCE, FILTER_LEAST = 46, 32
-#: Sets that one task of the exact search holds, and sets that a task remembers to have probed.
-SEARCHED, SEEN_SETS = 8192, 1_000_000
-#: Turns of the exact search; the last one takes all groups that are open.
-SEARCH_TURNS = 3
-
-
-def spans(text: str, size: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """Lower-cased words joined by spaces and the byte spans of its shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return b"", []
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    ends = starts + lengths
-    n = max(1, len(words) - size + 1)
-    return b" ".join(words), list(zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist()))
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -317,80 +301,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     return own.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Leading shingles of a sorted set: two sets as similar as ``similarity`` share one of them.
-
-    The order is any that all sets share; here by ``counts`` of the sorted
-    ``common`` shingles (others have none), then by hash.
-    """
-    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
-    if not len(common):
-        return shingles[:keep]
-    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-    return shingles[np.lexsort((shingles, np.where(common[at] == shingles, counts[at], 0)))][:keep]
-
-
-def exact_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of row numbers that connect ``sets`` (distinct items) as the pairs of enough Jaccard similarity do.
-
-    Search from one set to all that are not reached yet; the exact similarity is
-    counted from postings and decides each edge, so none that fails hides another.
-    """
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    _, items, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    several = seen[items] > 1
-    own = np.split(items[several], np.cumsum(np.bincount(owner[several], minlength=len(sets)))[:-1])
-    order = np.argsort(items[several], kind="stable")
-    holders, values = owner[several][order], items[several][order]
-    first = np.searchsorted(values, np.arange(len(seen)))
-    last = first + np.where(seen > 1, seen, 0)
-    left = np.ones(len(sets), bool)
-    edges: list[tuple[int, int]] = []
-    queue: list[int] = []
-    start = 0
-    while left.any():
-        if not queue:
-            start += int(np.argmax(left[start:]))
-            left[start] = False
-            queue = [start]
-        node = queue.pop()
-        hits = [holders[first[i] : last[i]] for i in own[node].tolist()]
-        shared = np.bincount(np.concatenate(hits), minlength=len(sets)) if hits else np.zeros(len(sets), np.int64)
-        near = np.flatnonzero(left & (shared >= similarity * (sizes[node] + sizes - shared)))
-        left[near] = False
-        edges += [(node, int(f)) for f in near]
-        queue += near.tolist()
-    return edges
-
-
-def _runs(batches):
-    """Rows of ``batches`` (sorted by the first column) as arrays that cut no run of equal first values."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)], axis=1)
-        if not len(rows):
-            continue
-        if held and held[0][0, 0] != rows[-1, 0]:
-            whole = np.concatenate([*held, rows])
-            cut = int(np.searchsorted(whole[:, 0], rows[-1, 0]))
-            yield whole[:cut]
-            held = [whole[cut:]]
-        else:
-            held.append(rows)
-            if held[0][0, 0] != held[-1][-1, 0]:
-                whole = np.concatenate(held)
-                cut = int(np.searchsorted(whole[:, 0], whole[-1, 0]))
-                yield whole[:cut]
-                held = [whole[cut:]]
-    if held:
-        yield np.concatenate(held)
-
-
-def wide_print(shingles: np.ndarray) -> tuple[int, int]:
+def wide_print(shingles: np.ndarray) -> np.ndarray:
     """128-bit SimHash of a set of 64-bit shingle hashes, as two signed words."""
     other = (shingles ^ (shingles >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-    return tuple(w - (w >> 63 << 64) for w in (majority(shingles), majority(other ^ (other >> np.uint64(32)))))
+    return np.array([majority(shingles), majority(other ^ (other >> np.uint64(32)))], np.uint64).view(np.int64)
 
 
 def near_groups(sizes: np.ndarray, prints: np.ndarray, similarity: float, distance: int = FILTER_DISTANCE) -> list[np.ndarray]:
@@ -424,6 +338,16 @@ def near_groups(sizes: np.ndarray, prints: np.ndarray, similarity: float, distan
     return groups
 
 
+def near_prints(na, nb, a, b, similarity: float) -> np.ndarray:
+    """Whether pairs of sets are candidates by their sizes and prints (see ``near_groups``)."""
+    ok = np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9
+    return ok & ((np.bitwise_count(a ^ b).sum(axis=1) <= FILTER_DISTANCE) | (np.minimum(na, nb) < FILTER_LEAST))
+
+
+#: Candidates among sets that share a probed shingle, by 128-bit SimHash.
+PRINTS = SetFilter(2, wide_print, lambda words: words.view(np.uint64), near_prints, near_groups)
+
+
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int = CHECK_SHINGLE) -> DataFrame:
     """Groups of documents whose shingles are similar: did, th, component.
 
@@ -437,137 +361,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, size: int
     similar shares one of the few shingles that either probes (threshold zero),
     which are those with the fewest estimated candidates; all others are left
     out. In a shingle's bucket SimHash fingerprints split the sets into groups
-    of candidates. Equal groups of different buckets are one; the groups are
-    then verified by the exact similarity, first the largest group of each set,
-    then all groups that still hold two components. A group of more than
-    ``SEARCHED`` sets is searched in pairs of blocks, so no task holds more.
+    of candidates, which the exact similarity verifies (``setjoin``).
     """
-    import xxhash
-
-    spark = docs.sparkSession
-
-    def cut_sets(column):
-        for t in column.to_pylist():
-            joined, cut = spans(t, size)
-            yield np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut)))
-
-    def shingles(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in cut_sets(batch.column(1))], pa.list_(pa.int64()))], ["id", "shingles"])
-
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "th", F.xxhash64("text")
-    )
-    texts = own.select(F.col("th").alias("id"), "text")
-    kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
-    # A bounded sample of texts and of its common shingles decides only the order of shingles, not the result.
-    few = texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE)
-    usual = (
-        texts.join(F.broadcast(few), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")).mapInArrow(shingles, "id long, shingles array<long>")
-        .select(F.explode("shingles").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-        .orderBy(F.col("n").desc(), "item").limit(MOST_COMMON).toPandas().sort_values("item")
-    )
-    common = spark.sparkContext.broadcast((usual["item"].to_numpy(np.int64), usual["n"].to_numpy(np.int64)))
-
-    def heads(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            rows = []
-            for s in cut_sets(batch.column(0)):
-                node = xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
-                # A set probes once in a task, however many copies it has there.
-                lead = np.empty(0, np.int64) if node in seen else prefix(np.sort(s.view(np.int64)), similarity, *common.value)
-                if len(seen) < SEEN_SETS:
-                    seen.add(node)
-                rows.append((node, len(s), *wide_print(s), lead))
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], ["did", "th", "sh", "n", "w0", "w1", "lead"])
-
-    marked = staged(own.select("text", "did", "th").mapInArrow(heads, "did long, th long, sh long, n long, w0 long, w1 long, lead array<long>"), "set-heads")
-
-    def recur(batches):
-        for run in _runs(batches):
-            item, node = run[:, 0], run[:, 1]
-            fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (node[1:] != node[:-1])])
-            item, node = item[fresh], node[fresh]
-            same = item[1:] == item[:-1]
-            kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield pa.RecordBatch.from_arrays([pa.array(item[kept]), pa.array(node[kept])], ["item", "sh"])
-
-    probed = marked.select(F.explode("lead").alias("item"), "sh").repartition("item").sortWithinPartitions("item", "sh")
-    met = staged(probed.mapInArrow(recur, "item long, sh long"), "set-buckets")
-    known = staged(marked.drop("lead"), "set-nodes")
-    discard(marked)
-    nodes = known.groupBy("sh").agg(F.min(F.struct("did", "th")).alias("row"), *[F.first(c).alias(c) for c in ("n", "w0", "w1")])
-
-    def gather(batches):
-        for run in _runs(batches):
-            item, node, n, bits = run[:, 0], run[:, 1], run[:, 2], np.ascontiguousarray(run[:, 3:5]).view(np.uint64)
-            begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-            m = np.diff(np.append(begin, len(item)))
-            # Most buckets hold two sets: these are judged at once.
-            i = begin[m == 2]
-            ok = np.minimum(n[i], n[i + 1]) >= similarity * np.maximum(n[i], n[i + 1]) - 1e-9
-            ok &= (np.bitwise_count(bits[i] ^ bits[i + 1]).sum(axis=1) <= FILTER_DISTANCE) | (np.minimum(n[i], n[i + 1]) < FILTER_LEAST)
-            i = i[ok]
-            a, b = np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])
-            keys = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-            out = [(np.repeat(keys.view(np.int64), 2), np.stack([a, b], axis=1).ravel(), np.full(2 * len(a), 2))]
-            for lo, k in zip(begin[m > 2].tolist(), m[m > 2].tolist()):
-                for group in near_groups(n[lo : lo + k], bits[lo : lo + k], similarity):
-                    members = np.sort(node[lo + group])
-                    key = xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63)
-                    out.append((np.full(len(members), key), members, np.full(len(members), len(members))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "sh", "members"])
-
-    told = met.join(nodes, "sh").select("item", "sh", "n", "w0", "w1").repartition("item").sortWithinPartitions("item")
-    groups = staged(told.mapInArrow(gather, "key long, sh long, members long").distinct(), "set-groups")
-    discard(met)
-    asked = nodes.join(groups.select("sh").distinct(), "sh").select("row.did", "row.th", "sh")
-    # One row stands for all copies; its key spreads them.
-    whole = own.join(asked, ["did", "th"]).select("sh", "text")
-    sets = staged(whole.mapInArrow(shingles, "id long, shingles array<long>"), "sets")
-
-    def search(batches):
-        key, ids, held = None, [], []
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for k, d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if k != key:
-                    found += [(ids[a], ids[b]) for a, b in exact_forest(held, similarity)] if held else []
-                    key, ids, held = k, [], []
-                ids.append(d)
-                held.append(s.values.to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = [(ids[a], ids[b]) for a, b in exact_forest(held, similarity)] if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    def searched(chosen: DataFrame) -> DataFrame:
-        """Links of the chosen groups; a group of several blocks meets once for each pair of them."""
-        blocks = F.ceil(F.col("members") / SEARCHED).cast("long")
-        block = F.pmod(F.xxhash64("sh"), blocks)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.xxhash64("key", F.least(block, other), F.greatest(block, other)))
-        spread = chosen.select(F.col("sh").alias("id"), F.explode(pairs).alias("part"))
-        met_sets = spread.join(sets, "id").select("part", "id", "shingles")
-        return staged(met_sets.repartition("part").sortWithinPartitions("part").mapInArrow(search, "a long, b long"), "set-links")
-
-    open_groups, done, edges, found = groups, None, None, None
-    for turn in range(SEARCH_TURNS):
-        if turn < SEARCH_TURNS - 1:
-            chosen = open_groups.groupBy("sh").agg(F.max(F.struct("members", "key")).alias("top")).select("top.key").distinct()
-        else:
-            chosen = open_groups.select("key").distinct()
-        chosen = staged(groups.join(chosen, "key", "left_semi"), "set-chosen")
-        done = chosen if done is None else done.unionByName(chosen)
-        edges = searched(chosen) if edges is None else edges.unionByName(searched(chosen))
-        found = staged(components(edges), "set-components")
-        # Still open: groups of two components or more that no searched group holds whole.
-        of = F.coalesce("component", "sh")
-        parted = groups.join(found.withColumnRenamed("node", "sh"), "sh", "left").groupBy("key").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x <> y")
-        apart = groups.join(parted.select("key"), "key", "left_semi")
-        inside = apart.join(done.select("sh", F.col("key").alias("_in")), "sh").groupBy("key", "_in").agg(F.count(F.lit(1)).alias("_n"), F.first("members").alias("_all"))
-        open_groups = staged(apart.join(inside.where("_n = _all").select("key").distinct(), "key", "left_anti"), "set-open")
-        if open_groups.isEmpty():
-            break
+    known, found = linked_sets(docs, size, similarity, PRINTS)
     of = known.select("did", "th", "sh").join(found.withColumnRenamed("node", "sh"), "sh", "left").select("did", "th", F.coalesce("component", "sh").alias("component"))
     return of.distinct()
