@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby, islice
 
@@ -58,12 +59,17 @@ def pack_rows(budget: int, prefix: int = 0, skip_oversize: bool = False):
     return fold
 
 
-def accept_rows(budget: int):
-    """Fold of (id, cost) rows to the ids accepted when rows that do not fit are passed over."""
+def accept_rows(budget: int, until_full: bool = False):
+    """Fold of (id, cost) rows to the ids accepted when rows that do not fit are passed over.
+
+    With ``until_full`` nothing follows once the budget is spent, rows that cost nothing neither.
+    """
 
     def fold(rows):
         left = budget
         for own, cost in rows:
+            if until_full and left <= 0:
+                return
             if cost <= left:
                 left -= cost
                 yield (own,)
@@ -71,6 +77,30 @@ def accept_rows(budget: int):
     return fold
 
 
+def longest_spans(budget: int):
+    """Fold of (pos, cost) rows to the longest span from each row that fits: first, last, cost.
+
+    A row over the budget alone is a span of its own. Both ends only move on, so
+    the rows of one span are held.
+    """
+
+    def fold(rows):
+        held, total = deque(), 0
+        for pos, cost in rows:
+            while held and total + cost > budget:
+                first, own = held.popleft()
+                yield first, last, total
+                total -= own
+            held.append((pos, cost))
+            total, last = total + cost, pos
+        while held:
+            first, own = held.popleft()
+            yield first, last, total
+            total -= own
+
+    return fold
+
+
 def segment_rows(least: int, most: int, length_score: Callable[[int, int], float], tail: Callable[[int], bool], prefer_long: bool = False):
     """Fold of (score) rows into segments: segment, start, n.
 

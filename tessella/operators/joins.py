@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,21 @@ def range_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, sta
     return points.withColumn("_bin", F.floor(F.col(at) / width)).join(binned, [*key, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin")
 
 
+def ratio_join(left: DataFrame, right: DataFrame, key: list[str], value: str, low: float, high: float) -> DataFrame:
+    """Pairs (aliases l and r) of one key whose positive values have a ratio from ``low`` to ``high``.
+
+    Logarithms are cut into bands as wide as the rule, so the bands of a pair
+    are equal or neighbours: the right side stands in three bands, the left side
+    in one, and a pair meets once. Null keys and values meet nothing.
+    """
+    width = max(-math.log(low), math.log(high))
+    band = F.floor(F.ln(value) / width)
+    a = left.where(F.col(value) > 0).withColumn("_band", band).alias("l")
+    b = right.where(F.col(value) > 0).withColumn("_band", F.explode(F.array(band - 1, band, band + 1))).alias("r")
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*key, "_band"]]
+    return a.join(b, same).where((F.col(f"l.{value}") / F.col(f"r.{value}")).between(low, high))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: list[str], value: str, right_id: str, width: float = 4096) -> DataFrame:
     """For each left row the right row of its key with the nearest value.
 

@@ -45,7 +45,11 @@ def running_sum(df: DataFrame, value: Column, order: list[str], block: Column, g
     else:
         base = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).cast("long").alias("_base"))
     within = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return blocked.join(base, keys).withColumn(out, (F.col("_base") + F.coalesce(F.sum("_value").over(within), F.lit(0))).cast("long")).drop("_block", "_value", "_base")
+    # Null groups are groups.
+    names = [f"_key{i}" for i in range(len(keys))]
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    joined = blocked.join(base.toDF(*names, "_base"), same).drop(*names)
+    return joined.withColumn(out, (F.col("_base") + F.coalesce(F.sum("_value").over(within), F.lit(0))).cast("long")).drop("_block", "_value", "_base")
 
 
 def hash_ranked(df: DataFrame, seed: str, *columns: str, group: list[str] | None = None) -> DataFrame:

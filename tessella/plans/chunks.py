@@ -7,7 +7,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.operators import chunking
 from tessella.plans.catalogue import query
-from tessella.plans.corpus import SIZED, WORDS, sized, table
+from tessella.plans.corpus import SIZED, WORDS, sized_once, table
 from tessella.plans.sequences import EVENTS, HOUR, KEY, ORDER, WIN, events
 
 
@@ -51,7 +51,7 @@ c AS (SELECT *, 1000000 // total + (before < 1000000 % total)::INT AS n FROM o)
 SELECT doc_id, tokens, unnest(range(n::BIGINT))::INTEGER AS cycle FROM c""",
 )
 def cycle_to_token_target(spark, sf_dir):
-    rows = sized(spark, sf_dir).select("doc_id", "tokens")
+    rows = sized_once(spark, sf_dir).select("doc_id", "tokens")
     return chunking.cycle_to_target(rows, ["doc_id"], F.floor(F.col("doc_id") / 1000), "tokens", 1_000_000)
 
 
@@ -62,7 +62,7 @@ r AS (SELECT arg_min(k, row(greatest(300000 - total * k, total * k - 400000, 0),
 SELECT doc_id, unnest(range(1, (SELECT repeats FROM r) + 1))::INTEGER AS copy FROM sized WHERE lang = 'es'""",
 )
 def repeat_plan(spark, sf_dir):
-    rows = sized(spark, sf_dir).where("lang = 'es'")
+    rows = sized_once(spark, sf_dir).where("lang = 'es'")
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]  # one number
     times = chunking.repeat_count(total, range(1, 11), 300_000, 400_000)
     return rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.operators import joins, packing, sampling, stats, text
 from tessella.operators.ranking import hash_key, hash_ranked
+from tessella.operators.staging import staged
 from tessella.plans.catalogue import query
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -23,6 +24,11 @@ def sized(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", text.word_count(F.col("text")).alias("tokens"))
 
 
+def sized_once(spark, sf_dir):
+    """``sized``, written once: the texts are scanned a single time however often the sizes are read."""
+    return staged(sized(spark, sf_dir), "sized")
+
+
 SIZED = f"sized AS (SELECT doc_id, lang, source, n_chars, {N_WORDS} AS tokens FROM documents)"
 
 
@@ -197,7 +203,7 @@ SELECT source, count(*) AS n_rows, sum(tokens)::BIGINT AS total_tokens, avg(toke
   max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN tokens END) AS p50, max(CASE WHEN i = least(n - 1, floor(n * 0.95)) THEN tokens END) AS p95 FROM r GROUP BY source""",
 )
 def token_stats_by_source(spark, sf_dir):
-    return stats.token_stats(sized(spark, sf_dir), ["source"], "tokens", 512)
+    return stats.token_stats(sized_once(spark, sf_dir), ["source"], "tokens", 512)
 
 
 @query(
@@ -220,7 +226,7 @@ def percentile_rules(spark, sf_dir):
 SELECT lang, p95, p99, CASE WHEN p99 <= 1024 THEN 'over 99%' WHEN p95 <= 1024 THEN '95-99%' ELSE 'under 95%' END AS coverage, round(1 - least(mean, 1024) / 1024, 9) AS padding FROM q""",
 )
 def coverage_estimate(spark, sf_dir):
-    docs = sized(spark, sf_dir).select("lang", "tokens")
+    docs = sized_once(spark, sf_dir).select("lang", "tokens")
     ranks = stats.rank_percentiles(docs, ["lang"], "tokens", {"p95": ("ceil", 0.95), "p99": ("ceil", 0.99)})
     q = docs.groupBy("lang").agg(F.avg("tokens").alias("mean")).join(ranks, "lang")
     coverage = F.when(F.col("p99") <= 1024, "over 99%").when(F.col("p95") <= 1024, "95-99%").otherwise("under 95%")
@@ -278,12 +284,14 @@ def ratio_resample(spark, sf_dir):
 
 @query(
     "round_robin_token_budget",
-    f"""WITH {SIZED}, d AS (SELECT doc_id, source, tokens, row_number() OVER (PARTITION BY source ORDER BY sha256('8:' || doc_id)) - 1 AS depth, sha256('8:' || doc_id) AS h FROM sized),
-s AS (SELECT *, sum(tokens) OVER (ORDER BY depth, tokens, h ROWS UNBOUNDED PRECEDING) AS upto FROM d)
-SELECT doc_id, source, tokens, depth FROM s WHERE upto <= 100000""",
+    f"""WITH RECURSIVE {SIZED}, d AS (SELECT doc_id, source, tokens, row_number() OVER (PARTITION BY source ORDER BY sha256('8:' || doc_id)) - 1 AS depth, sha256('8:' || doc_id) AS h FROM sized),
+o AS (SELECT *, row_number() OVER (ORDER BY depth, tokens, h) AS rn FROM d),
+w AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS used, false AS ok UNION ALL
+  SELECT o.rn, w.used + CASE WHEN w.used + o.tokens <= 100000 THEN o.tokens ELSE 0 END, w.used + o.tokens <= 100000 FROM w JOIN o ON o.rn = w.rn + 1)
+SELECT doc_id, source, tokens, depth FROM w JOIN o USING (rn) WHERE ok""",
 )
 def round_robin_token_budget(spark, sf_dir):
-    return sampling.round_robin(sized(spark, sf_dir), ["source"], "doc_id", "8", "tokens", 100000).select("doc_id", "source", "tokens", "depth")
+    return sampling.round_robin(sized_once(spark, sf_dir), ["source"], "doc_id", "8", "tokens", 100000).select("doc_id", "source", "tokens", "depth")
 
 
 @query(
@@ -317,7 +325,7 @@ def keep_protected_fill_rest(spark, sf_dir):
 SELECT doc_id, source, tokens, share::BIGINT AS share FROM s WHERE upto <= share""",
 )
 def proportional_budget(spark, sf_dir):
-    return sampling.proportional(sized(spark, sf_dir), ["source"], "doc_id", "11", "tokens", 50000).select("doc_id", "source", "tokens", "share")
+    return sampling.proportional(sized_once(spark, sf_dir), ["source"], "doc_id", "11", "tokens", 50000).select("doc_id", "source", "tokens", "share")
 
 
 @query(

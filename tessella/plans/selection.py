@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessella.operators.ranking import hash_key, hash_ranked, running_sum
+from tessella.operators import joins, sampling
+from tessella.operators.folds import longest_spans, ordered_fold
+from tessella.operators.ranking import hash_key, running_sum
+from tessella.operators.staging import staged
 from tessella.plans.catalogue import query
-from tessella.plans.corpus import N_WORDS, SIZED, sized, table
+from tessella.plans.corpus import N_WORDS, SIZED, sized_once, table
 from tessella.plans.relational import LINE_WIN, line_rank
 
 
@@ -18,6 +21,7 @@ def lines(spark, sf_dir):
 
 LINES = f"lines AS (SELECT *, row_number() OVER ({LINE_WIN}) AS rn FROM lineitem)"
 EVENTS = "PARTITION BY user_id ORDER BY ts, event_id"
+ROUND = "sha256('robin:' || doc_id)"
 
 
 def by_user():
@@ -31,16 +35,9 @@ SELECT s.l_orderkey, s.rn AS first_item, max(e.rn) AS last_item, max(e.upto - s.
 FROM c s JOIN c e ON e.l_orderkey = s.l_orderkey AND e.rn >= s.rn AND (e.rn = s.rn OR e.upto - s.upto + s.cost <= 100) GROUP BY ALL""",
 )
 def span_choice_by_budget(spark, sf_dir):
-    own = W.partitionBy("l_orderkey").orderBy("rn")
-    cost = F.col("l_quantity").cast("long")
-    costs = lines(spark, sf_dir).select("l_orderkey", "rn", cost.alias("cost"), F.sum(cost).over(own).alias("upto"))
-    # The sums of one order, ascending: the longest prefix that fits is a count. A first item over budget stands alone.
-    sums = F.sort_array(F.collect_list("upto").over(W.partitionBy("l_orderkey")))
-    chosen = costs.withColumn("sums", sums).withColumn(
-        "last_item", F.greatest(F.col("rn"), F.size(F.filter("sums", lambda s: s <= F.col("upto") - F.col("cost") + 100)).cast("long"))
-    )
-    span = F.element_at("sums", F.col("last_item").cast("int")) - F.col("upto") + F.col("cost")
-    return chosen.select("l_orderkey", F.col("rn").alias("first_item"), "last_item", span.alias("span_cost"))
+    """From each item the longest span that fits; a first item over budget stands alone."""
+    costs = lines(spark, sf_dir).select("l_orderkey", "rn", F.col("l_quantity").cast("long").alias("cost"))
+    return ordered_fold(costs, ["l_orderkey"], ["rn"], ["rn", "cost"], "first_item bigint, last_item bigint, span_cost bigint", longest_spans(100))
 
 
 @query(
@@ -223,77 +220,133 @@ def file_order_rank(spark, sf_dir):
 
 @query(
     "balanced_allocation_one_each",
-    "WITH g AS (SELECT source, count(*) AS n, count(*) OVER () AS k FROM documents GROUP BY source) SELECT source, n, least(n, greatest(1, 60 // k))::BIGINT AS granted FROM g",
+    """WITH g AS (SELECT source, count(*) AS n, sha256('one:' || source) AS h FROM documents GROUP BY source),
+units AS (SELECT source, row_number() OVER (ORDER BY depth, h) AS rn FROM (SELECT source, h, unnest(range(n)) AS depth FROM g))
+SELECT source, n, count(rn)::BIGINT AS granted FROM g LEFT JOIN (SELECT * FROM units WHERE rn <= 4 * (SELECT count(*) FROM documents) // 5) USING (source) GROUP BY source, n""",
 )
 def balanced_allocation_one_each(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    groups = counts.count()
-    return counts.select("source", "n", F.least(F.col("n"), F.greatest(F.lit(1), F.lit(60 // max(1, groups)))).cast("long").alias("granted"))
+    """Four fifths of the rows, dealt one by one to the groups in hash order until each runs out; what small groups leave goes on."""
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("h", hash_key("one", "source"))
+    target = 4 * counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"] // 5  # one number
+    granted = sampling.equal_budgets(counts, "h", "n", target).select("h", "granted")
+    return counts.join(granted, "h").select("source", "n", "granted")
+
+
+#: Sizes with the mark of protected documents.
+PROTECTED = "p AS (SELECT s.*, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND quality = 1) AS is_protected FROM sized s)"
+
+
+def protected_sizes(spark, sf_dir):
+    """Sizes of the documents and whether they are protected (labelled good), as one narrow table."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    docs = sized_once(spark, sf_dir).select("doc_id", "source", "tokens").join(good, "doc_id", "left")
+    return staged(docs.select("doc_id", "source", "tokens", F.col("good").isNotNull().alias("is_protected")), "protected")
+
+
+def share_of(df, percent):
+    """A share of all tokens, as one number."""
+    return percent * df.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"] // 100
+
+
+def walk(rows: str, start: str, fits: str) -> str:
+    """CTE ``w``: rows numbered by rn from 1, one by one: what is used and whether the row is taken."""
+    return f"""w AS (SELECT 0::BIGINT AS rn, {start} AS used, false AS ok UNION ALL
+  SELECT o.rn, w.used + CASE WHEN {fits} THEN o.tokens ELSE 0 END, {fits} FROM w JOIN {rows} o ON o.rn = w.rn + 1)"""
 
 
 @query(
     "smallest_first_soft_edge",
-    f"""WITH {SIZED}, c AS (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY tokens, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized)
-SELECT doc_id, tokens, before FROM c WHERE before < 0.995 * 20000 AND before + tokens <= 20000""",
+    f"""WITH RECURSIVE {SIZED}, {PROTECTED}, t AS (SELECT 60 * sum(tokens)::BIGINT // 100 AS target FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY tokens, sha256('edge:' || doc_id)) - 1 AS depth FROM p WHERE NOT is_protected),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY depth, sha256('edge:' || depth || ':' || source)) AS rn FROM r WHERE depth > 0),
+s AS (SELECT coalesce((SELECT sum(tokens) FROM p WHERE is_protected), 0)::BIGINT + coalesce((SELECT sum(tokens) FROM r WHERE depth = 0), 0)::BIGINT AS spent),
+{walk('o', '(SELECT spent FROM s)', 'w.used < (SELECT target FROM t) AND (w.used + o.tokens <= (SELECT target FROM t) OR w.used < (SELECT target FROM t) * 0.995)')}
+SELECT doc_id, tokens, 'protected' AS why FROM p WHERE is_protected UNION ALL SELECT doc_id, tokens, 'first' FROM r WHERE depth = 0 UNION ALL SELECT doc_id, tokens, 'drawn' FROM w JOIN o USING (rn) WHERE ok""",
 )
 def smallest_first_soft_edge(spark, sf_dir):
-    """Documents from the smallest on until the target is met to 99.5 percent; none may exceed it."""
-    ordered = running_sum(sized(spark, sf_dir).select("doc_id", "tokens"), F.col("tokens"), ["tokens", "doc_id"], F.col("tokens"), None, "before")
-    return ordered.where((F.col("before") < 0.995 * 20000) & (F.col("before") + F.col("tokens") <= 20000))
+    """Protected documents, the smallest of each source, then rounds of the next smallest up to 60 percent of all tokens.
 
+    A document that exceeds the target is still taken while less than 99.5 percent of it is reached.
+    """
+    docs = protected_sizes(spark, sf_dir)
+    chosen = sampling.smallest_round_robin(docs, F.col("is_protected"), "source", "doc_id", "edge", "tokens", share_of(docs, 60), 0.995)
+    return chosen.select("doc_id", "tokens", "why")
 
-ROUND = "sha256('robin:' || doc_id)"
+
+@query(
+    "protected_one_each_shares",
+    f"""WITH {SIZED}, {PROTECTED}, t AS (SELECT 60 * sum(tokens)::BIGINT // 100 AS target, sum(tokens) FILTER (is_protected)::BIGINT AS kept, sum(tokens) FILTER (NOT is_protected)::BIGINT AS rest FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('main:' || doc_id)) - 1 AS depth, sum(tokens) OVER (PARTITION BY source) AS source_tokens FROM p WHERE NOT is_protected),
+f AS (SELECT sum(tokens)::BIGINT AS ones FROM r WHERE depth = 0),
+c AS (SELECT *, floor((target - kept - ones) * source_tokens / rest) AS share, sum(tokens) OVER (PARTITION BY source ORDER BY depth) AS upto FROM r, t, f WHERE depth > 0)
+SELECT doc_id, source, tokens, 'protected' AS why FROM p WHERE is_protected UNION ALL SELECT doc_id, source, tokens, 'first' FROM r WHERE depth = 0 UNION ALL SELECT doc_id, source, tokens, 'drawn' FROM c WHERE upto <= share""",
+)
+def protected_one_each_shares(spark, sf_dir):
+    """Protected documents, one of each source, then each source's share of what 60 percent of all tokens leave."""
+    docs = protected_sizes(spark, sf_dir)
+    return sampling.protected_then_shares(docs, F.col("is_protected"), "source", "doc_id", "main", "tokens", share_of(docs, 60)).select("doc_id", "source", "tokens", "why")
+
+
+@query(
+    "proportional_targets_last_rest",
+    """WITH g AS (SELECT source, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source), s AS (SELECT *, round_even(100000 * chars / sum(chars) OVER (), 0)::BIGINT AS share, source = max(source) OVER () AS is_last FROM g)
+SELECT source, chars, CASE WHEN is_last THEN greatest(0, 100000 - (SELECT coalesce(sum(share), 0) FROM s WHERE NOT is_last)) ELSE share END::BIGINT AS target FROM s""",
+)
+def proportional_targets_last_rest(spark, sf_dir):
+    """A target split by the sources' characters, half to even; the last source takes the remainder."""
+    sums = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("chars"))
+    return sampling.share_targets(sums, "source", "chars", 100_000)
 
 
 @query(
     "keep_sources_then_round_robin",
-    f"""WITH {SIZED}, kept AS (SELECT doc_id, source, tokens, 'kept' AS why FROM sized WHERE lang = 'fr'),
-d AS (SELECT *, {ROUND} AS h, row_number() OVER (PARTITION BY source ORDER BY {ROUND}) - 1 AS depth FROM sized WHERE lang = 'en'),
-s AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY depth, tokens, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM d)
-SELECT * FROM kept UNION ALL SELECT doc_id, source, tokens, 'drawn' FROM s WHERE spent + tokens <= 8000""",
+    f"""WITH RECURSIVE {SIZED}, t AS (SELECT sum(tokens)::BIGINT // 2 AS target, coalesce(sum(tokens) FILTER (source IN ('src1', 'src2', 'src3')), 0)::BIGINT AS kept FROM sized),
+d AS (SELECT *, {ROUND} AS h, row_number() OVER (PARTITION BY source ORDER BY {ROUND}) - 1 AS depth FROM sized WHERE source NOT IN ('src1', 'src2', 'src3')),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY depth, tokens, h) AS rn FROM d),
+{walk('o', '0::BIGINT', 'w.used + o.tokens <= (SELECT target - kept FROM t)')}
+SELECT doc_id, source, tokens, 'kept' AS why FROM sized WHERE source IN ('src1', 'src2', 'src3') UNION ALL SELECT doc_id, source, tokens, 'drawn' FROM w JOIN o USING (rn) WHERE ok""",
 )
 def keep_sources_then_round_robin(spark, sf_dir):
-    docs = sized(spark, sf_dir)
-    kept = docs.where("lang = 'fr'").select("doc_id", "source", "tokens", F.lit("kept").alias("why"))
-    ranked = hash_ranked(docs.where("lang = 'en'"), "robin", "doc_id", group=["source"]).withColumnRenamed("hash_rank", "depth")
-    spent = running_sum(ranked, F.col("tokens"), ["depth", "tokens", "hash_key"], F.col("depth"), None, "spent")
-    return kept.unionByName(spent.where(F.col("spent") + F.col("tokens") <= 8000).select("doc_id", "source", "tokens", F.lit("drawn").alias("why")))
+    """All of the sources to keep, then a round robin over the others up to half of all tokens, passing over what does not fit."""
+    docs = sized_once(spark, sf_dir).select("doc_id", "source", "tokens")
+    keep = F.coalesce(F.col("source").isin("src1", "src2", "src3"), F.lit(False))
+    kept = docs.where(keep)
+    left = share_of(docs, 50) - kept.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
+    drawn = sampling.round_robin(docs.where(~keep), ["source"], "doc_id", "robin", "tokens", left)
+    return kept.withColumn("why", F.lit("kept")).unionByName(drawn.select("doc_id", "source", "tokens", F.lit("drawn").alias("why")))
 
 
 @query(
     "match_counts_per_group",
-    f"""WITH d AS (SELECT d.doc_id, d.lang, l.doc_id IS NOT NULL AS labeled FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
+    f"""WITH {SIZED}, d AS (SELECT s.doc_id, s.lang, s.tokens, l.doc_id IS NOT NULL AS labeled FROM sized s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
 n AS (SELECT lang, count(*) FILTER (labeled) AS wanted FROM d GROUP BY 1),
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('match:' || doc_id)) AS i FROM d WHERE NOT labeled)
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY tokens, sha256('match:' || doc_id)) AS i FROM d WHERE NOT labeled)
 SELECT doc_id, lang FROM r JOIN n USING (lang) WHERE i <= wanted""",
 )
 def match_counts_per_group(spark, sf_dir):
-    """As many unlabelled documents of a language as it has labelled ones."""
+    """As many unlabelled documents of a language as it has labelled ones, the smallest."""
     labels = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labeled", F.lit(True))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labels, "doc_id", "left")
+    docs = sized_once(spark, sf_dir).select("doc_id", "lang", "tokens").join(labels, "doc_id", "left")
     wanted = docs.where("labeled").groupBy("lang").agg(F.count(F.lit(1)).alias("wanted"))
-    ranked = hash_ranked(docs.where("labeled IS NULL"), "match", "doc_id", group=["lang"])
-    return ranked.join(wanted, "lang").where("hash_rank < wanted").select("doc_id", "lang")
+    others = docs.where("labeled IS NULL").withColumn("tie", hash_key("match", "doc_id"))
+    ranked = sampling.by_depth(others, ["lang"], ["tokens", "tie"], F.col("tokens"))
+    return ranked.join(wanted, "lang").where("depth < wanted").select("doc_id", "lang")
 
 
 @query(
     "protected_first_then_round_robin",
-    f"""WITH {SIZED}, m AS (SELECT s.*, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND quality = 1) AS p FROM sized s),
-a AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY tokens, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM m WHERE p),
-k AS (SELECT doc_id, tokens FROM a WHERE spent + tokens <= 6000),
-d AS (SELECT *, {ROUND} AS h, row_number() OVER (PARTITION BY source ORDER BY {ROUND}) - 1 AS depth FROM m WHERE NOT p),
-s AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY depth, tokens, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM d)
-SELECT doc_id, tokens, true AS is_protected FROM k UNION ALL SELECT doc_id, tokens, false FROM s WHERE spent + tokens <= 10000 - (SELECT coalesce(sum(tokens), 0) FROM k)""",
+    f"""WITH RECURSIVE {SIZED}, {PROTECTED}, t AS (SELECT 40 * sum(tokens)::BIGINT // 100 AS target FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY is_protected, source ORDER BY tokens, sha256('robin:' || doc_id)) - 1 AS depth FROM p),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY NOT is_protected, CASE WHEN is_protected THEN tokens ELSE depth END,
+  CASE WHEN is_protected THEN {ROUND} ELSE sha256('robin:' || depth || ':' || source) END) AS rn FROM r),
+{walk('o', '0::BIGINT', 'w.used < (SELECT target FROM t) AND w.used + o.tokens <= (SELECT target FROM t)')}
+SELECT doc_id, tokens, is_protected FROM w JOIN o USING (rn) WHERE ok""",
 )
 def protected_first_then_round_robin(spark, sf_dir):
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    docs = sized(spark, sf_dir).join(good, "doc_id", "left")
-    first = running_sum(docs.where("good"), F.col("tokens"), ["tokens", "doc_id"], F.col("tokens"), None, "spent").where(F.col("spent") + F.col("tokens") <= 6000).select("doc_id", "tokens")
-    # One number decides what the others may spend.
-    left = 10000 - first.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]
-    ranked = hash_ranked(docs.where("good IS NULL"), "robin", "doc_id", group=["source"]).withColumnRenamed("hash_rank", "depth")
-    rest = running_sum(ranked, F.col("tokens"), ["depth", "tokens", "hash_key"], F.col("depth"), None, "spent").where(F.col("spent") + F.col("tokens") <= left)
-    return first.withColumn("is_protected", F.lit(True)).unionByName(rest.select("doc_id", "tokens", F.lit(False).alias("is_protected")))
+    """Protected documents from the smallest on, then rounds over the sources, each document if it still fits 40 percent of all tokens."""
+    docs = protected_sizes(spark, sf_dir)
+    chosen = sampling.protected_round_robin(docs, F.col("is_protected"), "source", "doc_id", "robin", "tokens", share_of(docs, 40))
+    return chosen.select("doc_id", "tokens", "is_protected")
 
 
 @query("slice_by_ordinal", "WITH r AS (SELECT page_id, url, row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages) SELECT page_id, url, i AS ordinal FROM r WHERE i >= 10 AND i < 40")
@@ -360,7 +413,8 @@ def tag_difference(spark, sf_dir):
 
 @query(
     "union_count_check",
-    """SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS n_first, (SELECT count(*) FROM documents WHERE lang <> 'en') AS n_second, (SELECT count(*) FROM documents WHERE lang IS NOT NULL) AS n_union, true AS holds""",
+    """SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS n_first, (SELECT count(*) FROM documents WHERE lang <> 'en') AS n_second, (SELECT count(*) FROM documents WHERE lang IS NOT NULL) AS n_union,
+  (SELECT count(*) FROM documents WHERE lang = 'en') + (SELECT count(*) FROM documents WHERE lang <> 'en') = (SELECT count(*) FROM documents WHERE lang IS NOT NULL) AS holds""",
 )
 def union_count_check(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -395,12 +449,12 @@ def tier_filter(spark, sf_dir, tier: str = "home"):
 
 @query(
     "array_membership_filter",
-    "WITH e AS (SELECT vec_id, label, embedding[1:4] AS head FROM embeddings) SELECT vec_id, label, len(list_filter(head, lambda x: x > 0)) > 0 AS any_positive, head[1] > 0 AS first_positive FROM e WHERE len(list_filter(head, lambda x: x > 0.5)) > 0 OR head[1] > 0",
+    "SELECT vec_id, label, len(list_filter(embedding, lambda x: x > 0.4)) > 0 AS has_large, embedding[1] > 0 AS leads_positive FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.4)) > 0 OR embedding[1] > 0",
 )
 def array_membership_filter(spark, sf_dir):
-    head = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 4).alias("head"))
-    kept = head.where(F.exists("head", lambda x: x > 0.5) | (F.element_at("head", 1) > 0))
-    return kept.select("vec_id", "label", F.exists("head", lambda x: x > 0).alias("any_positive"), (F.element_at("head", 1) > 0).alias("first_positive"))
+    """Rows of which any element, or the first, meets its condition, and which of the two did."""
+    told = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.exists("embedding", lambda x: x > 0.4).alias("has_large"), (F.get("embedding", 0) > 0).alias("leads_positive"))
+    return told.where("has_large OR leads_positive")
 
 
 @query(
@@ -442,9 +496,10 @@ def tag_validity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.size(tags).cast("long").alias("n_tags"), (F.size(tags) >= 3).alias("valid"))
 
 
-@query("record_text", "SELECT doc_id, concat(coalesce(lang, ''), ' ', coalesce(source, ''), ' ', coalesce(substr(text, 1, 40), '')) AS record FROM documents")
+@query("record_text", "SELECT doc_id, coalesce(lang, '') || ' ' || coalesce(source, '') || ' ' || coalesce(text, '') AS record FROM documents")
 def record_text(spark, sf_dir):
-    fields = [F.coalesce(c, F.lit("")) for c in (F.col("lang"), F.col("source"), F.substring("text", 1, 40))]
+    """Fields of a record joined by a space, whole; a missing one is empty."""
+    fields = [F.coalesce(c, F.lit("")) for c in ("lang", "source", "text")]
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", *fields).alias("record"))
 
 
@@ -461,14 +516,22 @@ def hard_split_to_limit(spark, sf_dir):
 
 @query(
     "chunk_by_source_kind",
-    """WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'lines' WHEN 'fr' THEN 'whole' ELSE 'fixed' END AS kind, coalesce(text, '') AS t FROM documents)
-SELECT doc_id, kind, len(string_split(t, chr(10)))::BIGINT AS n_chunks FROM d WHERE kind = 'lines' UNION ALL SELECT doc_id, kind, 1 FROM d WHERE kind = 'whole' UNION ALL SELECT doc_id, kind, (length(t) + 299) // 300 FROM d WHERE kind = 'fixed'""",
+    """WITH d AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'lines' WHEN 'fr' THEN 'whole' ELSE 'fixed' END AS kind, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, kind, CASE kind WHEN 'lines' THEN list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') WHEN 'whole' THEN [t]
+  ELSE list_transform(range(0, (length(t) + 299) // 300), lambda i: substr(t, i * 300 + 1, 300)) END AS parts FROM d)
+SELECT doc_id, kind, i AS chunk_id, parts[i + 1] AS chunk FROM (SELECT *, unnest(range(len(parts))) AS i FROM c)""",
 )
 def chunk_by_source_kind(spark, sf_dir):
+    """Chunks by the kind of a text: its non-blank lines, the whole, or pieces of 300 characters."""
     text = F.coalesce("text", F.lit(""))
     kind = F.when(F.col("lang") == "en", "lines").when(F.col("lang") == "fr", "whole").otherwise("fixed")
-    chunks = F.when(kind == "lines", F.size(F.split(text, "\n", -1))).when(kind == "whole", 1).otherwise(F.ceil(F.length(text) / 300))
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), chunks.cast("long").alias("n_chunks"))
+    pieces = F.ceil(F.length(text) / 300)
+    starts = F.when(pieces > 0, F.sequence(F.lit(0).cast("long"), pieces - 1)).otherwise(F.expr("cast(array() as array<long>)"))
+    fixed = F.transform(starts, lambda i: F.substr(text, (i * 300 + 1).cast("int"), F.lit(300)))
+    lines_of = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
+    parts = F.when(kind == "lines", lines_of).when(kind == "whole", F.array(text)).otherwise(fixed)
+    cut = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.posexplode(parts).alias("chunk_id", "chunk"))
+    return cut.withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
 #: Keywords and the phrases they stand for.
@@ -545,25 +608,31 @@ def compact_serialisation(spark, sf_dir):
 
 @query(
     "compact_context",
-    """WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM conversations)
-SELECT conv_id, turn, lag(w[-1]) OVER p AS previous_last, array_to_string(w[1:5], ' ') AS target, lead(w[1]) OVER p AS next_first FROM t WINDOW p AS (PARTITION BY conv_id ORDER BY turn)""",
+    """WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM conversations)
+SELECT conv_id, turn, lag(w[-1]) OVER p AS previous_last, t AS target, lead(w[1]) OVER p AS next_first FROM t WINDOW p AS (PARTITION BY conv_id ORDER BY turn)""",
 )
 def compact_context(spark, sf_dir):
-    """Last word of the turn before, the head of the turn, first word of the next."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(words, 0).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"), F.array_join(F.slice(words, 1, 5), " ").alias("target"))
+    """Last word of the turn before, the whole turn, first word of the next."""
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(words, 0).alias("first"), F.try_element_at(words, F.lit(-1)).alias("last"), text.alias("target"))
     turns = W.partitionBy("conv_id").orderBy("turn")
     return cut.select("conv_id", "turn", F.lag("last").over(turns).alias("previous_last"), "target", F.lead("first").over(turns).alias("next_first"))
 
 
 @query(
     "human_size",
-    "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE (n_chars // 1024) || '.' || ((n_chars % 1024) * 10 // 1024) || ' KB' END AS size FROM documents",
+    """WITH d AS (SELECT doc_id, n_chars, CASE WHEN n_chars < 1024 THEN 0 WHEN n_chars < 1048576 THEN 1 WHEN n_chars < 1073741824 THEN 2 WHEN n_chars < 1099511627776 THEN 3 ELSE 4 END AS k FROM (SELECT doc_id, n_chars * n_chars AS n_chars FROM documents))
+SELECT doc_id, CASE WHEN k = 0 THEN n_chars || ' B' ELSE printf('%.1f', round(n_chars * 10 / pow(1024, k), 0) / 10) || ' ' || ['KB', 'MB', 'GB', 'TB'][k] END AS size FROM d""",
 )
 def human_size(spark, sf_dir):
-    n = F.col("n_chars")
-    whole, tenth = F.expr("n_chars div 1024").cast("string"), F.expr("(n_chars % 1024) * 10 div 1024").cast("string")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.concat(whole, F.lit("."), tenth, F.lit(" KB"))).alias("size"))
+    """Sizes in the largest unit that leaves one or more; squares of the lengths stand for sizes, so that several units occur."""
+    n, steps = F.col("n"), (1 << 10, 1 << 20, 1 << 30, 1 << 40)
+    k = F.when(n < steps[0], 0).when(n < steps[1], 1).when(n < steps[2], 2).when(n < steps[3], 3).otherwise(4)
+    units = F.array(*[F.lit(u) for u in ("KB", "MB", "GB", "TB")])
+    rounded = F.round(n * 10 / F.pow(F.lit(1024), k), 0) / 10
+    size = F.when(k == 0, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.1f %s", rounded, F.get(units, F.greatest(k - 1, F.lit(0)))))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * F.col("n_chars")).alias("n")).select("doc_id", size.alias("size"))
 
 
 @query(
@@ -577,15 +646,28 @@ def name_parts(spark, sf_dir):
 
 @query(
     "sampled_sequence_match",
-    f"""WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER ({EVENTS}) AS i FROM events WHERE user_id IS NOT NULL),
-a AS (SELECT user_id AS u, event_type AS x, i FROM e WHERE i <= 40 AND (i - 1) % 4 = 0), b AS (SELECT user_id - 1 AS u, event_type AS y, i FROM e WHERE i <= 40 AND (i - 1) % 4 = 0)
-SELECT u AS user_id, count(*) AS n_sampled, sum((x = y)::INT)::BIGINT AS n_equal FROM a JOIN b USING (u, i) GROUP BY 1""",
+    f"""WITH e AS (SELECT user_id, event_type, row_number() OVER ({EVENTS}) - 1 AS p FROM events WHERE user_id IS NOT NULL),
+n AS (SELECT user_id, count(*) AS n FROM e GROUP BY 1), q AS (SELECT a.user_id AS u, a.n AS la, b.n AS lb, least(300, a.n, b.n) AS k FROM n a JOIN n b ON b.user_id = a.user_id + 1),
+i AS (SELECT u, k, la, lb, unnest(range(k)) AS i FROM q)
+SELECT u AS user_id, count(*) AS n_sampled, sum((x.event_type = y.event_type)::INT)::BIGINT AS n_equal, sum((x.event_type = y.event_type)::INT) / count(*) AS share
+FROM i JOIN e x ON x.user_id = u AND x.p = i * la // k JOIN e y ON y.user_id = u + 1 AND y.p = i * lb // k GROUP BY u""",
 )
 def sampled_sequence_match(spark, sf_dir):
-    """Share of equal types of a user and the next one, at every fourth of the first forty places: a sampling operator."""
-    ranked = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_type", F.row_number().over(by_user()).alias("i")).where("i <= 40 AND (i - 1) % 4 = 0")
-    other = ranked.select((F.col("user_id") - 1).alias("user_id"), "i", F.col("event_type").alias("other"))
-    return ranked.join(other, ["user_id", "i"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("event_type") == F.col("other")).alias("n_equal"))
+    """Share of equal types of a user and the next one at up to 300 places spread over the whole of both sequences."""
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "ts", "event_id", "event_type")
+    placed = running_sum(events, F.lit(1), ["ts", "event_id"], F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600), ["user_id"], "p").select("user_id", "event_type", "p")
+    n = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("la"))
+    pairs = n.join(n.select((F.col("user_id") - 1).alias("user_id"), F.col("la").alias("lb")), "user_id").withColumn("k", F.least(F.lit(300), "la", "lb"))
+
+    def sample(own, length, name):
+        # A place is sampled if it is floor(i * length / k) of some i; k is at most the length, so of one i only.
+        i = F.ceil(F.col("p") * F.col("k") / F.col(length)).cast("long")
+        joined = own.join(pairs, "user_id").withColumn("i", i)
+        return joined.where((F.col("i") < F.col("k")) & (F.floor(F.col("i") * F.col(length) / F.col("k")) == F.col("p"))).select("user_id", "i", F.col("event_type").alias(name))
+
+    both = sample(placed, "la", "x").join(sample(placed.withColumn("user_id", F.col("user_id") - 1), "lb", "y"), ["user_id", "i"])
+    counted = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(F.col("x") == F.col("y")).alias("n_equal"))
+    return counted.withColumn("share", F.col("n_equal") / F.col("n_sampled"))
 
 
 @query(
@@ -625,14 +707,14 @@ def split_at_marker(spark, sf_dir):
 
 @query(
     "candidate_pair_blocking",
-    """SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND floor(ln(a.s_acctbal + 2000) / 0.05) = floor(ln(b.s_acctbal + 2000) / 0.05)
+    """SELECT a.s_suppkey AS a, b.s_suppkey AS b, a.s_nationkey FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
 WHERE (a.s_acctbal + 2000) / (b.s_acctbal + 2000) BETWEEN 0.75 AND 1.33""",
 )
 def candidate_pair_blocking(spark, sf_dir):
-    """Pairs of one nation and one narrow band of balances: blocks stay small as the table grows."""
-    own = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") + 2000).alias("v")).withColumn("band", F.floor(F.ln("v") / 0.05))
-    a, b = own.select(F.col("s_suppkey").alias("a"), "s_nationkey", "band", F.col("v").alias("va")), own.select(F.col("s_suppkey").alias("b"), "s_nationkey", "band", F.col("v").alias("vb"))
-    return a.join(b, ["s_nationkey", "band"]).where((F.col("a") < F.col("b")) & (F.col("va") / F.col("vb")).between(0.75, 1.33)).select("a", "b", "s_nationkey")
+    """Pairs of one nation whose balances have a ratio of 0.75 to 1.33: bands as wide as the rule, so a pair's bands are neighbours."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", (F.col("s_acctbal") + 2000).alias("v"))
+    pairs = joins.ratio_join(own, own, ["s_nationkey"], "v", 0.75, 1.33)
+    return pairs.where("l.s_suppkey < r.s_suppkey").select(F.col("l.s_suppkey").alias("a"), F.col("r.s_suppkey").alias("b"), F.col("l.s_nationkey"))
 
 
 @query(

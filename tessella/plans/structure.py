@@ -9,7 +9,7 @@ from tessella.functions import events as ev
 from tessella.operators import chunking, sampling, windows
 from tessella.operators.ranking import running_sum
 from tessella.plans.catalogue import query
-from tessella.plans.corpus import SIZED, WORDS, sized, table
+from tessella.plans.corpus import SIZED, WORDS, sized_once, table
 from tessella.plans.selection import LINES, lines
 from tessella.plans.sequences import EVENTS, HOUR, KEY, ORDER, WIN, events
 
@@ -70,7 +70,7 @@ SELECT doc_id, cycle::INTEGER AS cycle, CASE WHEN cycle = 0 THEN 'base' ELSE ['t
 FROM s WHERE cycle = 0 OR spent < (SELECT 3 * t + 10 FROM t)""",
 )
 def expand_until_floor(spark, sf_dir):
-    base = sized(spark, sf_dir).where("lang = 'de'").select("doc_id", "tokens")
+    base = sized_once(spark, sf_dir).where("lang = 'de'").select("doc_id", "tokens")
     total = base.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]  # one number
     filled = sampling.fill_to_floor(base, ["doc_id"], F.floor(F.col("doc_id") / 1000), "tokens", 3 * total + 10, list(CARDS.values()))
     card = F.when(F.col("cycle") == 0, "base").otherwise(F.element_at(F.array(*[F.lit(c) for c in CARDS]), (F.col("cycle") - 1) % len(CARDS) + 1))
