@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators.staging import discard, shared_folder, staged  # noqa: F401
+
 #: A word is a maximal run of characters other than space and TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,44 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, only a
-    local session may go on, in a folder beside its warehouse: the executors of a
-    cluster would write to disks that no other one sees.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-staged"
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage.
-
-    A lost executor then costs a reread of these files, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`staged` that no later job reads.
-
-    Only tables whose results were written since may go: a lost executor would
-    otherwise reread them.
-    """
-    for table in tables:
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,21 +17,21 @@ from tessella.llm.setjoin import SetFilter, as_ratio, linked_sets
 
 SHINGLE, SIMILARITY = 3, 0.9
 #: Groups of n-grams (a power of two) and entries of a node.
-GROUPS, FANOUT = 32, 16
-#: Counts are stored in 16 bits; the greatest one means "as many or more".
-MOST = (1 << 16) - 1
+GROUPS, FANOUT = 128, 16
+#: Counts are stored in a byte; the greatest one means "as many or more".
+MOST = (1 << 8) - 1
 
 
 def count_vector(grams: np.ndarray) -> np.ndarray:
     """Counts of 64-bit n-gram hashes by group (their leading bits), as signed 64-bit words."""
     shift = np.uint64(64 - (GROUPS.bit_length() - 1))
     counts = np.bincount((grams >> shift).astype(np.int64), minlength=GROUPS)
-    return np.minimum(counts, MOST).astype("<u2").view(np.int64)
+    return np.minimum(counts, MOST).astype(np.uint8).view(np.int64)
 
 
 def read_counts(words: np.ndarray) -> np.ndarray:
     """Points of stored count vectors; a count that was cut off bounds nothing."""
-    counts = words.view("<u2").astype(np.int32)
+    counts = words.view(np.uint8).astype(np.int32)
     counts[counts == MOST] = np.iinfo(np.int32).max // GROUPS
     return counts
 
@@ -119,6 +119,8 @@ def candidate_groups(sizes: np.ndarray, points: np.ndarray, similarity: float) -
     What a search finds is taken from the tree, so a group of n near copies
     costs about n visits and not their pairs.
     """
+    if len(sizes) <= FANOUT:
+        return _leaf_groups(sizes, points, similarity)
     tree = CountTree(sizes, points)
     free = np.ones(len(sizes), bool)
     left, groups = len(sizes), []
@@ -142,7 +144,24 @@ def candidate_groups(sizes: np.ndarray, points: np.ndarray, similarity: float) -
     return groups
 
 
-COUNTS = SetFilter(GROUPS // 4, count_vector, read_counts, near_counts, candidate_groups)
+def _leaf_groups(sizes: np.ndarray, points: np.ndarray, similarity: float) -> list[np.ndarray]:
+    """``candidate_groups`` of a tree that is one leaf: all its entries are compared at once."""
+    shared = np.minimum(points[:, None], points[None]).sum(axis=2)
+    near = sizes_allow(sizes[:, None], sizes[None], similarity) & bound_holds(shared, sizes[:, None], sizes[None], similarity)
+    left, groups = np.ones(len(sizes), bool), []
+    for root in range(len(sizes)):
+        reached = np.zeros(len(sizes), bool)
+        new = left & (np.arange(len(sizes)) == root)
+        while new.any():
+            reached |= new
+            new = near[new].any(axis=0) & left & ~reached
+        left &= ~reached
+        if reached.sum() > 1:
+            groups.append(np.flatnonzero(reached))
+    return groups
+
+
+COUNTS = SetFilter(GROUPS // 8, count_vector, read_counts, near_counts, candidate_groups)
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

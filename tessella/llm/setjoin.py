@@ -238,28 +238,32 @@ def linked_sets(docs: DataFrame, size: int, similarity: float, test: SetFilter)
 
     def recur(batches):
         for run in runs(batches):
-            item, node = run[:, 0], run[:, 1]
+            item, node, inner = run[:, 0], run[:, 1], run[:, 2]
             fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (node[1:] != node[:-1])])
-            item, node = item[fresh], node[fresh]
+            item, node, inner = item[fresh], node[fresh], inner[fresh]
             begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
             m = np.diff(np.append(begin, len(item)))
             met = np.repeat(m, m)
-            kept = met > 1
-            yield pa.RecordBatch.from_arrays([pa.array(item[kept]), pa.array(node[kept]), pa.array(met[kept])], ["item", "sh", "m"])
+            kept = (met > 1) & np.repeat(np.add.reduceat(inner, begin) > 0 if len(begin) else begin > 0, m)
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (item, node, inner, met)], ["item", "sh", "inner", "m"])
 
-    probed = marked.select(F.explode("lead").alias("item"), "sh").repartition("item").sortWithinPartitions("item", "sh")
-    met = staged(probed.mapInArrow(recur, "item long, sh long, m long"), "set-buckets")
+    # The smaller set of a pair shares one of its first items by a stricter count: what it shares is 2 s / (1 + s) of it.
+    over, under = as_ratio(similarity)
+    stricter = F.col("n") - F.ceil(F.col("n") * F.lit(2 * over / (over + under)) - 1e-9)
+    probed = marked.select("sh", stricter.alias("_inner"), F.posexplode("lead").alias("pos", "item")).select("item", "sh", (F.col("pos") <= F.col("_inner")).cast("long").alias("inner"))
+    met = staged(probed.repartition("item").sortWithinPartitions("item", "sh").mapInArrow(recur, "item long, sh long, inner long, m long"), "set-buckets")
     known = staged(marked.drop("lead"), "set-nodes")
     discard(marked)
     nodes = known.groupBy("sh").agg(F.min(F.struct("did", "th")).alias("row"), *[F.first(c).alias(c) for c in ("n", *marks)])
 
     def gather(batches):
         for run in runs(batches):
-            item, node, n, bits = run[:, 0], run[:, 1], run[:, 2], test.read(np.ascontiguousarray(run[:, 3:]))
+            item, node, inner, n, bits = run[:, 0], run[:, 1], run[:, 2], run[:, 3], test.read(np.ascontiguousarray(run[:, 4:]))
             begin = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
             m = np.diff(np.append(begin, len(item)))
             # Most buckets hold two sets: these are judged at once.
             i = begin[m == 2]
+            i = i[np.where(n[i] < n[i + 1], inner[i], np.where(n[i] > n[i + 1], inner[i + 1], inner[i] | inner[i + 1])) > 0]
             i = i[test.pairs(n[i], n[i + 1], bits[i], bits[i + 1], similarity)]
             a, b = np.minimum(node[i], node[i + 1]), np.maximum(node[i], node[i + 1])
             keys = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
@@ -271,7 +275,7 @@ def linked_sets(docs: DataFrame, size: int, similarity: float, test: SetFilter)
                     out.append((np.full(len(members), key), members, np.full(len(members), len(members))))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "sh", "members"])
 
-    told = met.where(F.col("m") <= FILTERED).join(nodes, "sh").select("item", "sh", "n", *marks).repartition("item").sortWithinPartitions("item")
+    told = met.where(F.col("m") <= FILTERED).join(nodes, "sh").select("item", "sh", "inner", "n", *marks).repartition("item").sortWithinPartitions("item")
     hot = met.where(F.col("m") > FILTERED).select(F.col("item").alias("key"), "sh", F.col("m").alias("members"))
     groups = staged(told.mapInArrow(gather, "key long, sh long, members long").distinct().unionByName(hot), "set-groups")
     discard(met)
