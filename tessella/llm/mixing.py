@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessella.llm.common import running_offset, staged
+from tessella.llm.common import discard, running_offset, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -23,14 +23,15 @@ SLOTS_PER_SOURCE = 1024
 MAX_BLOCK = 65536
 PHI = 0.6180339887498949
 CELLS = 4096
-SALTS = 256
+#: Hex digits of the shuffle key that a task sorts alone: 4,096 parts of a source.
+SALT_DIGITS = 3
 
 
 def sized_documents(docs: DataFrame, size) -> DataFrame:
     """Narrow staged table: doc_id, source, size, the shuffle key and its salt."""
     key = F.sha2(F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256)
     return staged(
-        docs.select("doc_id", "source", size.alias("size"), F.substring(key, 1, 16).alias("key")).withColumn("salt", F.substring("key", 1, 2)),
+        docs.select("doc_id", "source", size.alias("size"), F.substring(key, 1, 16).alias("key")).withColumn("salt", F.substring("key", 1, SALT_DIGITS)),
         "mix-sized",
     )
 
@@ -95,16 +96,17 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, passes: in
 
     ``documents``: one row per input row with doc_id, source, size, source_rank,
     source_size, target, place (word offset in its source's shuffled stream) and
-    row_key. ``pieces``: row_key, slot, pass, start, words: the words of a
-    document that a slot of the schedule takes, in the order of the slots.
+    row_key. ``pieces``: row_key, slot, at, pass, start, words: the words of a
+    document that a slot of the schedule takes, and how many words of the slot's
+    block stand before them. The mix is the pieces in the order of (slot, at).
 
     A source takes floor(target) words: its last slot is cut there. Points fall
     unevenly on a small share, so a source may have fewer slots than blocks; its
     blocks of the ranks left over go, rank by rank, behind the schedule. Each pass
     takes a document once at most, so none exceeds ``passes`` times its size.
     Documents without words take nothing; a null source is a source; repeated
-    rows are separate documents; an empty table gives empty results. The order
-    is a hash of doc_id, so reruns agree.
+    rows are separate documents; an empty table gives empty results; columns but
+    doc_id and source are not read. The order is a hash of doc_id, so reruns agree.
     """
     sized = sized_documents(docs, size)
     targets = staged(source_targets(sized, weights, share, passes), "mix-targets")
@@ -115,10 +117,12 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, passes: in
     known = targets.select(F.col("source").alias("_source"), "source_rank", "source_size", "target")
     ranked = sized.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranked = staged(ranked, "mix-ranked")
+    discard(sized)
     order = ["key", "doc_id", "size"]
     placed = running_offset(ranked, ["source_rank"], "salt", order, F.col("size"), "place")
     placed = placed.withColumn("row_key", F.concat_ws(":", "source_rank", "salt", F.row_number().over(W.partitionBy("source_rank", "salt").orderBy(*order))))
     placed = staged(placed.drop("key", "salt"), "mix-placed")
+    discard(ranked)
     quota = F.floor(F.col("target")).cast("long")
     turns = F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))
     begin = F.col("place") + F.col("turn") * F.col("source_size")
@@ -135,6 +139,6 @@ def mix(docs: DataFrame, size, weights=WEIGHTS, share: float = SHARE, passes: in
     last = F.least(F.col("end"), (F.col("rank") + 1) * block)
     behind = F.lit(slots) + F.col("rank") * facts["sources"] + F.col("source_rank")
     pieces = parts.join(plan, ["source_rank", "rank"], "left").select(
-        "row_key", F.coalesce("slot", behind).alias("slot"), F.col("turn").alias("pass"), (first - F.col("begin")).alias("start"), (last - first).alias("words")
+        "row_key", F.coalesce("slot", behind).alias("slot"), (first - F.col("rank") * block).alias("at"), F.col("turn").alias("pass"), (first - F.col("begin")).alias("start"), (last - first).alias("words")
     )
     return placed, pieces

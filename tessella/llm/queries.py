@@ -22,15 +22,15 @@ def query(function):
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that the mix takes."""
+    """Words of each document that the mix takes, the first slot that takes some, and where in the slot's block they begin."""
     placed, pieces = mixing.mix(documents(spark, sf_dir), word_count(F.col("text")))
-    taken = pieces.groupBy("row_key").agg(F.sum("words").cast("long").alias("taken"))
+    taken = pieces.groupBy("row_key").agg(F.sum("words").cast("long").alias("taken"), F.min(F.struct("slot", "at")).alias("first"))
     return placed.join(taken, "row_key", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.col("first.slot").alias("slot"), F.col("first.at").alias("slot_offset")
     )
 
 
-ORACLES["op4_mixing"] = r"""
+ORACLES["op4_mixing"] = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          substr(sha256('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS k
@@ -51,15 +51,27 @@ opened AS (
          (SELECT arg_min(lvl, row(cap / w, r)) FROM levels WHERE NOT cap <= lvl * w) AS open_level
   FROM levels),
 targets AS (
-  SELECT source, source_size, CASE WHEN is_full OR open_level IS NULL THEN cap::DOUBLE ELSE open_level * w END AS target
+  SELECT source, r, source_size, CASE WHEN is_full OR open_level IS NULL THEN cap::DOUBLE ELSE open_level * w END AS target
   FROM opened),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.r, s.k,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+-- The schedule: golden-ratio points through the cumulative targets; slot number n of a source takes its block n.
+facts AS (
+  SELECT *, floor("all" / block * 1.25)::BIGINT + 64 * sources AS slots
+  FROM (SELECT sum(target) AS "all", count(*) AS sources, greatest(1, least({mixing.MAX_BLOCK}, floor(sum(target) / ({mixing.SLOTS_PER_SOURCE} * count(*)))))::BIGINT AS block FROM targets)),
+intervals AS (
+  SELECT r, coalesce(lag(high) OVER (ORDER BY r), 0) AS low, CASE WHEN lead(high) OVER (ORDER BY r) IS NULL THEN 1 ELSE high END AS high
+  FROM (SELECT r, sum(target) OVER (ORDER BY r) / sum(target) OVER () AS high FROM targets WHERE target > 0)),
+points AS (SELECT t AS slot, ((t + 1) * {mixing.PHI}::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range((SELECT slots FROM facts))) AS t)),
+schedule AS (SELECT slot, r, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS n FROM points JOIN intervals ON low <= u AND u < high),
+mixed AS (
+  SELECT doc_id, size, source_size, target, r, place, place // block AS n, place % block AS inside, slots + place // block * sources + r AS behind, size > 0 AND place < floor(target) AS goes
+  FROM placed, facts)
+SELECT doc_id, size, source_size, target, CASE WHEN goes THEN coalesce(slot, behind)::BIGINT END AS slot, CASE WHEN goes THEN inside::BIGINT END AS slot_offset,
        (greatest(0, least(size, floor(target)::BIGINT - place)) + greatest(0, least(size, floor(target)::BIGINT - source_size - place)))::BIGINT AS taken
-FROM placed
+FROM mixed LEFT JOIN schedule USING (r, n)
 """
 
 
