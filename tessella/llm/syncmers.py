@@ -63,8 +63,8 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return at, (hashes >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(text: str, size: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
-    """The ``size`` smallest distinct anchor hashes, ascending, and their first positions."""
+def fingerprint(text: str, size: int | None = SKETCH) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` smallest distinct anchor hashes (None: all), ascending, and their first positions."""
     at, hashes = anchors(text)
     distinct, first = np.unique(hashes, return_index=True)
     return distinct[:size], at[first[:size]]
@@ -75,6 +75,11 @@ def written(print_: tuple[np.ndarray, np.ndarray]) -> str:
     return ",".join(f"{h:08x}@{p:x}" for h, p in zip(print_[0].tolist(), print_[1].tolist()))
 
 
+def sketch(whole: tuple[np.ndarray, np.ndarray], size: int = SKETCH) -> str:
+    """The ``size`` smallest anchors of all, written."""
+    return written((whole[0][:size], whole[1][:size]))
+
+
 def read(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Undo :func:`written`."""
     pairs = [item.split("@") for item in text.split(",")] if text else []
@@ -83,19 +88,23 @@ def read(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def in_order(a: list[int], b: list[int]) -> int:
     """Most pairs (a[i], b[i]) that ascend together: the longest positional match. No two of ``a`` are equal."""
+    placed = sorted(zip(a, b))
+    if all(x[1] < y[1] for x, y in zip(placed, placed[1:])):
+        return len(placed)
     tails: list[int] = []
-    for _, at in sorted(zip(a, b)):
+    for _, at in placed:
         i = bisect_left(tails, at)
         tails[i : i + 1] = [at]
     return len(tails)
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = SKETCH) -> float:
-    """Estimated share of anchors that two texts have in common and in one order (Dice), 0 to 1.
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int | None = SKETCH) -> float:
+    """Share of anchors that two texts have in common and in one order (Dice), 0 to 1.
 
     ``a`` and ``b`` are fingerprints. Among the ``size`` smallest hashes of both
     together, those that both hold and whose positions match in order estimate a
-    Jaccard similarity J; the share is 2J / (1 + J). Two empty texts are alike.
+    Jaccard similarity J; the share is 2J / (1 + J). With all anchors and no
+    ``size`` it is exact. Two empty texts are alike.
     """
     if not len(a[0]) and not len(b[0]):
         return 1.0
@@ -187,9 +196,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint,
     near_edited and near_next. A null text is empty. Rows follow by doc_id, then
     text; a null doc_id comes first; repeated rows follow each other; the last
-    row is followed by the first, a single one by itself. Texts are whole, but a
-    fingerprint keeps the ``SKETCH`` smallest anchors, so likeness is an estimate
-    with a standard error of about 0.06; other columns are not read.
+    row is followed by the first, a single one by itself. Texts are whole and
+    likeness counts all their anchors; a written fingerprint keeps the ``SKETCH``
+    smallest, from which likeness can be estimated (error about 0.06). Other
+    columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -201,8 +211,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         def done(row, text, own):
             _, doc_id, said, mine = row
             new = edited(said, text)
-            changed = fingerprint(new)
-            return (doc_id, len(said), new, written(mine), written(changed), likeness(mine, changed), likeness(mine, own))
+            changed = fingerprint(new, None)
+            return (doc_id, len(said), new, sketch(mine), sketch(changed), likeness(mine, changed, None), likeness(mine, own, None))
 
         def flush(rows):
             kinds = (key, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -215,7 +225,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 for bucket, guest, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                     if guest and held is None:
                         continue
-                    own = fingerprint(text)
+                    own = fingerprint(text, None)
                     if held is not None:
                         rows.append(done(held, text, own))
                     held = None if guest else (bucket, doc_id, text, own)
