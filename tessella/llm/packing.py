@@ -156,24 +156,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 def harmonic_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """Assign ``sequence_id`` and ``offset`` to pieces with a ``length`` column.
 
-    The pieces keep all their columns. ``order`` names columns that rank the
-    pieces of a class; rows equal in them are interchangeable. The pieces of
-    the last, unfilled bin of each class are fewer than ``capacity`` per length,
-    so their number has a bound that does not depend on the input; one group
-    packs them first-fit decreasing.
+    The pieces keep all their columns; columns of these two names are replaced,
+    names that start with ``_pack`` are taken. ``order`` names columns that rank
+    the pieces of a class; rows equal in them are interchangeable. A piece of
+    the whole capacity is a sequence of its own (negative ids) and has no rank.
+    The pieces of the last, unfilled bin of each class are fewer than
+    ``capacity`` per length, so their number has a bound that does not depend on
+    the input; one group packs them first-fit decreasing.
     """
-    pieces = staged(pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(64))), "pieces")
-    ranked = running_offset(pieces, ["length"], "_salt", order, F.lit(1), "_rank")
-    totals = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_all")).withColumn("_each", F.expr(f"{capacity} div length"))
-    ranked = staged(ranked.join(totals, "length").withColumn("_left", F.col("_rank") >= F.expr("_all div _each * _each")), "pieces-ranked")
+    own = staged(pieces.drop("sequence_id", "offset"), "pieces")
+    whole = own.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    # Parts of a class that a task ranks alone, so that they stay small whatever a class holds.
+    parts = max(64, own.where(F.col("length") < capacity).count() >> 16)
+    cut = own.where(F.col("length") < capacity).withColumn("_pack_salt", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    ranked = running_offset(cut, ["length"], "_pack_salt", order, F.lit(1), "_pack_rank")
+    totals = cut.groupBy("length").agg(F.count(F.lit(1)).alias("_pack_all")).withColumn("_pack_each", F.expr(f"{capacity} div length"))
+    ranked = staged(ranked.join(totals, "length").withColumn("_pack_left", F.col("_pack_rank") >= F.expr("_pack_all div _pack_each * _pack_each")), "pieces-ranked")
     full = (
-        ranked.where("NOT _left")
-        .withColumn("sequence_id", F.shiftleft(F.col("length"), 40) + F.expr("_rank div _each"))
-        .withColumn("offset", F.col("_rank") % F.col("_each") * F.col("length"))
+        ranked.where("NOT _pack_left")
+        .withColumn("sequence_id", F.shiftleft(F.col("length"), 40) + F.expr("_pack_rank div _pack_each"))
+        .withColumn("offset", F.col("_pack_rank") % F.col("_pack_each") * F.col("length"))
     )
 
     def first_fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "_rank"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["length", "_pack_rank"], ascending=[False, True], kind="stable").reset_index(drop=True)
         free: list[int] = []
         bins, offsets = [], []
         low = 0
@@ -188,10 +194,11 @@ def harmonic_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY)
             free[b] -= n
         return rows.assign(sequence_id=np.asarray(bins, "int64"), offset=np.asarray(offsets, "int64"))
 
-    rest = ranked.where("_left")
+    rest = ranked.where("_pack_left")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema] + ["sequence_id long", "offset long"])
-    tail = rest.groupBy(F.lit("left").alias("_group")).applyInPandas(first_fit, schema)
-    return full.unionByName(tail).drop("_salt", "_rank", "_all", "_each", "_left")
+    tail = rest.groupBy(F.lit("left").alias("_pack_group")).applyInPandas(first_fit, schema)
+    names = [*own.columns, "sequence_id", "offset"]
+    return full.select(names).unionByName(tail.select(names)).unionByName(whole.select(names))
 
 
 def padded_length(filled, capacity: int = CAPACITY):
