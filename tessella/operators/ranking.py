@@ -41,7 +41,8 @@ def running_sum(df: DataFrame, value: Column, order: list[str], block: Column, g
         before_run = W.partitionBy(*(group or [])).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
         starts = sums.groupBy(*runs).agg(F.sum("_sum").alias("_all")).select(*runs, F.coalesce(F.sum("_all").over(before_run), F.lit(0)).alias("_start"))
         inside = W.partitionBy(*runs).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-        base = sums.join(starts, runs).select(*keys, (F.col("_start") + F.coalesce(F.sum("_sum").over(inside), F.lit(0))).cast("long").alias("_base"))
+        same_run = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in runs]
+        base = sums.join(starts.toDF(*[f"_of_{k}" for k in runs], "_start"), same_run).select(*keys, (F.col("_start") + F.coalesce(F.sum("_sum").over(inside), F.lit(0))).cast("long").alias("_base"))
     else:
         base = sums.select(*keys, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).cast("long").alias("_base"))
     within = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
