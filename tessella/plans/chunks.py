@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessella.operators import chunking
+from tessella.operators import chunking, markdown
 from tessella.plans.catalogue import query
 from tessella.plans.corpus import SIZED, WORDS, sized_once, table
 from tessella.plans.sequences import EVENTS, HOUR, KEY, ORDER, WIN, events
@@ -66,3 +66,82 @@ def repeat_plan(spark, sf_dir):
     total = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first()["t"]  # one number
     times = chunking.repeat_count(total, range(1, 11), 300_000, 400_000)
     return rows.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("copy"))
+
+
+#: A document as Markdown: lines become paragraphs, every ninth a section, others subsections, every fourth a fence.
+MARKDOWN = """m AS (SELECT doc_id, '# ' || coalesce(source, '') || chr(10) || chr(10) || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i:
+  CASE (i - 1) % 9 WHEN 0 THEN '## Part ' || i || chr(10) || chr(10) WHEN 4 THEN '### Item ' || i || chr(10) WHEN 6 THEN '#### Note' || chr(10) ELSE '' END
+  || CASE WHEN i % 4 = 0 THEN '```text' || chr(10) || replace(x, '. ', '.' || chr(10)) || chr(10) || '## no heading' || chr(10) || '```' ELSE x END || chr(10)), chr(10)) AS md FROM documents)"""
+
+
+def as_markdown(docs):
+    """Documents as Markdown texts with headings of four levels and fences."""
+
+    def written(x, i):
+        place = i + 1
+        number = place.cast("string")
+        head = (
+            F.when(i % 9 == 0, F.concat(F.lit("## Part "), number, F.lit("\n\n")))
+            .when(i % 9 == 4, F.concat(F.lit("### Item "), number, F.lit("\n")))
+            .when(i % 9 == 6, F.lit("#### Note\n"))
+            .otherwise("")
+        )
+        fenced = F.concat(F.lit("```text\n"), F.replace(x, F.lit(". "), F.lit(".\n")), F.lit("\n## no heading\n```"))
+        return F.concat(head, F.when(place % 4 == 0, fenced).otherwise(x), F.lit("\n"))
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), written)
+    return docs.select("doc_id", F.concat(F.lit("# "), F.coalesce("source", F.lit("")), F.lit("\n\n"), F.array_join(lines, "\n")).alias("md"))
+
+
+@query(
+    "markdown_hierarchy_chunks",
+    rf"""WITH RECURSIVE {MARKDOWN}, l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS x FROM m)),
+f AS (SELECT *, ltrim(line) LIKE '```%' AS fence, coalesce(sum((ltrim(line) LIKE '```%')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l),
+k AS (SELECT *, CASE WHEN fence AND inside THEN 'close' WHEN fence THEN 'open' WHEN inside THEN 'body' WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 'heading' WHEN NOT regexp_matches(line, '[^ 	-
+]') THEN 'blank' ELSE 'text' END AS kind, {WORDS.format('line')} AS w FROM f),
+v AS (SELECT *, len(w) AS n, CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 9 END AS lv, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM k),
+u AS (SELECT *, sum((lv <= 2)::INT) OVER o AS a, sum((lv <= 3)::INT) OVER o AS b,
+  sum((kind = 'open' OR lv <= 3 OR (kind IN ('text', 'heading') AND coalesce(last IN ('blank', 'close'), true)))::INT) OVER o AS blk FROM v WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+z AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, a) AS na, sum(n) OVER (PARTITION BY doc_id, b) AS nb, sum(n) OVER (PARTITION BY doc_id, blk) AS cost, first_value(line) OVER (PARTITION BY doc_id, blk ORDER BY pos) AS head FROM u),
+y AS (SELECT *, na <= 64 OR nb <= 64 AS fits, CASE WHEN na <= 64 THEN 'a' || a ELSE 'b' || b END AS unit, NOT (na <= 64 OR nb <= 64) AND cost > 64 AS large FROM z),
+q AS (SELECT *, CASE WHEN large AND kind IN ('open', 'body', 'close') THEN head END AS opening, CASE WHEN large AND kind IN ('open', 'body', 'close') THEN len({WORDS.format('head')}) + 1 ELSE 0 END AS fw FROM y),
+r AS (SELECT *, unnest(CASE WHEN large AND n > 64 - fw THEN list_transform(range(0, n, 64 - fw), lambda i: array_to_string(w[i + 1:i + 64 - fw], ' ')) ELSE [line] END) AS piece,
+  unnest(range(CASE WHEN large AND n > 64 - fw THEN (n + 63 - fw) // (64 - fw) ELSE 1 END)) AS part FROM q WHERE opening IS NULL OR kind = 'body'),
+p AS MATERIALIZED (SELECT doc_id, pos, part, kind = 'blank' AS blank, unit, fits, large, blk, cost, fw, opening, piece, len({WORDS.format('piece')})::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos, part) AS rn FROM r WHERE kind <> 'blank'),
+-- Line by line: a new unit, a block that no longer fits, a large block and what follows it, and what no longer fits in a large block begin a chunk.
+g AS (
+  SELECT doc_id, rn, 0 AS chunk_id, unit, blk, large, CASE WHEN large THEN n ELSE cost END::BIGINT AS spent FROM p WHERE rn = 1
+  UNION ALL
+  SELECT p.doc_id, p.rn, g.chunk_id + begins::INT, p.unit, p.blk, p.large, CASE WHEN begins THEN 0 ELSE g.spent END + CASE WHEN p.large THEN p.n WHEN p.blk <> g.blk OR p.unit <> g.unit THEN p.cost ELSE 0 END
+  FROM g JOIN p ON p.doc_id = g.doc_id AND p.rn = g.rn + 1,
+    LATERAL (SELECT p.unit <> g.unit OR (NOT p.fits AND CASE WHEN p.blk <> g.blk THEN p.large OR g.large OR g.spent + p.cost > 64 ELSE p.large AND g.spent + p.n > 64 - p.fw END) AS begins)),
+h AS (SELECT doc_id, chunk_id, min(pos) AS low, max(pos) AS high, min(rn) AS first_rn, max(rn) AS last_rn, sum(n) + max(fw) AS num_tokens, max(opening) AS opening FROM g JOIN p USING (doc_id, rn) GROUP BY ALL),
+-- A chunk's text: its pieces, and the blank lines between them.
+t AS (
+  SELECT doc_id, chunk_id, pos, part, piece FROM g JOIN p USING (doc_id, rn) UNION ALL
+  SELECT h.doc_id, chunk_id, k.pos, 0, k.line FROM h JOIN k ON k.doc_id = h.doc_id AND k.kind = 'blank' AND k.pos > low AND k.pos < high)
+SELECT t.doc_id, t.chunk_id, h.num_tokens::BIGINT AS num_tokens,
+  sha256(CASE WHEN any_value(opening) IS NULL THEN regexp_replace(string_agg(piece, chr(10) ORDER BY pos, part), '^
++|[
+ ]+$', '', 'g') ELSE any_value(opening) || chr(10) || string_agg(piece, chr(10) ORDER BY pos, part) || chr(10) || '```' END) AS chunk_sha256
+FROM t JOIN h USING (doc_id, chunk_id) GROUP BY t.doc_id, t.chunk_id, h.num_tokens""",
+)
+def markdown_hierarchy_chunks(spark, sf_dir):
+    """Documents written as Markdown, chunked by section, subsection, block, line and word."""
+    chunks = markdown.markdown_chunks(as_markdown(table(spark, sf_dir, "documents")), "doc_id", "md", 64)
+    return chunks.select("doc_id", "chunk_id", "num_tokens", F.sha2("chunk", 256).alias("chunk_sha256"))
+
+
+@query(
+    "markdown_sections",
+    rf"""WITH {MARKDOWN}, l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(md, chr(10)) AS x FROM m)),
+f AS (SELECT *, ltrim(line) LIKE '```%' AS fence, coalesce(sum((ltrim(line) LIKE '```%')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM l),
+k AS (SELECT *, CASE WHEN NOT fence AND NOT inside AND regexp_matches(line, '^#{{1,6}}\s') THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 9 END AS lv FROM f),
+s AS (SELECT *, sum((lv <= 2)::INT) OVER o AS section, sum((lv <= 3)::INT) OVER o AS subsection FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, section::BIGINT AS section, subsection::BIGINT AS subsection, count(*) AS n_lines, count(*) FILTER (fence OR inside) AS n_fenced, sum(len({WORDS.format('line')}))::BIGINT AS n_words FROM s GROUP BY doc_id, section, subsection""",
+)
+def markdown_sections(spark, sf_dir):
+    """Sections and subsections of documents written as Markdown; a heading inside a fence is none."""
+    lines = markdown.markdown_lines(as_markdown(table(spark, sf_dir, "documents")), "doc_id", "md")
+    fenced = F.col("kind").isin("open", "body", "close")
+    return lines.groupBy("doc_id", "section", "subsection").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(fenced).alias("n_fenced"), F.sum("n_words").alias("n_words"))

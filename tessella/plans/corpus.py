@@ -367,20 +367,6 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), text.html_to_text(F.col("html")).alias("text"))
 
 
-@query(
-    "markdown_sections",
-    """WITH l AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-f AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS in_fence FROM l),
-s AS (SELECT *, sum((length(line) < 40 AND NOT in_fence)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM f)
-SELECT doc_id, section::BIGINT AS section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s GROUP BY doc_id, section""",
-)
-def markdown_sections(spark, sf_dir):
-    lines = text.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
-    # The tables hold no headings; a short line stands in for one.
-    cut = text.sections(lines, "doc_id", F.length("line") < 40, F.col("line").startswith("```"))
-    return cut.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
-
-
 @query(
     "mood_tags",
     """SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'password') OR contains(lower(text), 'secret') THEN 'private' END,

@@ -70,3 +70,40 @@ def event_token_decode(spark, sf_dir):
         F.sum(F.when(F.col("event") != "M", F.col("offset")).otherwise(0)).alias("total_offset"),
         F.sum(F.col("error").isNotNull().cast("long")).alias("n_errors"),
     )
+
+
+@query(
+    "event_decode_repairs",
+    f"""WITH {ROWS}, t AS (SELECT *, CASE WHEN kind = 'N' AND duration > 255 THEN printf('<EXD><NIL><T%03d><T%03d>', duration // 256, duration % 256) ELSE '' END
+  || CASE WHEN kind <> 'M' AND off > 255 THEN printf('<EXO><NIL><T%03d><T%03d>', off // 256, off % 256) ELSE '' END
+  || CASE kind WHEN 'N' THEN printf('<N%03d>', pitch) ELSE '<' || kind || '>' END || printf('<V%03d>', value)
+  || CASE WHEN kind = 'P' THEN '<NIL>' WHEN kind = 'M' THEN printf('<T%03d>', duration // 256) WHEN duration > 255 THEN '<EXT>' ELSE printf('<T%03d>', duration) END
+  || CASE WHEN kind = 'M' THEN printf('<T%03d>', duration % 256) WHEN off > 255 THEN '<EXT>' ELSE printf('<T%03d>', off) END AS tokens FROM r),
+x AS (SELECT user_id, regexp_extract_all(string_agg(tokens, '' ORDER BY us, event_id), '<[^<>]+>') AS k FROM t GROUP BY user_id),
+d AS (SELECT user_id, list_transform(list_filter(k, lambda a, i: ((i - 1) * 7919 + user_id * 104729) % 97 <> 0), lambda a, i: CASE WHEN ((i - 1) * 31 + user_id) % 89 = 0 THEN '<T300>' ELSE a END) AS k FROM x),
+f AS (SELECT user_id, pos, k[pos * 4 + 1] AS a, k[pos * 4 + 2] AS b, k[pos * 4 + 3] AS c, k[pos * 4 + 4] AS e FROM (SELECT user_id, k, unnest(range(len(k) // 4)) AS pos FROM d)),
+n AS (SELECT *, CASE WHEN regexp_matches(a, '^<N[0-9]{{3}}>$') AND substr(a, 3, 3)::INT <= 127 THEN substr(a, 3, 3)::INT END AS pitch, CASE WHEN regexp_matches(b, '^<V[0-9]{{3}}>$') AND substr(b, 3, 3)::INT <= 127 THEN substr(b, 3, 3)::INT END AS v,
+  CASE WHEN regexp_matches(c, '^<T[0-9]{{3}}>$') AND substr(c, 3, 3)::INT <= 255 THEN substr(c, 3, 3)::INT END AS hi, CASE WHEN regexp_matches(e, '^<T[0-9]{{3}}>$') AND substr(e, 3, 3)::INT <= 255 THEN substr(e, 3, 3)::INT END AS lo FROM f),
+s AS (SELECT *, a IN ('<EXD>', '<EXO>') AND b = '<NIL>' AND hi IS NOT NULL AND lo IS NOT NULL AS ext, a IN ('<H>', '<M>') AND v IS NOT NULL AND hi IS NOT NULL AND lo IS NOT NULL AS marker,
+  a IN ('<P>', '<P1>', '<P2>') AND v IS NOT NULL AND c = '<NIL>' AS pedal, pitch IS NOT NULL AND v IS NOT NULL AS note FROM n),
+-- What waits: the extension of the last event that set one, nothing after an event that took it.
+w AS (SELECT *, last_value(CASE WHEN ext AND a = '<EXD>' THEN {{'v': hi * 256 + lo}} WHEN note AND c = '<EXT>' THEN {{'v': NULL::INT}} END IGNORE NULLS) OVER p AS wd,
+  last_value(CASE WHEN ext AND a = '<EXO>' THEN {{'v': hi * 256 + lo}} WHEN (note OR pedal) AND e = '<EXT>' THEN {{'v': NULL::INT}} END IGNORE NULLS) OVER p AS wo
+  FROM s WINDOW p AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT *, CASE WHEN marker THEN hi * 256 + lo WHEN note AND c = '<EXT>' THEN coalesce(wd.v, 255) WHEN note THEN hi WHEN pedal THEN 0 END AS du, CASE WHEN marker THEN 0 WHEN (note OR pedal) AND e = '<EXT>' THEN coalesce(wo.v, 255) WHEN note OR pedal THEN lo END AS os FROM w),
+g AS (SELECT *, (marker OR pedal OR note) AND du IS NOT NULL AND os IS NOT NULL AS valid FROM m)
+SELECT d.user_id, len(d.k)::BIGINT AS tokens, (len(d.k) % 4)::BIGINT AS dangling, count(*) FILTER (ext) AS extensions, count(*) FILTER (valid AND marker) AS structural, count(*) FILTER (valid AND pedal) AS pedals, count(*) FILTER (valid AND note) AS notes,
+  count(*) FILTER (NOT valid AND NOT ext) AS invalid, count(*) FILTER (note AND c = '<EXT>' AND wd.v IS NULL) AS missing_duration, count(*) FILTER ((note OR pedal) AND e = '<EXT>' AND wo.v IS NULL) AS missing_offset,
+  coalesce(sum(du) FILTER (valid), 0)::BIGINT AS duration, coalesce(sum(os) FILTER (valid), 0)::BIGINT AS total_offset
+FROM d LEFT JOIN g ON d.user_id = g.user_id GROUP BY d.user_id, d.k""",
+)
+def event_decode_repairs(spark, sf_dir):
+    """Token texts that lost and changed some tokens, decoded as far as they go, with counts of each kind of repair."""
+    tokens = F.regexp_extract_all(F.regexp_replace("text", "</?MIDI>", ""), F.lit("<[^<>]+>"), F.lit(0))
+    left = F.filter(tokens, lambda t, i: (i * 7919 + F.col("user_id") * 104729) % 97 != 0)
+    changed = F.transform(left, lambda t, i: F.when((i * 31 + F.col("user_id")) % 89 == 0, "<T300>").otherwise(t))
+    damaged = event_token_text(spark, sf_dir).select("user_id", F.array_join(changed, "").alias("text"))
+    made, counts = lm_events.decode_with_repairs(damaged, KEY, "text")
+    times = made.groupBy("user_id").agg(F.sum("duration").alias("duration"), F.sum("offset").alias("total_offset"))
+    joined = counts.join(times, "user_id", "left")
+    return joined.select(*counts.columns, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("duration", "total_offset")])
