@@ -106,3 +106,28 @@ def hole_flags(df: DataFrame, key: list[str], order: list[str], flag: Column, be
 def take_while(df: DataFrame, key: list[str], order: list[str], condition: Column) -> DataFrame:
     """The leading rows of each group that all meet the condition."""
     return df.withColumn("_on", F.min(condition.cast("int")).over(_upto(key, order))).where("_on = 1").drop("_on")
+
+
+def refined_times(ranges: DataFrame, groups: DataFrame, key: list[str], item: str, nominal: str, group: str, at: str) -> DataFrame:
+    """Start and end of items that consumed ranges of groups: key, item, start, end.
+
+    ``ranges`` has key, item, first_group, last_group (null: consumed nothing)
+    and the ``nominal`` duration; ``groups`` has key, number and time. An item
+    ends one step after its last group: the upper median of its positive steps
+    between groups, else its nominal duration. One that consumed nothing ends
+    where its nominal time does. Items follow each other without gaps and last
+    at least their nominal duration: end = max(start + nominal, own end), which
+    is a running maximum over the sums of the durations.
+    """
+    order = W.partitionBy(*key).orderBy(item)
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    timed = ranges.withColumn("_sum", F.sum(nominal).over(upto))
+    spread = ranges.where("first_group IS NOT NULL").select(*key, item, F.explode(F.sequence("first_group", "last_group")).alias(group))
+    met = spread.join(groups.select(*key, group, at), [*key, group])
+    steps = F.lead(at).over(W.partitionBy(*key, item).orderBy(group)) - F.col(at)
+    gathered = met.withColumn("_step", F.when(steps > 0, steps)).groupBy(*key, item).agg(F.max(F.struct(group, at)).alias("_last"), F.sort_array(F.collect_list("_step")).alias("_steps"))
+    known = gathered.select(*key, item, F.col(f"_last.{at}").alias("_at"), F.get("_steps", F.floor(F.size("_steps") / 2).cast("int")).alias("_step"))
+    joined = timed.join(known, [*key, item], "left")
+    own = F.when(F.col("_at").isNull(), F.col("_sum")).otherwise(F.col("_at") + F.coalesce("_step", nominal))
+    ended = joined.withColumn("end", F.col("_sum") + F.greatest(F.lit(0), F.max(own - F.col("_sum")).over(upto)))
+    return ended.select(*key, item, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), "end")

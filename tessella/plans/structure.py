@@ -102,6 +102,35 @@ def ranges_by_expected_count(spark, sf_dir):
     return windows.consume_counts(measures, ["l_orderkey"], ["rn"], "rn", "expected", "total")
 
 
+@query(
+    "measure_times_from_groups",
+    f"""WITH RECURSIVE {LINES}, m AS (SELECT l_orderkey, rn, l_quantity::BIGINT % 4 AS c, count(*) OVER (PARTITION BY l_orderkey) AS total, round(l_discount * 100)::BIGINT * 5000 AS nominal,
+  coalesce(sum(round(l_extendedprice)::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS tm FROM lines),
+w AS (SELECT l_orderkey, rn, c > 0 AND c <= total AS fits, 0::BIGINT AS place, CASE WHEN c > 0 AND c <= total THEN c ELSE 0 END AS taken FROM m WHERE rn = 1
+  UNION ALL SELECT m.l_orderkey, m.rn, m.c > 0 AND w.place + w.taken + m.c <= m.total, w.place + w.taken, CASE WHEN m.c > 0 AND w.place + w.taken + m.c <= m.total THEN m.c ELSE 0 END FROM w JOIN m ON m.l_orderkey = w.l_orderkey AND m.rn = w.rn + 1),
+g AS (SELECT w.l_orderkey, w.rn, x.rn AS place, x.tm, lead(x.tm) OVER (PARTITION BY w.l_orderkey, w.rn ORDER BY x.rn) - x.tm AS step FROM w JOIN m x ON fits AND x.l_orderkey = w.l_orderkey AND x.rn - 1 BETWEEN place AND place + taken - 1),
+s AS (SELECT l_orderkey, rn, max(tm) AS tm, list_sort(list(step) FILTER (step > 0)) AS steps FROM g GROUP BY ALL),
+o AS (SELECT m.l_orderkey, m.rn, nominal, sum(nominal) OVER (PARTITION BY m.l_orderkey ORDER BY m.rn) AS upto, s.tm + coalesce(steps[len(steps) // 2 + 1], nominal) AS own FROM m LEFT JOIN s ON s.l_orderkey = m.l_orderkey AND s.rn = m.rn),
+t AS (SELECT l_orderkey, rn, 0::BIGINT AS a, greatest(nominal, coalesce(own, upto))::BIGINT AS z FROM o WHERE rn = 1
+  UNION ALL SELECT o.l_orderkey, o.rn, t.z, greatest(t.z + o.nominal, coalesce(o.own, o.upto))::BIGINT FROM t JOIN o ON o.l_orderkey = t.l_orderkey AND o.rn = t.rn + 1)
+SELECT l_orderkey, rn, a AS start_time, z AS end_time FROM t""",
+)
+def measure_times_from_groups(spark, sf_dir):
+    """Times of items that consumed groups of their order; items without groups keep their place between known times."""
+    before = W.partitionBy("l_orderkey").orderBy("rn").rowsBetween(W.unboundedPreceding, -1)
+    total = F.count(F.lit(1)).over(W.partitionBy("l_orderkey"))
+    price = F.round("l_extendedprice").cast("long")
+    measures = lines(spark, sf_dir).select(
+        "l_orderkey", "rn", (F.col("l_quantity").cast("long") % 4).alias("expected"), total.alias("total"), (F.round(F.col("l_discount") * 100).cast("long") * 5000).alias("nominal"),
+        F.coalesce(F.sum(price).over(before), F.lit(0)).cast("long").alias("at"),
+    )
+    ranges = windows.consume_counts(measures, ["l_orderkey"], ["rn"], "rn", "expected", "total")
+    groups = measures.select("l_orderkey", (F.col("rn") - 1).alias("place"), "at")
+    timed = ranges.join(measures.select("l_orderkey", "rn", "nominal"), ["l_orderkey", "rn"])
+    refined = windows.refined_times(timed, groups, ["l_orderkey"], "rn", "nominal", "place", "at")
+    return refined.select("l_orderkey", "rn", F.col("start").alias("start_time"), F.col("end").alias("end_time"))
+
+
 @query(
     "segments_near_target",
     f"""WITH RECURSIVE {EVENTS}, g AS (SELECT user_id, list((event_type = 'purchase')::INT * 10 ORDER BY us, event_id) AS b FROM e GROUP BY user_id),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -99,3 +99,50 @@ def newest_variant(df: DataFrame, key: str, priority: str, name: str) -> DataFra
     """One row per key: the highest priority, then the last name."""
     order = W.partitionBy(key).orderBy(F.col(priority).desc(), F.col(name).desc())
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def discover(spark: SparkSession, folder: str, pattern: str = "*", rewrite: tuple[str, str] | None = None, variants: str | None = None) -> DataFrame:
+    """Files below ``folder`` whose name matches the glob ``pattern``: path, name, stem, variant, length, modified.
+
+    Only the listing is read, not the contents. ``stem`` is the name without its
+    extension, after ``rewrite`` (pattern, replacement); ``variant`` is what
+    ``variants`` (a pattern) finds at the end of the stem, which then goes, so
+    that a file and its variants share a stem. Hidden files are left out.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    stem = stem if rewrite is None else F.regexp_replace(stem, *rewrite)
+    variant = F.lit("") if variants is None else F.regexp_extract(stem, f"({variants})$", 1)
+    return listed.select("path", name.alias("name"), F.substring(stem, F.lit(1), F.length(stem) - F.length(variant)).alias("stem"), variant.alias("variant"), "length", "modified")
+
+
+def inventory(files: DataFrame, group: list[Column]) -> DataFrame:
+    """Files and bytes by ``group`` (of the columns of ``discover``)."""
+    return files.groupBy(*group).agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+
+
+def write_lines(df: DataFrame, line: str, order: list[str], path: str) -> None:
+    """Write whole lines unchanged, in order over the files: a filter of a file of lines keeps their bytes."""
+    df.orderBy(*order).select(line).write.text(path)
+
+
+def write_json_array(df: DataFrame, order: list[str], path: str) -> None:
+    """One JSON array over the part files of ``path``: an element a line, brackets in files before and after them.
+
+    Read in the order of their names the files are one array, as one document;
+    no task holds it. ``order`` must tell all rows apart.
+    """
+    spark = df.sparkSession
+    row = F.to_json(F.struct(*df.columns))
+    # A separator precedes every element but the first, which is the least row.
+    first = df.agg(F.min(F.struct(*order)).alias("f")).first()["f"]
+    least = F.lit(True)
+    for name, value in zip(order, first or ()):
+        least = least & F.col(name).eqNullSafe(F.lit(value))
+    df.orderBy(*order).select(F.concat(F.when(least, "").otherwise(","), row).alias("value")).write.text(path)
+    for name, bracket in (("part-!open", "["), ("part-~close", "]")):
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.txt")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(bracket.encode()))
+        out.close()
