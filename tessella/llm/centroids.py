@@ -48,7 +48,7 @@ def first_centroids(own: DataFrame, key: str, count: int = CENTROIDS, seed: int
     """The ``count`` vectors whose keys have the smallest SHA-256 of ``seed:key``, ties by vector, null keys last."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
     chosen = own.orderBy(order.asc_nulls_last(), "v").limit(count).select("v").collect()
-    return np.array([row["v"] for row in chosen], np.int64).reshape(len(chosen), -1)
+    return np.array([row["v"] for row in chosen], np.int64)
 
 
 def choose_pivots(points: np.ndarray, count: int = PIVOTS) -> np.ndarray:
