@@ -167,8 +167,8 @@ def lookup_through_range_map(spark, sf_dir):
 
 @query(
     "measure_predicates",
-    rf"""WITH {TEXT_LINES}, f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[0-9]+', '', 'g'), ':', '', 'g'), '\bO\b', '', 'g'), '[\[\]{{}}]', '', 'g'), '![^!]*!', '', 'g'), '"[^"]*"', '', 'g'), '[ \t\n\x0B\f\r]+', '', 'g'), ';', '', 'g') = '' AS m,
-NOT regexp_matches(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '"[^"]*"', '', 'g'), '![^!]*!', '', 'g'), '\[[A-Za-z]:[^\]]*\]', '', 'g'), '%\{{[^}}]*\}}', '', 'g'), '\\[A-Za-z]+', '', 'g'), '[A-Ga-g]') AS r FROM l)
+    rf"""WITH {TEXT_LINES}, f AS (SELECT doc_id, regexp_replace(line, '"[^"]*"|![^!]*!|[\[\]{{}}]|[0-9]+|[:;]|[ \t\n\x0B\f\r]+|\bO\b', '', 'g') = '' AS m,
+NOT regexp_matches(regexp_replace(line, '"[^"]*"|![^!]*!|\[[A-Za-z]:[^\]]*\]|%\{{[^}}]*\}}|\\[A-Za-z]+', '', 'g'), '[A-Ga-g]') AS r FROM l)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (m) AS n_marker_only, count(*) FILTER (r) AS n_rest_only FROM f GROUP BY doc_id""",
 )
 def measure_predicates(spark, sf_dir):
@@ -178,7 +178,7 @@ def measure_predicates(spark, sf_dir):
 
 @query(
     "cleaned_measures",
-    r"""WITH c AS (SELECT doc_id, list_transform(string_split(text, ','), lambda m: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(m, '::', ' '), '^[ \t]+|[ \t]+$', '', 'g'), ':[ \t]*$', ''), '[ \t]+$', ''), '^:+[ \t]*', ''), '^[0-9]+[ \t]+', '')) AS x FROM documents WHERE text IS NOT NULL)
+    r"""WITH c AS (SELECT doc_id, list_transform(string_split(text, ','), lambda m: replace(regexp_replace(m, '^[ \t:]*(?:[0-9]+[ \t]+)?|[ \t:]+$', '', 'g'), '::', ' ')) AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(x)::BIGINT AS n, sha256(array_to_string(x, '|')) AS cleaned_sha256 FROM c""",
 )
 def cleaned_measures(spark, sf_dir):

@@ -19,15 +19,12 @@ def greedy(costs, budget, soft=0, until_full=False):
     return taken
 
 
-@pytest.mark.parametrize("folded", [0, 3, 100_000])
-@pytest.mark.parametrize("soft,until_full", [(0, False), (0, True), (0.9, True)])
+@pytest.mark.parametrize("folded,soft,until_full", [(0, 0, False), (0, 0, True), (3, 0.9, True), (100_000, 0, False)])
 def test_budget_passes_over_what_does_not_fit(spark, folded, soft, until_full):
     rng = random.Random(folded + until_full)
     for budget, costs in (
-        (100, [rng.choice((0, 1, 3, 7, 20, 40, 90)) for _ in range(60)]),
-        (1000, [int(2 ** rng.uniform(0, 9)) for _ in range(80)]),
-        (50, [60, 50, 1]),
-        (0, [0, 5, 0]),
+        (1000, [int(2 ** rng.uniform(0, 9)) for _ in range(80)] + [0, 1, 0]),
+        (50, [60, 50, 1, 0]),
     ):
         frame = spark.createDataFrame([(i, c) for i, c in enumerate(costs)], "i long, cost long").repartition(3)
         got = sampling.accept_fitting(frame, ["i"], F.floor(F.col("i") / 8), "cost", budget, soft * budget, until_full, folded)
@@ -43,7 +40,7 @@ def test_budget_of_an_empty_table(spark):
 def test_budgets_take_null_groups_and_targets_below_the_protected(spark):
     rows = [(i, None if i % 3 else "a", 10 + i, i < 2) for i in range(9)]
     frame = spark.createDataFrame(rows, "id long, grp string, cost long, p boolean")
-    for target in (0, 15, 60, 1000):
+    for target in (15, 1000):
         drawn = sampling.smallest_round_robin(frame, F.col("p"), "grp", "id", "s", "cost", target, 0.995).collect()
         assert {r["id"] for r in drawn if r["why"] == "protected"} == {0, 1}
         assert {r["id"] for r in drawn if r["why"] == "first"} == {2, 3}
