@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,64 +109,84 @@ def similar_pairs(sets: DataFrame, key: str, items: str, similarity: float) -> D
         .groupBy(key, "size")
         .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("shared"))
     )
-    probed = F.size("shared") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    head = ordered.select(key, "size", F.explode(F.slice("shared", F.lit(1), F.greatest(probed, F.lit(0)).cast("int")).getField("item")).alias("item"))
-    a = head.select(F.col(key).alias("a"), F.col("size").alias("na"), "item")
-    b = head.select(F.col(key).alias("b"), F.col("size").alias("nb"), "item")
-    pairs = a.join(b.hint("merge"), "item").where((F.col("a") < F.col("b")) & (F.col("na") >= similarity * F.col("nb")) & (F.col("nb") >= similarity * F.col("na"))).select("a", "b").distinct()
+
+    def head(share: float):
+        return F.size("shared") - F.ceil(F.col("size") * share - 1e-9) + 1
+
+    # The smaller set of a pair needs 2 s / (1 + s) of its items, so it probes with fewer of them.
+    probed, stricter = head(similarity), head(2 * similarity / (1 + similarity))
+    kept = F.slice("shared", F.lit(1), F.greatest(probed, F.lit(0)).cast("int")).getField("item")
+    spread = ordered.select(key, "size", stricter.alias("_inner"), F.posexplode(kept).alias("_pos", "item")).select(key, "size", "item", (F.col("_pos") < F.col("_inner")).alias("inner"))
+    smaller = spread.where("inner").select(F.col(key).alias("x"), F.col("size").alias("nx"), "item")
+    larger = spread.select(F.col(key).alias("y"), F.col("size").alias("ny"), "item")
+    fits = (F.col("nx") >= similarity * F.col("ny") - 1e-9) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") != F.col("y"))))
+    met = smaller.join(larger.hint("merge"), "item").where(fits)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     full = pairs.join(sets.select(F.col(key).alias("a"), F.col(items).alias("_x")).hint("merge"), "a").join(sets.select(F.col(key).alias("b"), F.col(items).alias("_y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("_x", "_y"))
     return full.select("a", "b", shared.alias("shared"), (shared / (F.size("_x") + F.size("_y") - shared)).alias("jaccard")).where(F.col("jaccard") >= similarity)
 
 
-#: Words of the right side that one pass over the left side may hold in each task.
-TILE_WORDS = 2_000_000
+#: Words of the right side that a task holds, and rows of the left side that meet them at once.
+TILE_WORDS, LEFT_ROWS = 2_000_000, 4096
+
+
+def _best_of_tile(ids: list, held: list) -> Callable:
+    """Scorer of one tile of the right side, by the postings of its words: rows of words to (row, id, jaccard)."""
+    sizes, postings = np.asarray([len(w) for w in held], float), {}
+    for i, own in enumerate(held):
+        for w in own:
+            postings.setdefault(w, []).append(i)
+    index = {w: np.asarray(i) for w, i in postings.items()}
+
+    def best(rows: Iterable) -> Iterator[tuple]:
+        for at, own in enumerate(rows):
+            hits = [index[w] for w in own if w in index] if own is not None else []
+            if hits:
+                shared = np.bincount(np.concatenate(hits), minlength=len(ids))
+                jaccard = shared / (len(own) + sizes - shared)
+                top = int(jaccard.argmax())
+                yield at, ids[top], float(jaccard[top])
+
+    return best
 
 
 def best_overlap(left: DataFrame, key: str, right: DataFrame, right_id: str, words: str, tile: int = TILE_WORDS) -> DataFrame:
     """For each left row the right row whose set of words has the highest Jaccard similarity: key, right_id, jaccard.
 
     ``words`` is an array column of distinct words on both sides. Only pairs
-    that share a word count; ties go to the smaller ``right_id``. The right side
-    is cut into tiles of about ``tile`` words; a pass over the left side scores
-    a tile by its postings inside the tasks, so no pair leaves a task but the
-    best one of each left row. Passes grow with the right side, memory does not.
+    that share a word count; ties go to the smaller ``right_id``. A right side
+    of at most ``tile`` words, which is counted first, is broadcast. A larger one
+    is cut into tiles and the left side into blocks; each tile meets each block
+    in one task, and the best of a row's tiles is kept. So nothing of a large
+    right side passes the driver, and a task holds a tile and a block.
     """
-    spark = left.sparkSession
     keyed = right.select(F.col(right_id).alias("id"), F.col(words).alias("w"))
-    total = keyed.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()["n"]
+    total = keyed.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("n")).first()["n"]  # one number
     tiles = max(1, -(-int(total) // tile))
     kind, id_kind = left.schema[key].dataType.simpleString(), right.schema[right_id].dataType.simpleString()
-
-    def scored(part: int) -> DataFrame:
-        own = keyed.where(F.pmod(F.xxhash64("id"), F.lit(tiles)) == part).orderBy("id").toPandas()
-        ids, sizes = own["id"].tolist(), np.asarray([len(w) for w in own["w"]], float)
-        postings: dict[str, list[int]] = {}
-        for i, held in enumerate(own["w"]):
-            for w in held:
-                postings.setdefault(w, []).append(i)
-        index = spark.sparkContext.broadcast({w: np.asarray(i) for w, i in postings.items()})
+    schema = f"`{key}` {kind}, `{right_id}` {id_kind}, jaccard double"
+    if tiles == 1:
+        own = keyed.orderBy("id").toPandas()
+        held = left.sparkSession.sparkContext.broadcast((own["id"].tolist(), [list(w) for w in own["w"]]))
 
         def run(batches):
+            best = _best_of_tile(*held.value)
             for batch in batches:
-                keys, best, scores = [], [], []
-                for at, held in enumerate(batch.column(1).to_pylist()):
-                    hits = [index.value[w] for w in held or [] if w in index.value]
-                    if hits:
-                        shared = np.bincount(np.concatenate(hits), minlength=len(ids))
-                        jaccard = shared / (len(held) + sizes - shared)
-                        top = int(jaccard.argmax())
-                        keys.append(at)
-                        best.append(ids[top])
-                        scores.append(float(jaccard[top]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(best), pa.array(scores, pa.float64())] if keys else [batch.column(0).slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], [key, right_id, "jaccard"])
-
-        return left.select(key, words).mapInArrow(run, f"`{key}` {kind}, `{right_id}` {id_kind}, jaccard double")
-
-    found = scored(0)
-    for part in range(1, tiles):
-        found = found.unionByName(scored(part))
-    if tiles == 1:
-        return found
-    best = found.groupBy(key).agg(F.min(F.struct((-F.col("jaccard")).alias("_less"), F.col(right_id).alias("_id"))).alias("_b"))
+                found = list(zip(*best(batch.column(1).to_pylist()))) or [(), (), ()]
+                keys = batch.column(0).take(pa.array(found[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(found[1]) if found[1] else pa.array([], pa.int64()), pa.array(found[2], pa.float64())], [key, right_id, "jaccard"])
+
+        return left.select(key, words).mapInArrow(run, schema)
+    blocks = max(1, -(-left.count() // LEFT_ROWS))
+    spread_left = left.select(F.col(key).alias("k"), F.col(words).alias("w"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+    spread_right = keyed.select("id", "w", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+
+    def meet(rows: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        other = other.sort_values("id")
+        found = list(_best_of_tile(other["id"].tolist(), other["w"].tolist())(rows["w"])) if len(rows) and len(other) else []
+        return pd.DataFrame({key: [rows["k"].iloc[f[0]] for f in found], right_id: [f[1] for f in found], "jaccard": [f[2] for f in found]})
+
+    met = spread_left.groupBy("block", "tile").cogroup(spread_right.groupBy("block", "tile")).applyInPandas(meet, schema)
+    best = met.groupBy(key).agg(F.min(F.struct((-F.col("jaccard")).alias("_less"), F.col(right_id).alias("_id"))).alias("_b"))
     return best.select(key, F.col("_b._id").alias(right_id), (-F.col("_b._less")).alias("jaccard"))

@@ -10,6 +10,9 @@ from tessella.operators.ranking import hash_key, hash_ranked
 from tessella.operators.staging import staged
 from tessella.plans.catalogue import query
 
+#: Phrases that a join may broadcast.
+BROADCAST_PHRASES = 1_000_000
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 N_WORDS = "len(" + WORDS.format("coalesce(text, '')") + ")::BIGINT"
 
@@ -151,13 +154,19 @@ GRAM = "SELECT {k}, unnest(list_transform(range(1, greatest(len(w) - 7, 0) + 1),
     f"WITH b AS (SELECT DISTINCT gram FROM ({GRAM.format(k='item_id', t='benchmark')})), d AS ({GRAM.format(k='doc_id', t='documents')}) SELECT doc_id, count(DISTINCT gram) AS n_hits FROM d JOIN b USING (gram) GROUP BY doc_id",
 )
 def decontaminate_benchmark(spark, sf_dir):
+    """Benchmark phrases of eight words in each document; the phrases themselves are compared."""
+
     def grams(df, key):
-        # Hashes of the phrases are joined; the phrases themselves stay unshuffled.
-        hashed = F.transform(text.shingles(F.col("text"), 8, short=False), lambda g: F.xxhash64(g))
-        return df.select(key, F.explode(hashed).alias("gram"))
+        return df.select(key, F.explode(text.shingles(F.col("text"), 8, short=False)).alias("gram"))
 
-    bench = grams(table(spark, sf_dir, "benchmark"), "item_id").select("gram").distinct()
-    return grams(table(spark, sf_dir, "documents"), "doc_id").join(bench, "gram").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    bench = staged(grams(table(spark, sf_dir, "benchmark"), "item_id").select("gram").distinct(), "benchmark-phrases")
+    found = grams(table(spark, sf_dir, "documents"), "doc_id")
+    # Counted before it is broadcast; beyond that, phrases meet by their hashes and are compared there.
+    if bench.count() <= BROADCAST_PHRASES:
+        hits = found.join(F.broadcast(bench), "gram")
+    else:
+        hits = found.withColumn("h", F.xxhash64("gram")).join(bench.withColumn("h", F.xxhash64("gram")).hint("merge"), ["h", "gram"])
+    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hits"))
 
 
 @query("exact_dedup_first_wins", "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
@@ -181,8 +190,8 @@ def near_dup_pairs(spark, sf_dir):
     first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     hashed = F.array_distinct(F.transform(text.shingles(F.col("text"), 5), lambda s: F.xxhash64(s)))
     sets = docs.join(first.hint("merge"), "doc_id", "left_semi").select("doc_id", hashed.alias("items")).where("size(items) > 0")
-    # Read four times; a lost executor's part is computed again.
-    sets = sets.persist()
+    # Read four times.
+    sets = staged(sets, "shingle-sets")
     return joins.similar_pairs(sets, "doc_id", "items", 0.8)
 
 

@@ -177,3 +177,18 @@ def test_texts_are_scanned_once(spark):
 def test_packing_fold_still_accepts(spark):
     frame = spark.createDataFrame([(1, i, c) for i, c in enumerate((5, 9, 4, 1))], "k long, i long, c long")
     assert sorted(r["i"] for r in packing.accept_in_order(frame, ["k"], ["i"], "i", "c", 10).collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("tile", [10, 60, 10**6])
+def test_best_overlap_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(joins, "LEFT_ROWS", 25)
+    rng = random.Random(8)
+    left = [(i, [f"w{k}" for k in rng.sample(range(40), rng.randint(0, 8))]) for i in range(60)] + [(99, None)]
+    right = [(i, [f"w{k}" for k in rng.sample(range(40), rng.randint(0, 8))]) for i in range(50)]
+    wanted = {}
+    for i, own in left:
+        scores = [(-len(set(own) & set(other)) / len(set(own) | set(other)), j) for j, other in right if own and set(own) & set(other)]
+        if scores:
+            wanted[i] = (min(scores)[1], -min(scores)[0])
+    frames = [spark.createDataFrame(rows, f"{name} long, w array<string>") for rows, name in ((left, "i"), (right, "j"))]
+    assert {r["i"]: (r["j"], r["jaccard"]) for r in joins.best_overlap(frames[0], "i", frames[1], "j", "w", tile).collect()} == wanted
