@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessella.operators.folds import ordered_fold, segment_rows
 from tessella.operators.packing import fold_pack
@@ -134,3 +135,50 @@ def cycle_to_target(df: DataFrame, order: list[str], block: Column, cost: str, t
 def repeat_count(total: int, repeats: range, low: int, high: int) -> int:
     """Repeats whose total is in [low, high], the fewest, else the one that comes nearest."""
     return min(repeats, key=lambda r: (max(low - total * r, total * r - high, 0), r))
+
+
+def cascade_rows(budget: int):
+    """Fold of (pos, phrase, phrase_cost, measure, measure_cost) rows to their chunks: chunk, pos, spent (see ``cascade_events``)."""
+
+    def fold(rows):
+        chunk, spent, phrase, measure, split, cut = -1, 0, None, None, False, False
+        for pos, own_phrase, phrase_cost, own_measure, measure_cost in rows:
+            begins = chunk < 0 or own_phrase != phrase
+            if begins and phrase_cost <= budget:
+                if chunk < 0 or split or spent + phrase_cost > budget:
+                    chunk, spent = chunk + 1, 0
+                spent, split = spent + phrase_cost, False
+            elif phrase_cost > budget:
+                if begins:
+                    chunk, spent, split = chunk + 1, 1, True
+                if begins or own_measure != measure:
+                    cut = measure_cost > budget - 1
+                    if spent > 1 and (cut or spent + measure_cost > budget):
+                        chunk, spent = chunk + 1, 1
+                    spent += 1 if cut else measure_cost
+                if cut:
+                    if spent + 1 > budget:
+                        chunk, spent = chunk + 1, 2
+                    spent += 1
+            phrase, measure = own_phrase, own_measure
+            yield chunk, pos, spent
+
+    return fold
+
+
+def cascade_events(df: DataFrame, key: list[str], order: list[str], phrase: str, measure: str, budget: int) -> DataFrame:
+    """Chunks of event rows with their header rows: key, chunk_id, first_pos, last_pos, n_events, n_rows (with headers).
+
+    A phrase has a header row and each of its measures one. Phrases are packed
+    in order while they fit ``budget`` rows (at least 3); a larger phrase is
+    split at measures, a larger measure at events, and a chunk that begins
+    inside a phrase or a measure repeats their headers. Streamed: a task holds a row.
+    """
+    place = F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long") - 1
+    counted = df.select(*key, *order, F.col(phrase).alias("_phrase"), F.col(measure).alias("_measure")).withColumn("pos", place)
+    rows = F.count(F.lit(1))
+    starts = F.lag(F.struct("_phrase", "_measure")).over(W.partitionBy(*key).orderBy("pos"))
+    counted = counted.withColumn("_begins", F.when(starts.eqNullSafe(F.struct("_phrase", "_measure")), 0).otherwise(1))
+    sized = counted.withColumn("_mc", rows.over(W.partitionBy(*key, "_phrase", "_measure")) + 1).withColumn("_pc", rows.over(W.partitionBy(*key, "_phrase")) + F.sum("_begins").over(W.partitionBy(*key, "_phrase")) + 1)
+    chunks = ordered_fold(sized, key, ["pos"], ["pos", "_phrase", "_pc", "_measure", "_mc"], "chunk_id int, pos bigint, spent bigint", cascade_rows(budget))
+    return chunks.groupBy(*key, "chunk_id").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), rows.alias("n_events"), F.max("spent").alias("n_rows"))

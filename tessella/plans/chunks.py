@@ -145,3 +145,28 @@ def markdown_sections(spark, sf_dir):
     lines = markdown.markdown_lines(as_markdown(table(spark, sf_dir, "documents")), "doc_id", "md")
     fenced = F.col("kind").isin("open", "body", "close")
     return lines.groupBy("doc_id", "section", "subsection").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(fenced).alias("n_fenced"), F.sum("n_words").alias("n_words"))
+
+
+DAY = 24 * HOUR
+
+
+@query(
+    "event_cascade_chunks",
+    f"""WITH RECURSIVE {EVENTS}, r AS (SELECT user_id, us // {5 * DAY} AS p, us // {DAY} AS m, row_number() OVER ({WIN}) - 1 AS pos FROM e WHERE user_id IS NOT NULL),
+c AS (SELECT *, count(*) OVER (PARTITION BY user_id, p, m) + 1 AS mc, count(*) OVER (PARTITION BY user_id, p) + (SELECT count(DISTINCT x.m) FROM r x WHERE x.user_id = r.user_id AND x.p = r.p) + 1 AS pc FROM r),
+w AS (
+  SELECT user_id, -1::BIGINT AS pos, -1 AS chunk, 0::BIGINT AS spent, NULL::BIGINT AS p, NULL::BIGINT AS m, false AS split, false AS cut FROM c WHERE pos = 0
+  UNION ALL
+  SELECT user_id, pos, chunk + fresh::INT, CASE WHEN pc <= 6 THEN CASE WHEN begins THEN CASE WHEN fresh THEN 0 ELSE spent END + pc ELSE spent END
+      WHEN begins OR turns THEN CASE WHEN begins OR fresh THEN 1 ELSE spent END + CASE WHEN mc > 5 THEN 2 ELSE mc END
+      WHEN cut THEN CASE WHEN fresh THEN 3 ELSE spent + 1 END ELSE spent END, p, m, pc > 6, CASE WHEN pc <= 6 THEN false ELSE mc > 5 END
+  FROM (SELECT c.user_id, c.pos, c.pc, c.mc, c.p, c.m, w.chunk, w.spent, w.cut, w.p IS DISTINCT FROM c.p AS begins, w.m IS DISTINCT FROM c.m AS turns,
+      CASE WHEN w.p IS DISTINCT FROM c.p THEN w.chunk < 0 OR c.pc > 6 OR w.split OR w.spent + c.pc > 6
+           WHEN c.pc <= 6 THEN false WHEN w.m IS DISTINCT FROM c.m THEN w.spent > 1 AND (c.mc > 5 OR w.spent + c.mc > 6) ELSE w.cut AND w.spent + 1 > 6 END AS fresh
+    FROM w JOIN c ON c.user_id = w.user_id AND c.pos = w.pos + 1))
+SELECT user_id, chunk AS chunk_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_events, max(spent)::BIGINT AS n_rows FROM w WHERE pos >= 0 GROUP BY user_id, chunk""",
+)
+def event_cascade_chunks(spark, sf_dir):
+    """Events of a user in chunks of six rows: phrases of five days, split at days, split at events, headers repeated."""
+    own = events(spark, sf_dir).where("user_id IS NOT NULL").withColumn("phrase", F.expr(f"us div {5 * DAY}")).withColumn("measure", F.expr(f"us div {DAY}"))
+    return chunking.cascade_events(own, KEY, ORDER, "phrase", "measure", 6)
