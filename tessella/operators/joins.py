@@ -84,6 +84,25 @@ def sliding_offset_match(left: DataFrame, right: DataFrame, key: list[str], pos:
     return scored.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), "offset")).alias("_b")).select(*key, F.col("_b.offset").alias("offset"), (-F.col("_b.s")).alias("score"))
 
 
+def wrapped_map(left: DataFrame, right: DataFrame, key: list[str], pos: str, value: str, offsets: range) -> DataFrame:
+    """Places of ``left`` mapped to places of ``right`` at the offset with most equal values: key, left_pos, right_pos, left_value, right_value.
+
+    Places count from 0; a place beyond the end of ``right`` goes round. Ties
+    go to the smallest offset; keys without a right row have no map.
+    """
+    sizes = right.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    own = left.select(*key, F.col(pos).alias("left_pos"), F.col(value).alias("left_value")).join(sizes, key)
+    other = right.select(*key, F.col(pos).alias("right_pos"), F.col(value).alias("right_value"))
+
+    def at(offset):
+        return F.pmod(F.col("left_pos") + offset, F.col("_n"))
+
+    moved = own.withColumn("_offset", F.explode(F.array(*[F.lit(o) for o in offsets]))).withColumn("right_pos", at(F.col("_offset"))).join(other, [*key, "right_pos"])
+    scored = moved.groupBy(*key, "_offset").agg(F.count_if(F.col("left_value") == F.col("right_value")).alias("_score"))
+    best = scored.groupBy(*key).agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col("_offset").alias("o"))).alias("_b")).select(*key, F.col("_b.o").alias("_best"))
+    return own.join(best, key).withColumn("right_pos", at(F.col("_best"))).join(other, [*key, "right_pos"]).select(*key, "left_pos", "right_pos", "left_value", "right_value")
+
+
 def positional_audit(left: DataFrame, right: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """Full comparison by position in the group: status ok, changed, missing or extra per row."""
     rank = F.row_number().over(W.partitionBy(*key).orderBy(*order))

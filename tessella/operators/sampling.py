@@ -105,16 +105,17 @@ def round_robin(df: DataFrame, group: list[str], key: str, seed: str, cost: str,
     return accept_fitting(ranked, ["depth", cost, "hash_key"], block, cost, budget).drop("place")
 
 
-def smallest_round_robin(df: DataFrame, protected: Column, group: str, key: str, seed: str, cost: str, target: int, soft: float) -> DataFrame:
+def smallest_round_robin(df: DataFrame, protected: Column, group: str, key: str, seed: str, cost: str, target: int, soft: float, smallest: bool = True) -> DataFrame:
     """All protected rows, the smallest other row of each group, then the next smallest ones round by round up to ``target``.
 
     The groups of a round come in a hash order. A row that does not fit is still
-    accepted while less than ``soft * target`` is spent. Adds ``why``: protected,
-    first or drawn. ``df`` is read several times: pass a narrow staged table.
+    accepted while less than ``soft * target`` is spent. Without ``smallest`` the
+    rows of a group come in hash order. Adds ``why``: protected, first or drawn. ``df`` is read several times: pass a narrow staged table.
     """
     fixed = df.where(protected).withColumn("why", F.lit("protected"))
     others = df.where(~protected).withColumn("_tie", hash_key(seed, key))
-    ranked = staged(by_depth(others, [group], [cost, "_tie"], F.col(cost)).withColumn("_round", hash_key(seed, "depth", group)), "rounds")
+    order, part = ([cost, "_tie"], F.col(cost)) if smallest else (["_tie"], F.substring("_tie", 1, 4))
+    ranked = staged(by_depth(others, [group], order, part).withColumn("_round", hash_key(seed, "depth", group)), "rounds")
     first = ranked.where("depth = 0").withColumn("why", F.lit("first"))
     # Two numbers decide what the rounds may spend.
     spent = sum(part.agg(F.coalesce(F.sum(cost), F.lit(0)).alias("t")).first()["t"] for part in (fixed, first))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from tessella.functions import events as ev
 from tessella.operators import joins, sampling, stats
+from tessella.operators.ranking import running_sum
 from tessella.plans.catalogue import query
 from tessella.plans.corpus import table
 
@@ -134,8 +135,8 @@ def batches_of_thirty(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     # Brands, not parts, are ranked in one place.
     brands = parts.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n")).select("p_brand", F.row_number().over(W.orderBy(F.col("n").desc(), "p_brand")).alias("brand_rank"))
-    rank = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    return parts.withColumn("rn", rank).join(brands, "p_brand").select("p_partkey", "p_brand", "brand_rank", F.floor(F.col("rn") / 30).alias("batch"))
+    ranked = running_sum(parts, F.lit(1), ["p_partkey"], F.floor(F.col("p_partkey") / 1000), ["p_brand"], "rn")
+    return ranked.join(brands, "p_brand").select("p_partkey", "p_brand", "brand_rank", F.floor(F.col("rn") / 30).alias("batch"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.functions import masks
 from tessella.operators import joins, sampling
 from tessella.operators.folds import longest_spans, ordered_fold
 from tessella.operators.ranking import hash_key, running_sum
@@ -488,12 +489,48 @@ def structural_line_normalise(spark, sf_dir):
 
 @query(
     "tag_validity",
-    "WITH t AS (SELECT p_partkey, list_filter(list_transform(string_split(p_name || ',' || p_type || ',,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> '') AS tags FROM part) SELECT p_partkey, len(tags)::BIGINT AS n_tags, len(tags) >= 3 AS valid FROM t",
+    """WITH t AS (SELECT p_partkey, list_filter(list_transform(string_split(replace(p_name, ' ', ',') || ',,' || p_brand, ','), lambda x: trim(x)), lambda x: x <> '') AS a, list_filter(list_transform(string_split(replace(p_type, ' ', ', '), ','), lambda x: trim(x)), lambda x: x <> '') AS b FROM part)
+SELECT p_partkey, len(a)::BIGINT AS n_first, len(b)::BIGINT AS n_second, len(a) >= 3 AND len(b) >= 3 AS valid, list_has_any(list_transform(a, lambda x: lower(x)), list_transform(b, lambda x: lower(x))) AS overlaps FROM t""",
 )
 def tag_validity(spark, sf_dir):
-    listed = F.split(F.concat(F.col("p_name"), F.lit(","), F.col("p_type"), F.lit(",,"), F.col("p_brand")), ",", -1)
-    tags = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != "")
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(tags).cast("long").alias("n_tags"), (F.size(tags) >= 3).alias("valid"))
+    """Two lists of tags are valid with three each; an overlap, without regard to case, is only reported."""
+
+    def tags(listed):
+        return F.filter(F.transform(F.split(listed, ",", -1), lambda x: F.trim(x)), lambda x: x != "")
+
+    a = tags(F.concat(F.replace("p_name", F.lit(" "), F.lit(",")), F.lit(",,"), F.col("p_brand")))
+    b = tags(F.replace("p_type", F.lit(" "), F.lit(", ")))
+    low = [F.transform(x, lambda t: F.lower(t)) for x in (a, b)]
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.size(a).cast("long").alias("n_first"), F.size(b).cast("long").alias("n_second"), ((F.size(a) >= 3) & (F.size(b) >= 3)).alias("valid"), F.arrays_overlap(*low).alias("overlaps")
+    )
+
+
+@query(
+    "token_estimates",
+    """SELECT doc_id, CASE lang WHEN 'en' THEN 512 WHEN 'fr' THEN 384 ELSE 294 END::BIGINT AS char_budget, n_chars <= CASE lang WHEN 'en' THEN 512 WHEN 'fr' THEN 384 ELSE 294 END AS fits,
+  ceil(n_chars / CASE lang WHEN 'en' THEN 2.0 WHEN 'fr' THEN 1.5 ELSE 1.15 END::DOUBLE)::BIGINT AS tokens FROM documents""",
+)
+def token_estimates(spark, sf_dir):
+    """Tokens of a text by its characters, and whether it fits 256 of them: 2, 1.5 or 1.15 characters a token by kind."""
+    ratio = F.when(F.col("lang") == "en", 2.0).when(F.col("lang") == "fr", 1.5).otherwise(1.15)
+    budget = F.floor(F.lit(256) * ratio)
+    return table(spark, sf_dir, "documents").select("doc_id", budget.alias("char_budget"), (F.col("n_chars") <= budget).alias("fits"), F.ceil(F.col("n_chars") / ratio).alias("tokens"))
+
+
+@query(
+    "round_robin_to_ratio",
+    f"""WITH {SIZED}, {PROTECTED}, t AS (SELECT 55 * sum(tokens)::BIGINT // 100 AS target FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('ratio:' || doc_id)) - 1 AS depth FROM p WHERE NOT is_protected),
+s AS (SELECT coalesce((SELECT sum(tokens) FROM p WHERE is_protected), 0)::BIGINT + coalesce((SELECT sum(tokens) FROM r WHERE depth = 0), 0)::BIGINT AS spent),
+c AS (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY depth, sha256('ratio:' || depth || ':' || source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WHERE depth > 0)
+SELECT doc_id, tokens, 'protected' AS why FROM p WHERE is_protected UNION ALL SELECT doc_id, tokens, 'first' FROM r WHERE depth = 0 UNION ALL SELECT doc_id, tokens, 'drawn' FROM c WHERE before < (SELECT target FROM t) - (SELECT spent FROM s)""",
+)
+def round_robin_to_ratio(spark, sf_dir):
+    """Protected documents, one of each source, then rounds in hash order until 55 percent of all tokens are reached; the last one may exceed it."""
+    docs = protected_sizes(spark, sf_dir)
+    chosen = sampling.smallest_round_robin(docs, F.col("is_protected"), "source", "doc_id", "ratio", "tokens", share_of(docs, 55), 1.0, smallest=False)
+    return chosen.select("doc_id", "tokens", "why")
 
 
 @query("record_text", "SELECT doc_id, coalesce(lang, '') || ' ' || coalesce(source, '') || ' ' || coalesce(text, '') AS record FROM documents")
@@ -534,32 +571,33 @@ def chunk_by_source_kind(spark, sf_dir):
     return cut.withColumn("chunk_id", F.col("chunk_id").cast("long"))
 
 
-#: Keywords and the phrases they stand for.
-GISTS = (("password", "holds a credential"), ("license", "carries a license line"), ("http", "links to the web"), ("@", "names an address"), ("the ", "reads as english prose"), ("der ", "reads as german prose"))
-
-
 @query(
     "gist_phrases",
-    "WITH k AS (SELECT doc_id, "
-    + ", ".join(f"instr(lower(coalesce(text, '')), '{w}') AS k{i}" for i, (w, _) in enumerate(GISTS))
-    + " FROM documents), u AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, k{i} AS spot, {i} AS place, '{p}' AS phrase, {len(p.split())} AS n FROM k WHERE k{i} > 0" for i, (_, p) in enumerate(GISTS))
-    + """), c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY spot, place) AS upto FROM u)
-SELECT doc_id, string_agg(phrase, ', ' ORDER BY spot, place) AS gist, max(upto)::BIGINT AS n_words FROM c WHERE upto <= 9 GROUP BY doc_id""",
+    r"""WITH k AS (SELECT DISTINCT w AS word, 'about ' || substr(w, 1, 4) AS phrase FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,}') AS w FROM documents)),
+f AS (SELECT doc_id, phrase, min(place) AS place FROM d JOIN k USING (word) GROUP BY ALL),
+c AS (SELECT *, sum(2) OVER (PARTITION BY doc_id ORDER BY place) AS upto FROM f)
+SELECT doc_id, string_agg(phrase, ', ' ORDER BY place) AS gist, max(upto)::BIGINT AS n_words FROM c WHERE upto <= 9 GROUP BY doc_id""",
 )
 def gist_phrases(spark, sf_dir):
-    """Phrases of the keywords that a text holds, by first place, while they stay within nine words."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    found = F.array(*[F.struct(F.instr(low, w).alias("at"), F.lit(i).alias("place"), F.lit(p).alias("phrase"), F.lit(len(p.split())).alias("n")) for i, (w, p) in enumerate(GISTS)])
-    ordered = F.array_sort(F.filter(found, lambda k: k["at"] > 0))
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"), F.expr("cast(array() as array<string>)").alias("said"))
+    """Phrases of the keywords that a text holds, each once, by first place, while they stay within nine words.
+
+    The table of keywords has hundreds of entries (here the benchmark's words,
+    of which those with one beginning share a phrase) and is joined.
+    """
 
-    def step(a, k):
-        fits = a["open"] & (a["n"] + k["n"] <= 9)
-        return F.struct(F.when(fits, a["n"] + k["n"]).otherwise(a["n"]).alias("n"), fits.alias("open"), F.when(fits, F.array_append(a["said"], k["phrase"])).otherwise(a["said"]).alias("said"))
+    def long_words(text):
+        return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{5,}"), F.lit(0))
 
-    folded = table(spark, sf_dir, "documents").select("doc_id", F.aggregate(ordered, start, step).alias("g")).where("g.n > 0")
-    return folded.select("doc_id", F.array_join("g.said", ", ").alias("gist"), F.col("g.n").cast("long").alias("n_words"))
+    keys = table(spark, sf_dir, "benchmark").select(F.explode(long_words("text")).alias("word")).distinct()
+    keys = keys.select("word", F.concat(F.lit("about "), F.substring("word", 1, 4)).alias("phrase"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(long_words("text")).alias("place", "word")).join(keys, "word")
+    firsts = found.groupBy("doc_id", "phrase").agg(F.min("place").alias("place"))
+    sized_phrases = firsts.withColumn("n", F.size(F.split("phrase", " ")))
+    upto = sized_phrases.withColumn("upto", F.sum("n").over(W.partitionBy("doc_id").orderBy("place"))).where("upto <= 9")
+    # Nine words at most are gathered.
+    gathered = upto.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "phrase"))).alias("g"), F.max("upto").alias("n_words"))
+    return gathered.select("doc_id", F.array_join("g.phrase", ", ").alias("gist"), F.col("n_words").cast("long").alias("n_words"))
 
 
 @query(
@@ -588,12 +626,34 @@ def prompt_sections(spark, sf_dir):
 
 @query(
     "mask_rewrite",
-    r"SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[0-9]+', '<MASK>', 'g') AS masked, CASE WHEN regexp_matches(coalesce(text, ''), '[0-9]') THEN 'Fill the masks.' ELSE 'Continue the text.' END AS instruction FROM conversations",
+    r"""WITH t AS (SELECT conv_id, turn, (conv_id + turn) % 8 AS k, ['measure', 'phrase'][(conv_id + turn) % 2 + 1] || ['_score_lang_', '_perf_lang_'][(conv_id + turn) // 2 % 2 + 1] || ['continuation', 'mask'][(conv_id + turn) // 4 % 2 + 1] AS task,
+  CASE WHEN (conv_id + turn) // 2 % 2 = 0 THEN ['acc', 'treble', 'bass', 'label'] ELSE ['timing', 'velocity', 'duration', 'pedal'] END[conv_id % 4 + 1] AS mask, coalesce(text, '') AS x FROM conversations),
+m AS (SELECT *, CASE WHEN task LIKE '%\_perf\_%' ESCAPE '\' THEN replace(replace(replace(replace(replace(replace(x, 'the', '[MASK_VEL]'), 'on', '[MASK_DUR]'), 'er', '[MASK_TIMING]'), '[MASK_VEL]', 'X'), '[MASK_DUR]', 'X'), '[MASK_TIMING]', 'X')
+  ELSE regexp_replace(list_aggregate(list_transform(regexp_extract_all(regexp_replace(replace(replace(replace(x, 'th', 'zzz'), 'on', 'z,,'), 'er', 'z4'), 'z,+', 'X', 'g'), 'z+|[^z]+'), lambda r: CASE WHEN r LIKE 'zz%' THEN repeat('X', length(r)) ELSE r END), 'string_agg', ''), 'z([0-9]+)', 'X\1', 'g') END AS masked FROM t)
+SELECT conv_id, turn, task, coalesce(masked, '') AS masked, CASE WHEN task LIKE '%continuation' THEN 'Continue the ' || CASE WHEN contains(task, '_score_') THEN 'score' ELSE 'performance' END || ' to the next ' || string_split(task, '_')[1]
+  ELSE 'Reconstruct the masked ' || CASE mask WHEN 'acc' THEN 'accidentals (sharps/flats)' WHEN 'treble' THEN 'treble clef (right hand)' WHEN 'bass' THEN 'bass clef (left hand)' WHEN 'label' THEN 'expression marks'
+    WHEN 'timing' THEN 'note timing' WHEN 'velocity' THEN 'note velocities' WHEN 'duration' THEN 'note durations' ELSE 'pedal events' END || ' in the ' || CASE WHEN contains(task, '_score_') THEN 'score' ELSE 'performance' END END AS instruction FROM m""",
 )
 def mask_rewrite(spark, sf_dir):
+    """Turns with the mask signs of score and performance tasks, rewritten, and the instruction of each task and mask."""
+    k = F.col("conv_id") + F.col("turn")
+
+    def pick(names, number):
+        return F.element_at(F.array(*[F.lit(n) for n in names]), (number + 1).cast("int"))
+
+    is_score = F.expr("(conv_id + turn) div 2 % 2") == 0
+    task = F.concat(pick(("measure", "phrase"), k % 2), F.when(is_score, "_score_lang_").otherwise("_perf_lang_"), pick(("continuation", "mask"), F.expr("(conv_id + turn) div 4 % 2")))
+    mask = F.when(is_score, pick(tuple(masks.HIDDEN["score"]), F.col("conv_id") % 4)).otherwise(pick(tuple(masks.HIDDEN["performance"]), F.col("conv_id") % 4))
     text = F.coalesce("text", F.lit(""))
-    instruction = F.when(F.rlike(text, F.lit("[0-9]")), "Fill the masks.").otherwise("Continue the text.")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(text, "[0-9]+", "<MASK>").alias("masked"), instruction.alias("instruction"))
+
+    def signs(*pairs):
+        marked = text
+        for said, sign in pairs:
+            marked = F.replace(marked, F.lit(said), F.lit(sign))
+        return marked
+
+    masked = F.when(is_score, masks.score_masks(signs(("th", "zzz"), ("on", "z,,"), ("er", "z4")))).otherwise(masks.performance_masks(signs(("the", "[MASK_VEL]"), ("on", "[MASK_DUR]"), ("er", "[MASK_TIMING]"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", task.alias("task"), masked.alias("masked"), masks.instruction(task, mask).alias("instruction"))
 
 
 @query(
@@ -635,13 +695,34 @@ def human_size(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * F.col("n_chars")).alias("n")).select("doc_id", size.alias("size"))
 
 
+#: Composers that file names abbreviate.
+COMPOSERS = {"bach": "Johann Sebastian Bach", "mozart": "Wolfgang Amadeus Mozart"}
+#: Catalogues by the prefix of a work.
+CATALOGUES = {"bwv": "BWV ", "op": "Op. ", "k": "K. ", "d": "D. "}
+
+
 @query(
     "name_parts",
-    "SELECT s_suppkey, string_split(s_name, '#')[1] AS maker, try_cast(string_split(s_name, '#')[2] AS BIGINT) AS number FROM supplier",
+    r"""WITH f AS (SELECT s_suppkey, ['bach', 'Mozart', 'schubert', 'liszt'][s_suppkey % 4 + 1] || CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE '_' || ['bwv', 'k', 'd', 'op', 's'][s_suppkey % 5 + 1] || lpad(s_suppkey::VARCHAR, 5, '0') || '_' || s_nationkey END AS file FROM supplier),
+p AS (SELECT *, string_split(file, '_') AS x FROM f)
+SELECT s_suppkey, CASE lower(x[1]) WHEN 'bach' THEN 'Johann Sebastian Bach' WHEN 'mozart' THEN 'Wolfgang Amadeus Mozart' ELSE upper(substr(x[1], 1, 1)) || lower(substr(x[1], 2)) END AS composer,
+  CASE WHEN len(x) < 2 THEN '' WHEN starts_with(x[2], 'bwv') THEN 'BWV ' || ltrim(substr(x[2], 4), '0') WHEN starts_with(x[2], 'op') THEN 'Op. ' || ltrim(substr(x[2], 3), '0') WHEN starts_with(x[2], 'k') THEN 'K. ' || ltrim(substr(x[2], 2), '0')
+    WHEN starts_with(x[2], 'd') THEN 'D. ' || ltrim(substr(x[2], 2), '0') ELSE upper(x[2]) END AS work FROM p""",
 )
 def name_parts(spark, sf_dir):
-    parts = F.split("s_name", "#", -1)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.get(parts, 0).alias("maker"), F.get(parts, 1).try_cast("long").alias("number"))
+    """Composer and catalogue number of file names ``composer_work_rest``."""
+
+    def pick(names, n):
+        return F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("s_suppkey") % n + 1).cast("int"))
+
+    number = F.lpad(F.col("s_suppkey").cast("string"), 5, "0")
+    rest = F.when(F.col("s_suppkey") % 11 == 0, "").otherwise(F.concat(F.lit("_"), pick(("bwv", "k", "d", "op", "s"), 5), number, F.lit("_"), F.col("s_nationkey").cast("string")))
+    parts = F.split(F.concat(pick(("bach", "Mozart", "schubert", "liszt"), 4), rest), "_", -1)
+    first, work = F.get(parts, 0), F.get(parts, 1)
+    composer = F.coalesce(F.create_map(*[F.lit(x) for pair in COMPOSERS.items() for x in pair])[F.lower(first)], F.initcap(first))
+    # The first prefix that fits counts, so that longer ones stand first.
+    named = F.coalesce(*[F.when(F.startswith(work, F.lit(p)), F.concat(F.lit(label), F.regexp_replace(F.substring(work, len(p) + 1, 100), "^0+", ""))) for p, label in CATALOGUES.items()], F.upper(work), F.lit(""))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", composer.alias("composer"), named.alias("work"))
 
 
 @query(

@@ -211,6 +211,21 @@ def sliding_offset_match(spark, sf_dir):
     return joins.sliding_offset_match(ranked.where("side = 0"), ranked.where("side = 1"), ["pair"], "pos", "event_type", range(-4, 5))
 
 
+@query(
+    "sliding_map_with_wrap",
+    f"""WITH {EVENTS}, r AS (SELECT user_id, event_type, row_number() OVER ({WIN}) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM e), a AS (SELECT user_id // 2 AS pair, * FROM r WHERE user_id % 2 = 0), b AS (SELECT user_id // 2 AS pair, * FROM r WHERE user_id % 2 = 1),
+s AS (SELECT a.pair, o.o AS off, sum((a.event_type = b.event_type)::INT) AS score FROM a, (SELECT unnest(range(-4, 5)) AS o) o JOIN b ON b.pair = a.pair AND b.pos = ((a.pos + o.o) % b.n + b.n) % b.n GROUP BY ALL),
+k AS (SELECT pair, arg_min(off, row(-score, off)) AS off FROM s GROUP BY pair)
+SELECT a.pair, a.pos AS left_pos, b.pos AS right_pos, a.event_type = b.event_type AS equal FROM a JOIN k USING (pair) JOIN b ON b.pair = a.pair AND b.pos = ((a.pos + off) % b.n + b.n) % b.n""",
+)
+def sliding_map_with_wrap(spark, sf_dir):
+    """Each place of a sequence mapped to the other one at the best offset, going round where that ends."""
+    place = F.row_number().over(W.partitionBy(*KEY).orderBy(*ORDER)).cast("long") - 1
+    ranked = events(spark, sf_dir).select(F.expr("user_id div 2").alias("pair"), (F.col("user_id") % 2).alias("side"), "event_type", place.alias("pos"))
+    left, right = ranked.where("side = 0"), ranked.where("side = 1")
+    return joins.wrapped_map(left, right, ["pair"], "pos", "event_type", range(-4, 5)).select("pair", "left_pos", "right_pos", (F.col("left_value") == F.col("right_value")).alias("equal"))
+
+
 @query("event_type_coverage", "SELECT event_type, count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events) AS coverage, count(*) AS n FROM events GROUP BY event_type")
 def event_type_coverage(spark, sf_dir):
     e = table(spark, sf_dir, "events")

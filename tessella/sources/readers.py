@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import zip_longest
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,13 @@ def check_columns(df: DataFrame, wanted: list[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def check_same_columns(df: DataFrame, other: DataFrame) -> None:
+    """Raise unless both tables have the same columns of the same types in one order."""
+    if df.dtypes != other.dtypes:
+        apart = [f"{a} / {b}" for a, b in zip_longest(df.dtypes, other.dtypes) if a != b]
+        raise ValueError(f"columns differ: {'; '.join(apart)}")
+
+
 def aligned_to(df: DataFrame, other: DataFrame, derived: dict | None = None) -> DataFrame:
     """Columns of ``other`` from ``df``: its own, else derived ones, else null."""
     derived = derived or {}
