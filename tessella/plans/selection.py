@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessella.functions import masks
+from tessella.functions import chat_tasks, masks
 from tessella.operators import joins, sampling
 from tessella.operators.folds import longest_spans, ordered_fold
 from tessella.operators.ranking import hash_key, running_sum
@@ -805,3 +805,33 @@ def candidate_pair_blocking(spark, sf_dir):
 def sample_at_most_n(spark, sf_dir):
     """Fifty documents in hash order: a sampling operator."""
     return table(spark, sf_dir, "documents").select("doc_id").orderBy(hash_key("sample", "doc_id"), "doc_id").limit(50)
+
+
+@query(
+    "chat_task_messages",
+    r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS x, lag(text) OVER w AS before, lead(text) OVER w AS following,
+  CASE WHEN row_number() OVER w = 1 THEN 'coldstart' WHEN lead(turn) OVER w IS NULL THEN 'ending' ELSE 'main' END AS kind FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+k AS (SELECT *, ['measure_epr', 'phrase_epr', 'abcx2pm', 'sm2pm', 'measure_score_lang_continuation', 'measure_score_lang_mask', 'phrase_score_lang_continuation', 'phrase_score_lang_mask', 'measure_perf_lang_continuation', 'measure_perf_lang_mask', 'other'][(conv_id * 3 + turn) % 11 + 1] AS task,
+  regexp_replace(x, '\s+$', '') AS body, regexp_replace(coalesce(before, ''), '\s+$', '') AS old FROM t),
+p AS (SELECT *, CASE WHEN starts_with(task, 'phrase_') THEN 'phrase' ELSE 'measure' END AS lv, chr(10) || 'Task type: ' || kind AS tt FROM k),
+u AS (SELECT *, CASE WHEN task LIKE '%epr' THEN 'Render target ' || lv || ' ' || turn || ' from aligned ABCX score into expressive compact MIDI-TSV performance. Use the previous performance context if provided. Output only the target ' || lv || '.' || tt
+      || CASE WHEN body <> '' THEN chr(10) || 'Score:' || chr(10) || body ELSE '' END || CASE WHEN old <> '' THEN chr(10) || 'Previous performance:' || chr(10) || old ELSE '' END
+    WHEN task IN ('abcx2pm', 'sm2pm') THEN replace(CASE WHEN kind = 'coldstart' OR coalesce(before, '') = '' THEN 'Render the provided @ into expressive performance midi. Output only the target span.'
+      ELSE 'Using the provided first performance measure as a style reference, render the rest of the @ into expressive performance midi. Output only the target span.' END, '@', CASE task WHEN 'abcx2pm' THEN 'abcx score' ELSE 'score midi' END) || tt
+      || CASE WHEN body <> '' THEN chr(10) || CASE task WHEN 'abcx2pm' THEN 'abcx' ELSE 'score midi' END || ':' || chr(10) || body ELSE '' END || CASE WHEN old <> '' THEN chr(10) || 'first performance measure:' || chr(10) || old ELSE '' END
+    WHEN task LIKE '%score_lang_continuation' THEN 'Continue the aligned ABCX score from the given ' || lv || '. Output only the next ' || lv || '.' || CASE WHEN body <> '' THEN chr(10) || 'Score:' || chr(10) || body ELSE '' END
+    WHEN task LIKE '%score_lang_mask' THEN 'Restore the acc-masked aligned ABCX score ' || lv || '. Output only the restored ' || lv || '.' || CASE WHEN body <> '' THEN chr(10) || 'Score:' || chr(10) || body ELSE '' END
+    WHEN task = 'measure_perf_lang_continuation' THEN 'Continue the compact MIDI-TSV performance from the given measure. Output only the next measure.' || CASE WHEN body <> '' THEN chr(10) || 'Performance:' || chr(10) || body ELSE '' END
+    WHEN task = 'measure_perf_lang_mask' THEN 'Restore the acc-masked compact MIDI-TSV performance measure. Output only the restored measure.' || CASE WHEN body <> '' THEN chr(10) || 'Performance:' || chr(10) || body ELSE '' END END AS said FROM p)
+SELECT conv_id, turn, task, sha256(said) AS user_sha256, sha256(CASE WHEN said IS NOT NULL THEN coalesce(following, '') END) AS answer_sha256, CASE WHEN task LIKE '%_lang_%' THEN task WHEN task <> 'other' THEN 'unknown' END AS inferred FROM u""",
+)
+def chat_task_messages(spark, sf_dir):
+    """Turns as samples of the ten tasks (and one that is none), as chat messages, and the task told from the prompt."""
+    turns = W.partitionBy("conv_id").orderBy("turn")
+    place = F.when(F.row_number().over(turns) == 1, "coldstart").when(F.lead("turn").over(turns).isNull(), "ending").otherwise("main")
+    task = F.element_at(F.array(*[F.lit(t) for t in (*chat_tasks.TASKS, "other")]), ((F.col("conv_id") * 3 + F.col("turn")) % 11 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(turns).alias("before"), F.lead("text").over(turns).alias("following"), place.alias("kind"), task.alias("task"))
+    user = chat_tasks.user_message(F.col("task"), F.col("kind"), F.col("turn").cast("string"), F.col("before"), F.col("text"), F.col("text"), F.lit("acc"))
+    said = rows.withColumn("m", chat_tasks.messages(user, F.col("following")))
+    content = [F.col("m")[i]["content"] for i in (0, 1)]
+    return said.select("conv_id", "turn", "task", F.sha2(content[0], 256).alias("user_sha256"), F.sha2(content[1], 256).alias("answer_sha256"), F.when(content[0].isNotNull(), chat_tasks.inferred_task(content[0])).alias("inferred"))
