@@ -36,15 +36,24 @@ def fixed_phrases_of_four(spark, sf_dir):
 
 @query(
     "phrase_segment_4_8",
-    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
-p AS (SELECT *, least((rn - 1) // 4, greatest(n // 4 - 1, 0)) AS phrase_id FROM r) SELECT o_custkey, phrase_id, count(*) AS n_items, min(o_orderkey) AS least_order FROM p GROUP BY ALL""",
+    """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER w AS pos, bool_and(o_totalprice < 100000) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS pickup FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+r AS (SELECT *, sum((NOT pickup)::INT) OVER (PARTITION BY o_custkey ORDER BY pos) AS rn, sum((NOT pickup)::INT) OVER (PARTITION BY o_custkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS n_all FROM o),
+p AS (SELECT *, CASE WHEN pickup THEN 0 ELSE least((rn - 1) // 4, greatest(n // 4 - 1, 0)) END::BIGINT AS phrase_id FROM r WHERE n > 0 AND (n >= 4 OR n_all >= 4))
+SELECT o_custkey, phrase_id, count(*) AS n_items, sum(pickup::INT)::BIGINT AS n_pickups, min(o_orderkey) AS least_order FROM p GROUP BY ALL""",
 )
 def phrase_segment_4_8(spark, sf_dir):
+    """Phrases of four in order, a short tail joined to the last, so none exceeds seven; pickups (leading small orders) go to the first.
+
+    A customer with pickups alone, or with fewer than four orders, has no phrase.
+    """
     own = W.partitionBy("o_custkey")
-    ranked = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(own.orderBy("o_orderdate", "o_orderkey")).alias("rn"), F.count(F.lit(1)).over(own).alias("n"))
-    # Fours, a short tail joined to the last of them: no phrase exceeds seven.
-    phrase = F.least(F.floor((F.col("rn") - 1) / 4), F.greatest(F.floor(F.col("n") / 4) - 1, F.lit(0)))
-    return ranked.groupBy("o_custkey", phrase.alias("phrase_id")).agg(F.count(F.lit(1)).alias("n_items"), F.min("o_orderkey").alias("least_order"))
+    upto = own.orderBy("o_orderdate", "o_orderkey").rowsBetween(W.unboundedPreceding, W.currentRow)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_totalprice") < 100000).alias("small"))
+    led = orders.withColumn("pickup", F.bool_and("small").over(upto))
+    full = (~F.col("pickup")).cast("long")
+    ranked = led.withColumn("rn", F.sum(full).over(upto)).withColumn("n", F.sum(full).over(own)).withColumn("n_all", F.count(F.lit(1)).over(own)).where("n > 0 AND (n >= 4 OR n_all >= 4)")
+    phrase = F.when(F.col("pickup"), 0).otherwise(F.least(F.floor((F.col("rn") - 1) / 4), F.greatest(F.floor(F.col("n") / 4) - 1, F.lit(0))))
+    return ranked.groupBy("o_custkey", phrase.alias("phrase_id")).agg(F.count(F.lit(1)).alias("n_items"), F.count_if("pickup").alias("n_pickups"), F.min("o_orderkey").alias("least_order"))
 
 
 @query(
