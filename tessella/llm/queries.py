@@ -22,11 +22,11 @@ def query(function):
 
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each document that the mix takes, the first slot that takes some, and where in the slot's block they begin."""
+    """Words of each document that the mix takes, the first slot that takes some (-1: none), and where in the slot's block they begin."""
     placed, pieces = mixing.mix(documents(spark, sf_dir), word_count(F.col("text")))
     taken = pieces.groupBy("row_key").agg(F.sum("words").cast("long").alias("taken"), F.min(F.struct("slot", "at")).alias("first"))
     return placed.join(taken, "row_key", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.col("first.slot").alias("slot"), F.col("first.at").alias("slot_offset")
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), *[F.coalesce(f"first.{c}", F.lit(-1).cast("long")).alias(n) for c, n in (("slot", "slot"), ("at", "slot_offset"))]
     )
 
 
@@ -69,7 +69,7 @@ schedule AS (SELECT slot, r, row_number() OVER (PARTITION BY r ORDER BY slot) -
 mixed AS (
   SELECT doc_id, size, source_size, target, r, place, place // block AS n, place % block AS inside, slots + place // block * sources + r AS behind, size > 0 AND place < floor(target) AS goes
   FROM placed, facts)
-SELECT doc_id, size, source_size, target, CASE WHEN goes THEN coalesce(slot, behind)::BIGINT END AS slot, CASE WHEN goes THEN inside::BIGINT END AS slot_offset,
+SELECT doc_id, size, source_size, target, CASE WHEN goes THEN coalesce(slot, behind)::BIGINT ELSE -1 END AS slot, CASE WHEN goes THEN inside::BIGINT ELSE -1 END AS slot_offset,
        (greatest(0, least(size, floor(target)::BIGINT - place)) + greatest(0, least(size, floor(target)::BIGINT - source_size - place)))::BIGINT AS taken
 FROM mixed LEFT JOIN schedule USING (r, n)
 """
