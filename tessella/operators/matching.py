@@ -115,6 +115,8 @@ def best_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str,
     bound, which tells the cells that can hold it. There the deltas, which cost
     no histogram, are summed first, and only rows within the bound are compared
     (``n_compared``). A query whose own cells hold none looks at all cells.
+    Queries meet all rows of a cell that may hold the match, so choose a
+    ``width`` that leaves few rows in a cell.
     """
 
     def cells(df: DataFrame, key: str, mark: str) -> DataFrame:
