@@ -31,7 +31,7 @@ def near_duplicate_sequences(spark, sf_dir):
     own = events(spark, sf_dir).where("user_id IS NOT NULL").select((F.col("user_id") % 5).alias("piece"), "user_id", "event_type", "us")
     clusters = matching.near_duplicate_sequences(matching.shifted(own, ["piece", "user_id"], "us"), "piece", "user_id", "event_type", "us", 11 * HOUR)
     sizes = own.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    told = matching.with_leads(clusters.join(sizes, "user_id"), ["cluster"], [F.col("user_id") % 4, -F.col("n")], "user_id")
+    told = matching.with_leads(clusters.join(sizes.hint("merge"), "user_id"), ["cluster"], [F.col("user_id") % 4, -F.col("n")], "user_id")
     return told.select("piece", "user_id", "cluster", "n_members", "lead")
 
 

@@ -192,3 +192,25 @@ def test_best_overlap_in_tiles(spark, monkeypatch, tile):
             wanted[i] = (min(scores)[1], -min(scores)[0])
     frames = [spark.createDataFrame(rows, f"{name} long, w array<string>") for rows, name in ((left, "i"), (right, "j"))]
     assert {r["i"]: (r["j"], r["jaccard"]) for r in joins.best_overlap(frames[0], "i", frames[1], "j", "w", tile).collect()} == wanted
+
+
+def test_near_duplicate_sequences_meet_leaders_and_broadcast_no_table(spark, monkeypatch):
+    """Leaders join what is widely close; no staged table of events is broadcast on the size of its file."""
+    monkeypatch.setattr(matching, "LEADERS", 3)
+    monkeypatch.setattr(matching, "MET", 16)
+    plans, kept = [], matching.staged
+
+    def noted(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, label)
+
+    monkeypatch.setattr(matching, "staged", noted)
+    rng = random.Random(9)
+    events = [(b, 100 * b + i, rng.choice("ab") if rng.random() < 0.95 else None, rng.randrange(2000)) for b in (0, 1) for i in range(45) for _ in range(rng.randint(4, 14))]
+    base = [("c", rng.randrange(50_000)) for _ in range(20)]
+    events += [(1, 300 + i, v, max(0, a + rng.randint(-40, 40))) for i in range(12) for v, a in base]
+    frame = spark.createDataFrame(events, "block long, seq long, v string, at long").repartition(5)
+    got = {(r["block"], r["seq"]): r["cluster"] for r in matching.near_duplicate_sequences(frame, "block", "seq", "v", "at", 90).collect()}
+    assert got == clusters_of(events, 90)
+    assert 2 < len(set(got.values())) < 60
+    assert not [label for label, plan in plans if "BroadcastExchange" in plan and label != "edges"]
