@@ -17,8 +17,11 @@ from pyspark.sql.window import Window as W
 
 from tessella.llm import mixing, packing, secrets, simhash, toxicity
 from tessella.llm.common import WORD, documents, staged, word_count
+from tessella.llm.components import components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words that a worker remembers for the packing: it keeps them while it serves the other stages.
+CACHED_WORDS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +35,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: the one with the smallest doc_id, then text hash.
+    """One document of each group of near-duplicates: the one with the smallest doc_id, then text hash.
 
-    A repeated row is a copy: one stays. Texts without words are one group.
+    Texts are linked as ``op1_simhash`` links them, by the pigeonhole over their
+    fingerprints; the exact similarity of their shingles follows and adds the
+    links that fingerprints miss. A repeated row is a copy: one stays. Texts
+    without words are one group.
     """
-    groups = staged(simhash.similar_documents(docs), "similar")
-    kept = groups.groupBy("component").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    prints = simhash.near_duplicates(keyed.select(F.col("th").alias("doc_id"), "text")).select(F.col("doc_id").alias("th"), F.col("component_id").alias("print")).distinct()
+    groups = staged(simhash.similar_documents(docs).join(prints, "th"), "similar")
+    # Groups of similar sets that fingerprints link: few edges, as most of what they link is in one group.
+    least = groups.groupBy("print").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a < z").select("print", "a")
+    found = components(groups.join(least, "print").select("a", F.col("component").alias("b")).distinct()).withColumnRenamed("component", "all")
+    joined = groups.join(found, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("all", "component"))
+    kept = joined.groupBy("component").agg(F.min(F.struct("did", "th")).alias("k")).select("k.did", "k.th")
     once = W.partitionBy("did", "th").orderBy("lang", "source", "n_chars")
     return keyed.join(kept, ["did", "th"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*COLUMNS)
 
@@ -92,7 +103,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=CACHED_WORDS)
     digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     packed = packing.harmonic_pack(digest, ["doc_id", "start", "doc_tokens", "ids_crc32"])
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

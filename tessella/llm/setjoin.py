@@ -26,6 +26,8 @@ SEED = 42
 ORDER_SAMPLE, MOST_COMMON = 4096, 1 << 17
 #: Sets that one task of the exact search holds, and sets that a task remembers to have probed.
 SEARCHED, SEEN_SETS = 8192, 1_000_000
+#: Texts that a task cuts into sets at once.
+CUT_ROWS = 1024
 #: Sets of a bucket that the filter searches in one task; a larger bucket is a group as it is.
 FILTERED = 1 << 17
 #: Expected leaders of a group that no task holds: every block of the group is searched together with them.
@@ -200,8 +202,11 @@ def linked_sets(docs: DataFrame, size: int, similarity: float, test: SetFilter)
             joined, cut = spans(t, size)
             yield np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in cut), "<u8", len(cut)))
 
+    def few_rows(batches):
+        return (whole.slice(at, CUT_ROWS) for whole in batches for at in range(0, whole.num_rows, CUT_ROWS))
+
     def shingles(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in cut_sets(batch.column(1))], pa.list_(pa.int64()))], ["id", "shingles"])
 
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
@@ -220,7 +225,7 @@ def linked_sets(docs: DataFrame, size: int, similarity: float, test: SetFilter)
 
     def heads(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few_rows(batches):
             rows = []
             for s in cut_sets(batch.column(0)):
                 node = xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)

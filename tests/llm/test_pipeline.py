@@ -65,6 +65,25 @@ def test_near_duplicate_stage(stages):
     assert sorted(stages["near_dedup"].doc_id) == sorted({find(i) for i in ids})
 
 
+def test_near_duplicate_stage_takes_the_links_of_fingerprints(spark):
+    """Texts within three bits are linked, also where their sets of shingles are too different to be similar."""
+    from tessella.llm import simhash
+
+    line = " ".join(f"w{i % 40}" for i in range(400))
+    texts = [f"{line} a{k} " + " ".join(f"x{k}y{i}" for i in range(6 + 8 * k)) for k in range(4)] + ["some other text", "and one more"]
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    prints = [simhash.simhash(t) for t in texts]
+    parent = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if bin(prints[a] ^ prints[b]).count("1") <= 3:
+                parent = [parent[a] if p == parent[b] else p for p in parent]
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts[:4]]
+    assert len(sets[0] & sets[3]) < 0.8 * len(sets[0] | sets[3])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, DATA).collect()} == set(parent) == {0, 4, 5}
+
+
 def test_secret_stage(stages):
     before = dict(zip(stages["near_dedup"].doc_id, stages["near_dedup"].text))
     after = dict(zip(stages["secrets"].doc_id, stages["secrets"].text))
