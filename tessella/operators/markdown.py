@@ -92,12 +92,15 @@ def markdown_chunks(docs: DataFrame, key: str, text: str, budget: int) -> DataFr
     text. Null and blank texts have no chunk; other columns are not read.
     """
     lines = markdown_lines(docs, key, text)
-    sums = {name: F.sum("n_words").over(W.partitionBy(key, name)) for name in ("section", "subsection", "block")}
-    sized = lines.select("*", *[s.alias(f"_{name}") for name, s in sums.items()])
+    # Blocks lie in subsections and these in sections, so all sums follow from those of the blocks, without a sort of the lines for each.
+    opens = F.max(F.when(F.col("kind") == "open", F.col("line"))).alias("_first")
+    blocks = lines.groupBy(F.col(key).alias("_key"), "section", "subsection", F.col("block").alias("_of")).agg(F.sum("n_words").alias("_block"), opens)
+    sums = [F.sum("_block").over(W.partitionBy("_key", name)).alias(f"_{name}") for name in ("section", "subsection")]
+    sized = lines.join(blocks.select("_key", "_of", "_block", "_first", *sums), F.col(key).eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_of")))
     in_section = F.col("_section") <= budget
     unit = F.when(in_section, F.concat(F.lit("section "), F.col("section").cast("string"))).otherwise(F.concat(F.lit("subsection "), F.col("subsection").cast("string")))
     large = ~in_section & (F.col("_subsection") > budget) & (F.col("_block") > budget)
-    opening = F.when(F.col("kind").isin("open", "body", "close") & large, F.first("line").over(W.partitionBy(key, "block").orderBy("pos")))
+    opening = F.when(F.col("kind").isin("open", "body", "close") & large, F.col("_first"))
     placed = sized.withColumn("_open", opening).withColumn("_fence", F.when(F.col("_open").isNull(), 0).otherwise(F.size(words(F.col("_open"))) + 1).cast("long"))
     # A split fence is written around each part; a line that no part can hold is cut.
     body = placed.where(F.col("_open").isNull() | (F.col("kind") == "body"))

@@ -193,3 +193,18 @@ def test_streaming_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["k"], r["n"]) for r in spark.table("counts").collect()) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_markdown_chunks_sort_the_lines_for_few_windows(spark):
+    """The sums of sections and blocks need no sort of the lines each; the chunks of a null key stay."""
+    from tessella.operators import markdown
+
+    text = "# a\n\none two three\n\n```py\nx y z\nu v w\n```\n### b\nfour five\n\nsix seven eight nine ten"
+    frame = spark.createDataFrame([(1, text), (None, "## t\nw1 w2"), (2, None)], "k long, md string")
+    chunks = markdown.markdown_chunks(frame, "k", "md", 5)
+    rows = sorted((r["k"] or 0, r["chunk_id"], r["num_tokens"], r["chunk"]) for r in chunks.collect())
+    assert rows[0] == (0, 0, 4, "## t\nw1 w2")
+    assert [r[3] for r in rows if "```" in r[3]] == ["```py\nx y z\n```", "```py\nu v w\n```"]
+    assert all(r[2] <= 5 for r in rows)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Window [first(line" not in plan and plan.count("Window [sum(n_words") == 0
