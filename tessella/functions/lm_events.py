@@ -111,26 +111,47 @@ def decode(pieces: DataFrame, key: list[str], text: str) -> DataFrame:
 def decode_with_repairs(pieces: DataFrame, key: list[str], text: str) -> tuple[DataFrame, DataFrame]:
     """Decode damaged token texts: events (key, pos, event, value, duration, offset) and one row of counts per piece.
 
+    The counts are those of ``repair_counts``, without its sums; a caller that
+    needs no events takes them from there.
+    """
+    return _decoded(pieces, key, text).where("_valid").select(*key, "pos", "event", "value", "duration", "offset"), repair_counts(pieces, key, text).drop("duration", "total_offset")
+
+
+def repair_counts(pieces: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Counts of what decoding a damaged token text met, and the sums ``duration`` and ``total_offset`` of its events, in one pass: a row per piece.
+
     Tokens are taken by fours; what is left over is dropped (``dangling``). A
     four that is no event is left out and counted (``invalid``). An extension
     waits for the next event that asks for it, whatever comes between; one that
     asks without a waiting one gets 255 (``missing_duration``,
     ``missing_offset``). Counts: tokens, dangling, extensions, structural,
     pedals, notes, invalid and the two kinds of repair. Pieces without tokens
-    have zero counts; a null text has no tokens.
+    have zero counts; a null text has no tokens. ``key`` names a piece.
     """
+    valid, four = F.col("_valid"), F.col("pos").isNotNull()
+    return _decoded(pieces, key, text).groupBy(*key).agg(
+        F.max("_tokens").alias("tokens"), F.max("_dangling").alias("dangling"),
+        F.count_if("extension").alias("extensions"), F.count_if(valid & F.col("marker")).alias("structural"), F.count_if(valid & F.col("pedal")).alias("pedals"), F.count_if(valid & F.col("_note")).alias("notes"),
+        F.count_if(four & ~valid & ~F.col("extension")).alias("invalid"), F.count_if("no_d").alias("missing_duration"), F.count_if("no_o").alias("missing_offset"),
+        *[F.coalesce(F.sum(F.when(valid, F.col(c))), F.lit(0)).cast("long").alias(n) for c, n in (("duration", "duration"), ("offset", "total_offset"))],
+    )
+
+
+def _decoded(pieces: DataFrame, key: list[str], text: str) -> DataFrame:
+    """Fours of the tokens of each piece, read: event, times and flags; a piece without a four has a row without ``pos``."""
     found = F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("<[^<>]+>"), F.lit(0)), lambda t: ~t.isin("<MIDI>", "</MIDI>", "<EOS_MIDI>"))
     tokens = pieces.select(*key, found.alias("_all"))
     whole = F.floor(F.size("_all") / 4).cast("int")
     fours = F.when(whole > 0, F.transform(F.sequence(F.lit(0), whole - 1), lambda i: F.slice("_all", i * 4 + 1, 4)))
-    rows = tokens.select(*key, F.posexplode(fours).alias("pos", "q"))
+    sizes = (F.size("_all").cast("long").alias("_tokens"), (F.size("_all") % 4).cast("long").alias("_dangling"))
+    rows = tokens.select(*key, *sizes, F.posexplode_outer(fours).alias("pos", "q"))
 
     def number(place: int, letter: str, most: int):
         value = F.regexp_extract(F.get("q", F.lit(place)), f"^<{letter}([0-9]{{3}})>$", 1).try_cast("int")
         return F.when(value <= most, value)
 
     read = rows.select(
-        *key, "pos", F.regexp_replace(F.col("q")[0], "[<>]", "").alias("head"), number(0, "N", 127).alias("pitch"), number(1, "V", 127).alias("value"),
+        *key, "pos", "_tokens", "_dangling", F.regexp_replace(F.col("q")[0], "[<>]", "").alias("head"), number(0, "N", 127).alias("pitch"), number(1, "V", 127).alias("value"),
         (F.col("q")[1] == "<NIL>").alias("no_value"), (F.col("q")[2] == "<NIL>").alias("no_duration"), number(2, "T", 255).alias("high"), number(3, "T", 255).alias("low"),
         (F.col("q")[2] == "<EXT>").alias("asks_duration"), (F.col("q")[3] == "<EXT>").alias("asks_offset"),
     )
@@ -153,19 +174,10 @@ def decode_with_repairs(pieces: DataFrame, key: list[str], text: str) -> tuple[D
     offset = F.when(marker, 0).when(F.col("_takes_offset"), F.when(F.col("asks_offset"), F.coalesce("_o", F.lit(255))).otherwise(F.col("low")))
     event = F.when(F.col("_note"), pitch_name(F.col("pitch"))).when(marker | pedal, F.col("head"))
     made = timed.select(
-        *key, "pos", event.alias("event"), "value", duration.alias("duration"), offset.alias("offset"), F.col("_extends").alias("extension"), marker.alias("marker"), pedal.alias("pedal"), "_note",
+        *key, "pos", "_tokens", "_dangling", event.alias("event"), "value", duration.alias("duration"), offset.alias("offset"), F.col("_extends").alias("extension"), marker.alias("marker"), pedal.alias("pedal"), "_note",
         (takes_duration & F.col("_d").isNull()).alias("no_d"), (takes_offset & F.col("_o").isNull()).alias("no_o"),
     )
-    valid = F.col("event").isNotNull() & F.col("duration").isNotNull() & F.col("offset").isNotNull()
-    counted = made.groupBy(*key).agg(
-        F.count_if("extension").alias("extensions"), F.count_if(valid & F.col("marker")).alias("structural"), F.count_if(valid & F.col("pedal")).alias("pedals"), F.count_if(valid & F.col("_note")).alias("notes"),
-        F.count_if(~valid & ~F.col("extension")).alias("invalid"), F.count_if("no_d").alias("missing_duration"), F.count_if("no_o").alias("missing_offset"),
-    )
-    sizes = tokens.select(*key, F.size("_all").cast("long").alias("tokens"), (F.size("_all") % 4).cast("long").alias("dangling"))
-    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
-    names = ("extensions", "structural", "pedals", "notes", "invalid", "missing_duration", "missing_offset")
-    counts = sizes.alias("s").join(counted.alias("c"), same, "left").select(*[F.col(f"s.{k}") for k in key], "tokens", "dangling", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names])
-    return made.where(valid).select(*key, "pos", "event", "value", "duration", "offset"), counts
+    return made.withColumn("_valid", F.col("event").isNotNull() & F.col("duration").isNotNull() & F.col("offset").isNotNull())
 
 
 def full_vocabulary() -> list[str]:

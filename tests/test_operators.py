@@ -195,6 +195,20 @@ def test_streaming_windows(spark, tmp_path):
     assert sorted((r["k"], r["n"]) for r in spark.table("counts").collect()) == [("a", 1), ("a", 3), ("b", 1)]
 
 
+def test_repair_counts_scan_the_tokens_once(spark):
+    """Counts and sums come from one pass; pieces without tokens and with a dangling part are rows."""
+    from tessella.functions import lm_events
+
+    texts = ["<EXD><NIL><T001><T002><N060><V064><EXT><T005><P><V010><NIL><EXT>", "<N060><V064>", "", None, "<N999><V001><T001><T001><M><V001><T001><T000><T001>"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    counted = lm_events.repair_counts(frame, ["k"], "text")
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r["k"]: tuple(r)[1:] for r in counted.collect()}
+    assert got[0] == (12, 0, 1, 0, 1, 1, 0, 0, 1, 258, 260)
+    assert got[1] == (2, 2) + (0,) * 9 and got[2] == got[3] == (0,) * 11
+    assert got[4] == (9, 1, 0, 1, 0, 0, 1, 0, 0, 256, 0)
+
+
 def test_markdown_chunks_sort_the_lines_for_few_windows(spark):
     """The sums of sections and blocks need no sort of the lines each; the chunks of a null key stay."""
     from tessella.operators import markdown
@@ -208,3 +222,14 @@ def test_markdown_chunks_sort_the_lines_for_few_windows(spark):
     assert all(r[2] <= 5 for r in rows)
     plan = chunks._jdf.queryExecution().executedPlan().toString()
     assert "Window [first(line" not in plan and plan.count("Window [sum(n_words") == 0
+
+
+def test_refined_times_join_no_groups_by_number(spark):
+    """Ranges and groups of a key meet in one order; nulls and missing groups keep the nominal times."""
+    from tessella.operators import windows
+
+    ranges = spark.createDataFrame([("a", 1, 0, 1, 10), ("a", 2, None, None, 5), ("a", 3, 2, 4, 7), ("b", 1, 0, 0, 4), (None, 1, 0, 0, 3)], "k string, i long, first_group long, last_group long, nominal long")
+    groups = spark.createDataFrame([("a", 0, 0), ("a", 1, 20), ("a", 2, 50), ("a", 4, 90), ("a", 5, 91), ("b", 3, 8), (None, 0, 50)], "k string, g long, at long")
+    refined = windows.refined_times(ranges, groups, ["k"], "i", "nominal", "g", "at")
+    assert {(r["k"], r["i"]): (r["start"], r["end"]) for r in refined.collect()} == {("a", 1): (0, 40), ("a", 2): (40, 45), ("a", 3): (45, 130), ("b", 1): (0, 4), (None, 1): (0, 3)}
+    assert "Join" not in refined._jdf.queryExecution().executedPlan().toString()
