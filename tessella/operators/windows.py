@@ -70,10 +70,23 @@ def onset_groups(df: DataFrame, key: list[str], order: list[str], tick: str, wid
     return ordered_fold(df, key, order, [tick], f"`{tick}` {kind}, group int, anchor {kind}", fold)
 
 
-def consume_counts(df: DataFrame, key: list[str], order: list[str], item: str, expected: str, total: str) -> DataFrame:
-    """The groups each row consumes when rows take their expected count in turn: key, item, first_group, last_group (see ``folds.consume_rows``)."""
-    kind = df.schema[item].dataType.simpleString()
-    return ordered_fold(df, key, order, [item, expected, total], f"`{item}` {kind}, first_group bigint, last_group bigint", consume_rows)
+def consume_counts(df: DataFrame, key: list[str], order: list[str], item: str, expected: str, total: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The groups each row consumes when rows take their expected count in turn: key, item, first_group, last_group and the columns of ``keep`` (see ``folds.consume_rows``)."""
+
+    def fold(rows):
+        rest = ()
+
+        def bare():
+            nonlocal rest
+            for own, count, most, *rest in rows:
+                yield own, count, most
+
+        for out in consume_rows(bare()):
+            yield (*out, *rest)
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (item, *keep)}
+    schema = ", ".join([f"`{item}` {kinds[item]}", "first_group bigint", "last_group bigint", *[f"`{c}` {kinds[c]}" for c in keep]])
+    return ordered_fold(df, key, order, [item, expected, total, *keep], schema, fold)
 
 
 def interpolate(df: DataFrame, key: list[str], position: str, value: str, out: str = "filled") -> DataFrame:
@@ -119,15 +132,24 @@ def refined_times(ranges: DataFrame, groups: DataFrame, key: list[str], item: st
     at least their nominal duration: end = max(start + nominal, own end), which
     is a running maximum over the sums of the durations.
     """
+    # Ranges of a key do not overlap, so a group belongs to the range that began last: one table in one order, no join by number.
+    follows = W.partitionBy(*key).orderBy(group)
+    known = groups.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key)).select(
+        *key, F.col(group).cast("long").alias("_pos"), F.lit(1).alias("_side"), F.col(at).alias("_at"), F.lead(group).over(follows).alias("_next"), (F.lead(at).over(follows) - F.col(at)).alias("_step")
+    )
+    asked = ranges.select(*key, F.col("first_group").alias("_pos"), F.lit(0).alias("_side"), item, F.col("last_group").alias("_last"), nominal)
+    placed = W.partitionBy(*key).orderBy("_pos", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    taker = F.when((F.col("_side") == 0) & F.col("_pos").isNotNull(), F.struct(F.col(item).alias("item"), F.col("_last").alias("last")))
+    met = asked.unionByName(known, allowMissingColumns=True).withColumn("_own", F.last(taker, ignorenulls=True).over(placed))
+    inside = (F.col("_side") == 1) & (F.col("_pos") <= F.col("_own.last"))
+    step = F.when(inside & (F.col("_next") <= F.col("_own.last")) & (F.col("_step") > 0), F.col("_step"))
+    owned = met.where((F.col("_side") == 0) | inside).withColumn(item, F.when(F.col("_side") == 0, F.col(item)).otherwise(F.col("_own.item"))).withColumn("_step", step)
+    ended = F.when(F.col("_side") == 1, F.struct("_pos", "_at"))
+    told = owned.groupBy(*key, item).agg(F.max(nominal).alias(nominal), F.max(ended).alias("_end"), F.sort_array(F.collect_list("_step")).alias("_steps"))
     order = W.partitionBy(*key).orderBy(item)
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    timed = ranges.withColumn("_sum", F.sum(nominal).over(upto))
-    spread = ranges.where("first_group IS NOT NULL").select(*key, item, F.explode(F.sequence("first_group", "last_group")).alias(group))
-    met = spread.join(groups.select(*key, group, at), [*key, group])
-    steps = F.lead(at).over(W.partitionBy(*key, item).orderBy(group)) - F.col(at)
-    gathered = met.withColumn("_step", F.when(steps > 0, steps)).groupBy(*key, item).agg(F.max(F.struct(group, at)).alias("_last"), F.sort_array(F.collect_list("_step")).alias("_steps"))
-    known = gathered.select(*key, item, F.col(f"_last.{at}").alias("_at"), F.get("_steps", F.floor(F.size("_steps") / 2).cast("int")).alias("_step"))
-    joined = timed.join(known, [*key, item], "left")
-    own = F.when(F.col("_at").isNull(), F.col("_sum")).otherwise(F.col("_at") + F.coalesce("_step", nominal))
-    ended = joined.withColumn("end", F.col("_sum") + F.greatest(F.lit(0), F.max(own - F.col("_sum")).over(upto)))
-    return ended.select(*key, item, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), "end")
+    summed = told.withColumn("_sum", F.sum(nominal).over(upto))
+    median = F.get("_steps", F.floor(F.size("_steps") / 2).cast("int"))
+    own = F.when(F.col("_end").isNull(), F.col("_sum")).otherwise(F.col("_end._at") + F.coalesce(median, nominal))
+    closed = summed.withColumn("end", F.col("_sum") + F.greatest(F.lit(0), F.max(own - F.col("_sum")).over(upto)))
+    return closed.select(*key, item, F.coalesce(F.lag("end").over(order), F.lit(0)).alias("start"), "end")

@@ -124,10 +124,9 @@ def measure_times_from_groups(spark, sf_dir):
         "l_orderkey", "rn", (F.col("l_quantity").cast("long") % 4).alias("expected"), total.alias("total"), (F.round(F.col("l_discount") * 100).cast("long") * 5000).alias("nominal"),
         F.coalesce(F.sum(price).over(before), F.lit(0)).cast("long").alias("at"),
     )
-    ranges = windows.consume_counts(measures, ["l_orderkey"], ["rn"], "rn", "expected", "total")
+    ranges = windows.consume_counts(measures, ["l_orderkey"], ["rn"], "rn", "expected", "total", ("nominal",))
     groups = measures.select("l_orderkey", (F.col("rn") - 1).alias("place"), "at")
-    timed = ranges.join(measures.select("l_orderkey", "rn", "nominal"), ["l_orderkey", "rn"])
-    refined = windows.refined_times(timed, groups, ["l_orderkey"], "rn", "nominal", "place", "at")
+    refined = windows.refined_times(ranges, groups, ["l_orderkey"], "rn", "nominal", "place", "at")
     return refined.select("l_orderkey", "rn", F.col("start").alias("start_time"), F.col("end").alias("end_time"))
 
 
