@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.operators.components import components
+from tessella.operators.composite import best_match  # noqa: F401
 from tessella.operators.folds import ordered_fold
 from tessella.operators.staging import discard, staged
 
@@ -184,86 +185,6 @@ def with_leads(clusters: DataFrame, cluster: list[str], order: list[Column], seq
     return clusters.join(leads.hint("merge"), cluster)
 
 
-def relative_delta(a: Column, b: Column) -> Column:
-    """|a - b| over the larger of the two; zero if both are zero."""
-    return F.coalesce(F.abs(a - b) / F.nullif(F.greatest(a, b).cast("double"), F.lit(0.0)), F.lit(0.0))
-
-
-def histogram_distance(a: str, b: str, na: Column, nb: Column) -> Column:
-    """Sum of the absolute differences of two histograms over the sizes of both."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    return apart / F.greatest(F.lit(1), na + nb)
-
-
-#: Cells a side of the blocks that are searched for a first match where the own cells hold none.
-WIDER = 16
-
-
-def best_match(queries: DataFrame, pool: DataFrame, query_id: str, pool_id: str, weights: dict[str, float], count: str, hist: str, hist_weight: float, second: str, width: float = 0.05) -> DataFrame:
-    """For each query the row of the pool with the least composite distance: ids, score, n_compared.
-
-    The distance is the weighted sum of the relative deltas of the columns in
-    ``weights`` (positive; ``count`` and ``second`` among them) and of the
-    histograms' distance; ties go to the smaller ``pool_id``, a row is no match of itself.
-
-    Rows lie in cells of the logarithms of ``count`` and ``second``, ``width``
-    wide. The best match among the nine cells about a query bounds its
-    distance; no single delta of the true match, times its weight, exceeds that
-    bound, which tells the cells that can hold it. There the deltas, and the
-    difference of the histograms' halves, are summed first, and only rows within
-    the bound are compared (``n_compared``). ``count`` is the histogram's sum. A query whose own cells
-    hold none takes its bound from wider blocks, else looks at all cells.
-    Queries meet all rows of a cell that may hold the match, so choose a
-    ``width`` that leaves few rows in a cell.
-    """
-
-    def cells(df: DataFrame, key: str, mark: str) -> DataFrame:
-        cut = [F.floor(F.ln(F.greatest(F.col(c).cast("double"), F.lit(1e-9))) / width).alias(f"_c{i}") for i, c in enumerate((count, second))]
-        middle = F.floor(F.size(hist) / 2).cast("int")
-        parts = (F.slice(hist, F.lit(1), middle), F.slice(hist, middle + 1, F.size(hist)))
-        halves = [F.aggregate(h, F.lit(0).cast("long"), lambda s, x: s + x).alias(f"{mark}half{i}") for i, h in enumerate(parts)]
-        return df.select(F.col(key).alias(f"{mark}id"), *[F.col(c).alias(f"{mark}{c}") for c in [*weights, hist]], *cut, *halves)
-
-    q, p = cells(queries, query_id, "q_"), cells(pool, pool_id, "p_")
-    deltas = sum((F.lit(w) * relative_delta(F.col(f"q_{c}"), F.col(f"p_{c}")) for c, w in weights.items()), F.lit(0.0))
-    full = deltas + F.lit(hist_weight) * histogram_distance(f"q_{hist}", f"p_{hist}", F.col(f"q_{count}"), F.col(f"p_{count}"))
-
-    def bounded(asked: DataFrame, span: int) -> DataFrame:
-        """Least distance among the nine blocks of ``span`` cells a side about each query."""
-        own, other = asked, p
-        for c in ("_c0", "_c1"):
-            block = F.floor(F.col(c) / span)
-            own = own.withColumn(f"_b{c}", F.explode(F.array(block - 1, block, block + 1)))
-            other = other.withColumn(f"_b{c}", block)
-        near = own.drop("_c0", "_c1").join(other.drop("_c0", "_c1"), ["_b_c0", "_b_c1"]).where("q_id <> p_id")
-        return near.groupBy("q_id").agg(F.min(full).alias("bound"))
-
-    fine = bounded(q, 1)
-    bounds = fine.unionByName(bounded(q.join(fine.select("q_id"), "q_id", "left_anti"), WIDER))
-    # The edges of the grid: four numbers.
-    edge = p.agg(*[f(c).alias(n) for c in ("_c0", "_c1") for f, n in ((F.min, f"low{c}"), (F.max, f"high{c}"))]).first()
-    if edge["low_c0"] is None:
-        return q.select(F.col("q_id").alias(query_id), F.col("q_id").alias("match_id"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_compared")).limit(0)
-
-    def reach(axis: str, weight: float) -> Column:
-        room = F.col("bound") / weight
-        steps = F.when(room < 1, F.ceil(-F.ln(1 - room) / width) + 1)
-        low = F.greatest(F.lit(edge[f"low{axis}"]), F.col(axis) - F.coalesce(steps, F.lit(1 << 40)))
-        high = F.least(F.lit(edge[f"high{axis}"]), F.col(axis) + F.coalesce(steps, F.lit(1 << 40)))
-        return F.when(low <= high, F.sequence(low, high))
-
-    # Histograms of a and b rows differ by |a - b| at least, which is half the relative delta or more.
-    asked = q.join(bounds, "q_id", "left").withColumn("_r0", reach("_c0", weights[count] + hist_weight / 2)).withColumn("_r1", reach("_c1", weights[second]))
-    spread = asked.withColumn("_c0", F.explode("_r0")).withColumn("_c1", F.explode("_r1")).drop("_r0", "_r1")
-    # Rounded sums may differ in their last digit.
-    sizes = F.col(f"q_{count}") + F.col(f"p_{count}")
-    halves = sum((F.abs(F.col(f"q_half{i}") - F.col(f"p_half{i}")) for i in (0, 1)), F.lit(0))
-    least = deltas + F.lit(hist_weight) * halves / F.greatest(F.lit(1), sizes)
-    hopeful = spread.join(p, ["_c0", "_c1"]).where("q_id <> p_id").where(F.col("bound").isNull() | (least <= F.col("bound") + 1e-9))
-    found = hopeful.groupBy("q_id").agg(F.min(F.struct(F.round(full, 9).alias("score"), F.col("p_id").alias("id"))).alias("_b"), F.count(F.lit(1)).alias("n_compared"))
-    return found.select(F.col("q_id").alias(query_id), F.col("_b.id").alias("match_id"), F.col("_b.score").alias("score"), "n_compared")
-
-
 def look_ahead(steps: int = 8):
     """Fold of two streams of groups (side, pos, counts) to the monotone greedy match: left, right, score.
 

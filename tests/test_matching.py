@@ -214,3 +214,39 @@ def test_near_duplicate_sequences_meet_leaders_and_broadcast_no_table(spark, mon
     assert got == clusters_of(events, 90)
     assert 2 < len(set(got.values())) < 60
     assert not [label for label, plan in plans if "BroadcastExchange" in plan and label != "edges"]
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_best_match_with_nulls_negatives_copies_and_many_blocks(spark, monkeypatch, block):
+    """Deltas from null are zero and those of negatives negative, as in the SQL; copies and blocks change nothing."""
+    from tessella.operators import composite
+
+    monkeypatch.setattr(composite, "BLOCK", block)
+    monkeypatch.setattr(composite, "MET", 40)
+    rng = random.Random(12)
+    rows = []
+    for i in range(260):
+        hist = [rng.randint(0, 6) for _ in range(3)] + [1]
+        total = rng.choice([None, 0, -rng.randint(1, 9)]) if i % 20 == 0 else rng.randint(500, 900)
+        rows.append((1000 - i, sum(hist), total, None if i % 31 == 0 else rng.randint(9000, 9900), hist))
+    rows += [(2000 + i, *rows[i % 3][1:]) for i in range(40)]
+    # Nothing but rounding parts these, so the smallest id is the match of all.
+    rows += [(3000 + i, 900, 800, 10**13 - i, [300, 300, 299, 1]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "id long, n long, total long, span long, hist array<long>").repartition(4)
+    weights = {"n": 1.0, "total": 0.5, "span": 0.3}
+
+    def delta(a, b):
+        return 0 if a is None or b is None or not max(a, b) else abs(a - b) / max(a, b)
+
+    def score(a, b):
+        return round(sum(w * delta(a[k], b[k]) for w, k in ((1.0, 1), (0.5, 2), (0.3, 3))) + 2.0 * (sum(abs(x - y) for x, y in zip(a[4], b[4])) / (a[1] + b[1])), 9)
+
+    got = {r["id"]: (r["score"], r["match_id"]) for r in matching.best_match(frame, frame, "id", "id", weights, "n", "hist", 2.0, "total").collect()}
+    wanted = {a[0]: min((score(a, b), b[0]) for b in rows if b[0] != a[0]) for a in rows}
+    assert got.keys() == wanted.keys()
+    assert {i: (g, wanted[i]) for i, g in got.items() if g != wanted[i]} == {}
+    # Two tables that share ids: a row is no match of its own id, whatever its columns.
+    some, moved = rows[:60], [(a[0] + 1, *a[1:]) for a in rows[:60]]
+    frames = [spark.createDataFrame(r, frame.schema) for r in (some, moved)]
+    got = {r["id"]: (r["score"], r["match_id"]) for r in matching.best_match(*frames, "id", "id", weights, "n", "hist", 2.0, "total").collect()}
+    assert got == {a[0]: min((score(a, b), b[0]) for b in moved if b[0] != a[0]) for a in some}
