@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators.staging import staged
+
 
 def range_join(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, width: int) -> DataFrame:
     """Pairs of points and spans of one key with start <= at < end.
@@ -112,36 +114,60 @@ def positional_audit(left: DataFrame, right: DataFrame, key: list[str], order: l
     return a.join(b, [*key, "ordinal"], "full").select(*key, "ordinal", "left_value", "right_value", status.alias("status"))
 
 
+#: Counters that order the items of sets; items share one by their hash.
+COUNTERS = 1 << 18
+#: Ids of sets in candidate pairs that a join may broadcast.
+BROADCAST_IDS = 1_000_000
+
+
 def similar_pairs(sets: DataFrame, key: str, items: str, similarity: float) -> DataFrame:
-    """Pairs of sets (distinct, sorted arrays) whose Jaccard similarity reaches ``similarity``.
+    """Pairs of sets (arrays of distinct items) whose Jaccard similarity reaches ``similarity``.
 
     Prefix filter: two such sets share one of their first n - ceil(s n) + 1
-    items in any fixed order, here rarest first, so frequent items join nothing.
+    items in any order that all sets keep to. Here it is by the items' hashes,
+    those first whose counter counts least, so frequent items join nothing; the
+    counters are few, whatever the input, and broadcast. The heads of a pair
+    share more than one item: of the t common items that the pair needs, only
+    those can be missing that lie behind the head which ends first. So only
+    heads are shuffled, and of the sets only such as a candidate pair names.
     The sizes of exploded and array columns cannot be estimated from the files,
     so the joins are merged, never broadcast on such an estimate.
     """
-    counts = sets.select(F.explode(items).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    # A set's items that others have too, rarest first; those it has alone precede them and meet nothing.
-    ordered = (
-        sets.select(key, F.size(items).alias("size"), F.explode(items).alias("item"))
-        .join(counts.where("n > 1").hint("merge"), "item")
-        .groupBy(key, "size")
-        .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("shared"))
-    )
-
-    def head(share: float):
-        return F.size("shared") - F.ceil(F.col("size") * share - 1e-9) + 1
-
-    # The smaller set of a pair needs 2 s / (1 + s) of its items, so it probes with fewer of them.
-    probed, stricter = head(similarity), head(2 * similarity / (1 + similarity))
-    kept = F.slice("shared", F.lit(1), F.greatest(probed, F.lit(0)).cast("int")).getField("item")
-    spread = ordered.select(key, "size", stricter.alias("_inner"), F.posexplode(kept).alias("_pos", "item")).select(key, "size", "item", (F.col("_pos") < F.col("_inner")).alias("inner"))
-    smaller = spread.where("inner").select(F.col(key).alias("x"), F.col("size").alias("nx"), "item")
-    larger = spread.select(F.col(key).alias("y"), F.col("size").alias("ny"), "item")
-    fits = (F.col("nx") >= similarity * F.col("ny") - 1e-9) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") != F.col("y"))))
-    met = smaller.join(larger.hint("merge"), "item").where(fits)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    full = pairs.join(sets.select(F.col(key).alias("a"), F.col(items).alias("_x")).hint("merge"), "a").join(sets.select(F.col(key).alias("b"), F.col(items).alias("_y")).hint("merge"), "b")
+    hashes = sets.select(key, F.transform(items, lambda i: F.xxhash64(i)).alias("h"))
+    counter = F.pmod("item", F.lit(COUNTERS)).cast("int")
+    counted = hashes.select(F.explode("h").alias("item")).groupBy(counter.alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+    order = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def heads(batches):
+        for batch in batches:
+            ends = batch.column(1).offsets.to_numpy()
+            flat = batch.column(1).values.to_numpy(zero_copy_only=False)
+            rank = order.value[flat % len(order.value)]
+            sizes = np.diff(ends)
+            kept = np.where(sizes > 0, sizes - np.ceil(sizes * similarity - 1e-9).astype(np.int64) + 1, 0)
+            first = [at + np.lexsort((flat[at:to], rank[at:to]))[:n] for at, to, n in zip(ends[:-1].tolist(), ends[1:].tolist(), kept.tolist())]
+            taken = np.concatenate(first) if first else np.empty(0, np.int64)
+            owner = np.repeat(np.arange(len(sizes)), kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(sizes[owner].astype(np.int32)), pa.array(flat[taken])], [key, "size", "item"])
+
+    spread = hashes.mapInArrow(heads, f"`{key}` {sets.schema[key].dataType.simpleString()}, size int, item long")
+    # Items that one set alone has meet nothing.
+    several = spread.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("item"))).where("_n > 1").drop("_n")
+    several = staged(several, "set-heads")
+    smaller = several.select(F.col(key).alias("x"), F.col("size").alias("nx"), "item")
+    larger = several.select(F.col(key).alias("y"), F.col("size").alias("ny"), "item")
+    fits = (F.col("nx") >= similarity * F.col("ny") - 1e-9) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    met = smaller.join(larger.hint("merge"), "item").where(fits).groupBy("x", "nx", "y", "ny").agg(F.count(F.lit(1)).alias("met"))
+    needed = F.ceil((F.col("nx") + F.col("ny")) * (similarity / (1 + similarity)) - 1e-9)
+    behind = F.ceil(F.greatest("nx", "ny") * similarity - 1e-9) - 1
+    pairs = staged(met.where(F.col("met") >= needed - behind).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "set-pairs")
+    named = staged(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), "set-ids")
+    # Counted before it is broadcast.
+    few = named.hint("broadcast") if named.count() <= BROADCAST_IDS else named.hint("merge")
+    asked = sets.select(key, items).join(few, key, "left_semi")
+    full = pairs.join(asked.select(F.col(key).alias("a"), F.col(items).alias("_x")).hint("merge"), "a").join(asked.select(F.col(key).alias("b"), F.col(items).alias("_y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("_x", "_y"))
     return full.select("a", "b", shared.alias("shared"), (shared / (F.size("_x") + F.size("_y") - shared)).alias("jaccard")).where(F.col("jaccard") >= similarity)
 

@@ -190,7 +190,7 @@ def near_dup_pairs(spark, sf_dir):
     first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     hashed = F.array_distinct(F.transform(text.shingles(F.col("text"), 5), lambda s: F.xxhash64(s)))
     sets = docs.join(first.hint("merge"), "doc_id", "left_semi").select("doc_id", hashed.alias("items")).where("size(items) > 0")
-    # Read four times.
+    # Read three times.
     sets = staged(sets, "shingle-sets")
     return joins.similar_pairs(sets, "doc_id", "items", 0.8)
 

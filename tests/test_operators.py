@@ -233,3 +233,27 @@ def test_refined_times_join_no_groups_by_number(spark):
     refined = windows.refined_times(ranges, groups, ["k"], "i", "nominal", "g", "at")
     assert {(r["k"], r["i"]): (r["start"], r["end"]) for r in refined.collect()} == {("a", 1): (0, 40), ("a", 2): (40, 45), ("a", 3): (45, 130), ("b", 1): (0, 4), (None, 1): (0, 3)}
     assert "Join" not in refined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("counters", [1, 64])
+def test_similar_pairs_shuffle_heads_only(spark, monkeypatch, counters):
+    """Whatever the order of the items tells, no pair is lost, and fewer rows than the items are shuffled in all."""
+    monkeypatch.setattr(joins, "COUNTERS", counters, raising=False)
+    rng = random.Random(9)
+    own = [set(rng.sample(range(100_000), 200)) | set(range(30)) for _ in range(120)]
+    own += [set(list(s)[: rng.randint(150, 230)]) | {200_000 + 40 * i + k for k in range(rng.randint(0, 40))} for i, s in enumerate(own[:60])]
+    own += [set(rng.sample(range(8), rng.randint(1, 6))) for _ in range(40)]
+    frame = spark.createDataFrame([(i, list(s)) for i, s in enumerate(own)], "id long, items array<long>").repartition(3).cache()
+    frame.count()
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    got = {(r["a"], r["b"]): (r["shared"], r["jaccard"]) for r in joins.similar_pairs(frame, "id", "items", 0.8).collect()}
+    pairs = [(i, j, len(own[i] & own[j])) for i in range(len(own)) for j in range(i + 1, len(own))]
+    assert got == {(i, j): (n, n / len(own[i] | own[j])) for i, j, n in pairs if n / len(own[i] | own[j]) >= 0.8}
+    assert any(j >= 120 for _, j in got) and shuffled() - before < sum(map(len, own))
